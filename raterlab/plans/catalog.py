@@ -165,3 +165,273 @@ def disagreements(spark, d):
 
 
 FLAGSHIP = "weighted_prf_by_run"
+
+
+# ---------------------------------------------------------------------------
+# agreement notebook (E4): pairing, contingency, κ, χ², normality, Mann–Whitney
+# ---------------------------------------------------------------------------
+from raterlab.functions import text as TX  # noqa: E402
+from raterlab.operators import agreement as AG  # noqa: E402
+from raterlab.operators import describe as DS  # noqa: E402
+from raterlab.operators import hypothesis as HY  # noqa: E402
+import hashlib  # noqa: E402
+
+RATER_A = hashlib.md5(b"rater_a").hexdigest()[:8]
+RATER_B = hashlib.md5(b"rater_b").hexdigest()[:8]
+PAIR_FIELDS = ["emotion", "emotion_class", "trigger_level"]
+
+O.cte("pairs", ["ann"], """
+SELECT a.id, a.text, a.emotion AS a_emotion, b.emotion AS b_emotion, a.emotion_class AS a_emotion_class,
+       b.emotion_class AS b_emotion_class, a.trigger_level AS a_trigger_level, b.trigger_level AS b_trigger_level,
+       a.context_locations AS a_locs, b.context_locations AS b_locs
+FROM ann a JOIN ann b ON a.id = b.id AND a.rater = 'a' AND b.rater = 'b'""")
+O.cte("ct", ["pairs"], """
+SELECT 'emotion' AS field, a_emotion AS a, b_emotion AS b, count(*) AS n FROM pairs GROUP BY ALL
+UNION ALL SELECT 'emotion_class', a_emotion_class, b_emotion_class, count(*) FROM pairs GROUP BY ALL
+UNION ALL SELECT 'trigger_level', CAST(a_trigger_level AS VARCHAR), CAST(b_trigger_level AS VARCHAR), count(*) FROM pairs GROUP BY ALL
+UNION ALL SELECT 'quality_toxic', CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR), count(*) FROM labels GROUP BY ALL""")
+O.cte("marg", ["ct"], """
+SELECT field, label, sum(r) AS r, sum(c) AS c, sum(d) AS d
+FROM (SELECT field, a AS label, n AS r, 0 AS c, CASE WHEN a = b THEN n ELSE 0 END AS d FROM ct
+      UNION ALL SELECT field, b, 0, n, 0 FROM ct) u GROUP BY ALL""")
+
+
+def _pairs(spark, d):
+    ann = X.annotations(spark, d)
+    return AG.pair_raters(ann, RATER_A, RATER_B, PAIR_FIELDS + ["context_locations", "text"]) \
+        .withColumnRenamed("a_text", "text").drop("b_text")
+
+
+def _crosstab(spark, d):
+    ct = AG.crosstab_long(_pairs(spark, d), PAIR_FIELDS)
+    lp = X.label_pairs(spark, d).select(F.col("quality").alias("a_quality_toxic"), F.col("toxic").alias("b_quality_toxic"))
+    return ct.unionByName(AG.crosstab_long(lp, ["quality_toxic"]))
+
+
+@register("rater_pairs", O.sql(
+    "SELECT id, a_emotion, b_emotion, a_emotion_class, b_emotion_class, a_trigger_level, b_trigger_level FROM pairs", "pairs"))
+def rater_pairs(spark, d):
+    return _pairs(spark, d).select("id", *[f"{s}_{f}" for f in PAIR_FIELDS for s in ("a", "b")])
+
+
+@register("crosstab_labels", O.sql("SELECT field, a, b, n FROM ct", "ct"))
+def crosstab_labels(spark, d):
+    return _crosstab(spark, d)
+
+
+@register("cohen_kappa", O.sql("""
+SELECT field, n, round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa
+FROM (SELECT field, CAST(sum(r) AS BIGINT) AS n, CAST(sum(d) AS DOUBLE) / sum(r) AS po,
+             CAST(sum(r * c) AS DOUBLE) / (CAST(sum(r) AS DOUBLE) * sum(r)) AS pe FROM marg GROUP BY field) k""", "marg"))
+def cohen_kappa(spark, d):
+    return rounded(AG.cohen_kappa(_crosstab(spark, d)))
+
+
+@register("chi2_independence", O.sql("""
+SELECT field, CAST(n AS BIGINT) AS n, CAST(dof AS BIGINT) AS dof, round(chi2, 6) AS chi2 FROM (
+  SELECT g.field, g.n, g.dof,
+    CASE WHEN g.dof = 0 THEN 0.0 ELSE sum(power(abs(COALESCE(ct.n, 0) - g.e)
+         - CASE WHEN g.dof = 1 THEN least(0.5, abs(COALESCE(ct.n, 0) - g.e)) ELSE 0 END, 2) / g.e) END AS chi2
+  FROM (SELECT rm.field, rm.label AS a, cm.label AS b, CAST(rm.r AS DOUBLE) * cm.c / t.n AS e, t.n,
+               (t.nr - 1) * (t.nc - 1) AS dof
+        FROM marg rm JOIN marg cm ON rm.field = cm.field AND rm.r > 0 AND cm.c > 0
+        JOIN (SELECT field, sum(r) AS n, count(*) FILTER (WHERE r > 0) AS nr, count(*) FILTER (WHERE c > 0) AS nc
+              FROM marg GROUP BY field) t ON t.field = rm.field) g
+  LEFT JOIN ct ON ct.field = g.field AND ct.a = g.a AND ct.b = g.b
+  GROUP BY g.field, g.n, g.dof) x""", "marg", "ct"))
+def chi2_independence(spark, d):
+    return rounded(AG.chi2_statistic(_crosstab(spark, d)))
+
+
+def _normal_samples(spark, d):
+    ev = X.read(spark, d, "events").select(F.lit("events").alias("sample"), F.col("event_type").alias("grp"),
+                                           F.col("value").cast("double").alias("x"))
+    lv = X.annotations(spark, d).select(F.lit("levels").alias("sample"), F.col("rater").alias("grp"),
+                                        F.col("trigger_level").cast("double").alias("x"))
+    return ev.unionByName(lv)
+
+
+def _k2_sql() -> str:
+    n = "CAST(n AS DOUBLE)"
+    y = f"(skew * sqrt(({n} + 1) * ({n} + 3) / (6.0 * ({n} - 2))))"
+    beta2 = f"(3.0 * ({n}*{n} + 27*{n} - 70) * ({n} + 1) * ({n} + 3) / (({n} - 2) * ({n} + 5) * ({n} + 7) * ({n} + 9)))"
+    w2 = f"(-1.0 + sqrt(2.0 * ({beta2} - 1)))"
+    delta = f"(1.0 / sqrt(0.5 * ln({w2})))"
+    alpha = f"sqrt(2.0 / ({w2} - 1))"
+    zs = f"({delta} * asinh({y} / {alpha}))"
+    e = f"(3.0 * ({n} - 1) / ({n} + 1))"
+    var = f"(24.0 * {n} * ({n} - 2) * ({n} - 3) / (({n} + 1) * ({n} + 1) * ({n} + 3) * ({n} + 5)))"
+    xk = f"((kurt + 3.0 - {e}) / sqrt({var}))"
+    sb1 = f"(6.0 * ({n}*{n} - 5*{n} + 2) / (({n} + 7) * ({n} + 9)) * sqrt(6.0 * ({n} + 3) * ({n} + 5) / ({n} * ({n} - 2) * ({n} - 3))))"
+    a = f"(6.0 + 8.0 / {sb1} * (2.0 / {sb1} + sqrt(1 + 4.0 / ({sb1} * {sb1}))))"
+    den = f"(1 + {xk} * sqrt(2.0 / ({a} - 4)))"
+    zk = f"(((1 - 2.0 / (9 * {a})) - sign({den}) * cbrt((1 - 2.0 / {a}) / abs({den}))) / sqrt(2.0 / (9 * {a})))"
+    return f"""
+WITH s AS (SELECT 'events' AS sample, event_type AS grp, CAST(value AS DOUBLE) AS x FROM events
+           UNION ALL SELECT 'levels', rater, CAST(trigger_level AS DOUBLE) FROM ann),
+m AS (SELECT sample, grp, avg(x) AS mu FROM s GROUP BY ALL),
+c AS (SELECT s.sample, s.grp, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3,
+             avg(power(x - mu, 4)) AS m4 FROM s JOIN m USING (sample, grp) GROUP BY ALL),
+g AS (SELECT sample, grp, n, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3.0 AS kurt FROM c),
+z AS (SELECT sample, grp, n, skew, kurt, {zs} AS z_skew, {zk} AS z_kurt FROM g)
+SELECT sample, grp, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(z_skew, 6) AS z_skew,
+       round(z_kurt, 6) AS z_kurt, round(z_skew * z_skew + z_kurt * z_kurt, 6) AS k2,
+       round(exp(-(z_skew * z_skew + z_kurt * z_kurt) / 2), 6) AS p_value FROM z"""
+
+
+_k2_body = _k2_sql()
+_k2_ctes = O.sql("SELECT 1", "ann")
+ORACLE_K2 = _k2_ctes.replace("\nSELECT 1", "").replace("WITH ", "WITH ", 1) + ",\n" + _k2_body.strip()[len("WITH "):]
+
+
+@register("normality_k2", ORACLE_K2)
+def normality_k2(spark, d):
+    return rounded(HY.normality_k2(_normal_samples(spark, d), ["sample", "grp"], "x"))
+
+
+def _mw_samples(spark, d):
+    li = X.read(spark, d, "lineitem").select(
+        F.lit("quantity_R_vs_rest").alias("test"), F.when(F.col("l_returnflag") == "R", "a").otherwise("b").alias("side"),
+        F.col("l_quantity").cast("double").alias("x"))
+    ev = X.read(spark, d, "events").select(
+        F.lit("value_purchase_vs_rest").alias("test"),
+        F.when(F.col("event_type") == "purchase", "a").otherwise("b").alias("side"), F.col("value").cast("double").alias("x"))
+    lv = X.annotations(spark, d).select(F.lit("level_rater_a_vs_b").alias("test"), F.col("rater").alias("side"),
+                                        F.col("trigger_level").cast("double").alias("x"))
+    return li.unionByName(ev).unionByName(lv)
+
+
+_MW_SQL = O.sql("""
+, s AS (SELECT 'quantity_R_vs_rest' AS test, CASE WHEN l_returnflag = 'R' THEN 'a' ELSE 'b' END AS side, CAST(l_quantity AS DOUBLE) AS x FROM lineitem
+        UNION ALL SELECT 'value_purchase_vs_rest', CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'b' END, CAST(value AS DOUBLE) FROM events
+        UNION ALL SELECT 'level_rater_a_vs_b', rater, CAST(trigger_level AS DOUBLE) FROM ann),
+h AS (SELECT test, x, count(*) FILTER (WHERE side = 'a') AS na, count(*) FILTER (WHERE side = 'b') AS nb FROM s GROUP BY ALL),
+hc AS (SELECT *, COALESCE(sum(nb) OVER (PARTITION BY test ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_nb FROM h),
+agg AS (SELECT test, CAST(sum(na) AS BIGINT) AS n1, CAST(sum(nb) AS BIGINT) AS n2, sum(na * (before_nb + nb / 2.0)) AS u1,
+               sum(power(CAST(na + nb AS DOUBLE), 3) - (na + nb)) AS tie_term FROM hc GROUP BY test),
+u AS (SELECT *, greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) AS u, CAST(n1 + n2 AS DOUBLE) AS n FROM agg)
+SELECT test, n1, n2, round(u1, 6) AS u1, round(u, 6) AS u, round(tie_term, 6) AS tie_term,
+  round((u - CAST(n1 AS DOUBLE) * n2 / 2.0 - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))), 6) AS z
+FROM u""", "ann").replace("\n\n, s AS", ",\ns AS").replace(")\n, s AS", "),\ns AS")
+
+
+@register("mann_whitney", _MW_SQL)
+def mann_whitney(spark, d):
+    return rounded(HY.mann_whitney(_mw_samples(spark, d), "test", "side", "x", buckets=8))
+
+
+def _persona_of(col):
+    m = F.create_map(F.lit(RATER_A), F.lit("persona_1"), F.lit(RATER_B), F.lit("persona_2"))
+    return F.try_element_at(m, col)
+
+
+O.cte("annp", ["ann"], f"""
+SELECT *, CASE created_by WHEN '{RATER_A}' THEN 'persona_1' WHEN '{RATER_B}' THEN 'persona_2' END AS persona FROM ann""")
+
+
+@register("value_counts", O.sql("SELECT emotion_class, emotion, count(*) AS n FROM ann GROUP BY ALL", "ann"))
+def value_counts(spark, d):
+    return DS.value_counts(X.annotations(spark, d), ["emotion_class", "emotion"])
+
+
+@register("strong_triggers_per_persona", O.sql(
+    "SELECT persona, count(*) AS n FROM annp WHERE emotion_class = 'negative' AND trigger_level IN (4, 5) GROUP BY ALL",
+    "annp"))
+def strong_triggers_per_persona(spark, d):
+    a = X.annotations(spark, d).withColumn("persona", _persona_of(F.col("created_by")))
+    a = a.filter((F.col("emotion_class") == "negative") & F.col("trigger_level").isin(4, 5))
+    return DS.value_counts(a, ["persona"])
+
+
+SHARE_ORDER = ["anger", "sadness", "fear", "surprise", "love", "joy", "undefined"]
+
+
+@register("category_share", O.sql(
+    "SELECT persona, emotion, CAST(list_position(" + O.EMO_LIST.replace(O.EMO_LIST, "[" + ", ".join(f"'{e}'" for e in SHARE_ORDER) + "]")
+    + ", emotion) AS INT) AS ord, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM annp), 6) AS percent "
+    "FROM annp WHERE emotion IN (" + ", ".join(f"'{e}'" for e in SHARE_ORDER) + ") GROUP BY ALL", "annp"))
+def category_share(spark, d):
+    a = X.annotations(spark, d).withColumn("persona", _persona_of(F.col("created_by")))
+    return rounded(DS.category_share(a, "persona", "emotion", SHARE_ORDER))
+
+
+@register("box_stats", O.sql("""
+SELECT q.emotion_class, q.created_by, q.q1, q.median, q.q3, q.iqr,
+  min(CASE WHEN x BETWEEN q.q1 - 1.5 * q.iqr AND q.q3 + 1.5 * q.iqr THEN x END) AS whisker_low,
+  max(CASE WHEN x BETWEEN q.q1 - 1.5 * q.iqr AND q.q3 + 1.5 * q.iqr THEN x END) AS whisker_high,
+  count(*) FILTER (WHERE NOT (x BETWEEN q.q1 - 1.5 * q.iqr AND q.q3 + 1.5 * q.iqr)) AS n_outliers, count(*) AS n
+FROM (SELECT emotion_class, created_by, CAST(trigger_level AS DOUBLE) AS x FROM ann) v
+JOIN (SELECT emotion_class, created_by, quantile_cont(CAST(trigger_level AS DOUBLE), 0.25) AS q1,
+             quantile_cont(CAST(trigger_level AS DOUBLE), 0.5) AS median, quantile_cont(CAST(trigger_level AS DOUBLE), 0.75) AS q3,
+             quantile_cont(CAST(trigger_level AS DOUBLE), 0.75) - quantile_cont(CAST(trigger_level AS DOUBLE), 0.25) AS iqr
+      FROM ann GROUP BY ALL) q USING (emotion_class, created_by)
+GROUP BY ALL""", "ann"))
+def box_stats(spark, d):
+    return rounded(DS.box_stats(X.annotations(spark, d), ["emotion_class", "created_by"], "trigger_level"))
+
+
+@register("describe_levels", O.sql("""
+SELECT created_by, count(trigger_level) AS count, round(avg(trigger_level), 6) AS mean,
+  round(stddev_samp(trigger_level), 6) AS std, CAST(min(trigger_level) AS DOUBLE) AS min,
+  round(quantile_cont(CAST(trigger_level AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST(trigger_level AS DOUBLE), 0.5), 6) AS p50,
+  round(quantile_cont(CAST(trigger_level AS DOUBLE), 0.75), 6) AS p75, CAST(max(trigger_level) AS DOUBLE) AS max
+FROM ann GROUP BY ALL""", "ann"))
+def describe_levels(spark, d):
+    return rounded(DS.describe(X.annotations(spark, d), ["created_by"], "trigger_level"))
+
+
+@register("describe_quantity", O.sql("""
+SELECT l_returnflag, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean,
+  round(stddev_samp(l_quantity), 6) AS std, round(min(l_quantity), 6) AS min,
+  round(quantile_cont(l_quantity, 0.25), 6) AS p25, round(quantile_cont(l_quantity, 0.5), 6) AS p50,
+  round(quantile_cont(l_quantity, 0.75), 6) AS p75, round(max(l_quantity), 6) AS max
+FROM lineitem GROUP BY ALL"""))
+def describe_quantity(spark, d):
+    return rounded(DS.describe(X.read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity"))
+
+
+@register("annotations_per_rater", O.sql(
+    "SELECT created_by, count(*) AS n, count(description) AS n_description FROM ann GROUP BY ALL", "ann"))
+def annotations_per_rater(spark, d):
+    return DS.rows_per(X.annotations(spark, d), ["created_by"], "description")
+
+
+@register("mean_span_length", O.sql("""
+SELECT created_by, round(avg(s['end'] - s['start']), 6) AS mean_span_len, count(*) AS n_spans
+FROM (SELECT created_by, unnest(context_locations) AS s FROM ann) u GROUP BY ALL""", "ann"))
+def mean_span_length(spark, d):
+    return rounded(AG.mean_span_length(X.annotations(spark, d)))
+
+
+O.cte("ov", ["pairs"], """
+SELECT id, text, a_locs, b_locs,
+  flatten(list_transform(a_locs, lambda x: list_transform(
+     list_filter(b_locs, lambda y: greatest(x['start'], y['start']) <= least(x['end'], y['end'])),
+     lambda y: {'start': greatest(x['start'], y['start']), 'end': least(x['end'], y['end'])}))) AS ovl
+FROM pairs""")
+
+
+@register("span_overlap_pairs", O.sql(
+    "SELECT id, o['start'] AS start, o['end'] AS \"end\" FROM (SELECT id, unnest(ovl) AS o FROM ov) u", "ov"))
+def span_overlap_pairs(spark, d):
+    ov = AG.span_pairs_overlap(_pairs(spark, d))
+    return ov.select("id", F.explode("overlaps").alias("o")).select("id", "o.start", "o.end")
+
+
+@register("span_overlap_summary", O.sql(f"""
+SELECT *, round(CAST(ann1_labels_len AS DOUBLE) / nullif(ann1_labels_total, 0), 6) AS ann1_mean_len,
+  round(CAST(ann2_labels_len AS DOUBLE) / nullif(ann2_labels_total, 0), 6) AS ann2_mean_len,
+  round(CAST(overlap_labels_len AS DOUBLE) / nullif(ann1_labels_len + ann2_labels_len - overlap_labels_len, 0), 6) AS overlap_jaccard
+FROM (SELECT CAST(sum({O.span_chars('a_locs')}) AS BIGINT) AS ann1_labels_len, CAST(sum(len(a_locs)) AS BIGINT) AS ann1_labels_total,
+             CAST(sum({O.span_chars('b_locs')}) AS BIGINT) AS ann2_labels_len, CAST(sum(len(b_locs)) AS BIGINT) AS ann2_labels_total,
+             CAST(sum({O.span_chars('ovl')}) AS BIGINT) AS overlap_labels_len, CAST(sum(len(ovl)) AS BIGINT) AS overlap_labels_total
+      FROM ov) t""", "ov"))
+def span_overlap_summary(spark, d):
+    return rounded(AG.overlap_summary(AG.span_pairs_overlap(_pairs(spark, d))))
+
+
+@register("overlap_text", O.sql("""
+SELECT id, array_to_string(list_transform(ovl, lambda s: substring(text, s['start'] + 1, s['end'] - s['start'] + 1)), ' ') AS overlap_text,
+  len(ovl) AS n_overlaps FROM ov""", "ov"))
+def overlap_text(spark, d):
+    return AG.overlap_text(AG.span_pairs_overlap(_pairs(spark, d)))
