@@ -435,3 +435,111 @@ SELECT id, array_to_string(list_transform(ovl, lambda s: substring(text, s['star
   len(ovl) AS n_overlaps FROM ov""", "ov"))
 def overlap_text(spark, d):
     return AG.overlap_text(AG.span_pairs_overlap(_pairs(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# preparation (E3): export flattening, splits, descriptions, parsing
+# ---------------------------------------------------------------------------
+from raterlab.operators import annotations as AN  # noqa: E402
+from raterlab.operators import splits as SP  # noqa: E402
+from raterlab.functions import coerce as CO  # noqa: E402
+
+O.cte("flat", ["ann"], f"""
+SELECT created_by, CAST(id AS VARCHAR) AS id, CASE WHEN rater = 'b' AND length(text) < {X.SHORT_TEXT} THEN NULL ELSE emotion END AS emotion,
+  emotion_class, CAST(trigger_level AS VARCHAR) AS trigger_level, context, context_locations, description, created_at, rater
+FROM ann""")
+
+
+def _flat(spark, d):
+    return AN.flatten_export(X.export(spark, d), X.PROJECT)
+
+
+@register("flatten_annotations", O.sql("""
+SELECT created_by, id, emotion, emotion_class, trigger_level, description, created_at,
+  to_json(context) AS context, to_json(context_locations) AS context_locations
+FROM flat WHERE emotion IS NOT NULL""", "flat"))
+def flatten_annotations(spark, d):
+    kept, _ = AN.split_quarantine(_flat(spark, d))
+    return kept.select("created_by", "id", "emotion", "emotion_class", "trigger_level", "description", "created_at",
+                       F.to_json("context").alias("context"), F.to_json("context_locations").alias("context_locations"))
+
+
+@register("quarantined_labels", O.sql("SELECT created_by, id FROM flat WHERE emotion IS NULL", "flat"))
+def quarantined_labels(spark, d):
+    _, bad = AN.split_quarantine(_flat(spark, d))
+    return bad.select("created_by", "id")
+
+
+@register("annotator_pseudonym", O.sql(
+    "SELECT md5(CAST(user_id AS VARCHAR))[1:8] AS pseudonym, count(*) AS n FROM events GROUP BY ALL"))
+def annotator_pseudonym(spark, d):
+    ev = X.read(spark, d, "events")
+    return ev.groupBy(TX.pseudonym(F.col("user_id")).alias("pseudonym")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("date_split", O.sql("SELECT id, split_name FROM split", "split"))
+def date_split(spark, d):
+    return SP.date_split(X.publications(spark, d))
+
+
+@register("split_attach", O.sql("SELECT p.id, p.date, s.split_name FROM pubs p LEFT JOIN split s ON p.id = s.id",
+                                "pubs", "split"))
+def split_attach(spark, d):
+    pubs = X.publications(spark, d)
+    return SP.attach_split(pubs.select("id", "date"), SP.date_split(pubs))
+
+
+@register("split_semi", O.sql(
+    "SELECT id, date FROM pubs WHERE id IN (SELECT id FROM split WHERE split_name = 'evaluation')", "pubs", "split"))
+def split_semi(spark, d):
+    pubs = X.publications(spark, d)
+    return SP.in_split(pubs.select("id", "date"), SP.date_split(pubs), "evaluation")
+
+
+@register("split_sizes", O.sql("SELECT split_name, count(*) AS n FROM split GROUP BY ALL", "split"))
+def split_sizes(spark, d):
+    return SP.split_sizes(SP.date_split(X.publications(spark, d)))
+
+
+@register("split_missing", O.sql("""
+SELECT f.created_by, s.split_name, f.id FROM flat f JOIN split s ON CAST(s.id AS VARCHAR) = f.id
+WHERE f.emotion IS NULL""", "flat", "split"))
+def split_missing(spark, d):
+    kept, _ = AN.split_quarantine(_flat(spark, d))
+    splits = SP.date_split(X.publications(spark, d)).select(F.col("id").cast("string").alias("id"), "split_name")
+    return SP.missing_annotations(splits, kept, kept)
+
+
+@register("description_override", O.sql("""
+SELECT a.id, COALESCE(dsc.description, a.description) AS description
+FROM ann a LEFT JOIN (SELECT conv_id AS id, arg_min(text, turn) AS description FROM conversations
+                      WHERE role <> 'system' AND text IS NOT NULL GROUP BY conv_id) dsc ON a.id = dsc.id
+WHERE a.rater = 'a'""", "ann"))
+def description_override(spark, d):
+    a = X.annotations(spark, d).filter(F.col("rater") == "a").select("id", "description")
+    return AN.override_descriptions(a, X.descriptions(spark, d))
+
+
+@register("python_list_parse", O.sql(f"""
+SELECT created_by, id, lit, to_json({O.py_list_parse('lit')}) AS parsed,
+  to_json(list_transform(json_transform(translate(spans, '()', '[]'), '[["INTEGER"]]'),
+          lambda p: {{'start': p[1], 'end': p[2]}})) AS parsed_spans
+FROM (SELECT created_by, id,
+        '[' || array_to_string(list_transform(context, lambda q: {O._py_str('q')}), ', ') || ']' AS lit,
+        '[' || array_to_string(list_transform(context_locations, lambda s: '(' || s['start'] || ', ' || s['end'] || ')'), ', ') || ']' AS spans
+      FROM ann) t""", "ann"))
+def python_list_parse(spark, d):
+    a = X.annotations(spark, d).select("created_by", "id", TX.python_literal_list(F.col("context")).alias("lit"),
+                                       TX.spans_to_text(F.col("context_locations")).alias("spans"))
+    return a.select("created_by", "id", "lit", F.to_json(TX.parse_python_list(F.col("lit"))).alias("parsed"),
+                    F.to_json(TX.parse_python_spans(F.col("spans"))).alias("parsed_spans"))
+
+
+@register("flatten_output_json", O.sql("""
+SELECT event_id, TRY_CAST(json_extract_string(j, '$.k') AS INT) AS k, json_extract_string(j, '$.response') AS response
+FROM (SELECT event_id, CASE WHEN json_valid(props) THEN props ELSE '{"response": "failed to generate"}' END AS j FROM events) e"""))
+def flatten_output_json(spark, d):
+    v = CO.parse_or_failed(F.col("props"))
+    ev = X.read(spark, d, "events").select("event_id", v.alias("v"))
+    return ev.select("event_id", F.try_variant_get("v", "$.k", "int").alias("k"),
+                     F.try_variant_get("v", "$.response", "string").alias("response"))

@@ -165,3 +165,60 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations → one chat example per conversation, messages ordered by turn."""
     from raterlab.operators import prompts as P
     return P.messages_by_conversation(read(spark, sf_dir, "conversations"))
+
+
+PROJECT = "emotion_triggers"
+_CLS_ARRAY = ("array<struct<value:string,checklist_answers:array<struct<value:string>>,"
+              "radio_answer:struct<value:string>,text_answer:struct<content:string>>>")
+SHORT_TEXT = 40
+
+
+def export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw annotation export (one data row per publication, labels of both raters).
+
+    Rater ``b`` gives no emotion answer on texts shorter than ``SHORT_TEXT`` chars,
+    which exercises the quarantine path (P7) and the completeness check (J8).
+    """
+    a = annotations(spark, sf_dir)
+    skip_emotion = (F.col("rater") == "b") & (F.length("text") < SHORT_TEXT)
+    null_cl = F.lit(None).cast("array<struct<value:string>>")
+    null_radio = F.lit(None).cast("struct<value:string>")
+    null_text = F.lit(None).cast("struct<content:string>")
+
+    def entry(value, checklist=None, radio=None, text=None):
+        return F.struct(F.lit(value).alias("value"),
+                        (checklist if checklist is not None else null_cl).alias("checklist_answers"),
+                        (radio if radio is not None else null_radio).alias("radio_answer"),
+                        (text if text is not None else null_text).alias("text_answer"))
+
+    emo = entry(C.EXPORT_EMOTION, checklist=F.array(F.struct(F.col("emotion").alias("value"))))
+    cls = entry(C.EXPORT_EMOTION_CLASS, radio=F.struct(F.col("emotion_class").alias("value")))
+    lvl = entry(C.EXPORT_TRIGGER_LEVEL,
+                checklist=F.array(F.struct(F.col("trigger_level").cast("string").alias("value"))))
+    desc = entry(C.EXPORT_DESCRIPTION, text=F.struct(F.col("description").alias("content")))
+    classifications = F.concat(
+        F.when(skip_emotion, F.array().cast(_CLS_ARRAY))
+         .otherwise(F.array(emo)),
+        F.array(cls, lvl),
+        F.when(F.col("description").isNull(), F.array().cast(_CLS_ARRAY))
+         .otherwise(F.array(desc)))
+    objects = F.transform(F.arrays_zip("context", "context_locations"), lambda z: F.struct(
+        F.lit(C.EXPORT_PHRASES).alias("value"),
+        F.struct(z["context_locations"]["start"].alias("start"), z["context_locations"]["end"].alias("end"),
+                 z["context"].alias("token")).alias("location")))
+    label = F.struct(
+        F.struct(F.concat(F.lit("rater_"), F.col("rater")).alias("created_by"), F.col("created_at")).alias("label_details"),
+        F.struct(classifications.alias("classifications"), objects.alias("objects")).alias("annotations"))
+    per_doc = a.groupBy("id", "text").agg(F.collect_list(label).alias("labels"))  # ≤ one label per rater
+    return per_doc.select(
+        F.create_map(F.lit(PROJECT), F.struct(F.col("labels").alias("labels"))).alias("projects"),
+        F.struct(F.col("text").alias("row_data"), F.col("id").cast("string").alias("global_key")).alias("data_row"))
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-publication description file: conversation turns keyed by conversation id,
+    system turns carry no description (null), file order = turn."""
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"),
+                    F.when(F.col("role") == "system", F.lit(None).cast("string")).otherwise(F.col("text"))
+                    .alias("description"))
