@@ -543,3 +543,286 @@ def flatten_output_json(spark, d):
     ev = X.read(spark, d, "events").select("event_id", v.alias("v"))
     return ev.select("event_id", F.try_variant_get("v", "$.k", "int").alias("k"),
                      F.try_variant_get("v", "$.response", "string").alias("response"))
+
+
+# ---------------------------------------------------------------------------
+# prompts, examples, token costs, terms
+# ---------------------------------------------------------------------------
+from raterlab import constants as K  # noqa: E402
+from raterlab.operators import costs as CS  # noqa: E402
+from raterlab.operators import prompts as PR  # noqa: E402
+from raterlab.operators import scoring as SC  # noqa: E402
+from raterlab.operators import terms as TM  # noqa: E402
+from raterlab.functions import tokens as TK  # noqa: E402
+
+SYS_TPL = O._q(K.EVALUATE_TEMPLATE[0][1])
+USR_TPL = O._q(K.EVALUATE_TEMPLATE[1][1])
+
+O.cte("personas_all", ["personas"], f"""
+SELECT * FROM personas UNION ALL SELECT '{K.BASELINE_PERSONA}', NULL, {O._q(X.ASSISTANT_NARRATIVE)}""")
+O.cte("evalpubs", ["pubs", "split"], "SELECT * FROM pubs WHERE id IN (SELECT id FROM split WHERE split_name = 'evaluation')")
+
+
+def _label_json_sql(ctx: str) -> str:
+    def s(c):
+        return f"CASE WHEN {c} IS NULL THEN 'null' ELSE {O._json_str(c)} END"
+    return ("('{\"emotion\": ' || " + s("emotion") + " || ', \"emotion_class\": ' || " + s("emotion_class")
+            + " || ', \"trigger_level\": ' || CAST(trigger_level AS VARCHAR) || ', \"context\": ' || " + ctx
+            + " || ', \"description\": ' || " + s("description") + " || '}')")
+
+
+O.cte("fs", ["ann", "personas", "split"], f"""
+SELECT p.persona, a.created_at AS date, a.id, replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', a.text) AS input,
+  {_label_json_sql(O._json_arr('a.context').replace('a.context', 'context'))} AS output
+FROM (SELECT * FROM ann WHERE id IN (SELECT id FROM split WHERE split_name = 'ft_training')) a
+JOIN personas p ON a.created_by = p.annotator""")
+
+
+def _zs_messages_sql(narr: str, text: str) -> str:
+    return (f"[{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', {narr})}}, "
+            f"{{'role': 'user', 'content': replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', {text})}}]")
+
+
+def _eval_pubs(spark, d):
+    pubs = X.publications(spark, d)
+    return SP.in_split(pubs, SP.date_split(pubs), "evaluation")
+
+
+@register("zero_shot_prompts", O.sql(f"""
+SELECT p.persona, u.id, md5(CAST(to_json({_zs_messages_sql('p.narrative', 'u.text')}) AS VARCHAR)) AS messages_md5,
+  length(u.text) AS n_chars
+FROM evalpubs u CROSS JOIN personas_all p""", "evalpubs", "personas_all"))
+def zero_shot_prompts(spark, d):
+    g = PR.persona_grid(_eval_pubs(spark, d), X.personas_with_assistant(spark))
+    m = PR.zero_shot_messages(F.col("narrative"), F.col("text"))
+    return g.select("persona", "id", F.md5(F.to_json(m)).alias("messages_md5"), F.length("text").alias("n_chars"))
+
+
+@register("few_shot_prompts", O.sql(f"""
+, shots AS (SELECT persona, flatten(list([{{'role': 'user', 'content': input}}, {{'role': 'assistant', 'content': output}}] ORDER BY date, id)) AS shots
+           FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date, id) AS rn FROM fs) r
+           WHERE rn <= {K.FEW_SHOT_EXAMPLES} GROUP BY persona)
+SELECT p.persona, u.id, len(s.shots) + 2 AS n_messages,
+  md5(CAST(to_json(list_concat([{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', p.narrative)}}], s.shots,
+      [{{'role': 'user', 'content': replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', u.text)}}])) AS VARCHAR)) AS messages_md5
+FROM evalpubs u CROSS JOIN personas p JOIN shots s ON s.persona = p.persona""", "evalpubs", "personas", "fs")
+    .replace("\n\n, shots AS", ",\nshots AS").replace(")\n, shots AS", "),\nshots AS"))
+def few_shot_prompts(spark, d):
+    table = PR.few_shot_table(X.personas(spark), X.few_shot_examples(spark, d))
+    g = PR.persona_grid(_eval_pubs(spark, d), table, persona_cols=("persona", "narrative", "shots"))
+    m = PR.few_shot_messages(F.col("narrative"), F.col("shots"), F.col("text"))
+    return g.select("persona", "id", F.size(m).alias("n_messages"), F.md5(F.to_json(m)).alias("messages_md5"))
+
+
+_FT_ANSWER = _label_json_sql(O._json_str(
+    "('[' || array_to_string(list_transform(context, lambda q: " + O._py_str('q') + "), ', ') || ']')"))
+
+
+@register("finetune_examples", O.sql(f"""
+SELECT persona, split_name, id, answer,
+  md5(CAST(to_json([{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', narrative)}},
+                    {{'role': 'user', 'content': replace({USR_TPL}, '{K.FENCED_PUBLICATION_TOKEN}', text)}},
+                    {{'role': 'assistant', 'content': answer}}]) AS VARCHAR)) AS messages_md5
+FROM (SELECT p.persona, p.narrative, s.split_name, a.id, a.text, {_FT_ANSWER} AS answer
+      FROM ann a JOIN personas p ON a.created_by = p.annotator JOIN split s ON s.id = a.id
+      WHERE s.split_name IN ('ft_training', 'ft_validation')) t""", "ann", "personas", "split"))
+def finetune_examples(spark, d):
+    pubs = X.publications(spark, d)
+    ex = PR.finetune_examples(X.annotations(spark, d), X.personas(spark), SP.date_split(pubs),
+                              context_as="text", on_missing_description="keep")
+    return ex.select("persona", "split_name", "id", F.col("messages")[2]["content"].alias("answer"),
+                     F.md5(F.to_json("messages")).alias("messages_md5"))
+
+
+@register("persona_prompts", O.sql(f"""
+SELECT source, CAST(to_json([{{'role': 'system', 'content': {O._q(K.PERSONA_TEMPLATE[0][1])}}},
+  {{'role': 'user', 'content': replace({O._q(K.PERSONA_TEMPLATE[1][1])}, '{K.CLUSTER_TOKEN}', descr)}}]) AS VARCHAR) AS messages
+FROM (SELECT source, 'source ' || source || ': ' || CAST(count(*) AS VARCHAR) || ' documents in '
+             || array_to_string(list_sort(list_distinct(list(lang))), ', ') || ', ' || CAST(sum(n_chars) AS VARCHAR) || ' characters' AS descr
+      FROM documents GROUP BY source) c"""))
+def persona_prompts(spark, d):
+    p = PR.persona_prompts(X.source_clusters(spark, d))
+    return p.select("source", F.to_json("messages").alias("messages"))
+
+
+def _stats(spark, d):
+    return CS.example_stats(X.read(spark, d, "conversations"))
+
+
+_TOK = TK.TOKEN_PATTERN
+
+
+def _tok_sql(x: str) -> str:
+    return f"COALESCE(len(regexp_extract_all({x}, {O._q(_TOK)})), 0)"
+
+
+O.cte("exstats", [], f"""
+SELECT conv_id, count(*) AS n_messages, max(CAST(role = 'system' AS INT)) AS has_system, max(CAST(role = 'user' AS INT)) AS has_user,
+  CAST(sum({K.TOKENS_PER_MESSAGE} + {_tok_sql('role')} + {_tok_sql('text')}) + {K.REPLY_PRIMING_TOKENS} AS BIGINT) AS n_tokens,
+  CAST(sum(CASE WHEN role = 'assistant' THEN {_tok_sql('text')} ELSE 0 END) AS BIGINT) AS n_assistant_tokens
+FROM conversations GROUP BY conv_id""")
+
+
+@register("chat_quality", O.sql("""
+SELECT count(*) AS n_examples, count(*) FILTER (WHERE has_system = 0) AS n_missing_system,
+       count(*) FILTER (WHERE has_user = 0) AS n_missing_user FROM exstats""", "exstats"))
+def chat_quality(spark, d):
+    return CS.chat_quality(_stats(spark, d))
+
+
+@register("example_tokens", O.sql(
+    "SELECT conv_id, n_messages, has_system, has_user, n_tokens, n_assistant_tokens FROM exstats", "exstats"))
+def example_tokens(spark, d):
+    return _stats(spark, d)
+
+
+@register("token_distribution", O.sql("""
+SELECT name, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median,
+  round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90
+FROM (SELECT 'n_messages' AS name, CAST(n_messages AS DOUBLE) AS v FROM exstats
+      UNION ALL SELECT 'n_tokens', CAST(n_tokens AS DOUBLE) FROM exstats
+      UNION ALL SELECT 'n_assistant_tokens', CAST(n_assistant_tokens AS DOUBLE) FROM exstats) u GROUP BY name""", "exstats"))
+def token_distribution(spark, d):
+    return rounded(CS.distribution(_stats(spark, d)))
+
+
+@register("billing_estimate", O.sql(f"""
+SELECT n_examples, n_too_long, round(billing_tokens, 6) AS billing_tokens, n_epochs, round(n_epochs * billing_tokens, 6) AS charged_tokens,
+  round(billing_tokens * {float(K.PRICE_PER_MILLION)} / 1e6, 6) AS charged_price,
+  round(n_epochs * billing_tokens * {float(K.PRICE_PER_MILLION)} / 1e6, 6) AS charged_price_all_epochs
+FROM (SELECT n_examples, n_too_long, billing_tokens,
+        CAST(CASE WHEN n_examples * {K.TARGET_EPOCHS} < {K.MIN_TARGET_EXAMPLES} THEN least({K.MAX_DEFAULT_EPOCHS}, floor({K.MIN_TARGET_EXAMPLES} / n_examples))
+                  WHEN n_examples * {K.TARGET_EPOCHS} > {K.MAX_TARGET_EXAMPLES} THEN greatest({K.MIN_DEFAULT_EPOCHS}, floor({K.MAX_TARGET_EXAMPLES} / n_examples))
+                  ELSE {K.TARGET_EPOCHS} END AS BIGINT) AS n_epochs
+      FROM (SELECT count(*) AS n_examples, count(*) FILTER (WHERE n_tokens > {K.MAX_TOKENS_PER_EXAMPLE}) AS n_too_long,
+                   sum(least(CAST(n_tokens AS DOUBLE), {K.MAX_TOKENS_PER_EXAMPLE})) AS billing_tokens FROM exstats) a) b""", "exstats"))
+def billing_estimate(spark, d):
+    return rounded(CS.billing_estimate(_stats(spark, d)))
+
+
+_WORD = TM.WORD_PATTERN
+O.cte("stop", [], f"""
+SELECT DISTINCT term FROM (
+  SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r
+  FROM (SELECT lang, unnest(regexp_extract_all(lower(text), {O._q(_WORD)})) AS term FROM documents) t
+  WHERE NOT regexp_full_match(term, '[0-9]+') GROUP BY lang, term) x WHERE r <= 50""")
+
+
+def _stop(spark, d):
+    return TM.corpus_stopwords(X.read(spark, d, "documents"))
+
+
+@register("term_frequencies", O.sql(f"""
+, tf AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(
+            array_to_string(list_transform(ovl, lambda s: substring(text, s['start'] + 1, s['end'] - s['start'] + 1)), ' ')),
+            {O._q(_WORD)})) AS term FROM ov) t
+         WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY term)
+SELECT term, n, rank, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS rel_freq
+FROM (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""", "ov", "stop")
+    .replace("\n\n, tf AS", ",\ntf AS").replace(")\n, tf AS", "),\ntf AS"))
+def term_frequencies(spark, d):
+    ot = AG.overlap_text(AG.span_pairs_overlap(_pairs(spark, d)))
+    r = TM.term_frequencies(ot, "overlap_text", _stop(spark, d))
+    return rounded(r.select("term", "n", F.col("rank").cast("bigint").alias("rank"), "rel_freq"))
+
+
+@register("trigger_terms", O.sql(f"""
+, tf AS (SELECT persona, term, count(*) AS n FROM (
+            SELECT persona, unnest(regexp_extract_all(lower(array_to_string(context, ' ')), {O._q(_WORD)})) AS term
+            FROM annp WHERE emotion_class = 'negative' AND trigger_level IN (4, 5)) t
+         WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY ALL)
+SELECT persona, term, n, rank, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY persona), 6) AS rel_freq
+FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""",
+    "annp", "stop").replace("\n\n, tf AS", ",\ntf AS").replace(")\n, tf AS", "),\ntf AS"))
+def trigger_terms(spark, d):
+    a = X.annotations(spark, d).withColumn("persona", _persona_of(F.col("created_by")))
+    a = a.filter((F.col("emotion_class") == "negative") & F.col("trigger_level").isin(4, 5))
+    a = a.select("persona", F.array_join("context", " ").alias("phrases"))
+    r = TM.term_frequencies(a, "phrases", _stop(spark, d), ["persona"])
+    return rounded(r.select("persona", "term", "n", F.col("rank").cast("bigint").alias("rank"), "rel_freq"))
+
+
+# ---------------------------------------------------------------------------
+# scoring (E2): grid, resume, latest, batch scoring, streaming
+# ---------------------------------------------------------------------------
+O.cte("grid", ["evalpubs", "personas"], f"""
+SELECT p.persona, '{X.GRID_APPROACH}' AS approach, s.seed, u.id, u.text, p.narrative
+FROM evalpubs u CROSS JOIN personas p CROSS JOIN (VALUES {", ".join(f"({s})" for s in K.SEEDS)}) s(seed)""")
+O.cte("wlog", ["grid"], f"""
+SELECT g.persona, g.approach, g.seed, g.id, CAST(t.ts AS BIGINT) AS ingest_ts,
+  CASE WHEN t.ts = 2 THEN '{K.FAILED_OUTPUT_JSON}' ELSE '{{"emotion": "fear", "emotion_class": "negative", "trigger_level": 2}}' END AS output
+FROM grid g JOIN labels l ON l.doc_id = g.id
+CROSS JOIN LATERAL (SELECT unnest(CASE WHEN l.quality = 0 THEN [1, 2] ELSE [1] END) AS ts) t""")
+O.cte("pend", ["grid", "wlog"], """
+SELECT * FROM grid g WHERE NOT EXISTS (SELECT 1 FROM wlog w WHERE w.persona = g.persona AND w.approach = g.approach
+                                         AND w.seed = g.seed AND w.id = g.id)""")
+
+
+def _grid(spark, d):
+    return SC.work_grid(_eval_pubs(spark, d), X.personas(spark), X.GRID_APPROACH)
+
+
+@register("work_grid", O.sql("SELECT persona, approach, seed, id FROM grid", "grid"))
+def work_grid(spark, d):
+    return _grid(spark, d).select("persona", "approach", "seed", "id")
+
+
+@register("pending_work", O.sql("SELECT persona, approach, seed, id FROM pend", "pend"))
+def pending_work(spark, d):
+    return SC.pending(_grid(spark, d), X.work_log(spark, d)).select("persona", "approach", "seed", "id")
+
+
+@register("latest_result", O.sql(
+    "SELECT persona, approach, seed, id, max(ingest_ts) AS ingest_ts, arg_max(output, ingest_ts) AS output FROM wlog GROUP BY ALL",
+    "wlog"))
+def latest_result(spark, d):
+    return SC.latest(X.work_log(spark, d)).select("persona", "approach", "seed", "id", "ingest_ts", "output")
+
+
+_SCORE_SQL = f"""
+SELECT persona, approach, seed, id,
+  CASE WHEN n % 13 = 0 THEN 'corrupted' ELSE split_part('{O.EMO_CSV}', ',', CAST(n % 7 + 1 AS INT)) END AS emotion,
+  CASE WHEN n % 13 = 0 THEN 'corrupted' WHEN n % 7 IN (1, 2, 3) THEN 'positive' ELSE 'negative' END AS emotion_class,
+  CAST(CASE WHEN n % 13 = 0 THEN -1 ELSE n % 5 + 1 END AS INT) AS trigger_level, (n % 13 = 0) AS failed
+FROM (SELECT *, length(replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', text)) AS n FROM pend) x"""
+
+
+def _scored_fields(res: DataFrame) -> DataFrame:
+    from raterlab.operators import validate as VV
+    v = VV.validate_output(res.withColumn("text", F.lit(None).cast("string")))
+    return v.select("persona", "approach", "seed", "id", "emotion", "emotion_class", "trigger_level", "failed")
+
+
+@register("batch_score", O.sql(_SCORE_SQL, "pend"))
+def batch_score(spark, d):
+    todo = SC.pending(_grid(spark, d), X.work_log(spark, d))
+    todo = todo.select(*SC.KEY, PR.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
+    return _scored_fields(SC.run_scorer(todo, SC.length_scorer, parallelism=8))
+
+
+@register("incremental_score", O.sql("""
+SELECT persona, approach, seed, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM grid GROUP BY ALL""", "grid"))
+def incremental_score(spark, d):
+    import uuid
+
+    from raterlab.session import checkpoint_path
+    from raterlab.streaming import incremental as INC
+    base = checkpoint_path(spark, f"incremental-{uuid.uuid4().hex}")
+    src, res, ck = f"{base}/drops", f"{base}/results", f"{base}/stream-ckpt"
+    pubs = _eval_pubs(spark, d).select("id", "text", "date")
+    # the earlier run's log seeds the result table
+    log = SC.latest(X.work_log(spark, d))
+    (log.select("persona", "approach", "seed", "id", F.lit(K.MODEL_NAME).alias("model_name"),
+                F.lit(K.TEMPERATURE).alias("temperature"), F.lit(K.MAX_TOKENS).alias("max_tokens"), "output")
+     .withColumn("ingest_ts", F.current_timestamp())
+     .write.mode("append").partitionBy("persona", "approach", "seed").parquet(res))
+    month = F.substring("date", 6, 2).cast("int")
+    # three file drops by publication month; the middle one is dropped twice (replay)
+    drops = [(month <= 4), (month > 4) & (month <= 8), (month > 4) & (month <= 8), (month > 8)]
+    for i, cond in enumerate(drops):
+        pubs.filter(cond).write.mode("overwrite").parquet(f"{src}/drop={i}")
+        q = INC.start(spark, src, "id bigint, text string, date string", X.personas(spark), res, ck)
+        INC.run_until_idle(q)
+    out = spark.read.parquet(res)
+    return out.groupBy("persona", "approach", "seed").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                          F.countDistinct("id").alias("n_ids"))

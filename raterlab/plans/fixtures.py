@@ -222,3 +222,58 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"),
                     F.when(F.col("role") == "system", F.lit(None).cast("string")).otherwise(F.col("text"))
                     .alias("description"))
+
+
+ASSISTANT_NARRATIVE = "You are a helpful assistant."
+
+
+def personas_with_assistant(spark: SparkSession) -> DataFrame:
+    """Zero-shot persona list: the two personas plus the context-free assistant."""
+    extra = spark.createDataFrame([(C.BASELINE_PERSONA, None, ASSISTANT_NARRATIVE)],
+                                  "persona string, annotator string, narrative string")
+    return personas(spark).unionByName(extra)
+
+
+def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few-shot example file per persona: the persona annotator's ft_training rows in
+    split order; input = rendered user message, output = label JSON."""
+    from raterlab.operators import prompts as P
+    ann = annotations(spark, sf_dir)
+    split = S.date_split(publications(spark, sf_dir))
+    per = personas(spark).select("persona", F.col("annotator").alias("created_by"))
+    x = S.in_split(ann.join(F.broadcast(per), "created_by"), split, "ft_training")
+    user = T.literal_replace(F.lit(C.EVALUATE_TEMPLATE[1][1]), C.PUBLICATION_TOKEN, F.col("text"))
+    out = P.label_json(F.col("emotion"), F.col("emotion_class"), F.col("trigger_level"),
+                       T.json_string_array(F.col("context")), F.col("description"))
+    return x.select("persona", F.struct(F.col("created_at").alias("date"), F.col("id")).alias("pos"),
+                    user.alias("input"), out.alias("output"))
+
+
+def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster descriptions derived from the corpus: one per document source."""
+    d = read(spark, sf_dir, "documents")
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
+                                F.array_join(F.array_sort(F.collect_set("lang")), ", ").alias("langs"),
+                                F.sum("n_chars").alias("chars"))
+    desc = F.concat(F.lit("source "), F.col("source"), F.lit(": "), F.col("n").cast("string"),
+                    F.lit(" documents in "), F.col("langs"), F.lit(", "), F.col("chars").cast("string"),
+                    F.lit(" characters"))
+    return g.select("source", desc.alias("cluster_description"))
+
+
+GRID_APPROACH = "context_zero_shot"
+
+
+def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append log of an earlier run: grid rows of labelled documents; documents with
+    quality 0 were scored twice, the later line being a failure record."""
+    from raterlab.operators import scoring as SC
+    pubs = S.in_split(publications(spark, sf_dir), S.date_split(publications(spark, sf_dir)), "evaluation")
+    grid = SC.work_grid(pubs.select("id"), personas(spark), GRID_APPROACH)
+    lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    x = grid.join(lab, "id", "inner")
+    x = x.withColumn("ingest_ts", F.explode(F.when(F.col("quality") == 0, F.array(F.lit(1), F.lit(2)))
+                                            .otherwise(F.array(F.lit(1))).cast("array<bigint>")))
+    out = F.when(F.col("ingest_ts") == 2, F.lit(C.FAILED_OUTPUT_JSON)).otherwise(
+        F.lit('{"emotion": "fear", "emotion_class": "negative", "trigger_level": 2}'))
+    return x.select("persona", "approach", "seed", "id", "ingest_ts", out.alias("output"))
