@@ -43,12 +43,12 @@ def crosstab_wide(long: DataFrame, field: str) -> DataFrame:
 
 def _margins(long: DataFrame) -> DataFrame:
     """Per (field, label): row margin (rater a), column margin (rater b), diagonal count."""
-    rows = long.select("field", F.col("a").alias("label"), F.col("n").alias("r"),
-                       F.lit(0).cast("long").alias("c"),
-                       F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("d"))
-    cols = long.select("field", F.col("b").alias("label"), F.lit(0).cast("long").alias("r"),
-                       F.col("n").alias("c"), F.lit(0).cast("long").alias("d"))
-    return (rows.unionByName(cols).groupBy("field", "label")
+    both = F.explode(F.array(
+        F.struct(F.col("a").alias("label"), F.col("n").alias("r"), F.lit(0).cast("long").alias("c"),
+                 F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("d")),
+        F.struct(F.col("b").alias("label"), F.lit(0).cast("long").alias("r"), F.col("n").alias("c"),
+                 F.lit(0).cast("long").alias("d"))))
+    return (long.select("field", both.alias("e")).select("field", "e.*").groupBy("field", "label")
             .agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum("d").alias("d")))
 
 
@@ -68,29 +68,28 @@ def chi2_statistic(long: DataFrame) -> DataFrame:
 
     Only observed cells are touched: without correction χ² = Σ o²/e − n. For a 2×2
     table (dof = 1) Yates' correction applies; there every |o − e| is the same D,
-    so χ² = max(D − ½, 0)² · n · Σ 1/rᵢ · Σ 1/cⱼ. No label × label grid is built.
+    so χ² = max(D − ½, 0)² · n · Σ 1/rᵢ · Σ 1/cⱼ. No label × label grid is built;
+    margins are windows over the (label²-bounded) contingency table, one linear chain.
     """
-    m = _margins(long)
-    rm = m.filter(F.col("r") > 0).select("field", F.col("label").alias("a"), F.col("r"))
-    cm = m.filter(F.col("c") > 0).select("field", F.col("label").alias("b"), F.col("c"))
-    dims = m.groupBy("field").agg(
-        F.count_if(F.col("r") > 0).alias("n_rows"), F.count_if(F.col("c") > 0).alias("n_cols"),
-        F.sum("r").alias("n"),
-        F.sum(F.when(F.col("r") > 0, 1.0 / F.col("r"))).alias("inv_r"),
-        F.sum(F.when(F.col("c") > 0, 1.0 / F.col("c"))).alias("inv_c"))
-    long_n = long.select("field", "a", "b", F.col("n").alias("o"))
-    cells = long_n.join(rm, ["field", "a"]).join(cm, ["field", "b"]).join(
-        dims.select("field", F.col("n").alias("n_tot")), "field")
+    from pyspark.sql import Window
+    by_f = Window.partitionBy("field")
+    x = (long.withColumn("r", F.sum("n").over(Window.partitionBy("field", "a")))
+             .withColumn("c", F.sum("n").over(Window.partitionBy("field", "b")))
+             .withColumn("n_tot", F.sum("n").over(by_f))
+             .withColumn("_first_a", F.row_number().over(Window.partitionBy("field", "a").orderBy("b")) == 1)
+             .withColumn("_first_b", F.row_number().over(Window.partitionBy("field", "b").orderBy("a")) == 1))
     e = F.col("r").cast("double") * F.col("c") / F.col("n_tot")
-    per = cells.groupBy("field").agg(F.sum(F.col("o").cast("double") ** 2 / e).alias("o2e"),
-                                     F.max(F.abs(F.col("o") - e)).alias("dev"))
-    x = dims.join(per, "field")
+    per = x.groupBy("field").agg(
+        F.max("n_tot").alias("n"), F.count_if("_first_a").alias("n_rows"), F.count_if("_first_b").alias("n_cols"),
+        F.sum(F.when(F.col("_first_a"), 1.0 / F.col("r"))).alias("inv_r"),
+        F.sum(F.when(F.col("_first_b"), 1.0 / F.col("c"))).alias("inv_c"),
+        F.sum(F.col("n").cast("double") ** 2 / e).alias("o2e"), F.max(F.abs(F.col("n") - e)).alias("dev"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     yates = F.greatest(F.col("dev") - 0.5, F.lit(0.0)) ** 2 * F.col("n") * F.col("inv_r") * F.col("inv_c")
     stat = (F.when(dof == 0, F.lit(0.0))
              .when(dof == 1, yates)
              .otherwise(F.greatest(F.col("o2e") - F.col("n"), F.lit(0.0))))
-    return x.select("field", F.col("n"), dof.cast("long").alias("dof"), stat.alias("chi2"))
+    return per.select("field", F.col("n"), dof.cast("long").alias("dof"), stat.alias("chi2"))
 
 
 def span_pairs_overlap(pairs: DataFrame, loc_col: str = "context_locations", id_col: str = "id") -> DataFrame:

@@ -21,12 +21,13 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def category_share(df: DataFrame, hue_col: str, cat_col: str, order: Sequence[str]) -> DataFrame:
     """Percent of *all* rows per (hue, category); categories in ``order`` get
     their position, others are dropped (as a fixed-order count plot does)."""
-    total = df.select(F.count(F.lit(1))).scalar()
+    from pyspark.sql import Window
     pos = F.array_position(F.array(*[F.lit(c) for c in order]), F.col(cat_col))
-    counts = (df.filter(F.col(cat_col).isin(*order)).groupBy(hue_col, cat_col)
-              .agg(F.count(F.lit(1)).alias("n")))
-    return counts.select(hue_col, cat_col, pos.cast("int").alias("ord"), "n",
-                         (F.col("n") * 100.0 / total).alias("percent"))
+    counts = df.groupBy(hue_col, cat_col).agg(F.count(F.lit(1)).alias("n"))
+    # the total is a window over the grouped counts (bounded by hues × categories)
+    counts = counts.withColumn("_total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return counts.filter(F.col(cat_col).isin(*order)).select(
+        hue_col, cat_col, pos.cast("int").alias("ord"), "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent"))
 
 
 def describe(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:

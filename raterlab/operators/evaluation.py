@@ -82,22 +82,32 @@ def confusion_matrix(cells: DataFrame) -> DataFrame:
     return cells.select(*RUN_KEY, "field", "y", "yhat", "n")
 
 
-def weighted_prf(cells: DataFrame) -> DataFrame:
-    """A1: support-weighted precision / recall / F1 per (run, field).
+QUANTS = ["failed", "t_items", "p_items", "strict_correct", "corrupted_items", "t_chars", "p_chars",
+          "overlap_chars", "p_chars_excl", "overlap_chars_excl"]
+
+
+def field_metrics(cells: DataFrame) -> DataFrame:
+    """A1 + run sums in one linear chain: one row per (run, field) with
+    support-weighted precision / recall / F1, the row count and the span sums.
 
     Labels are the union of true and predicted values; an undefined per-class
     precision is 0; labels with zero support weigh nothing (sklearn ``weighted``).
+    Each cell feeds its true label (support, tp, row sums) and its predicted label
+    (predicted) through one ``explode`` — no self-union, so the upstream join is
+    consumed exactly once.
     """
     key = [*RUN_KEY, "field"]
-    c = cells.select(*key, "y", "yhat", "n")
-    per_label = (c.select(*key, F.col("y").alias("label"), F.col("n").alias("support"),
-                          F.lit(0).cast("long").alias("predicted"),
-                          F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("tp"))
-                 .unionByName(c.select(*key, F.col("yhat").alias("label"), F.lit(0).cast("long").alias("support"),
-                                       F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))
+    zero = F.lit(0).cast("long")
+    both = F.explode(F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("support"), zero.alias("predicted"),
+                 F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("tp"),
+                 *[F.col(q).alias(q) for q in QUANTS]),
+        F.struct(F.col("yhat").alias("label"), zero.alias("support"), F.col("n").alias("predicted"),
+                 zero.alias("tp"), *[zero.alias(q) for q in QUANTS])))
+    per_label = (cells.select(*key, both.alias("e")).select(*key, "e.*")
                  .groupBy(*key, "label")
                  .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
-                      F.sum("tp").alias("tp")))
+                      F.sum("tp").alias("tp"), *[F.sum(q).alias(q) for q in QUANTS]))
     s = F.col("support").cast("double")
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     f1 = F.when(F.col("support") + F.col("predicted") > 0,
@@ -107,7 +117,12 @@ def weighted_prf(cells: DataFrame) -> DataFrame:
         F.try_divide(F.sum(s * prec), tot).alias("precision"),
         F.try_divide(F.sum("tp").cast("double"), tot).alias("recall"),
         F.try_divide(F.sum(s * f1), tot).alias("f1_score"),
-        F.sum("support").alias("support"))
+        F.sum("support").alias("support"), *[F.sum(q).alias(q) for q in QUANTS])
+
+
+def weighted_prf(cells: DataFrame) -> DataFrame:
+    """A1: support-weighted precision / recall / F1 per (run, field)."""
+    return field_metrics(cells).select(*RUN_KEY, "field", "precision", "recall", "f1_score", "support")
 
 
 def _prf(correct: Column, predicted: Column, annotated: Column) -> tuple[Column, Column, Column]:
@@ -119,22 +134,11 @@ def _prf(correct: Column, predicted: Column, annotated: Column) -> tuple[Column,
 
 def run_totals(cells: DataFrame) -> DataFrame:
     """Per-run sums of the row-level quantities plus the row count N."""
-    e = cells.filter(F.col("field") == "emotion")
-    q = ["failed", "t_items", "p_items", "strict_correct", "corrupted_items", "t_chars", "p_chars",
-         "overlap_chars", "p_chars_excl", "overlap_chars_excl"]
-    return e.groupBy(*RUN_KEY).agg(F.sum("n").alias("n_rows"), *[F.sum(k).alias(k) for k in q])
+    m = field_metrics(cells).filter(F.col("field") == "emotion")
+    return m.select(*RUN_KEY, F.col("support").alias("n_rows"), *QUANTS)
 
 
-def span_metrics(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
-    """A3/A4/A5: strict and proportional span P/R/F1 per run (long form).
-
-    ``penalty='reference'`` adds N·N corrupted predictions to the strict count and
-    N·Σ|corrupted_i| to the proportional count, as the original did; ``'per_row'``
-    adds each row's own corrupted items once; ``'none'`` adds nothing.
-    ``pred_end='exclusive'`` counts predicted ends as exclusive (no +1 per span).
-    Zero denominators give NULL.
-    """
-    t = run_totals(cells)
+def _span_exprs(penalty: str, pred_end: str):
     n, cor = F.col("n_rows"), F.col("corrupted_items")
     if penalty == "reference":
         strict_pen, prop_pen = n * n, n * cor
@@ -150,15 +154,28 @@ def span_metrics(cells: DataFrame, penalty: str = "reference", pred_end: str = "
         pch, och = F.col("p_chars_excl"), F.col("overlap_chars_excl")
     else:
         raise ValueError(pred_end)
-    sp, sr, sf = _prf(F.col("strict_correct"), F.col("p_items") + strict_pen, F.col("t_items"))
-    pp, pr, pf = _prf(och, pch + prop_pen, F.col("t_chars"))
-    rows = F.explode(F.array(
-        F.struct(F.lit("strict").alias("overlap"), sp.alias("precision"), sr.alias("recall"), sf.alias("f1_score"),
-                 F.col("strict_correct").alias("correct"), (F.col("p_items") + strict_pen).alias("predicted"),
-                 F.col("t_items").alias("annotated")),
-        F.struct(F.lit("proportional").alias("overlap"), pp.alias("precision"), pr.alias("recall"),
-                 pf.alias("f1_score"), och.alias("correct"), (pch + prop_pen).alias("predicted"),
-                 F.col("t_chars").alias("annotated"))))
+    strict = (F.col("strict_correct"), F.col("p_items") + strict_pen, F.col("t_items"))
+    prop = (och, pch + prop_pen, F.col("t_chars"))
+    return strict, prop
+
+
+def span_metrics(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
+    """A3/A4/A5: strict and proportional span P/R/F1 per run (long form).
+
+    ``penalty='reference'`` adds N·N corrupted predictions to the strict count and
+    N·Σ|corrupted_i| to the proportional count, as the original did; ``'per_row'``
+    adds each row's own corrupted items once; ``'none'`` adds nothing.
+    ``pred_end='exclusive'`` counts predicted ends as exclusive (no +1 per span).
+    Zero denominators give NULL.
+    """
+    t = run_totals(cells)
+    strict, prop = _span_exprs(penalty, pred_end)
+
+    def entry(name, trip):
+        p, r, f = _prf(*trip)
+        return F.struct(F.lit(name).alias("overlap"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        trip[0].alias("correct"), trip[1].alias("predicted"), trip[2].alias("annotated"))
+    rows = F.explode(F.array(entry("strict", strict), entry("proportional", prop)))
     return t.select(*RUN_KEY, rows.alias("m")).select(*RUN_KEY, "m.*")
 
 
@@ -175,22 +192,26 @@ REPORT_COLUMNS = (["failed"]
 
 
 def evaluation_report(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
-    """One metric row per (approach, persona, seed) with the original column names."""
-    cls = weighted_prf(cells)
-    sp = span_metrics(cells, penalty, pred_end)
-    fr = failed_rate(cells)
-    long = (cls.select(*RUN_KEY, F.col("field").alias("name"), "precision", "recall", "f1_score")
-            .unionByName(sp.select(*RUN_KEY, F.concat(F.lit("context_"), "overlap").alias("name"),
-                                   "precision", "recall", "f1_score")))
-    aggs = []
-    for f in C.LABEL_FIELDS:
-        for m in ("precision", "recall", "f1_score"):
-            aggs.append(F.max(F.when(F.col("name") == f, F.col(m))).alias(f"{f}_{m}"))
-    for o in ("strict", "proportional"):
-        for m, out in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1-score")):
-            aggs.append(F.max(F.when(F.col("name") == f"context_{o}", F.col(m))).alias(f"context_{o}_{out}"))
-    wide = long.groupBy(*RUN_KEY).agg(*aggs)
-    return fr.select(*RUN_KEY, "failed").join(wide, RUN_KEY)
+    """One metric row per (approach, persona, seed) with the original column names.
+
+    Linear plan: field metrics → one pivoting aggregation per run → span metrics as
+    projections of the run sums.
+    """
+    m = field_metrics(cells)
+    aggs = [F.max(F.when(F.col("field") == f, F.col(k))).alias(f"{f}_{k}")
+            for f in C.LABEL_FIELDS for k in ("precision", "recall", "f1_score")]
+    aggs.append(F.max(F.when(F.col("field") == "emotion", F.col("support"))).alias("n_rows"))
+    aggs += [F.max(F.when(F.col("field") == "emotion", F.col(q))).alias(q) for q in QUANTS]
+    wide = m.groupBy(*RUN_KEY).agg(*aggs)
+    strict, prop = _span_exprs(penalty, pred_end)
+    sp, sr, sf = _prf(*strict)
+    pp, pr, pf = _prf(*prop)
+    cols = [F.try_divide(F.col("failed").cast("double"), F.col("n_rows").cast("double")).alias("failed")]
+    cols += [F.col(f"{f}_{k}") for f in C.LABEL_FIELDS for k in ("precision", "recall", "f1_score")]
+    cols += [sp.alias("context_strict_precision"), sr.alias("context_strict_recall"), sf.alias("context_strict_f1-score"),
+             pp.alias("context_proportional_precision"), pr.alias("context_proportional_recall"),
+             pf.alias("context_proportional_f1-score")]
+    return wide.select(*RUN_KEY, *cols)
 
 
 def report_mean_3std(report: DataFrame, group_col: str = "approach") -> DataFrame:
@@ -201,32 +222,37 @@ def report_mean_3std(report: DataFrame, group_col: str = "approach") -> DataFram
 
 
 def report_long(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
-    """(approach, name, metric) → mean precision / recall / F1 over personas and seeds."""
-    cls = weighted_prf(cells).select(*RUN_KEY, F.col("field").alias("name"),
-                                     F.lit("weighted avg").alias("metric"), "precision", "recall", "f1_score")
-    sp = span_metrics(cells, penalty, pred_end).select(*RUN_KEY, F.lit("context").alias("name"),
-                                                      F.col("overlap").alias("metric"),
-                                                      "precision", "recall", "f1_score")
-    return (cls.unionByName(sp).groupBy("approach", "name", "metric")
+    """(approach, name, metric) → mean precision / recall / F1 over personas and seeds
+    (an unpivot of the run report, then one aggregation)."""
+    rep = evaluation_report(cells, penalty, pred_end)
+    entries = [(f, "weighted avg", f"{f}_precision", f"{f}_recall", f"{f}_f1_score") for f in C.LABEL_FIELDS]
+    entries += [("context", o, f"context_{o}_precision", f"context_{o}_recall", f"context_{o}_f1-score")
+                for o in ("strict", "proportional")]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(mt).alias("metric"),
+                                        F.col(f"`{p}`").alias("precision"), F.col(f"`{r}`").alias("recall"),
+                                        F.col(f"`{f1}`").alias("f1_score")) for n, mt, p, r, f1 in entries]))
+    x = rep.select("approach", rows.alias("e")).select("approach", "e.*")
+    return (x.groupBy("approach", "name", "metric")
             .agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                  F.avg("f1_score").alias("f1_score")))
 
 
-def alignment_gaps(truth: DataFrame, pred: DataFrame, aligned: DataFrame, id_col: str = "id") -> DataFrame:
+def alignment_gaps(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> DataFrame:
     """V8: per run, truth rows without a prediction and predictions without truth.
 
-    Built from three count aggregates (truth per persona, predictions per run,
-    matched pairs per run) — no id × run expansion.
+    One left join of predictions onto truth keys (matched flag) and one count of
+    truth per persona; no id × run expansion.
     """
+    tk = truth.select("persona", id_col, F.lit(True).alias("_t"))
+    x = pred.select(*RUN_KEY, id_col, F.col("text").isNull().alias("_no_text")).join(tk, ["persona", id_col], "left")
+    npred = x.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("n_pred"), F.count("_t").alias("n_matched"),
+                                    F.count_if("_no_text").alias("missing_text"))
     nt = truth.groupBy("persona").agg(F.count(F.lit(1)).alias("n_truth"))
-    npred = pred.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("n_pred"),
-                                       F.count_if(F.col("text").isNull()).alias("missing_text"))
-    nm = aligned.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("n_matched"))
-    x = npred.join(nm, RUN_KEY, "left").join(F.broadcast(nt), "persona", "left")
-    m = F.coalesce("n_matched", F.lit(0))
-    return x.select(*RUN_KEY, F.coalesce("n_truth", F.lit(0)).alias("n_truth"), "n_pred", m.alias("n_matched"),
-                    (F.coalesce("n_truth", F.lit(0)) - m).alias("missing_predictions"),
-                    (F.col("n_pred") - m).alias("unmatched_predictions"), "missing_text")
+    y = npred.join(F.broadcast(nt), "persona", "left")
+    n_t = F.coalesce("n_truth", F.lit(0))
+    return y.select(*RUN_KEY, n_t.alias("n_truth"), "n_pred", "n_matched",
+                    (n_t - F.col("n_matched")).alias("missing_predictions"),
+                    (F.col("n_pred") - F.col("n_matched")).alias("unmatched_predictions"), "missing_text")
 
 
 def disagreements(truth: DataFrame, pred: DataFrame, column: str, id_col: str = "id") -> DataFrame:

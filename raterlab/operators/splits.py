@@ -28,11 +28,32 @@ def date_split(pubs: DataFrame, n_train: int = C.FT_TRAIN_NUM, n_val: int = C.FT
 
 
 def in_split(df: DataFrame, splits: DataFrame, split_name: str, id_col: str = "id") -> DataFrame:
-    """Rows whose id belongs to ``split_name`` (left semi join)."""
+    """Rows whose id belongs to ``split_name`` (left semi join on a split table)."""
     ids = splits.filter(F.col("split_name") == split_name).select(id_col)
     return df.join(ids, id_col, "left_semi")
 
 
+def head_ids(pubs: DataFrame, n_train: int = C.FT_TRAIN_NUM, n_val: int = C.FT_VAL_NUM,
+             date_col: str = "date", id_col: str = "id") -> DataFrame:
+    """The ``n_train + n_val`` earliest publications with their head split name —
+    a bounded top-k (size fixed by the two parameters)."""
+    order = [F.col(date_col).asc_nulls_last(), F.col(id_col).asc()]
+    head = pubs.select(id_col, date_col).orderBy(*order).limit(n_train + n_val)
+    ranked = head.withColumn("_pos", F.row_number().over(Window.orderBy(*order)))  # ≤ n_train + n_val rows
+    return ranked.select(id_col, F.when(F.col("_pos") <= n_train, F.lit("ft_training"))
+                         .otherwise(F.lit("ft_validation")).alias("split_name"))
+
+
+def in_date_split(df: DataFrame, pubs: DataFrame, split_name: str, n_train: int = C.FT_TRAIN_NUM,
+                  n_val: int = C.FT_VAL_NUM, id_col: str = "id") -> DataFrame:
+    """O1 + J1 without shuffling the corpus: the head is broadcast; ``evaluation`` is
+    the anti-join with it, the head splits are semi-joins."""
+    head = F.broadcast(head_ids(pubs, n_train, n_val, id_col=id_col))
+    if split_name == "evaluation":
+        return df.join(head.select(id_col), id_col, "left_anti")
+    return df.join(head.filter(F.col("split_name") == split_name).select(id_col), id_col, "left_semi")
+
+
 def attach_split(pubs: DataFrame, splits: DataFrame, id_col: str = "id") -> DataFrame:
     """Publications with their split name (unmapped → null)."""
     return pubs.join(splits.select(id_col, "split_name"), id_col, "left")

@@ -129,7 +129,7 @@ LEFT JOIN (SELECT persona, count(*) AS n_truth FROM truth GROUP BY ALL) t ON m.p
 def alignment_gaps(spark, d):
     truth = X.evaluation_truth(spark, d)
     mapped = V.expand_baseline(validated(spark, d))
-    return E.alignment_gaps(truth, mapped, E.align(truth, mapped))
+    return E.alignment_gaps(truth, mapped)
 
 
 @register("coerce_category", O.sql(
@@ -585,7 +585,7 @@ def _zs_messages_sql(narr: str, text: str) -> str:
 
 def _eval_pubs(spark, d):
     pubs = X.publications(spark, d)
-    return SP.in_split(pubs, SP.date_split(pubs), "evaluation")
+    return SP.in_date_split(pubs, pubs, "evaluation")
 
 
 @register("zero_shot_prompts", O.sql(f"""

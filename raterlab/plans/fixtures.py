@@ -150,10 +150,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth per persona on the evaluation split: personas ⋈ annotations ⋉ split."""
     ann = annotations(spark, sf_dir)
-    split = S.date_split(publications(spark, sf_dir))
     per = personas(spark).select("persona", F.col("annotator").alias("created_by"))
     t = ann.join(F.broadcast(per), "created_by")
-    return S.in_split(t, split, "evaluation")
+    return S.in_date_split(t, publications(spark, sf_dir), "evaluation")
 
 
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,9 +238,8 @@ def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     split order; input = rendered user message, output = label JSON."""
     from raterlab.operators import prompts as P
     ann = annotations(spark, sf_dir)
-    split = S.date_split(publications(spark, sf_dir))
     per = personas(spark).select("persona", F.col("annotator").alias("created_by"))
-    x = S.in_split(ann.join(F.broadcast(per), "created_by"), split, "ft_training")
+    x = S.in_date_split(ann.join(F.broadcast(per), "created_by"), publications(spark, sf_dir), "ft_training")
     user = T.literal_replace(F.lit(C.EVALUATE_TEMPLATE[1][1]), C.PUBLICATION_TOKEN, F.col("text"))
     out = P.label_json(F.col("emotion"), F.col("emotion_class"), F.col("trigger_level"),
                        T.json_string_array(F.col("context")), F.col("description"))
@@ -268,7 +266,7 @@ def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append log of an earlier run: grid rows of labelled documents; documents with
     quality 0 were scored twice, the later line being a failure record."""
     from raterlab.operators import scoring as SC
-    pubs = S.in_split(publications(spark, sf_dir), S.date_split(publications(spark, sf_dir)), "evaluation")
+    pubs = S.in_date_split(publications(spark, sf_dir), publications(spark, sf_dir), "evaluation")
     grid = SC.work_grid(pubs.select("id"), personas(spark), GRID_APPROACH)
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     x = grid.join(lab, "id", "inner")
