@@ -40,15 +40,21 @@ def _pred_spans_exclusive(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end")))
 
 
-def run_cells(aligned: DataFrame) -> DataFrame:
-    """Reduce aligned rows to per-run cells (one partial + final aggregation).
-
-    Row-level span quantities are carried on the ``emotion`` entry only, so sums
-    over a run are not triple counted.
+def run_cells(aligned: DataFrame, pred_end: str = "reference") -> DataFrame:
+    """Reduce aligned rows to per-run cells.
+
+    Row-level span quantities are computed once per row and summed by a first
+    aggregation on the joint label tuple (run × three (y, yhat) pairs — bounded by
+    the label domains); only that small result is exploded into the three fields,
+    with the span sums kept on the ``emotion`` entry so they are not triple counted.
+    ``pred_end='exclusive'`` computes the overlap with predicted ends made exclusive.
     """
     tl = F.coalesce(F.col("t_context_locations"), F.array().cast(_EMPTY_SPANS))
     pl = F.coalesce(F.col("context_locations"), F.array().cast(_EMPTY_SPANS))
-    pl_ex = _pred_spans_exclusive(pl)
+    if pred_end == "exclusive":
+        pl = _pred_spans_exclusive(pl)
+    elif pred_end != "reference":
+        raise ValueError(pred_end)
     row = {
         "failed": F.col("failed").cast("long"),
         "t_items": F.size(F.coalesce("t_context", F.array())).cast("long"),
@@ -59,22 +65,21 @@ def run_cells(aligned: DataFrame) -> DataFrame:
         "t_chars": T.span_chars(tl),
         "p_chars": T.span_chars(pl),
         "overlap_chars": T.span_chars(T.span_overlaps(tl, pl)),
-        "p_chars_excl": T.span_chars(pl_ex),
-        "overlap_chars_excl": T.span_chars(T.span_overlaps(tl, pl_ex)),
     }
-    zero = {k: F.lit(0).cast("long") for k in row}
-
-    def entry(field: str, y: Column, yhat: Column, q: dict) -> Column:
-        return F.struct(F.lit(field).alias("field"), y.cast("string").alias("y"),
-                        yhat.cast("string").alias("yhat"), *[v.alias(k) for k, v in q.items()])
-
-    e = F.explode(F.array(
-        entry("emotion", F.col("t_emotion"), F.col("emotion"), row),
-        entry("emotion_class", F.col("t_emotion_class"), F.col("emotion_class"), zero),
-        entry("trigger_level", F.col("t_trigger_level"), F.col("trigger_level"), zero)))
-    x = aligned.select(*RUN_KEY, e.alias("c")).select(*RUN_KEY, "c.*")
-    return x.groupBy(*RUN_KEY, "field", "y", "yhat").agg(
+    pairs = {"emotion": ("t_emotion", "emotion"), "emotion_class": ("t_emotion_class", "emotion_class"),
+             "trigger_level": ("t_trigger_level", "trigger_level")}
+    label_cols = [F.col(c).cast("string").alias(f"_{c}") for p in pairs.values() for c in p]
+    pre = aligned.select(*RUN_KEY, *label_cols, *[v.alias(k) for k, v in row.items()]).groupBy(
+        *RUN_KEY, *[f"_{c}" for p in pairs.values() for c in p]).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in row])
+    zero = F.lit(0).cast("long")
+    e = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"_{y}").alias("y"), F.col(f"_{yh}").alias("yhat"),
+                 *[(F.col(k) if i == 0 else zero).alias(k) for k in row])
+        for i, (f, (y, yh)) in enumerate(pairs.items())]))
+    x = pre.select(*RUN_KEY, "n", e.alias("c")).select(*RUN_KEY, "n", "c.*")
+    return x.groupBy(*RUN_KEY, "field", "y", "yhat").agg(
+        F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in row])
 
 
 def confusion_matrix(cells: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def confusion_matrix(cells: DataFrame) -> DataFrame:
 
 
 QUANTS = ["failed", "t_items", "p_items", "strict_correct", "corrupted_items", "t_chars", "p_chars",
-          "overlap_chars", "p_chars_excl", "overlap_chars_excl"]
+          "overlap_chars"]
 
 
 def field_metrics(cells: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def run_totals(cells: DataFrame) -> DataFrame:
     return m.select(*RUN_KEY, F.col("support").alias("n_rows"), *QUANTS)
 
 
-def _span_exprs(penalty: str, pred_end: str):
+def _span_exprs(penalty: str):
     n, cor = F.col("n_rows"), F.col("corrupted_items")
     if penalty == "reference":
         strict_pen, prop_pen = n * n, n * cor
@@ -148,28 +153,24 @@ def _span_exprs(penalty: str, pred_end: str):
         strict_pen = prop_pen = F.lit(0)
     else:
         raise ValueError(penalty)
-    if pred_end == "reference":
-        pch, och = F.col("p_chars"), F.col("overlap_chars")
-    elif pred_end == "exclusive":
-        pch, och = F.col("p_chars_excl"), F.col("overlap_chars_excl")
-    else:
-        raise ValueError(pred_end)
+    pch, och = F.col("p_chars"), F.col("overlap_chars")
     strict = (F.col("strict_correct"), F.col("p_items") + strict_pen, F.col("t_items"))
     prop = (och, pch + prop_pen, F.col("t_chars"))
     return strict, prop
 
 
-def span_metrics(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
+def span_metrics(cells: DataFrame, penalty: str = "reference") -> DataFrame:
     """A3/A4/A5: strict and proportional span P/R/F1 per run (long form).
 
     ``penalty='reference'`` adds N·N corrupted predictions to the strict count and
     N·Σ|corrupted_i| to the proportional count, as the original did; ``'per_row'``
     adds each row's own corrupted items once; ``'none'`` adds nothing.
-    ``pred_end='exclusive'`` counts predicted ends as exclusive (no +1 per span).
+    Predicted ends are counted as the original did unless the cells were built with
+    ``run_cells(..., pred_end='exclusive')``.
     Zero denominators give NULL.
     """
     t = run_totals(cells)
-    strict, prop = _span_exprs(penalty, pred_end)
+    strict, prop = _span_exprs(penalty)
 
     def entry(name, trip):
         p, r, f = _prf(*trip)
@@ -191,7 +192,7 @@ REPORT_COLUMNS = (["failed"]
                   + [f"context_{o}_{m}" for o in ("strict", "proportional") for m in ("precision", "recall", "f1-score")])
 
 
-def evaluation_report(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
+def evaluation_report(cells: DataFrame, penalty: str = "reference") -> DataFrame:
     """One metric row per (approach, persona, seed) with the original column names.
 
     Linear plan: field metrics → one pivoting aggregation per run → span metrics as
@@ -203,7 +204,7 @@ def evaluation_report(cells: DataFrame, penalty: str = "reference", pred_end: st
     aggs.append(F.max(F.when(F.col("field") == "emotion", F.col("support"))).alias("n_rows"))
     aggs += [F.max(F.when(F.col("field") == "emotion", F.col(q))).alias(q) for q in QUANTS]
     wide = m.groupBy(*RUN_KEY).agg(*aggs)
-    strict, prop = _span_exprs(penalty, pred_end)
+    strict, prop = _span_exprs(penalty)
     sp, sr, sf = _prf(*strict)
     pp, pr, pf = _prf(*prop)
     cols = [F.try_divide(F.col("failed").cast("double"), F.col("n_rows").cast("double")).alias("failed")]
@@ -221,10 +222,10 @@ def report_mean_3std(report: DataFrame, group_col: str = "approach") -> DataFram
     return report.groupBy(group_col).agg(*aggs).withColumn("persona", F.lit("average"))
 
 
-def report_long(cells: DataFrame, penalty: str = "reference", pred_end: str = "reference") -> DataFrame:
+def report_long(cells: DataFrame, penalty: str = "reference") -> DataFrame:
     """(approach, name, metric) → mean precision / recall / F1 over personas and seeds
     (an unpivot of the run report, then one aggregation)."""
-    rep = evaluation_report(cells, penalty, pred_end)
+    rep = evaluation_report(cells, penalty)
     entries = [(f, "weighted avg", f"{f}_precision", f"{f}_recall", f"{f}_f1_score") for f in C.LABEL_FIELDS]
     entries += [("context", o, f"context_{o}_precision", f"context_{o}_recall", f"context_{o}_f1-score")
                 for o in ("strict", "proportional")]
@@ -244,7 +245,7 @@ def alignment_gaps(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> Dat
     truth per persona; no id × run expansion.
     """
     tk = truth.select("persona", id_col, F.lit(True).alias("_t"))
-    x = pred.select(*RUN_KEY, id_col, F.col("text").isNull().alias("_no_text")).join(tk, ["persona", id_col], "left")
+    x = pred.select(*RUN_KEY, id_col, (~F.col("has_text")).alias("_no_text")).join(tk, ["persona", id_col], "left")
     npred = x.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("n_pred"), F.count("_t").alias("n_matched"),
                                     F.count_if("_no_text").alias("missing_text"))
     nt = truth.groupBy("persona").agg(F.count(F.lit(1)).alias("n_truth"))

@@ -17,46 +17,55 @@ from raterlab.functions import coerce, text as T
 _ITEM = "struct<s:string,raw:string>"
 
 
-def _items_from_variant(ctx: Column) -> tuple[Column, Column]:
-    """V4: context variant → (items array<struct<s,raw>>, pre-corrupted array<string>).
+LOWER_TEXT = "_text_lc"
+_EMPTY_ITEMS = f"array<{_ITEM}>"
 
-    list → its items (non-string items get ``s = null``); text → Python-literal parse,
-    unparsable text is one corrupted item; null / missing → nothing; other scalars or
-    objects → one corrupted item.
+
+def _with_items(x: DataFrame, ctx: Column) -> DataFrame:
+    """V4: context variant → ``_items`` (array<struct<s,raw>>) and ``_pre`` (corrupted
+    before locating).
+
+    list → its items (non-string items get ``s = null`` and their JSON as ``raw``);
+    text → Python-literal parse, unparsable text is one corrupted item; null /
+    missing → nothing; other scalars or objects → one corrupted item. Each piece is
+    its own column, so the variant is inspected once per row.
     """
-    kind = F.schema_of_variant(ctx)
-    as_list = F.transform(
-        F.try_variant_get(ctx, "$", "array<variant>"),
-        lambda it: F.struct(
-            F.when(F.schema_of_variant(it) == "STRING", F.variant_get(it, "$", "string")).alias("s"),
-            F.to_json(it).alias("raw")))
-    txt = F.try_variant_get(ctx, "$", "string")
-    parsed = T.parse_python_list(txt)
-    from_text = F.transform(parsed, lambda s: F.struct(s.alias("s"), s.alias("raw")))
-    empty_items = F.array().cast(f"array<{_ITEM}>")
+    x = x.withColumn("_ctx", ctx).withColumn("_arr", F.try_variant_get("_ctx", "$", "array<variant>"))
+    x = x.withColumn("_kind", F.when(F.col("_arr").isNull() & F.col("_ctx").isNotNull(), F.schema_of_variant("_ctx")))
+    x = x.withColumn("_txt", F.when(F.col("_kind") == "STRING", F.variant_get("_ctx", "$", "string")))
+    x = x.withColumn("_parsed", T.parse_python_list(F.col("_txt")))
+
+    def from_variant(it):
+        is_str = F.schema_of_variant(it) == "STRING"
+        return F.struct(F.when(is_str, F.variant_get(it, "$", "string")).alias("s"),
+                        F.when(~is_str, F.to_json(it)).alias("raw"))
+    empty_items = F.array().cast(_EMPTY_ITEMS)
     empty_str = F.array().cast("array<string>")
-    items = (F.when(kind.startswith("ARRAY"), as_list)
-              .when((kind == "STRING") & parsed.isNotNull(), from_text)
+    items = (F.when(F.col("_arr").isNotNull(), F.transform("_arr", from_variant))
+              .when(F.col("_parsed").isNotNull(),
+                    F.transform("_parsed", lambda s: F.struct(s.alias("s"), s.alias("raw"))))
               .otherwise(empty_items))
-    pre = (F.when(ctx.isNull() | (kind == "VOID") | kind.startswith("ARRAY"), empty_str)
-            .when(kind == "STRING", F.when(parsed.isNull(), F.array(txt)).otherwise(empty_str))
-            .otherwise(F.array(F.to_json(ctx))))
-    return F.coalesce(items, empty_items), pre
+    pre = (F.when(F.col("_arr").isNotNull() | F.col("_kind").isNull() | (F.col("_kind") == "VOID"), empty_str)
+            .when(F.col("_kind") == "STRING",
+                  F.when(F.col("_parsed").isNull(), F.array("_txt")).otherwise(empty_str))
+            .otherwise(F.array(F.to_json("_ctx"))))
+    return x.withColumn("_items", F.coalesce(items, empty_items)).withColumn("_pre", pre)
 
 
 def validate_output(df: DataFrame, output_col: str = "output", text_col: str = "text") -> DataFrame:
-    """V1–V7 on a frame that already carries ``text``.
+    """V1–V7 on a frame that carries ``text`` or its lower-cased form ``_text_lc``
+    (see :func:`attach_text`).
 
     Adds ``emotion, emotion_class, trigger_level, context, context_locations,
-    context_corrupted, failed`` and drops ``output``.
+    context_corrupted, description, has_text, failed`` and drops ``output``.
+    Offsets refer to the lower-cased text, as in the original.
     """
-    v = F.try_parse_json(F.col(output_col))
-    x = df.withColumn("_v", v)
-    items, pre = _items_from_variant(F.try_variant_get("_v", "$.context", "variant"))
-    x = x.withColumn("_items", items).withColumn("_pre", pre)
+    x = df if LOWER_TEXT in df.columns else df.withColumn(LOWER_TEXT, F.lower(F.col(text_col)))
+    x = x.withColumn("_v", F.try_parse_json(F.col(output_col)))
+    x = _with_items(x, F.try_variant_get("_v", "$.context", "variant"))
     located = F.transform("_items", lambda it: F.struct(
         it["s"].alias("s"), it["raw"].alias("raw"),
-        F.when(it["s"].isNull(), F.lit(-1)).otherwise(T.find_ci(F.col(text_col), it["s"])).alias("pos")))
+        F.when(it["s"].isNull(), F.lit(-1)).otherwise(F.instr(F.col(LOWER_TEXT), F.lower(it["s"])) - 1).alias("pos")))
     x = x.withColumn("_loc", located)
     found = F.filter("_loc", lambda it: it["pos"] >= 0)
     lost = F.filter("_loc", lambda it: it["pos"] < 0)
@@ -64,7 +73,7 @@ def validate_output(df: DataFrame, output_col: str = "output", text_col: str = "
     cls = coerce.coerce_category(F.try_variant_get("_v", "$.emotion_class", "string"), C.EMOTION_CLASSES)
     level = coerce.lenient_int_variant(F.col("_v"), "$.trigger_level")
     out = x.select(
-        *[c for c in df.columns if c != output_col],
+        *[c for c in df.columns if c not in (output_col, LOWER_TEXT)],
         emotion.alias("emotion"), cls.alias("emotion_class"), level.alias("trigger_level"),
         F.transform(found, lambda it: it["s"]).alias("context"),
         F.transform(found, lambda it: F.struct(it["pos"].cast("int").alias("start"),
@@ -72,6 +81,7 @@ def validate_output(df: DataFrame, output_col: str = "output", text_col: str = "
          .alias("context_locations"),
         F.concat("_pre", F.transform(lost, lambda it: F.coalesce(it["s"], it["raw"]))).alias("context_corrupted"),
         F.try_variant_get("_v", "$.description", "string").alias("description"),
+        F.col(LOWER_TEXT).isNotNull().alias("has_text"),
     )
     return out.withColumn("failed", failed_predicate())
 
@@ -83,8 +93,13 @@ def failed_predicate() -> Column:
 
 
 def attach_text(pred: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFrame:
-    """Left join of publication text onto predictions (by id)."""
-    return pred.join(texts.select(id_col, "text"), id_col, "left")
+    """Left join of publication text onto predictions (by id).
+
+    Only the lower-cased text is needed to locate phrases; it is computed once per
+    publication *before* the join (a publication meets one prediction per run).
+    A null ``_text_lc`` marks a prediction without text (the V8 gate).
+    """
+    return pred.join(texts.select(id_col, F.lower(F.col("text")).alias(LOWER_TEXT)), id_col, "left")
 
 
 def validate_predictions(pred: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFrame:
@@ -107,4 +122,4 @@ def expand_baseline(pred: DataFrame, personas: Sequence[str] = C.PERSONAS,
 
 def missing_text_count(pred_with_text: DataFrame) -> Column:
     """V8 gate helper: rows without text after J2."""
-    return F.count_if(F.col("text").isNull())
+    return F.count_if(F.col(LOWER_TEXT).isNull())
