@@ -28,3 +28,14 @@ def lenient_int_text(x: Column, default: int = C.UNUSABLE_LEVEL) -> Column:
 def parse_or_failed(raw: Column) -> Column:
     """parse model text as JSON, or substitute the failure record."""
     return F.coalesce(F.try_parse_json(raw), F.parse_json(F.lit(C.FAILED_OUTPUT_JSON)))
+
+
+def map_values(x: Column, mapping: dict) -> Column:
+    """Constant dictionary lookup; unmapped keys give NULL."""
+    pairs = [F.lit(v) for kv in mapping.items() for v in kv]
+    return F.try_element_at(F.create_map(*pairs), x)
+
+
+def strict_int(x: Column) -> Column:
+    """P5: ANSI cast to int — malformed input fails the job, as ``astype(int)`` does."""
+    return x.cast("int")

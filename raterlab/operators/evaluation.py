@@ -262,3 +262,12 @@ def disagreements(truth: DataFrame, pred: DataFrame, column: str, id_col: str =
     p = pred.select(*RUN_KEY, id_col, F.col(column).alias(f"{column}_predicted"))
     x = t.join(p, ["persona", id_col])
     return x.filter(F.coalesce(F.col(f"{column}_true") != F.col(f"{column}_predicted"), F.lit(True)))
+
+
+def check_alignment(gaps: DataFrame, sample: int = 20) -> None:
+    """V8 gate: raise (with a bounded sample of runs) if any run has missing or
+    unmatched predictions, or predictions without text."""
+    bad = gaps.filter((F.col("missing_predictions") != 0) | (F.col("unmatched_predictions") != 0)
+                      | (F.col("missing_text") != 0)).limit(sample).collect()
+    if bad:
+        raise ValueError(f"truth and predictions are not aligned: {bad}")

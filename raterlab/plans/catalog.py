@@ -174,6 +174,7 @@ from raterlab.functions import text as TX  # noqa: E402
 from raterlab.operators import agreement as AG  # noqa: E402
 from raterlab.operators import describe as DS  # noqa: E402
 from raterlab.operators import hypothesis as HY  # noqa: E402
+from raterlab.functions import coerce as CO  # noqa: E402
 import hashlib  # noqa: E402
 
 RATER_A = hashlib.md5(b"rater_a").hexdigest()[:8]
@@ -321,8 +322,7 @@ def mann_whitney(spark, d):
 
 
 def _persona_of(col):
-    m = F.create_map(F.lit(RATER_A), F.lit("persona_1"), F.lit(RATER_B), F.lit("persona_2"))
-    return F.try_element_at(m, col)
+    return CO.map_values(col, {RATER_A: "persona_1", RATER_B: "persona_2"})
 
 
 O.cte("annp", ["ann"], f"""
@@ -455,12 +455,13 @@ def _flat(spark, d):
 
 
 @register("flatten_annotations", O.sql("""
-SELECT created_by, id, emotion, emotion_class, trigger_level, description, created_at,
-  to_json(context) AS context, to_json(context_locations) AS context_locations
+SELECT created_by, id, emotion, emotion_class, trigger_level, CAST(trigger_level AS INT) AS trigger_level_int,
+  description, created_at, to_json(context) AS context, to_json(context_locations) AS context_locations
 FROM flat WHERE emotion IS NOT NULL""", "flat"))
 def flatten_annotations(spark, d):
     kept, _ = AN.split_quarantine(_flat(spark, d))
-    return kept.select("created_by", "id", "emotion", "emotion_class", "trigger_level", "description", "created_at",
+    return kept.select("created_by", "id", "emotion", "emotion_class", "trigger_level",
+                       CO.strict_int(F.col("trigger_level")).alias("trigger_level_int"), "description", "created_at",
                        F.to_json("context").alias("context"), F.to_json("context_locations").alias("context_locations"))
 
 
