@@ -29,7 +29,19 @@ NESTED_ITEM_JSON = '["nested"]'
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table.
+
+    A table stored as a single row group is one scan task however many cores exist,
+    and everything derived from it (27 runs per document, prompt rendering) would run
+    in that task. When the scan yields fewer splits than the session's parallelism
+    the rows are spread round-robin first; a table of cluster size has far more
+    splits than cores and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def rater_id(letter: str | Column) -> Column:
@@ -113,7 +125,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 emotion outside the domain; 5 context as Python-literal text; 6 extra absent phrase;
     7 nested-list item; 8 class null; 9 context key missing; else clean.
     """
-    ann = annotations(spark, sf_dir)
+    # hash-partition the (text-free) annotation rows by id *before* the 27-way run
+    # expansion: the J2 text join on id reuses this partitioning, so the shuffle moves
+    # one row per annotation instead of one per prediction
+    ann = annotations(spark, sf_dir).drop("text").repartition("id")
     x = ann.join(F.broadcast(runs(spark)), "rater")
     i = F.col("id")
     shift = (i + F.col("seed") + F.col("approach_no")) % 4 == 0
