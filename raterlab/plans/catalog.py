@@ -827,3 +827,58 @@ def incremental_score(spark, d):
     out = spark.read.parquet(res)
     return out.groupBy("persona", "approach", "seed").agg(F.count(F.lit(1)).alias("n_rows"),
                                                           F.countDistinct("id").alias("n_ids"))
+
+
+# ---------------------------------------------------------------------------
+# option variants and p-values
+# ---------------------------------------------------------------------------
+O.cte("rowq_x", ["aligned"], f"""
+SELECT approach, persona, seed, len(context_corrupted) AS corrupted_items, len(t_context) AS t_items, len(context) AS p_items,
+  len(list_distinct(list_intersect(t_context, context))) AS strict_correct,
+  {O.span_chars('t_locs')} AS t_chars, {O.span_chars('p_locs', 0)} AS p_chars,
+  {O.overlap_chars('t_locs', "list_transform(p_locs, lambda z: {'start': z['start'], 'end': z['end'] - 1})")} AS overlap_chars
+FROM aligned""")
+
+
+def _prf_round(correct: str, predicted: str, annotated: str) -> str:
+    p = f"(CAST({correct} AS DOUBLE) / nullif(CAST({predicted} AS DOUBLE), 0))"
+    r = f"(CAST({correct} AS DOUBLE) / nullif(CAST({annotated} AS DOUBLE), 0))"
+    return (f"round({p}, 6) AS precision, round({r}, 6) AS recall, "
+            f"round(2.0 * {p} * {r} / nullif({p} + {r}, 0), 6) AS f1_score")
+
+
+@register("span_metrics_corrected", O.sql(f"""
+SELECT approach, persona, seed, 'strict' AS overlap,
+  {_prf_round('sum(strict_correct)', 'sum(p_items) + sum(corrupted_items)', 'sum(t_items)')}
+FROM rowq_x GROUP BY ALL
+UNION ALL
+SELECT approach, persona, seed, 'proportional',
+  {_prf_round('sum(overlap_chars)', 'sum(p_chars) + sum(corrupted_items)', 'sum(t_chars)')}
+FROM rowq_x GROUP BY ALL""", "rowq_x"))
+def span_metrics_corrected(spark, d):
+    """A3/A4 with the corrected options: each row's own corrupted items as penalty,
+    predicted ends exclusive."""
+    c = E.run_cells(aligned(spark, d), pred_end="exclusive")
+    return rounded(E.span_metrics(c, penalty="per_row").select(
+        "approach", "persona", "seed", "overlap", "precision", "recall", "f1_score"))
+
+
+@register("crosstab_wide_emotion", O.sql("SELECT a, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE b = '{e}') AS BIGINT) AS {e}" for e in K.EMOTIONS)
+    + " FROM (SELECT a_emotion AS a, b_emotion AS b FROM pairs) p GROUP BY a", "pairs"))
+def crosstab_wide_emotion(spark, d):
+    long = AG.crosstab_long(_pairs(spark, d), ["emotion"])
+    w = long.filter(F.col("field") == "emotion").groupBy("a").pivot("b", K.EMOTIONS).agg(F.sum("n"))
+    return w.select("a", *[F.coalesce(F.col(e), F.lit(0)).cast("bigint").alias(e) for e in K.EMOTIONS])
+
+
+@register("chi2_pvalue")
+def chi2_pvalue(spark, d):
+    """A16 with its p-value (Arrow UDF on the result rows; no DuckDB twin: no erfc)."""
+    return rounded(HY.with_chi2_p(AG.chi2_statistic(_crosstab(spark, d))))
+
+
+@register("mann_whitney_pvalue")
+def mann_whitney_pvalue(spark, d):
+    """A18 with its two-sided p-value (Arrow UDF on the result rows)."""
+    return rounded(HY.with_mann_whitney_p(HY.mann_whitney(_mw_samples(spark, d), "test", "side", "x", buckets=8)))

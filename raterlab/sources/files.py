@@ -95,3 +95,26 @@ def descriptions_csv(spark: SparkSession, path: str) -> DataFrame | None:
 def export_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Exported annotation rows (JSON lines, or one JSON array with ``multiline``)."""
     return spark.read.schema(S.EXPORT).option("multiLine", multiline).json(path)
+
+
+def _approach_pattern(approaches) -> str:
+    return "|".join(sorted(approaches, key=len, reverse=True))
+
+
+def predictions_flat(spark: SparkSession, path: str, approaches=None) -> DataFrame:
+    """S3 for the flat naming ``{persona}_{approach}_seed={seed}.jsonl`` (result and
+    backup logs alike): persona, approach and seed are taken from the file name."""
+    from raterlab import constants as C
+    appr = _approach_pattern(approaches or C.APPROACHES)
+    rx = rf"([^/]+)_({appr})_seed=([0-9]+)\.jsonl$"
+    schema = T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"])
+    df = spark.read.schema(schema).json(path).withColumn("_f", F.input_file_name())
+    return df.select(F.regexp_extract("_f", rx, 1).alias("persona"), F.regexp_extract("_f", rx, 2).alias("approach"),
+                     F.regexp_extract("_f", rx, 3).cast("int").alias("seed"), *[c for c in df.columns if c != "_f"])
+
+
+def annotation_splits_flat(spark: SparkSession, path: str, splits=("ft_training", "ft_validation", "evaluation")) -> DataFrame:
+    """S2 for the flat naming ``{annotator}_{split}.csv``."""
+    rx = rf"([^/_]+)_({'|'.join(splits)})\.csv$"
+    df = annotation_split_csv(spark, path).withColumn("_f", F.input_file_name())
+    return df.withColumn("split_name", F.regexp_extract("_f", rx, 2)).drop("_f")
