@@ -53,7 +53,8 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataF
                  F.col("_q")[2].alias("q3")))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    x = df.select(*group_cols, v.alias("_v")).join(q, list(group_cols), "inner")
+    # one quartile row per group: broadcast it, so a hot group never meets a shuffle join
+    x = df.select(*group_cols, v.alias("_v")).join(F.broadcast(q), list(group_cols), "inner")
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
     return x.groupBy(*group_cols, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),

@@ -38,10 +38,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     splits than cores and is left as it is.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no RDD access (e.g. a remote session): leave as read
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def rater_id(letter: str | Column) -> Column:
