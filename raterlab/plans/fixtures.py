@@ -130,7 +130,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # hash-partition the (text-free) annotation rows by id *before* the 27-way run
     # expansion: the J2 text join on id reuses this partitioning, so the shuffle moves
     # one row per annotation instead of one per prediction
-    ann = annotations(spark, sf_dir).drop("text").repartition("id")
+    # (an explicit count: AQE must not fold these CPU-heavy partitions together)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ann = annotations(spark, sf_dir).drop("text").repartition(n, "id")
     x = ann.join(F.broadcast(runs(spark)), "rater")
     i = F.col("id")
     shift = (i + F.col("seed") + F.col("approach_no")) % 4 == 0
