@@ -42,14 +42,17 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 # evaluation pipeline
 # ---------------------------------------------------------------------------
 
+@X.view
 def validated(spark: SparkSession, d: str) -> DataFrame:
     return V.validate_predictions(X.predictions(spark, d), X.publications(spark, d))
 
 
+@X.view
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     return E.align(X.evaluation_truth(spark, d), V.expand_baseline(validated(spark, d)))
 
 
+@X.view
 def cells(spark: SparkSession, d: str) -> DataFrame:
     return E.run_cells(aligned(spark, d))
 

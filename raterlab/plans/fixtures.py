@@ -7,6 +7,8 @@ The matching DuckDB CTEs live in ``raterlab.plans.oracle``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,26 @@ ABSENT_PHRASE = "zzq absent phrase"
 NESTED_ITEM_JSON = '["nested"]'
 
 
+_VIEWS: dict = {}
+
+
+def view(fn):
+    """Memoise a view *definition* per (session, arguments).
+
+    DataFrames are immutable lazy plans, so handing the same object to every query
+    that uses a view is safe; it saves re-building (and re-analysing) large
+    expression trees in each query. No data is cached.
+    """
+    @functools.wraps(fn)
+    def wrapper(spark, *args, **kw):
+        key = (fn.__name__, id(spark), args, tuple(sorted(kw.items())))
+        if key not in _VIEWS:
+            _VIEWS[key] = fn(spark, *args, **kw)
+        return _VIEWS[key]
+    return wrapper
+
+
+@view
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table.
 
@@ -52,6 +74,7 @@ def rater_id(letter: str | Column) -> Column:
     return T.pseudonym(F.concat(F.lit("rater_"), lit))
 
 
+@view
 def publications(spark: SparkSession, sf_dir: str, with_lang: bool = False) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     m = F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")
@@ -62,6 +85,7 @@ def publications(spark: SparkSession, sf_dir: str, with_lang: bool = False) -> D
     return d.select(*cols)
 
 
+@view
 def personas(spark: SparkSession) -> DataFrame:
     """personas(persona, annotator, narrative) — a literal of two rows."""
     rows = [(p, PERSONA_RATER[p], PERSONA_NARRATIVE[p]) for p in C.PERSONAS]
@@ -69,6 +93,7 @@ def personas(spark: SparkSession) -> DataFrame:
     return df.select("persona", rater_id(F.col("rater")).alias("annotator"), "narrative")
 
 
+@view
 def clusters(spark: SparkSession) -> DataFrame:
     rows = [(p, CLUSTERS[p]) for p in C.PERSONAS]
     return spark.createDataFrame(rows, "persona string, cluster_description string")
@@ -82,6 +107,7 @@ def _span(s: Column, e: Column) -> Column:
     return F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
 
 
+@view
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (rater, publication) for both fixture raters (rater letter expanded in-row)."""
     pubs = publications(spark, sf_dir, with_lang=True)
@@ -109,6 +135,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x
 
 
+@view
 def runs(spark: SparkSession) -> DataFrame:
     """Scored runs: (approach, approach_no, persona key, source rater, seed) — 27 literal rows."""
     rows = []
@@ -120,6 +147,7 @@ def runs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "approach string, approach_no int, persona string, rater string, seed int")
 
 
+@view
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction envelopes for every publication and run; ``output`` is free-form JSON text.
 
@@ -166,6 +194,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(C.MAX_TOKENS).alias("max_tokens"), output.alias("output"))
 
 
+@view
 def evaluation_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth per persona on the evaluation split: personas ⋈ annotations ⋉ split."""
     ann = annotations(spark, sf_dir)
@@ -174,11 +203,13 @@ def evaluation_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.in_date_split(t, publications(spark, sf_dir), "evaluation")
 
 
+@view
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels.quality as rater 1 and labels.toxic as rater 2, paired by doc."""
     return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
 
 
+@view
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations → one chat example per conversation, messages ordered by turn."""
     from raterlab.operators import prompts as P
@@ -191,6 +222,7 @@ _CLS_ARRAY = ("array<struct<value:string,checklist_answers:array<struct<value:st
 SHORT_TEXT = 40
 
 
+@view
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw annotation export (one data row per publication, labels of both raters).
 
@@ -233,6 +265,7 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("text").alias("row_data"), F.col("id").cast("string").alias("global_key")).alias("data_row"))
 
 
+@view
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-publication description file: conversation turns keyed by conversation id,
     system turns carry no description (null), file order = turn."""
@@ -245,6 +278,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASSISTANT_NARRATIVE = "You are a helpful assistant."
 
 
+@view
 def personas_with_assistant(spark: SparkSession) -> DataFrame:
     """Zero-shot persona list: the two personas plus the context-free assistant."""
     extra = spark.createDataFrame([(C.BASELINE_PERSONA, None, ASSISTANT_NARRATIVE)],
@@ -252,6 +286,7 @@ def personas_with_assistant(spark: SparkSession) -> DataFrame:
     return personas(spark).unionByName(extra)
 
 
+@view
 def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few-shot example file per persona: the persona annotator's ft_training rows in
     split order; input = rendered user message, output = label JSON."""
@@ -266,6 +301,7 @@ def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     user.alias("input"), out.alias("output"))
 
 
+@view
 def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster descriptions derived from the corpus: one per document source."""
     d = read(spark, sf_dir, "documents")
@@ -281,6 +317,7 @@ def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID_APPROACH = "context_zero_shot"
 
 
+@view
 def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append log of an earlier run: grid rows of labelled documents; documents with
     quality 0 were scored twice, the later line being a failure record."""
