@@ -27,9 +27,10 @@ SPLIT_NAMES = ["ft_training", "ft_validation", "evaluation"]
 # ---- fixed values: scoring --------------------------------------------------
 FAILED_OUTPUT_JSON = '{"response": "failed to generate"}'
 FEW_SHOT_EXAMPLES = 10
-MODEL_NAME = "gpt-3.5-turbo-1106"
 TEMPERATURE = 0.2
 MAX_TOKENS = 4096
+# envelope default only (the scorer is the caller's)
+MODEL_NAME = "chat-model"
 
 # ---- fixed values: fine-tuning cost estimate --------------------------------
 MAX_TOKENS_PER_EXAMPLE = 10e6

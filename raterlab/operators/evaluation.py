@@ -22,7 +22,7 @@ _EMPTY_SPANS = "array<struct<start:int,end:int>>"
 def align(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> DataFrame:
     """Pair truth and validated predictions on (persona, id).
 
-    Truth columns get a ``t_`` prefix. Row order is irrelevant: the reference's
+    Truth columns get a ``t_`` prefix. Row order is irrelevant: the original
     sort-and-zip becomes an equi-join.
     """
     t = truth.select("persona", id_col,
@@ -40,7 +40,7 @@ def _pred_spans_exclusive(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end")))
 
 
-def run_cells(aligned: DataFrame, pred_end: str = "reference") -> DataFrame:
+def run_cells(aligned: DataFrame, pred_end: str = "original") -> DataFrame:
     """Reduce aligned rows to per-run cells.
 
     Row-level span quantities are computed once per row and summed by a first
@@ -53,7 +53,7 @@ def run_cells(aligned: DataFrame, pred_end: str = "reference") -> DataFrame:
     pl = F.coalesce(F.col("context_locations"), F.array().cast(_EMPTY_SPANS))
     if pred_end == "exclusive":
         pl = _pred_spans_exclusive(pl)
-    elif pred_end != "reference":
+    elif pred_end != "original":
         raise ValueError(pred_end)
     row = {
         "failed": F.col("failed").cast("long"),
@@ -145,7 +145,7 @@ def run_totals(cells: DataFrame) -> DataFrame:
 
 def _span_exprs(penalty: str):
     n, cor = F.col("n_rows"), F.col("corrupted_items")
-    if penalty == "reference":
+    if penalty == "original":
         strict_pen, prop_pen = n * n, n * cor
     elif penalty == "per_row":
         strict_pen, prop_pen = cor, cor
@@ -159,10 +159,10 @@ def _span_exprs(penalty: str):
     return strict, prop
 
 
-def span_metrics(cells: DataFrame, penalty: str = "reference") -> DataFrame:
+def span_metrics(cells: DataFrame, penalty: str = "original") -> DataFrame:
     """A3/A4/A5: strict and proportional span P/R/F1 per run (long form).
 
-    ``penalty='reference'`` adds N·N corrupted predictions to the strict count and
+    ``penalty='original'`` adds N·N corrupted predictions to the strict count and
     N·Σ|corrupted_i| to the proportional count, as the original did; ``'per_row'``
     adds each row's own corrupted items once; ``'none'`` adds nothing.
     Predicted ends are counted as the original did unless the cells were built with
@@ -192,7 +192,7 @@ REPORT_COLUMNS = (["failed"]
                   + [f"context_{o}_{m}" for o in ("strict", "proportional") for m in ("precision", "recall", "f1-score")])
 
 
-def evaluation_report(cells: DataFrame, penalty: str = "reference") -> DataFrame:
+def evaluation_report(cells: DataFrame, penalty: str = "original") -> DataFrame:
     """One metric row per (approach, persona, seed) with the original column names.
 
     Linear plan: field metrics → one pivoting aggregation per run → span metrics as
@@ -222,7 +222,7 @@ def report_mean_3std(report: DataFrame, group_col: str = "approach") -> DataFram
     return report.groupBy(group_col).agg(*aggs).withColumn("persona", F.lit("average"))
 
 
-def report_long(cells: DataFrame, penalty: str = "reference") -> DataFrame:
+def report_long(cells: DataFrame, penalty: str = "original") -> DataFrame:
     """(approach, name, metric) → mean precision / recall / F1 over personas and seeds
     (an unpivot of the run report, then one aggregation)."""
     rep = evaluation_report(cells, penalty)

@@ -84,7 +84,7 @@ def run_inference(spark: SparkSession, publications: DataFrame, splits: DataFram
 
 
 def evaluate(spark: SparkSession, truth: DataFrame, predictions: DataFrame, publications: DataFrame,
-             report_dir: str | None = None, penalty: str = "reference", strict_alignment: bool = True) -> DataFrame:
+             report_dir: str | None = None, penalty: str = "original", strict_alignment: bool = True) -> DataFrame:
     """Validate, align (V8 gate), metric row per run, mean ± 3·std per approach."""
     valid = V.expand_baseline(V.validate_predictions(predictions, publications))
     if strict_alignment:
