@@ -42,14 +42,15 @@ def latest(log: DataFrame, ts_col: str = "ingest_ts") -> DataFrame:
 
 
 def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.Series],
-               model_name: str = C.MODEL_NAME, temperature: float = C.TEMPERATURE,
+               model_name: str | dict[str, str] = C.MODEL_NAME, temperature: float = C.TEMPERATURE,
                max_tokens: int = C.MAX_TOKENS, parallelism: int | None = None) -> DataFrame:
     """L6 + F4 + L4: score ``work`` (persona, approach, seed, id, messages) and return
     result envelopes. ``scorer(messages_json, batch)`` returns raw model text per row;
     text that is not JSON, or a raising batch, yields the failure record.
 
     ``parallelism`` sets the number of concurrent scorer tasks (the external
-    service's rate limit is the scorer's business).
+    service's rate limit is the scorer's business). ``model_name`` may map persona →
+    model (one fine-tuned model per persona).
     """
     w = work.select(*KEY, F.to_json("messages").alias("messages_json"))
     if parallelism:
@@ -69,7 +70,9 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
                     out.append(C.FAILED_OUTPUT_JSON)
             yield pd.DataFrame({
                 "persona": b["persona"], "approach": b["approach"], "seed": b["seed"].astype("int32"),
-                "id": b["id"].astype("int64"), "model_name": model_name, "temperature": float(temperature),
+                "id": b["id"].astype("int64"),
+                "model_name": b["persona"].map(model_name) if isinstance(model_name, dict) else model_name,
+                "temperature": float(temperature),
                 "max_tokens": int(max_tokens), "output": out})
 
     return w.mapInPandas(score, RESULT_SCHEMA)

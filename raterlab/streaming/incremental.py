@@ -35,7 +35,11 @@ def start(spark: SparkSession, source_dir: str, source_schema: str, personas: Da
     def each(batch: DataFrame, epoch_id: int) -> None:
         pubs = batch.dropDuplicates(["id"])
         grid = SC.work_grid(pubs, personas, approach, seeds)
-        todo = SC.pending(grid, _read_results(spark, result_path))
+        done = _read_results(spark, result_path)
+        if done is not None:
+            # only this batch's ids can collide; the (small) id list is the join's build side
+            done = done.join(pubs.select("id"), "id", "left_semi")
+        todo = SC.pending(grid, done)
         todo = todo.select(*SC.KEY, P.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
         SC.append_results(SC.run_scorer(todo, scorer), result_path)
 

@@ -60,3 +60,9 @@ def test_stream_equals_batch(spark, tmp_out):
     batch = SC.run_scorer(todo_frame(SC.work_grid(p, personas(spark), "context_zero_shot")), SC.length_scorer)
     assert stream.count() == 60 * 2 * 3
     assert stream.exceptAll(batch.select(*SC.KEY, "output")).count() == 0
+
+
+def test_model_name_per_persona(spark):
+    grid = SC.work_grid(pubs(spark, range(3)), personas(spark), "context_fine_tuning", [7])
+    res = SC.run_scorer(todo_frame(grid), SC.length_scorer, model_name={"persona_1": "m1", "persona_2": "m2"})
+    assert {(r.persona, r.model_name) for r in res.collect()} == {("persona_1", "m1"), ("persona_2", "m2")}
