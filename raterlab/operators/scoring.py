@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from raterlab import constants as C
 
 KEY = ["persona", "approach", "seed", "id"]
-RESULT_SCHEMA = ("persona string, approach string, seed int, id bigint, model_name string, "
-                 "temperature double, max_tokens int, output string")
+
+
+def result_schema(id_type: str = "bigint") -> str:
+    return (f"persona string, approach string, seed int, id {id_type}, model_name string, "
+            "temperature double, max_tokens int, output string")
 
 
 def pending(grid: DataFrame, done: DataFrame | None, retry_failed: bool = False) -> DataFrame:
@@ -53,6 +56,7 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
     model (one fine-tuned model per persona).
     """
     w = work.select(*KEY, F.to_json("messages").alias("messages_json"))
+    id_type = w.schema["id"].dataType.simpleString()
     if parallelism:
         w = w.repartition(parallelism)
 
@@ -70,12 +74,12 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
                     out.append(C.FAILED_OUTPUT_JSON)
             yield pd.DataFrame({
                 "persona": b["persona"], "approach": b["approach"], "seed": b["seed"].astype("int32"),
-                "id": b["id"].astype("int64"),
+                "id": b["id"],
                 "model_name": b["persona"].map(model_name) if isinstance(model_name, dict) else model_name,
                 "temperature": float(temperature),
                 "max_tokens": int(max_tokens), "output": out})
 
-    return w.mapInPandas(score, RESULT_SCHEMA)
+    return w.mapInPandas(score, result_schema(id_type))
 
 
 def append_results(results: DataFrame, path: str) -> None:
