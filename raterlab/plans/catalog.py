@@ -147,8 +147,9 @@ def lenient_int(spark, d):
 
 
 @register("locate_context", O.sql(
-    f"SELECT {RUN}, id, to_json(context) AS context, to_json(context_locations) AS context_locations, "
-    "len(context_corrupted) AS n_corrupted, description FROM validf", "validf"))
+    f"SELECT {RUN}, id, CAST(to_json(context) AS VARCHAR) AS context, "
+    "CAST(to_json(context_locations) AS VARCHAR) AS context_locations, "
+    "CAST(len(context_corrupted) AS INT) AS n_corrupted, description FROM validf", "validf"))
 def locate_context(spark, d):
     v = validated(spark, d)
     return v.select("approach", "persona", "seed", "id", F.to_json("context").alias("context"),
@@ -435,7 +436,7 @@ def span_overlap_summary(spark, d):
 
 @register("overlap_text", O.sql("""
 SELECT id, array_to_string(list_transform(ovl, lambda s: substring(text, s['start'] + 1, s['end'] - s['start'] + 1)), ' ') AS overlap_text,
-  len(ovl) AS n_overlaps FROM ov""", "ov"))
+  CAST(len(ovl) AS INT) AS n_overlaps FROM ov""", "ov"))
 def overlap_text(spark, d):
     return AG.overlap_text(AG.span_pairs_overlap(_pairs(spark, d)))
 
@@ -459,7 +460,8 @@ def _flat(spark, d):
 
 @register("flatten_annotations", O.sql("""
 SELECT created_by, id, emotion, emotion_class, trigger_level, CAST(trigger_level AS INT) AS trigger_level_int,
-  description, created_at, to_json(context) AS context, to_json(context_locations) AS context_locations
+  description, created_at, CAST(to_json(context) AS VARCHAR) AS context,
+  CAST(to_json(context_locations) AS VARCHAR) AS context_locations
 FROM flat WHERE emotion IS NOT NULL""", "flat"))
 def flatten_annotations(spark, d):
     kept, _ = AN.split_quarantine(_flat(spark, d))
@@ -525,9 +527,9 @@ def description_override(spark, d):
 
 
 @register("python_list_parse", O.sql(f"""
-SELECT created_by, id, lit, to_json({O.py_list_parse('lit')}) AS parsed,
-  to_json(list_transform(json_transform(translate(spans, '()', '[]'), '[["INTEGER"]]'),
-          lambda p: {{'start': p[1], 'end': p[2]}})) AS parsed_spans
+SELECT created_by, id, lit, CAST(to_json({O.py_list_parse('lit')}) AS VARCHAR) AS parsed,
+  CAST(to_json(list_transform(json_transform(translate(spans, '()', '[]'), '[["INTEGER"]]'),
+          lambda p: {{'start': p[1], 'end': p[2]}})) AS VARCHAR) AS parsed_spans
 FROM (SELECT created_by, id,
         '[' || array_to_string(list_transform(context, lambda q: {O._py_str('q')}), ', ') || ']' AS lit,
         '[' || array_to_string(list_transform(context_locations, lambda s: '(' || s['start'] || ', ' || s['end'] || ')'), ', ') || ']' AS spans
@@ -594,7 +596,7 @@ def _eval_pubs(spark, d):
 
 @register("zero_shot_prompts", O.sql(f"""
 SELECT p.persona, u.id, md5(CAST(to_json({_zs_messages_sql('p.narrative', 'u.text')}) AS VARCHAR)) AS messages_md5,
-  length(u.text) AS n_chars
+  CAST(length(u.text) AS INT) AS n_chars
 FROM evalpubs u CROSS JOIN personas_all p""", "evalpubs", "personas_all"))
 def zero_shot_prompts(spark, d):
     g = PR.persona_grid(_eval_pubs(spark, d), X.personas_with_assistant(spark))
@@ -606,7 +608,7 @@ def zero_shot_prompts(spark, d):
 , shots AS (SELECT persona, flatten(list([{{'role': 'user', 'content': input}}, {{'role': 'assistant', 'content': output}}] ORDER BY date, id)) AS shots
            FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date, id) AS rn FROM fs) r
            WHERE rn <= {K.FEW_SHOT_EXAMPLES} GROUP BY persona)
-SELECT p.persona, u.id, len(s.shots) + 2 AS n_messages,
+SELECT p.persona, u.id, CAST(len(s.shots) + 2 AS INT) AS n_messages,
   md5(CAST(to_json(list_concat([{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', p.narrative)}}], s.shots,
       [{{'role': 'user', 'content': replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', u.text)}}])) AS VARCHAR)) AS messages_md5
 FROM evalpubs u CROSS JOIN personas p JOIN shots s ON s.persona = p.persona""", "evalpubs", "personas", "fs")
