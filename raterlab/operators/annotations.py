@@ -24,7 +24,10 @@ def flatten_export(export: DataFrame, project: str) -> DataFrame:
                            F.explode(F.try_element_at(F.col("projects"), F.lit(project))["labels"]).alias("l"))
     cls = F.col("l.annotations.classifications")
     phrases = F.filter(F.col("l.annotations.objects"), lambda o: o["value"] == C.EXPORT_PHRASES)
-    first_answer = lambda c: F.try_element_at(c["checklist_answers"], F.lit(1))["value"]
+
+    def first_answer(c: Column) -> Column:
+        return F.try_element_at(c["checklist_answers"], F.lit(1))["value"]
+
     return labels.select(
         first_answer(_last_classification(cls, C.EXPORT_EMOTION)).alias("emotion"),
         _last_classification(cls, C.EXPORT_EMOTION_CLASS)["radio_answer"]["value"].alias("emotion_class"),
