@@ -84,3 +84,18 @@ def test_example_stats(spark):
     assert s[1].n_assistant_tokens == 1 and s[2].has_user == 0
     q = CS.chat_quality(CS.example_stats(turns)).collect()[0]
     assert (q.n_missing_system, q.n_missing_user) == (1, 1)
+
+
+def test_pluggable_tokenizer(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.LongType())
+    def chars(s: pd.Series) -> pd.Series:
+        return s.fillna("").str.len().astype("int64")
+
+    turns = spark.createDataFrame([(1, 0, "user", "abcd"), (1, 1, "assistant", "xy")],
+                                  "conv_id long, turn long, role string, text string")
+    r = CS.example_stats(turns, tok=chars).collect()[0]
+    assert r.n_tokens == (3 + 4 + 4) + (3 + 9 + 2) + 3 and r.n_assistant_tokens == 2
