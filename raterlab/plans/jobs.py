@@ -95,3 +95,24 @@ def evaluate(spark: SparkSession, truth: DataFrame, predictions: DataFrame, publ
         SNK.report_csv(report, f"{report_dir}/report_runs")
         SNK.report_csv(summary, f"{report_dir}/report_all")
     return summary
+
+
+def evaluate_files(spark: SparkSession, truth_dir: str, completed_dir: str, publications_csv: str,
+                   persona_annotator: dict[str, str], report_dir: str | None = None,
+                   penalty: str = "original", expected_rows: int | None = None,
+                   strict_alignment: bool = True) -> DataFrame:
+    """E1 straight from the original file layout: ``{annotator}_{split}.csv`` truth
+    files (Python-literal list columns), ``{persona}_{approach}_seed={n}.jsonl``
+    prediction files and the publications CSV; ``persona_annotator`` maps each
+    evaluated persona to its annotator pseudonym."""
+    truth = SRC.annotation_splits_flat(spark, truth_dir).filter(F.col("split_name") == "evaluation")
+    per = spark.createDataFrame(list(persona_annotator.items()), "persona string, created_by string")
+    truth = truth.join(F.broadcast(per), "created_by").withColumn("trigger_level", F.col("trigger_level").cast("int"))
+    preds = SRC.predictions_flat(spark, completed_dir)
+    if expected_rows is not None:
+        bad = (preds.groupBy("persona", "approach", "seed").count()
+               .filter(F.col("count") != expected_rows).limit(20).collect())
+        if bad:
+            raise ValueError(f"runs with a row count other than {expected_rows}: {bad}")
+    pubs = SRC.publications_csv(spark, publications_csv)
+    return evaluate(spark, truth, preds, pubs, report_dir, penalty, strict_alignment)

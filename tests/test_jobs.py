@@ -60,3 +60,46 @@ def test_prepare_and_costs(spark, tmp_out):
     b = rep["billing"].collect()[0]
     assert b.n_examples == 50 and b.n_epochs == 3
     assert rep["quality"].collect()[0].n_missing_system == 0
+
+
+def test_evaluate_original_file_layout(spark, tmp_out):
+    """Files written the way the original scripts write them (pandas CSV with Python
+    list reprs, JSON lines per persona/approach/seed) evaluate to the same report as
+    the in-memory pipeline."""
+    import json as _json
+    import pandas as pd
+    from raterlab.operators import evaluation as E
+    from raterlab.operators import validate as V
+    pubs = X.publications(spark, SF_SMALL).toPandas()
+    pubs["id"] = pubs["id"].astype(str)
+    pubs.to_csv(os.path.join(tmp_out, "pubs.csv"), index=False)
+    truth = X.evaluation_truth(spark, SF_SMALL).toPandas()
+    tdir = os.path.join(tmp_out, "truth")
+    os.makedirs(tdir)
+    mapping = {}
+    for (persona, who), g in truth.groupby(["persona", "created_by"]):
+        mapping[persona] = who
+        out = pd.DataFrame({
+            "emotion": g.emotion, "emotion_class": g.emotion_class, "trigger_level": g.trigger_level,
+            "context": [repr(list(c)) for c in g.context],
+            "context_locations": [repr([(int(s["start"]), int(s["end"])) for s in locs]) for locs in g.context_locations],
+            "description": g.description, "created_at": g.created_at, "created_by": g.created_by,
+            "text": g.text, "id": g.id.astype(str)})
+        out.to_csv(os.path.join(tdir, f"{who}_evaluation.csv"), index=False)
+    preds = X.predictions(spark, SF_SMALL).toPandas()
+    cdir = os.path.join(tmp_out, "completed")
+    os.makedirs(cdir)
+    for (persona, approach, seed), g in preds.groupby(["persona", "approach", "seed"]):
+        with open(os.path.join(cdir, f"{persona}_{approach}_seed={seed}.jsonl"), "w") as f:
+            for r in g.itertuples():
+                try:
+                    out = _json.loads(r.output)
+                except Exception:
+                    out = {"response": "failed to generate"}
+                f.write(_json.dumps({"id": str(r.id), "model_name": r.model_name, "temperature": r.temperature,
+                                     "max_tokens": int(r.max_tokens), "seed": int(seed), "output": out},
+                                    ensure_ascii=False) + "\n")
+    got = J.evaluate_files(spark, tdir, cdir, os.path.join(tmp_out, "pubs.csv"), mapping, strict_alignment=False)
+    valid = V.expand_baseline(V.validate_predictions(X.predictions(spark, SF_SMALL), X.publications(spark, SF_SMALL)))
+    want = E.report_mean_3std(E.evaluation_report(E.run_cells(E.align(X.evaluation_truth(spark, SF_SMALL), valid))))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
