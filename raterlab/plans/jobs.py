@@ -116,3 +116,37 @@ def evaluate_files(spark: SparkSession, truth_dir: str, completed_dir: str, publ
             raise ValueError(f"runs with a row count other than {expected_rows}: {bad}")
     pubs = SRC.publications_csv(spark, publications_csv)
     return evaluate(spark, truth, preds, pubs, report_dir, penalty, strict_alignment)
+
+
+def agreement_report(spark: SparkSession, annotations_json: str, rater_a: str, rater_b: str,
+                     stopwords: DataFrame | None = None, top_terms: int = 200) -> dict[str, DataFrame]:
+    """E4 from the ``{annotator: [records]}`` file: pairing, contingency tables, κ,
+    χ² with p, normality per rater, Mann–Whitney with p, span-overlap summary and
+    overlap terms. Every entry is a small DataFrame."""
+    from raterlab.functions.coerce import strict_int
+    from raterlab.operators import agreement as AG
+    from raterlab.operators import hypothesis as HY
+    from raterlab.operators import terms as TM
+    ann = SRC.annotations_by_rater(spark, annotations_json).withColumn(
+        "trigger_level", strict_int(F.col("trigger_level")))
+    fields = ["emotion", "emotion_class", "trigger_level"]
+    pairs = AG.pair_raters(ann, rater_a, rater_b, fields + ["context_locations", "text"]) \
+        .withColumnRenamed("a_text", "text").drop("b_text")
+    ct = AG.crosstab_long(pairs, fields)
+    ov = AG.span_pairs_overlap(pairs)
+    levels = ann.filter(F.col("created_by").isin(rater_a, rater_b)).select(
+        F.lit("trigger_level").alias("test"), F.when(F.col("created_by") == rater_a, "a").otherwise("b").alias("side"),
+        F.col("trigger_level").cast("double").alias("x"))
+    out = {
+        "crosstab": ct,
+        "kappa": AG.cohen_kappa(ct),
+        "chi2": HY.with_chi2_p(AG.chi2_statistic(ct.filter(F.col("field") != "trigger_level"))),
+        "normality": HY.normality_k2(ann.select("created_by", F.col("trigger_level").cast("double").alias("x")),
+                                     ["created_by"], "x"),
+        "mann_whitney": HY.with_mann_whitney_p(HY.mann_whitney(levels, "test", "side", "x", buckets=8)),
+        "overlap": AG.overlap_summary(ov),
+        "mean_span_length": AG.mean_span_length(ann),
+    }
+    if stopwords is not None:
+        out["overlap_terms"] = TM.term_frequencies(AG.overlap_text(ov), "overlap_text", stopwords, top=top_terms)
+    return out

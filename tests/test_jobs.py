@@ -103,3 +103,28 @@ def test_evaluate_original_file_layout(spark, tmp_out):
     valid = V.expand_baseline(V.validate_predictions(X.predictions(spark, SF_SMALL), X.publications(spark, SF_SMALL)))
     want = E.report_mean_3std(E.evaluation_report(E.run_cells(E.align(X.evaluation_truth(spark, SF_SMALL), valid))))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_agreement_report_from_rater_json(spark, tmp_out):
+    import json as _json
+    ann = X.annotations(spark, SF_SMALL).toPandas()
+    doc = {}
+    for r in ann.itertuples():
+        doc.setdefault(r.created_by, []).append({
+            "emotion": r.emotion, "emotion_class": r.emotion_class, "trigger_level": str(r.trigger_level),
+            "context": list(r.context), "context_locations": [[int(s["start"]), int(s["end"])] for s in r.context_locations],
+            "description": r.description, "created_at": r.created_at, "created_by": r.created_by,
+            "text": r.text, "id": str(r.id)})
+    p = os.path.join(tmp_out, "annotated.json")
+    with open(p, "w") as f:
+        f.write(_json.dumps(doc, ensure_ascii=False))
+    a, b = sorted(doc)
+    rep = J.agreement_report(spark, p, a, b)
+    kappa = {r.field: r.kappa for r in rep["kappa"].collect()}
+    assert set(kappa) == {"emotion", "emotion_class", "trigger_level"}
+    chi = rep["chi2"].collect()
+    assert all(0.0 <= r.p_value <= 1.0 for r in chi)
+    mw = rep["mann_whitney"].collect()[0]
+    assert mw.n1 + mw.n2 == len(ann)
+    ov = rep["overlap"].collect()[0]
+    assert ov.ann1_labels_total + ov.ann2_labels_total == sum(len(c) for c in ann.context_locations)
