@@ -51,3 +51,25 @@ def start(spark: SparkSession, source_dir: str, source_schema: str, personas: Da
 def run_until_idle(q: StreamingQuery, timeout_s: float | None = None) -> None:
     """Block until an ``availableNow`` query has consumed everything."""
     q.awaitTermination(timeout_s)
+
+
+def start_validation(spark: SparkSession, predictions_dir: str, publications: DataFrame, out_dir: str,
+                     checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+    """Validate prediction envelopes as their files land (JSON lines under
+    ``persona=/approach=/seed=``): stream-static join with the publication text (J2),
+    V1–V7 as stateless projections, appended to a partitioned parquet table. The
+    file sink plus the checkpoint give exactly-once output."""
+    from pyspark.sql import types as T
+
+    from raterlab import schemas as S
+    from raterlab.operators import validate as V
+    # persona / approach / seed come from the folder names
+    schema = T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"]
+                          + [T.StructField("persona", T.StringType()), T.StructField("approach", T.StringType()),
+                             T.StructField("seed", T.IntegerType())])
+    stream = spark.readStream.schema(schema).option("basePath", predictions_dir).json(predictions_dir)
+    valid = V.validate_predictions(stream, publications)
+    w = (valid.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
+         .partitionBy("persona", "approach", "seed").outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

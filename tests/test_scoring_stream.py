@@ -66,3 +66,24 @@ def test_model_name_per_persona(spark):
     grid = SC.work_grid(pubs(spark, range(3)), personas(spark), "context_fine_tuning", [7])
     res = SC.run_scorer(todo_frame(grid), SC.length_scorer, model_name={"persona_1": "m1", "persona_2": "m2"})
     assert {(r.persona, r.model_name) for r in res.collect()} == {("persona_1", "m1"), ("persona_2", "m2")}
+
+
+def test_stream_validation_equals_batch(spark, tmp_out):
+    from conftest import SF_SMALL
+    from raterlab.operators import validate as V
+    from raterlab.plans import fixtures as X
+    from raterlab.sources import files as SRC
+    from raterlab.sources import sinks as SNK
+    preds = X.predictions(spark, SF_SMALL).withColumn("id", F.col("id").cast("string"))
+    pubs = X.publications(spark, SF_SMALL).withColumn("id", F.col("id").cast("string"))
+    src, out, ck = (os.path.join(tmp_out, x) for x in ("preds", "valid", "ck"))
+    # two drops: the no-context runs first, the rest later
+    SNK.results_json(preds.filter(F.col("approach") == "no_context"), src)
+    INC.run_until_idle(INC.start_validation(spark, src, pubs, out, ck))
+    SNK.results_json(preds.filter(F.col("approach") != "no_context"), src)
+    INC.run_until_idle(INC.start_validation(spark, src, pubs, out, ck))
+    cols = ["persona", "approach", "seed", "id", "emotion", "emotion_class", "trigger_level", "failed"]
+    streamed = spark.read.parquet(out).select(*cols)
+    batch = V.validate_predictions(SRC.predictions(spark, src), pubs).select(*cols)
+    assert streamed.count() == preds.count()
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
