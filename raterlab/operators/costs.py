@@ -57,10 +57,12 @@ def billing_estimate(stats: DataFrame, n_epochs: int = C.TARGET_EPOCHS, price: f
                   F.count_if(F.col("n_tokens") > max_tokens).alias("n_too_long"),
                   F.sum(F.least(F.col("n_tokens").cast("double"), F.lit(float(max_tokens)))).alias("billing_tokens"))
     n = F.col("n_examples")
-    epochs = (F.when(n * C.TARGET_EPOCHS < C.MIN_TARGET_EXAMPLES,
-                     F.least(F.lit(C.MAX_DEFAULT_EPOCHS), F.floor(F.lit(C.MIN_TARGET_EXAMPLES) / n)))
+    # an empty data set has no epoch count (NULL) instead of a division by zero
+    epochs = (F.when(n == 0, F.lit(None))
+               .when(n * C.TARGET_EPOCHS < C.MIN_TARGET_EXAMPLES,
+                     F.least(F.lit(C.MAX_DEFAULT_EPOCHS), F.floor(F.try_divide(F.lit(C.MIN_TARGET_EXAMPLES), n))))
                .when(n * C.TARGET_EPOCHS > C.MAX_TARGET_EXAMPLES,
-                     F.greatest(F.lit(C.MIN_DEFAULT_EPOCHS), F.floor(F.lit(C.MAX_TARGET_EXAMPLES) / n)))
+                     F.greatest(F.lit(C.MIN_DEFAULT_EPOCHS), F.floor(F.try_divide(F.lit(C.MAX_TARGET_EXAMPLES), n))))
                .otherwise(F.lit(n_epochs))).cast("long")
     x = x.withColumn("n_epochs", epochs).withColumn("charged_tokens", F.col("n_epochs") * F.col("billing_tokens"))
     if price is not None:

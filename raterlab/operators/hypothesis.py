@@ -70,8 +70,8 @@ def with_chi2_p(chi2: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def normality_k2(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
-    """K² = Zs² + Zk² from population skewness g1 and excess kurtosis g2 (n ≥ 8);
-    p = exp(−K²/2) (χ² with 2 dof), all built-in math."""
+    """K² = Zs² + Zk² from population skewness g1 and excess kurtosis g2; p = exp(−K²/2)
+    (χ² with 2 dof), all built-in math. Groups with fewer than 8 values get NULLs."""
     x = df.groupBy(*group_cols).agg(F.count(value_col).alias("n"),
                                     F.skewness(value_col).alias("skew"), F.kurtosis(value_col).alias("kurt"))
     n = F.col("n").cast("double")
@@ -92,8 +92,12 @@ def normality_k2(df: DataFrame, group_cols: list[str], value_col: str) -> DataFr
     term2 = F.signum(denom) * F.cbrt((1 - 2.0 / a) / F.abs(denom))
     zk = (term1 - term2) / F.sqrt(2.0 / (9 * a))
     k2 = zs * zs + zk * zk
-    return x.select(*group_cols, "n", "skew", "kurt", zs.alias("z_skew"), zk.alias("z_kurt"),
-                    k2.alias("k2"), F.exp(-k2 / 2).alias("p_value"))
+    ok = F.col("n") >= 8          # the skewness test is undefined below 8 observations
+
+    def guard(c):
+        return F.when(ok, c)
+    return x.select(*group_cols, "n", "skew", "kurt", guard(zs).alias("z_skew"), guard(zk).alias("z_kurt"),
+                    guard(k2).alias("k2"), guard(F.exp(-k2 / 2)).alias("p_value"))
 
 
 # ---------------------------------------------------------------------------

@@ -279,9 +279,10 @@ c AS (SELECT s.sample, s.grp, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(po
              avg(power(x - mu, 4)) AS m4 FROM s JOIN m USING (sample, grp) GROUP BY ALL),
 g AS (SELECT sample, grp, n, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3.0 AS kurt FROM c),
 z AS (SELECT sample, grp, n, skew, kurt, {zs} AS z_skew, {zk} AS z_kurt FROM g)
-SELECT sample, grp, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(z_skew, 6) AS z_skew,
-       round(z_kurt, 6) AS z_kurt, round(z_skew * z_skew + z_kurt * z_kurt, 6) AS k2,
-       round(exp(-(z_skew * z_skew + z_kurt * z_kurt) / 2), 6) AS p_value FROM z"""
+SELECT sample, grp, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt,
+       CASE WHEN n >= 8 THEN round(z_skew, 6) END AS z_skew, CASE WHEN n >= 8 THEN round(z_kurt, 6) END AS z_kurt,
+       CASE WHEN n >= 8 THEN round(z_skew * z_skew + z_kurt * z_kurt, 6) END AS k2,
+       CASE WHEN n >= 8 THEN round(exp(-(z_skew * z_skew + z_kurt * z_kurt) / 2), 6) END AS p_value FROM z"""
 
 
 _k2_body = _k2_sql()

@@ -99,3 +99,9 @@ def test_pluggable_tokenizer(spark):
                                   "conv_id long, turn long, role string, text string")
     r = CS.example_stats(turns, tok=chars).collect()[0]
     assert r.n_tokens == (3 + 4 + 4) + (3 + 9 + 2) + 3 and r.n_assistant_tokens == 2
+
+
+def test_empty_chat_set(spark):
+    stats = spark.createDataFrame([], "conv_id long, n_tokens long")
+    r = CS.billing_estimate(stats).collect()[0]
+    assert r.n_examples == 0 and r.n_epochs is None
