@@ -150,7 +150,7 @@ def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: st
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.greatest(F.col("u1"), n1 * n2 - F.col("u1"))
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     z = F.try_divide(u - n1 * n2 / 2.0 - 0.5, sigma)
     return agg.select(test_col, "n1", "n2", "u1", u.alias("u"), "tie_term", z.alias("z"))
 
