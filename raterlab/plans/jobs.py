@@ -85,9 +85,17 @@ def run_inference(spark: SparkSession, publications: DataFrame, splits: DataFram
 
 def evaluate(spark: SparkSession, truth: DataFrame, predictions: DataFrame, publications: DataFrame,
              report_dir: str | None = None, penalty: str = "original", strict_alignment: bool = True) -> DataFrame:
-    """Validate, align (V8 gate), metric row per run, mean ± 3·std per approach."""
+    """Validate, align (V8 gate), metric row per run, mean ± 3·std per approach.
+
+    With the gate on, the validated predictions (text already dropped) have two
+    consumers; they are checkpointed to ``spark.checkpoint.dir`` once so the text
+    join and validation run a single time and the lineage is cut.
+    """
     valid = V.expand_baseline(V.validate_predictions(predictions, publications))
     if strict_alignment:
+        from raterlab.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        valid = valid.checkpoint(eager=True)
         E.check_alignment(E.alignment_gaps(truth, valid))
     report = E.evaluation_report(E.run_cells(E.align(truth, valid)), penalty)
     summary = E.report_mean_3std(report)

@@ -19,6 +19,15 @@ def test_evaluate_through_files_matches_registered_query(spark, tmp_out):
     preds = SRC.predictions(spark, res)
     got = J.evaluate(spark, X.evaluation_truth(spark, SF_SMALL), preds, X.publications(spark, SF_SMALL),
                      report_dir=os.path.join(tmp_out, "report"), strict_alignment=False)
+    # with the gate on, the fixture's extra predictions (the 70 head publications) are reported
+    import pytest
+    with pytest.raises(ValueError, match="not aligned"):
+        J.evaluate(spark, X.evaluation_truth(spark, SF_SMALL), preds, X.publications(spark, SF_SMALL))
+    # restricted to the evaluation split, the gate passes and the report is unchanged
+    from raterlab.operators import splits as SP2
+    ev = SP2.in_date_split(preds, X.publications(spark, SF_SMALL), "evaluation")
+    gated = J.evaluate(spark, X.evaluation_truth(spark, SF_SMALL), ev, X.publications(spark, SF_SMALL))
+    assert sorted(map(tuple, gated.collect())) == sorted(map(tuple, got.select(*gated.columns).collect()))
     want = entry.queries()["report_mean_3std"](spark, SF_SMALL)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     assert os.path.isdir(os.path.join(tmp_out, "report", "report_all"))
