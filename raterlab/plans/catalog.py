@@ -888,3 +888,26 @@ def chi2_pvalue(spark, d):
 def mann_whitney_pvalue(spark, d):
     """A18 with its two-sided p-value (Arrow UDF on the result rows)."""
     return rounded(HY.with_mann_whitney_p(HY.mann_whitney(_mw_samples(spark, d), "test", "side", "x", buckets=8)))
+
+
+@register("stream_validation", O.sql(
+    f"SELECT {RUN}, id, emotion, emotion_class, trigger_level, failed FROM validf", "validf"))
+def stream_validation(spark, d):
+    """T1 for validation: prediction files land in two drops (baseline runs, then the
+    rest) and are validated by a Structured Streaming job (stream-static text join,
+    file sink); the result must equal batch validation."""
+    import uuid
+
+    from raterlab.session import checkpoint_path
+    from raterlab.sources import sinks as SNK2
+    from raterlab.streaming import incremental as INC
+    base = checkpoint_path(spark, f"stream-validation-{uuid.uuid4().hex}")
+    src, out, ck = f"{base}/predictions", f"{base}/validated", f"{base}/ckpt"
+    preds = X.predictions(spark, d)
+    pubs = X.publications(spark, d)
+    for cond in (F.col("approach") == K.BASELINE_APPROACH, F.col("approach") != K.BASELINE_APPROACH):
+        SNK2.results_json(preds.filter(cond).withColumn("id", F.col("id").cast("string")), src)
+        INC.run_until_idle(INC.start_validation(spark, src, pubs.withColumn("id", F.col("id").cast("string")), out, ck))
+    v = spark.read.parquet(out)
+    return v.select("approach", "persona", F.col("seed").cast("int").alias("seed"), F.col("id").cast("bigint").alias("id"),
+                    "emotion", "emotion_class", "trigger_level", "failed")
