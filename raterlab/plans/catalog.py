@@ -911,3 +911,53 @@ def stream_validation(spark, d):
     v = spark.read.parquet(out)
     return v.select("approach", "persona", F.col("seed").cast("int").alias("seed"), F.col("id").cast("bigint").alias("id"),
                     "emotion", "emotion_class", "trigger_level", "failed")
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks round trips on the real texts
+# ---------------------------------------------------------------------------
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from raterlab.session import checkpoint_path
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("publications_csv_roundtrip", O.sql(
+    "SELECT CAST(id AS VARCHAR) AS id, text, date, CAST(length(text) AS INT) AS n_chars FROM pubs", "pubs"))
+def publications_csv_roundtrip(spark, d):
+    """Publications written as CSV (quotes doubled, newlines inside fields) and read
+    back with the declared schema."""
+    from raterlab.sources import files as SRC2
+    path = _scratch(spark, "pubs-csv")
+    pubs = X.publications(spark, d).select(F.col("id").cast("string").alias("id"), "text", "date")
+    pubs.write.option("header", True).option("escape", '"').csv(path)
+    back = SRC2.publications_csv(spark, path)
+    return back.select("id", "text", "date", F.length("text").alias("n_chars"))
+
+
+@register("annotation_csv_roundtrip", O.sql(f"""
+SELECT created_by, CAST(id AS VARCHAR) AS id, split_name, CAST(to_json(context) AS VARCHAR) AS context,
+  CAST(to_json(context_locations) AS VARCHAR) AS context_locations
+FROM ann JOIN split USING (id)""", "ann", "split"))
+def annotation_csv_roundtrip(spark, d):
+    """K1 → S2: annotation splits written as CSV with Python-literal list columns (one
+    folder per annotator and split) and parsed back (F3)."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "ann-csv")
+    ann = X.annotations(spark, d)
+    split = SP.date_split(X.publications(spark, d))
+    flat = ann.join(split, "id").select(
+        "emotion", "emotion_class", F.col("trigger_level").cast("string").alias("trigger_level"), "context",
+        "context_locations", "description", "created_at", "created_by", "text",
+        F.col("id").cast("string").alias("id"), "split_name")
+    SNK2.annotation_splits(flat, path, fmt="csv")
+    back = spark.read.option("basePath", path).schema(
+        "emotion string, emotion_class string, trigger_level string, context string, context_locations string, "
+        "description string, created_at string, text string, id string, created_by string, split_name string") \
+        .option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    back = (back.withColumn("context", TX.parse_python_list(F.col("context")))
+                .withColumn("context_locations", TX.parse_python_spans(F.col("context_locations"))))
+    return back.select("created_by", "id", "split_name", F.to_json("context").alias("context"),
+                       F.to_json("context_locations").alias("context_locations"))
