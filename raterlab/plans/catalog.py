@@ -953,11 +953,6 @@ def annotation_csv_roundtrip(spark, d):
         "context_locations", "description", "created_at", "created_by", "text",
         F.col("id").cast("string").alias("id"), "split_name")
     SNK2.annotation_splits(flat, path, fmt="csv")
-    back = spark.read.option("basePath", path).schema(
-        "emotion string, emotion_class string, trigger_level string, context string, context_locations string, "
-        "description string, created_at string, text string, id string, created_by string, split_name string") \
-        .option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    back = (back.withColumn("context", TX.parse_python_list(F.col("context")))
-                .withColumn("context_locations", TX.parse_python_spans(F.col("context_locations"))))
+    back = SRC2.annotation_split_csv(spark, path)   # created_by / split_name come from the folders
     return back.select("created_by", "id", "split_name", F.to_json("context").alias("context"),
                        F.to_json("context_locations").alias("context_locations"))
