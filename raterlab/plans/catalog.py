@@ -271,23 +271,24 @@ def _k2_sql() -> str:
     a = f"(6.0 + 8.0 / {sb1} * (2.0 / {sb1} + sqrt(1 + 4.0 / ({sb1} * {sb1}))))"
     den = f"(1 + {xk} * sqrt(2.0 / ({a} - 4)))"
     zk = f"(((1 - 2.0 / (9 * {a})) - sign({den}) * cbrt((1 - 2.0 / {a}) / abs({den}))) / sqrt(2.0 / (9 * {a})))"
-    return f"""
-WITH s AS (SELECT 'events' AS sample, event_type AS grp, CAST(value AS DOUBLE) AS x FROM events
-           UNION ALL SELECT 'levels', rater, CAST(trigger_level AS DOUBLE) FROM ann),
-m AS (SELECT sample, grp, avg(x) AS mu FROM s GROUP BY ALL),
-c AS (SELECT s.sample, s.grp, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3,
-             avg(power(x - mu, 4)) AS m4 FROM s JOIN m USING (sample, grp) GROUP BY ALL),
-g AS (SELECT sample, grp, n, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3.0 AS kurt FROM c),
-z AS (SELECT sample, grp, n, skew, kurt, {zs} AS z_skew, {zk} AS z_kurt FROM g)
+    extra = [
+        ("s", "SELECT 'events' AS sample, event_type AS grp, CAST(value AS DOUBLE) AS x FROM events "
+              "UNION ALL SELECT 'levels', rater, CAST(trigger_level AS DOUBLE) FROM ann"),
+        ("m", "SELECT sample, grp, avg(x) AS mu FROM s GROUP BY ALL"),
+        ("c", "SELECT s.sample, s.grp, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3, "
+              "avg(power(x - mu, 4)) AS m4 FROM s JOIN m USING (sample, grp) GROUP BY ALL"),
+        ("g", "SELECT sample, grp, n, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3.0 AS kurt FROM c"),
+        ("z", f"SELECT sample, grp, n, skew, kurt, {zs} AS z_skew, {zk} AS z_kurt FROM g"),
+    ]
+    body = """
 SELECT sample, grp, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt,
        CASE WHEN n >= 8 THEN round(z_skew, 6) END AS z_skew, CASE WHEN n >= 8 THEN round(z_kurt, 6) END AS z_kurt,
        CASE WHEN n >= 8 THEN round(z_skew * z_skew + z_kurt * z_kurt, 6) END AS k2,
        CASE WHEN n >= 8 THEN round(exp(-(z_skew * z_skew + z_kurt * z_kurt) / 2), 6) END AS p_value FROM z"""
+    return O.sql(body, "ann", extra=extra)
 
 
-_k2_body = _k2_sql()
-_k2_ctes = O.sql("SELECT 1", "ann")
-ORACLE_K2 = _k2_ctes.replace("\nSELECT 1", "").replace("WITH ", "WITH ", 1) + ",\n" + _k2_body.strip()[len("WITH "):]
+ORACLE_K2 = _k2_sql()
 
 
 @register("normality_k2", ORACLE_K2)
@@ -308,17 +309,23 @@ def _mw_samples(spark, d):
 
 
 _MW_SQL = O.sql("""
-, s AS (SELECT 'quantity_R_vs_rest' AS test, CASE WHEN l_returnflag = 'R' THEN 'a' ELSE 'b' END AS side, CAST(l_quantity AS DOUBLE) AS x FROM lineitem
-        UNION ALL SELECT 'value_purchase_vs_rest', CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'b' END, CAST(value AS DOUBLE) FROM events
-        UNION ALL SELECT 'level_rater_a_vs_b', rater, CAST(trigger_level AS DOUBLE) FROM ann),
-h AS (SELECT test, x, count(*) FILTER (WHERE side = 'a') AS na, count(*) FILTER (WHERE side = 'b') AS nb FROM s GROUP BY ALL),
-hc AS (SELECT *, COALESCE(sum(nb) OVER (PARTITION BY test ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_nb FROM h),
-agg AS (SELECT test, CAST(sum(na) AS BIGINT) AS n1, CAST(sum(nb) AS BIGINT) AS n2, sum(na * (before_nb + nb / 2.0)) AS u1,
-               sum(power(CAST(na + nb AS DOUBLE), 3) - (na + nb)) AS tie_term FROM hc GROUP BY test),
-u AS (SELECT *, greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) AS u, CAST(n1 + n2 AS DOUBLE) AS n FROM agg)
 SELECT test, n1, n2, round(u1, 6) AS u1, round(u, 6) AS u, round(tie_term, 6) AS tie_term,
   round((u - CAST(n1 AS DOUBLE) * n2 / 2.0 - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))), 6) AS z
-FROM u""", "ann").replace("\n\n, s AS", ",\ns AS").replace(")\n, s AS", "),\ns AS")
+FROM u""", "ann", extra=[
+    ("s", "SELECT 'quantity_R_vs_rest' AS test, CASE WHEN l_returnflag = 'R' THEN 'a' ELSE 'b' END AS side, "
+          "CAST(l_quantity AS DOUBLE) AS x FROM lineitem "
+          "UNION ALL SELECT 'value_purchase_vs_rest', CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'b' END, "
+          "CAST(value AS DOUBLE) FROM events "
+          "UNION ALL SELECT 'level_rater_a_vs_b', rater, CAST(trigger_level AS DOUBLE) FROM ann"),
+    ("h", "SELECT test, x, count(*) FILTER (WHERE side = 'a') AS na, count(*) FILTER (WHERE side = 'b') AS nb "
+          "FROM s GROUP BY ALL"),
+    ("hc", "SELECT *, COALESCE(sum(nb) OVER (PARTITION BY test ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING "
+           "AND 1 PRECEDING), 0) AS before_nb FROM h"),
+    ("agg", "SELECT test, CAST(sum(na) AS BIGINT) AS n1, CAST(sum(nb) AS BIGINT) AS n2, "
+            "sum(na * (before_nb + nb / 2.0)) AS u1, sum(power(CAST(na + nb AS DOUBLE), 3) - (na + nb)) AS tie_term "
+            "FROM hc GROUP BY test"),
+    ("u", "SELECT *, greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) AS u, CAST(n1 + n2 AS DOUBLE) AS n FROM agg"),
+])
 
 
 @register("mann_whitney", _MW_SQL)
@@ -605,15 +612,18 @@ def zero_shot_prompts(spark, d):
     return g.select("persona", "id", F.md5(F.to_json(m)).alias("messages_md5"), F.length("text").alias("n_chars"))
 
 
+_SHOTS = (f"SELECT persona, flatten(list([{{'role': 'user', 'content': input}}, "
+          f"{{'role': 'assistant', 'content': output}}] ORDER BY date, id)) AS shots "
+          f"FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date, id) AS rn FROM fs) r "
+          f"WHERE rn <= {K.FEW_SHOT_EXAMPLES} GROUP BY persona")
+
+
 @register("few_shot_prompts", O.sql(f"""
-, shots AS (SELECT persona, flatten(list([{{'role': 'user', 'content': input}}, {{'role': 'assistant', 'content': output}}] ORDER BY date, id)) AS shots
-           FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date, id) AS rn FROM fs) r
-           WHERE rn <= {K.FEW_SHOT_EXAMPLES} GROUP BY persona)
 SELECT p.persona, u.id, CAST(len(s.shots) + 2 AS INT) AS n_messages,
   md5(CAST(to_json(list_concat([{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', p.narrative)}}], s.shots,
       [{{'role': 'user', 'content': replace({USR_TPL}, '{K.PUBLICATION_TOKEN}', u.text)}}])) AS VARCHAR)) AS messages_md5
-FROM evalpubs u CROSS JOIN personas p JOIN shots s ON s.persona = p.persona""", "evalpubs", "personas", "fs")
-    .replace("\n\n, shots AS", ",\nshots AS").replace(")\n, shots AS", "),\nshots AS"))
+FROM evalpubs u CROSS JOIN personas p JOIN shots s ON s.persona = p.persona""", "evalpubs", "personas", "fs",
+    extra=[("shots", _SHOTS)]))
 def few_shot_prompts(spark, d):
     table = PR.few_shot_table(X.personas(spark), X.few_shot_examples(spark, d))
     g = PR.persona_grid(_eval_pubs(spark, d), table, persona_cols=("persona", "narrative", "shots"))
@@ -719,28 +729,32 @@ def _stop(spark, d):
     return TM.corpus_stopwords(X.read(spark, d, "documents"))
 
 
-@register("term_frequencies", O.sql(f"""
-, tf AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(
-            array_to_string(list_transform(ovl, lambda s: substring(text, s['start'] + 1, s['end'] - s['start'] + 1)), ' ')),
-            {O._q(_WORD)})) AS term FROM ov) t
-         WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY term)
+_TF_OVERLAP = ("SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(array_to_string("
+               "list_transform(ovl, lambda s: substring(text, s['start'] + 1, s['end'] - s['start'] + 1)), ' ')), "
+               f"{O._q(_WORD)})) AS term FROM ov) t "
+               "WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY term")
+
+
+@register("term_frequencies", O.sql("""
 SELECT term, n, rank, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS rel_freq
-FROM (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""", "ov", "stop")
-    .replace("\n\n, tf AS", ",\ntf AS").replace(")\n, tf AS", "),\ntf AS"))
+FROM (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""",
+    "ov", "stop", extra=[("tf", _TF_OVERLAP)]))
 def term_frequencies(spark, d):
     ot = AG.overlap_text(AG.span_pairs_overlap(_pairs(spark, d)))
     r = TM.term_frequencies(ot, "overlap_text", _stop(spark, d))
     return rounded(r.select("term", "n", F.col("rank").cast("bigint").alias("rank"), "rel_freq"))
 
 
-@register("trigger_terms", O.sql(f"""
-, tf AS (SELECT persona, term, count(*) AS n FROM (
-            SELECT persona, unnest(regexp_extract_all(lower(array_to_string(context, ' ')), {O._q(_WORD)})) AS term
-            FROM annp WHERE emotion_class = 'negative' AND trigger_level IN (4, 5)) t
-         WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY ALL)
+_TF_TRIGGERS = ("SELECT persona, term, count(*) AS n FROM (SELECT persona, unnest(regexp_extract_all("
+                f"lower(array_to_string(context, ' ')), {O._q(_WORD)})) AS term FROM annp "
+                "WHERE emotion_class = 'negative' AND trigger_level IN (4, 5)) t "
+                "WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM stop) GROUP BY ALL")
+
+
+@register("trigger_terms", O.sql("""
 SELECT persona, term, n, rank, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY persona), 6) AS rel_freq
 FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""",
-    "annp", "stop").replace("\n\n, tf AS", ",\ntf AS").replace(")\n, tf AS", "),\ntf AS"))
+    "annp", "stop", extra=[("tf", _TF_TRIGGERS)]))
 def trigger_terms(spark, d):
     a = X.annotations(spark, d).withColumn("persona", _persona_of(F.col("created_by")))
     a = a.filter((F.col("emotion_class") == "negative") & F.col("trigger_level").isin(4, 5))

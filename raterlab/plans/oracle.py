@@ -1,8 +1,9 @@
 """DuckDB SQL twins of the fixture views and metrics (the correctness oracle).
 
 Written independently of the Spark code, in plain SQL over the driver's
-pre-registered tables. ``sql(*ctes, body)`` assembles a WITH chain; every CTE
-lists the CTEs it needs so a query pulls in only what it uses.
+pre-registered tables. ``sql(body, *needs, extra=...)`` assembles a WITH chain from
+the shared CTEs a query needs (each shared CTE lists its own dependencies) plus
+query-local CTEs, so a query pulls in only what it uses.
 """
 
 from __future__ import annotations
@@ -309,8 +310,9 @@ FROM report r JOIN spanm s USING (approach, persona, seed)
 GROUP BY ALL""")
 
 
-def sql(body: str, *needs: str) -> str:
-    """Assemble ``WITH <needed CTEs in dependency order> <body>``."""
+def sql(body: str, *needs: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """Assemble ``WITH <needed CTEs in dependency order>, <extra CTEs> <body>``;
+    ``extra`` holds query-local CTEs as (name, body) pairs, in order."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -322,9 +324,9 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    if not order:
+    parts = [f"{n} AS ({CTE[n][1]}\n)" for n in order] + [f"{n} AS ({b}\n)" for n, b in (extra or [])]
+    if not parts:
         return body
-    parts = [f"{n} AS ({CTE[n][1]}\n)" for n in order]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
