@@ -7,13 +7,27 @@ sides so the engines' different summation orders do not show in the hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raterlab import constants as K
+from raterlab.functions import coerce as CO
+from raterlab.functions import text as TX
+from raterlab.functions import tokens as TK
+from raterlab.operators import agreement as AG
+from raterlab.operators import annotations as AN
+from raterlab.operators import costs as CS
+from raterlab.operators import describe as DS
 from raterlab.operators import evaluation as E
+from raterlab.operators import hypothesis as HY
+from raterlab.operators import prompts as PR
+from raterlab.operators import scoring as SC
+from raterlab.operators import splits as SP
+from raterlab.operators import terms as TM
 from raterlab.operators import validate as V
 from raterlab.plans import fixtures as X
 from raterlab.plans import oracle as O
@@ -174,12 +188,6 @@ FLAGSHIP = "weighted_prf_by_run"
 # ---------------------------------------------------------------------------
 # agreement notebook (E4): pairing, contingency, κ, χ², normality, Mann–Whitney
 # ---------------------------------------------------------------------------
-from raterlab.functions import text as TX  # noqa: E402
-from raterlab.operators import agreement as AG  # noqa: E402
-from raterlab.operators import describe as DS  # noqa: E402
-from raterlab.operators import hypothesis as HY  # noqa: E402
-from raterlab.functions import coerce as CO  # noqa: E402
-import hashlib  # noqa: E402
 
 RATER_A = hashlib.md5(b"rater_a").hexdigest()[:8]
 RATER_B = hashlib.md5(b"rater_b").hexdigest()[:8]
@@ -452,9 +460,6 @@ def overlap_text(spark, d):
 # ---------------------------------------------------------------------------
 # preparation (E3): export flattening, splits, descriptions, parsing
 # ---------------------------------------------------------------------------
-from raterlab.operators import annotations as AN  # noqa: E402
-from raterlab.operators import splits as SP  # noqa: E402
-from raterlab.functions import coerce as CO  # noqa: E402
 
 O.cte("flat", ["ann"], f"""
 SELECT created_by, CAST(id AS VARCHAR) AS id, CASE WHEN rater = 'b' AND length(text) < {X.SHORT_TEXT} THEN NULL ELSE emotion END AS emotion,
@@ -562,12 +567,6 @@ def flatten_output_json(spark, d):
 # ---------------------------------------------------------------------------
 # prompts, examples, token costs, terms
 # ---------------------------------------------------------------------------
-from raterlab import constants as K  # noqa: E402
-from raterlab.operators import costs as CS  # noqa: E402
-from raterlab.operators import prompts as PR  # noqa: E402
-from raterlab.operators import scoring as SC  # noqa: E402
-from raterlab.operators import terms as TM  # noqa: E402
-from raterlab.functions import tokens as TK  # noqa: E402
 
 SYS_TPL = O._q(K.EVALUATE_TEMPLATE[0][1])
 USR_TPL = O._q(K.EVALUATE_TEMPLATE[1][1])
