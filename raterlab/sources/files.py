@@ -79,13 +79,16 @@ def prompt_template(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 def chat_examples(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines chat examples ``{"messages": [...]}``, with the file position
-    (``pos``) needed for "first N examples" semantics."""
+    (``pos``) needed for "first N examples" semantics. ``pos`` increases with the line
+    order inside a file split; example files are far below one split (128 MB), so it
+    is the line order of the file."""
     df = spark.read.schema(S.CHAT_EXAMPLE).json(path)
     return df.withColumn("_file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
 
 
 def descriptions_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """Optional per-annotator description file; ``None`` when absent."""
+    """Optional per-annotator description file; ``None`` when absent. ``pos``
+    (line order within a file split) drives the keep-first de-duplication (D1)."""
     try:
         return publications_csv(spark, path, S.DESCRIPTIONS).withColumn("pos", F.monotonically_increasing_id())
     except Exception:  # noqa: BLE001 — file absent → input unchanged downstream
