@@ -55,3 +55,59 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     found = found.withColumn("probe", F.when(F.col(f"hot_{size}").isNull(), F.col(key)).otherwise(spread))
     out = found.join(cold, F.col("probe") == F.col("cold_key"), "left")
     return out.select(*rows.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in facts])
+
+
+def kept_by_worker(key: str, make):
+    """``make()``, once per Python worker process rather than once per task: workers are reused,
+    and what a task has learnt (vocabulary tables, words seen) serves the next one."""
+    import sys
+    import types
+    home = sys.modules.setdefault("_raterlab_worker", types.ModuleType("_raterlab_worker"))
+    if getattr(home, "key", None) != key:
+        home.key, home.value = key, make()
+    return home.value
+
+
+#: Python operators look at this many characters of text at a time.
+SLICE_CHARS = 1 << 20
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, worker) -> DataFrame:
+    """``keep`` columns of ``docs`` plus ``fields`` (a DDL list) computed from the whole texts.
+
+    ``worker()`` runs once per task and returns a function from a list of texts (null: empty)
+    to one list per field. Rows stream through in slices of about SLICE_CHARS characters, so
+    memory is bounded by the longest text. A kept column named like a new field is replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    keep = [c for c in keep if c not in new.names]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
+    schema = StructType([source.schema[c] for c in keep] + new.fields)
+    types = [f.type for f in to_arrow_schema(new)]
+    names = schema.names
+
+    def run(batches):
+        compute = worker()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            start, size = 0, 0
+            ends = []
+            lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+            for i, n in enumerate(lengths):
+                if size and size + n > SLICE_CHARS:
+                    ends.append(i)
+                    size = 0
+                size += n
+            for end in [*ends, batch.num_rows]:
+                part = batch.slice(start, end - start)
+                start = end
+                values = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                columns = [c for c in part.columns[:-1]]
+                columns += [pa.array(v, type=t) for v, t in zip(compute(values), types)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return source.mapInArrow(run, schema)
