@@ -57,6 +57,55 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return out.select(*rows.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in facts])
 
 
+#: Words of 64 bits of a membership filter, at most (4 MB).
+MAX_FILTER_WORDS = 1 << 19
+FILTER_HASHES = 3
+
+
+def _filter_cells(keys: list[bytes], words: int):
+    """Three cells per key (keys are digests, so their bytes are already random)."""
+    import numpy as np
+    raw = np.frombuffer(b"".join(k[:16] for k in keys), "<u8").reshape(-1, 2)
+    cells = words * 64
+    return [((raw[:, 0] + np.uint64(i) * raw[:, 1]) % np.uint64(cells)).astype(np.int64) for i in range(FILTER_HASHES)]
+
+
+def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
+    """A Bloom filter over the 16-byte digests in ``key``, at most MAX_FILTER_WORDS longs: each task
+    sets its own bits, equal words are combined in a shuffle, and only the filter reaches the driver."""
+    import numpy as np
+    want = max(64, rows.count() // 4)
+    words = min(MAX_FILTER_WORDS, 1 << (want - 1).bit_length())
+
+    def run(batches):
+        import pyarrow as pa
+        bits = np.zeros(words, np.uint64)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            if keys:
+                for cell in _filter_cells(keys, words):
+                    np.bitwise_or.at(bits, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
+    held = rows.select(key).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(words, np.int64)
+    for word, value in held.toLocalIterator():
+        out[word] = value
+    return out.tobytes(), words
+
+
+def test_bits(bits: bytes, words: int, keys: list[bytes]) -> list[bool]:
+    """Whether each key may be in the filter."""
+    import numpy as np
+    table = np.frombuffer(bits, np.uint64)
+    if not keys:
+        return []
+    found = np.ones(len(keys), bool)
+    for cell in _filter_cells(keys, words):
+        found &= (table[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found.tolist()
+
+
 def kept_by_worker(key: str, make):
     """``make()``, once per Python worker process rather than once per task: workers are reused,
     and what a task has learnt (vocabulary tables, words seen) serves the next one."""
