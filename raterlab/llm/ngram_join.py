@@ -34,7 +34,7 @@ from raterlab.llm.components import components
 WORDS = 5
 #: A shingle that more sets hold is common: its list is not looked up where rarer ones serve.
 HOT = 64
-#: Pivots per list, and rounds of linking to pivots.
+#: Pivots per list, and rounds of linking to pivots at most.
 PIVOTS, ROUNDS = 2, 4
 _KEY = "0123456789abcdef"
 
@@ -116,36 +116,69 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch_table(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def stored_length(n):
+    """Shingles kept of a set of n: its prefix and a quarter more, to lengthen it without the text."""
+    p = prefix_length(n)
+    return min(n, p + p // 4 + 16)
+
+
+def _common(rows: DataFrame, *looked_up: DataFrame) -> DataFrame:
+    """Shingles that more than HOT of ``rows`` have and that no set of ``looked_up`` is looked up by:
+    a shingle is common for all sets or for none."""
+    common = rows.groupBy("token").count().filter(F.col("count") > HOT).select("token")
+    for others in looked_up:
+        common = scratch_table(common, "common")
+        common = common.join(scratch_table(others.join(common, "token").select("token").distinct(), "rare"),
+                             "token", "left_anti")
+    return common
+
+
+def _lengthened(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """``rows`` (token, node, n) with hot and place: the order of each set's shingles, common ones last."""
+    flagged = rows.join(common.withColumn("hot", F.lit(True)), "token", "left")
+    flagged = flagged.withColumn("hot", F.coalesce("hot", F.lit(False)))
+    order = Window.partitionBy("node").orderBy("hot", "token")
+    return flagged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _prefix(F.col("n")))
+
+
 def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     """(token, node, n): what each set is looked up by, without shingles that one set alone has."""
-    base = classes.select("node", "n", F.explode("prefix").alias("token"))
+    base = classes.select("node", "n", F.explode(F.expr("slice(prefix, 1, int(n - floor((4 * n + 4) / 5) + 1))")).alias("token"))
     counts = scratch_table(base.groupBy("token").count().filter("count > 1"), "counts")
     hot = counts.filter(F.col("count") > HOT).select("token")
     warm = scratch_table(base.join(hot, "token").select("node").distinct(), "warm")
-    # sets with common shingles: all their shingles, to know the common ones among them
-    whole = _whole_sets(docs, text_col, classes, warm)
-    every = whole.select("node", "n", F.explode("tokens").alias("token"))
-    common = every.groupBy("token").count().filter(F.col("count") > HOT).select("token")
-    # a shingle is common for all sets or for none: those that other sets look up stay rare
     others = base.join(warm, "node", "left_anti")
-    common = scratch_table(common.join(others.select("token"), "token", "left_anti").unionByName(hot).distinct(), "common")
-    flagged = every.join(common.withColumn("hot", F.lit(True)), "token", "left")
-    order = Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(False)), "token")
-    long_prefix = flagged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _prefix(F.col("n")))
-    lengthened = scratch_table(long_prefix.select("token", "node", "n"), "lengthened")
-    looked_up = counts.select("token").unionByName(lengthened.select("token")).distinct()
-    plain = others.join(looked_up, "token", "left_semi").select("token", "node", "n")
-    return scratch_table(plain.unionByName(lengthened), "index")
-
-
-def _star_pairs(index: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each looked-up shingle's sets with a pivot among those of similar size and another component."""
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.25) + seed / 2.0)
-    rows = index.withColumn("band", band)
-    mixed = F.xxhash64("node", F.lit(seed))
-    pivots = rows.groupBy("token", "band").agg(F.min(F.struct(mixed.alias("h"), "node", "n", "component")).alias("pivot"),
-                                               F.min("component").alias("lo"), F.max("component").alias("hi"))
-    pivots = pivots.filter("lo <> hi").select("token", "band", "pivot")
+    # sets with common shingles look further into what is stored of them
+    stored = classes.join(warm, "node").select("node", "n", F.explode("prefix").alias("token"))
+    common = scratch_table(_common(stored, others).unionByName(hot).distinct(), "common")
+    longer = scratch_table(_lengthened(stored, common), "longer")
+    short_of = longer.groupBy("node").agg(F.count_if("hot").alias("h"), F.count("*").alias("c"), F.first("n").alias("n"))
+    short_of = scratch_table(short_of.filter((F.col("h") > 0) | (F.col("c") < _prefix(F.col("n")))).select("node"), "short")
+    longer = longer.join(short_of, "node", "left_anti").select("token", "node", "n")
+    # the few that have too few rare shingles there look into all of theirs
+    whole = _whole_sets(docs, text_col, classes, short_of).select("node", "n", F.explode("tokens").alias("token"))
+    common = scratch_table(_common(whole, others, longer).unionByName(common).distinct(), "common")
+    last = _lengthened(whole, common).select("token", "node", "n")
+    longer = scratch_table(longer.unionByName(last), "longer")
+    plain = others.join(counts.select("token").unionByName(longer.select("token")), "token", "left_semi")
+    return _shared(scratch_table(plain.select("token", "node", "n").unionByName(longer)
+                                 .withColumn("component", F.col("node")), "index"))
+
+
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows of shingles whose sets lie in several components; the others can link nothing new."""
+    several = index.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return scratch_table(index.join(several.filter("lo <> hi").select("token"), "token"), "index")
+
+
+def _star_pairs(index: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each looked-up shingle's sets with two pivots among those of similar size and another component."""
+    rows = index.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.25) + turn / 2.0))
+    best = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "node", "n", "component"))
+            for k in range(PIVOTS)]
+    pivots = rows.groupBy("token", "band").agg(F.array(*best).alias("pivots"), F.min("component").alias("lo"),
+                                               F.max("component").alias("hi"))
+    pivots = pivots.filter("lo <> hi").select("token", "band", F.explode(F.array_distinct("pivots")).alias("pivot"))
     pairs = rows.join(pivots, ["token", "band"]).filter("component <> pivot.component")
     n1, n2 = F.col("n1"), F.col("n2")
     pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"),
@@ -175,8 +208,8 @@ def _cross_pairs(index: DataFrame) -> DataFrame:
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
-    return scratch_table(index.drop("component").join(found, "node", "left")
-                         .withColumn("component", F.coalesce("component", "node")), "labelled")
+    return _shared(index.drop("component").join(found, "node", "left")
+                   .withColumn("component", F.coalesce("component", "node")))
 
 
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +224,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         def compute(texts):
             sets = [shingles(t) for t in texts]
             return [[len(s) for s in sets], [signature(s) for s in sets],
-                    [s[:prefix_length(len(s))] if len(s) else None for s in sets]]
+                    [s[:stored_length(len(s))] if len(s) else None for s in sets]]
         return compute
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary", sets_of), "members")
@@ -199,26 +232,23 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = firsts.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = scratch_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    index = scratch_table(_index(ids, "text", classes).withColumn("component", F.col("node")), "labelled")
+    index = _index(ids, "text", classes)
     links = None
     for turn in range(ROUNDS):
-        pairs = _star_pairs(index, PIVOTS * turn)
-        for k in range(1, PIVOTS):
-            pairs = pairs.unionByName(_star_pairs(index, PIVOTS * turn + k))
-        pairs = scratch_table(pairs.distinct(), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        pairs = scratch_table(_star_pairs(index, turn), "pairs")
         if turn == 0:
             # later rounds pair the same sets anew; pairs of others are left to the last step
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             sets = _whole_sets(ids, "text", classes, nodes)
         found = _verified(pairs, sets)
-        fresh = found.count()
         links = found if links is None else links.unionByName(found)
+        fresh = found.count()
         if fresh:
             index = _labelled(index, links)
-        if fresh < max(100, 0.02 * sets.count()):
+        if fresh <= sets.count() // 50:
             break
     pairs = scratch_table(_cross_pairs(index), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", classes, nodes)))
 
     # the smallest doc_id of a component, from the smallest of each class
