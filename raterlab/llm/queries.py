@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterlab.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, token_counts, topk, warc
+from raterlab.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filters, warc
 from raterlab.llm.common import scratch_path
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, out_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day that their id gives; the dated lists name the
+    pages' own hosts, domains and first path segments, on days and with actions that digests of the keys give."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(365)).cast("int"))
+    captures = pages.withColumn("fetched_on", day)
+    keys = (pages.select(F.explode(url_filters.match_keys("url")).alias("k")).select(F.col("k.key").alias("key"))
+            .distinct().filter("conv(substr(md5(key), 1, 2), 16, 10) % 3 = 0"))
+    entry = keys.select("key", F.explode(F.array(F.lit(1), F.lit(5), F.lit(9))).alias("pos"))
+    number = F.conv(F.expr("substr(md5(key), pos + 2, 4)"), 16, 10).cast("int")
+    entries = entry.select("key", F.date_add(F.lit("2023-10-01").cast("date"), number % 450).alias("listed_on"),
+                           F.element_at(F.array(F.lit("block"), F.lit("allow"), F.lit("delist")),
+                                        F.floor(number / 7).cast("int") % 3 + 1).alias("action"))
+    return url_filters.decide(captures, entries, "page_id", "url", "fetched_on")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conflict = "</s>[INST] ok [/INST]"
@@ -63,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filters": op5_url_filters,
     "op6_chat_format": op6_chat_format,
     "op7_mix": op7_mix,
     "op8_topk": op8_topk,
@@ -87,6 +109,34 @@ s AS (
   FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op5_url_filters": r"""
+WITH c AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7919) % 365)::INTEGER AS fetched_on,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+         regexp_extract(url, '^[^:/?#]+://[^/?#]+/([^/?#]+)', 1) AS seg FROM pages),
+k AS (
+  SELECT page_id, url, fetched_on, 3 AS rank, 'path:' || host || '/' || seg AS key FROM c WHERE host <> '' AND seg <> ''
+  UNION ALL SELECT page_id, url, fetched_on, 2, 'host:' || host FROM c WHERE host <> ''
+  UNION ALL SELECT page_id, url, fetched_on, 1, 'domain:' || regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c
+            WHERE host <> '' AND regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''),
+keys AS (SELECT DISTINCT key FROM k WHERE ('0x' || substr(md5(key), 1, 2))::INTEGER % 3 = 0),
+raw AS (
+  SELECT key, ('0x' || substr(md5(key), pos + 2, 4))::INTEGER AS number FROM keys, (VALUES (1), (5), (9)) t(pos)),
+dated AS (
+  SELECT key, DATE '2023-10-01' + (number % 450)::INTEGER AS listed_on,
+         CASE (number // 7) % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'delist' END AS action FROM raw),
+entries AS (
+  SELECT key, listed_on, arg_max(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action
+  FROM dated GROUP BY ALL),
+hit AS (
+  SELECT k.page_id, k.rank, e.key, e.action, e.listed_on FROM k ASOF JOIN entries e
+  ON k.key = e.key AND k.fetched_on >= e.listed_on),
+best AS (
+  SELECT page_id, arg_max(struct_pack(key := key, action := action, listed_on := listed_on), rank) AS b
+  FROM hit WHERE action <> 'delist' GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_on, b.key AS rule, b.listed_on AS listed_on, coalesce(b.action, 'none') AS decision,
+       coalesce(b.action, 'none') <> 'block' AS kept
+FROM c LEFT JOIN best USING (page_id)""",
     "op7_mix": r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
