@@ -9,27 +9,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raterlab.llm import exact_dedup, mixing
+from raterlab.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from raterlab.llm.common import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; the model is fitted on the labelled ones among them."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one with the smallest doc_id stays."""
+    return ngram_join.one_per_group(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns but the text, with n_tokens, ids (packed) and the text decoded from them."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_decode(docs, vocabulary, [c for c in docs.columns if c != "text"])
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_duplicates),
+    ("ngram_join", drop_near_duplicates),
     ("mixing", mix_sources),
+    ("bpe", tokenize),
 ]
 
 #: The toxicity model and the tokeniser are beyond SQL.
