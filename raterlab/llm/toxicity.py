@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = made.filter(f"fold <> {CALIBRATE}")
     if first.agg(F.countDistinct("label")).first()[0] < 2:
         return constant()
-    counter = CountVectorizer(inputCol="words", outputCol="features", minDF=3.0, vocabSize=1 << 17, binary=True)
+    counter = CountVectorizer(inputCol="words", outputCol="features", minDF=2.0, vocabSize=1 << 17, binary=True)
     try:
         vocabulary = counter.fit(first)
     except Exception as ex:
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             raise
         return constant()
     ready = vocabulary.transform(first).select("features", F.col("label").cast("double").alias("label"))
-    line = LogisticRegression(maxIter=25, regParam=0.01, standardization=False).fit(ready)
+    line = LogisticRegression(maxIter=30, regParam=0.001, standardization=False).fit(ready)
     values = line.coefficients.toArray()
     weights = {w: float(v) for w, v in zip(vocabulary.vocabulary, values) if abs(v) > 1e-3}
 
