@@ -35,7 +35,7 @@ WORDS = 5
 #: A shingle that more sets hold is common: its list is not looked up where rarer ones serve.
 HOT = 64
 #: Pivots per list, and rounds of linking to pivots at most.
-PIVOTS, ROUNDS = 2, 4
+PIVOTS, ROUNDS = 2, 8
 _KEY = "0123456789abcdef"
 
 
@@ -73,8 +73,11 @@ def needed(n1: Column, n2: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(4 * (n1 + n2) / 9) - beyond)
 
 
-def _fits(n1: Column, n2: Column) -> Column:
-    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1)
+def _matches(n1: Column, place1: Column, n2: Column, place2: Column) -> Column:
+    """Whether a shared shingle may make a pair. Similar sets share at least ``needed`` looked-up
+    shingles; the rarest of these has as many more frequent ones before it in either set but one."""
+    least = needed(n1, n2)
+    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (place1 >= least) & (place2 >= least)
 
 
 def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,8 +164,12 @@ def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     last = _lengthened(whole, common).select("token", "node", "n")
     longer = scratch_table(longer.unionByName(last), "longer")
     plain = others.join(counts.select("token").unionByName(longer.select("token")), "token", "left_semi")
-    return _shared(scratch_table(plain.select("token", "node", "n").unionByName(longer)
-                                 .withColumn("component", F.col("node")), "index"))
+    index = _shared(scratch_table(plain.select("token", "node", "n").unionByName(longer)
+                                  .withColumn("component", F.col("node")), "index"))
+    # a shingle's place among those its set is looked up by, most frequent first
+    often = index.groupBy("token").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("node").orderBy(F.desc("sets"), "token")
+    return scratch_table(index.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets"), "index")
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -174,36 +181,36 @@ def _shared(index: DataFrame) -> DataFrame:
 def _star_pairs(index: DataFrame, turn: int) -> DataFrame:
     """Pairs of each looked-up shingle's sets with two pivots among those of similar size and another component."""
     rows = index.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.25) + turn / 2.0))
-    best = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "node", "n", "component"))
+    best = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "node", "n", "place", "component"))
             for k in range(PIVOTS)]
     pivots = rows.groupBy("token", "band").agg(F.array(*best).alias("pivots"), F.min("component").alias("lo"),
                                                F.max("component").alias("hi"))
     pivots = pivots.filter("lo <> hi").select("token", "band", F.explode(F.array_distinct("pivots")).alias("pivot"))
     pairs = rows.join(pivots, ["token", "band"]).filter("component <> pivot.component")
-    n1, n2 = F.col("n1"), F.col("n2")
-    pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"),
-                         F.col("n").alias("n1"), F.col("pivot.n").alias("n2")).filter(_fits(n1, n2))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
-    return pairs.filter(F.col("c") >= needed(n1, n2)).select("a", "b")
+    pairs = pairs.filter(_matches(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place")))
+    return pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+
+
+def _unpaired(index: DataFrame) -> DataFrame:
+    """Per shingle of several components: its largest component, its sets and those outside that component."""
+    sizes = index.groupBy("token", "component").count()
+    largest = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("all"))
+    largest = largest.select("token", F.col("top.component").alias("top"), "all", (F.col("all") - F.col("top.count")).alias("outside"))
+    return largest.filter("outside > 0")
 
 
 def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs that share enough looked-up shingles and lie in different components. Per shingle,
+    """All pairs that may share enough looked-up shingles and lie in different components. Per shingle,
     one side is always outside its largest component, so that component is never paired with itself."""
-    sizes = index.groupBy("token", "component").count()
-    largest = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k"))
-    largest = largest.filter("k > 1").select("token", F.col("top.component").alias("top"))
-    rows = scratch_table(index.join(largest, "token"), "cross")
+    rows = scratch_table(index.join(_unpaired(index).select("token", "top"), "token"), "cross")
     one = rows.filter("component <> top").select("token", F.col("node").alias("x"), F.col("n").alias("n1"),
-                                                 F.col("component").alias("cx"))
-    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("component").alias("cy"),
-                      (F.col("component") == F.col("top")).alias("main"))
-    n1, n2 = F.col("n1"), F.col("n2")
+                                                 F.col("place").alias("p1"), F.col("component").alias("cx"))
+    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("place").alias("p2"),
+                      F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("main"))
     # a pair outside the largest component meets twice; it counts once
-    pairs = one.join(two, "token").filter("cx <> cy and (main or x < y)").filter(_fits(n1, n2))
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.count("*").alias("c"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
-    return pairs.filter(F.col("c") >= needed(n1, n2)).select("a", "b")
+    pairs = one.join(two, "token").filter("cx <> cy and (main or x < y)")
+    pairs = pairs.filter(_matches(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,7 +252,9 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         fresh = found.count()
         if fresh:
             index = _labelled(index, links)
-        if fresh <= sets.count() // 50:
+        # more pivots pay as long as they join sets and pairing what is left would cost more than the index
+        left = _unpaired(index).agg(F.sum(F.col("outside") * F.col("all"))).first()[0] or 0
+        if not fresh or left <= 4 * index.count():
             break
     pairs = scratch_table(_cross_pairs(index), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
