@@ -64,7 +64,7 @@ EVALUATE_TEMPLATE = [
      "(anger, fear, joy, love, sadness, surprise or undefined), whether that emotion is positive or "
      "negative, its strength from 1 to 5, the phrases of the text that cause it (a list of strings), "
      "and a short reason."),
-    ("user", "<PUBLICATION>: ```{PUBLICATION}```"),
+    ("user", "Here is the publication to label:\n```{PUBLICATION}```"),
 ]
 
 PERSONA_TEMPLATE = [

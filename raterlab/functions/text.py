@@ -13,13 +13,22 @@ def pseudonym(x: Column, n: int = C.PSEUDONYM_HEX_CHARS) -> Column:
     return F.substring(F.md5(F.coalesce(x.cast("string"), F.lit("None"))), 1, n)
 
 
+def _escape_controls(x: Column, form: str) -> Column:
+    """The remaining control characters written as ``form`` (e.g. ``\\u%04x``); most texts have none."""
+    esc = x
+    for code in range(32):
+        if chr(code) not in "\n\r\t":
+            esc = F.replace(esc, F.lit(chr(code)), F.lit(form % code))
+    return F.when(x.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), esc).otherwise(x)
+
+
 def json_string(x: Column) -> Column:
-    """Quote ``x`` as a JSON string literal (escapes backslash, quote, CR, LF, TAB)."""
+    """Quote ``x`` as a JSON string literal (escapes backslash, quote and all control characters)."""
     esc = F.replace(x, F.lit("\\"), F.lit("\\\\"))
     esc = F.replace(esc, F.lit('"'), F.lit('\\"'))
     esc = F.replace(esc, F.lit("\n"), F.lit("\\n"))
     esc = F.replace(esc, F.lit("\r"), F.lit("\\r"))
-    esc = F.replace(esc, F.lit("\t"), F.lit("\\t"))
+    esc = _escape_controls(F.replace(esc, F.lit("\t"), F.lit("\\t")), "\\u%04x")
     return F.concat(F.lit('"'), esc, F.lit('"'))
 
 
@@ -35,7 +44,7 @@ def python_literal_list(arr: Column) -> Column:
         esc = F.replace(esc, F.lit("'"), F.lit("\\'"))
         esc = F.replace(esc, F.lit("\n"), F.lit("\\n"))
         esc = F.replace(esc, F.lit("\r"), F.lit("\\r"))
-        esc = F.replace(esc, F.lit("\t"), F.lit("\\t"))
+        esc = _escape_controls(F.replace(esc, F.lit("\t"), F.lit("\\t")), "\\x%02x")
         return F.concat(F.lit("'"), esc, F.lit("'"))
     return F.concat(F.lit("["), F.array_join(F.transform(arr, q), ", "), F.lit("]"))
 

@@ -17,15 +17,18 @@ from raterlab.functions import text as T
 
 def pair_raters(ann: DataFrame, rater_a: str, rater_b: str, columns: Sequence[str],
                 rater_col: str = "created_by", id_col: str = "id") -> DataFrame:
-    """One row per item labelled by both raters; columns get ``a_`` / ``b_`` prefixes."""
-    a = ann.filter(F.col(rater_col) == rater_a).select(id_col, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = ann.filter(F.col(rater_col) == rater_b).select(id_col, *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, id_col)
-
-
-def duplicate_labels(ann: DataFrame, rater_col: str = "created_by", id_col: str = "id") -> DataFrame:
-    """(rater, id) pairs labelled more than once; pairing requires this to be empty."""
-    return ann.groupBy(rater_col, id_col).count().filter(F.col("count") > 1)
+    """One row per item labelled by both raters; columns get ``a_`` / ``b_`` prefixes.
+    One pass over the annotations; an item that a rater labelled twice raises."""
+    label = F.struct(*columns)
+    sides = {"a": F.col(rater_col) == rater_a, "b": F.col(rater_col) == rater_b}
+    pairs = ann.filter(sides["a"] | sides["b"]).filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        *[F.count_if(on).alias(f"n_{k}") for k, on in sides.items()],
+        *[F.first(F.when(on, label), ignorenulls=True).alias(k) for k, on in sides.items()])
+    twice = F.greatest("n_a", "n_b") > 1
+    checked = F.when(twice, F.raise_error(F.concat(F.lit("labelled twice by one rater: "), F.col(id_col).cast("string"))))
+    pairs = pairs.select(checked.otherwise(F.col(id_col)).alias(id_col), "n_a", "n_b", "a", "b")
+    return pairs.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).select(
+        id_col, *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in sides for c in columns])
 
 
 def crosstab_long(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -239,21 +239,29 @@ def report_long(cells: DataFrame, penalty: str = "original") -> DataFrame:
 
 
 def alignment_gaps(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> DataFrame:
-    """V8: per run, truth rows without a prediction and predictions without truth.
+    """V8: per run, truth ids without a prediction, predicted ids without truth, and ids that
+    occur more than once on either side. Every persona of the truth is expected in every
+    (approach, seed) that predictions have; a run without any prediction has a row too.
 
-    One left join of predictions onto truth keys (matched flag) and one count of
-    truth per persona; no id × run expansion.
+    One left join of predictions onto the distinct truth keys; counts per (run, id) reuse
+    its partitioning.
     """
-    tk = truth.select("persona", id_col, F.lit(True).alias("_t"))
-    x = pred.select(*RUN_KEY, id_col, (~F.col("has_text")).alias("_no_text")).join(tk, ["persona", id_col], "left")
-    npred = x.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("n_pred"), F.count("_t").alias("n_matched"),
-                                    F.count_if("_no_text").alias("missing_text"))
-    nt = truth.groupBy("persona").agg(F.count(F.lit(1)).alias("n_truth"))
-    y = npred.join(F.broadcast(nt), "persona", "left")
-    n_t = F.coalesce("n_truth", F.lit(0))
-    return y.select(*RUN_KEY, n_t.alias("n_truth"), "n_pred", "n_matched",
-                    (n_t - F.col("n_matched")).alias("missing_predictions"),
-                    (F.col("n_pred") - F.col("n_matched")).alias("unmatched_predictions"), "missing_text")
+    keys = truth.groupBy("persona", id_col).agg(F.count("*").alias("_t"))
+    nt = keys.groupBy("persona").agg(F.count("*").alias("n_truth"), (F.sum("_t") - F.count("*")).alias("duplicate_truth"))
+    x = pred.select(*RUN_KEY, id_col, (~F.col("has_text")).alias("_no_text")).join(keys, ["persona", id_col], "left")
+    per_id = x.groupBy(*RUN_KEY, id_col).agg(F.count("*").alias("_n"), F.max("_t").alias("_t"), F.count_if("_no_text").alias("_no_text"))
+    npred = per_id.groupBy(*RUN_KEY).agg(F.sum("_n").alias("n_pred"), F.count("_t").alias("n_matched"), F.count("*").alias("_ids"),
+                                         F.sum("_no_text").alias("missing_text"))
+    # a row per approach, seed and persona: configuration-sized
+    personas = nt.agg(F.collect_list("persona")).scalar()
+    expected = pred.select("approach", "seed").distinct().select("approach", F.explode(personas).alias("persona"), "seed")
+    runs = expected.unionByName(npred.select("approach", "persona", "seed")).distinct()
+    y = runs.join(npred, ["approach", "persona", "seed"], "left").join(nt, "persona", "left")
+    y = y.fillna(0, ["n_truth", "duplicate_truth", "n_pred", "n_matched", "_ids", "missing_text"])
+    return y.select(*RUN_KEY, "n_truth", "n_pred", "n_matched",
+                    (F.col("n_truth") - F.col("n_matched")).alias("missing_predictions"),
+                    (F.col("_ids") - F.col("n_matched")).alias("unmatched_predictions"), "missing_text",
+                    (F.col("n_pred") - F.col("_ids")).alias("duplicate_predictions"), "duplicate_truth")
 
 
 def disagreements(truth: DataFrame, pred: DataFrame, column: str, id_col: str = "id") -> DataFrame:
@@ -265,9 +273,9 @@ def disagreements(truth: DataFrame, pred: DataFrame, column: str, id_col: str =
 
 
 def check_alignment(gaps: DataFrame, sample: int = 20) -> None:
-    """V8 gate: raise (with a bounded sample of runs) if any run has missing or
-    unmatched predictions, or predictions without text."""
-    bad = gaps.filter((F.col("missing_predictions") != 0) | (F.col("unmatched_predictions") != 0)
-                      | (F.col("missing_text") != 0)).limit(sample).collect()
+    """V8 gate: raise (with a bounded sample of runs) if any run has missing, unmatched or
+    repeated predictions, repeated truth, or predictions without text."""
+    faults = ("missing_predictions", "unmatched_predictions", "missing_text", "duplicate_predictions", "duplicate_truth")
+    bad = gaps.filter(" or ".join(f"{c} <> 0" for c in faults)).limit(sample).collect()
     if bad:
         raise ValueError(f"truth and predictions are not aligned: {bad}")

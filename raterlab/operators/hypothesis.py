@@ -139,6 +139,8 @@ def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: st
 
     Works on the value histogram: U1 = Σ_x na(x)·(Nb(<x) + nb(x)/2); tie term Σ(t³ − t).
     """
+    # a value that is missing has no rank
+    samples = samples.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
     h = samples.groupBy(test_col, value_col).agg(
         F.count_if(F.col(side_col) == "a").alias("na"), F.count_if(F.col(side_col) == "b").alias("nb"))
     h = prefix_sum(h, value_col, ["nb"], [test_col], buckets)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlab import constants as C
+from raterlab.session import read_if_exists
 
 KEY = ["persona", "approach", "seed", "id"]
 
@@ -61,11 +62,20 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
         w = w.repartition(parallelism)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        def answers(b: pd.DataFrame) -> list:
+            """Raw answers; a failing call is repeated on halves, so only the rows that fail by
+            themselves get none."""
             try:
-                raw = scorer(b["messages_json"], b)
+                raw = list(scorer(b["messages_json"], b))
+                if len(raw) != len(b):
+                    raise ValueError(f"{len(raw)} answers for {len(b)} rows")
+                return raw
             except Exception:  # noqa: BLE001 — a failing call must not abort the job
-                raw = pd.Series([None] * len(b))
+                half = len(b) // 2
+                return [None] if not half else answers(b.iloc[:half]) + answers(b.iloc[half:])
+
+        for b in batches:
+            raw = answers(b) if len(b) else []
             out = []
             for r in raw:
                 try:
@@ -91,10 +101,7 @@ def append_results(results: DataFrame, path: str) -> None:
 def score_missing(grid: DataFrame, result_path: str, scorer, spark=None, **kw) -> DataFrame:
     """Score what the result table lacks and append it; returns the new rows' frame."""
     spark = spark or grid.sparkSession
-    try:
-        done = spark.read.parquet(result_path)
-    except Exception:  # noqa: BLE001 — no table yet
-        done = None
+    done = read_if_exists(lambda: spark.read.parquet(result_path))
     todo = pending(grid, done)
     res = run_scorer(todo, scorer, **kw)
     append_results(res, result_path)

@@ -108,18 +108,10 @@ def validate_predictions(pred: DataFrame, texts: DataFrame, id_col: str = "id")
 
 
 def expand_baseline(pred: DataFrame, personas: Sequence[str] = C.PERSONAS,
-                    approaches: Sequence[str] = C.APPROACHES,
-                    baseline_approach: str = C.BASELINE_APPROACH,
-                    baseline_persona: str = C.BASELINE_PERSONA) -> DataFrame:
-    """The baseline approach has one prediction set (persona key ``assistant``)
-    that is evaluated against every persona. Equi-join on (approach, stored persona)
-    with a literal mapping of |approaches|·|personas| rows (broadcast, size fixed)."""
-    rows = [(a, p, baseline_persona if a == baseline_approach else p) for a in approaches for p in personas]
-    m = pred.sparkSession.createDataFrame(rows, "approach string, persona string, _stored string")
-    return (pred.withColumnRenamed("persona", "_stored")
-            .join(F.broadcast(m), ["approach", "_stored"]).drop("_stored"))
-
-
-def missing_text_count(pred_with_text: DataFrame) -> Column:
-    """V8 gate helper: rows without text after J2."""
-    return F.count_if(F.col(LOWER_TEXT).isNull())
+                    baseline_approach: str = C.BASELINE_APPROACH) -> DataFrame:
+    """The baseline approach has one prediction set that is evaluated against every
+    persona; its rows are expanded in place. Rows of all other approaches and personas,
+    known or not, pass through as they are."""
+    every = F.when(F.col("approach") == baseline_approach, F.array(*[F.lit(p) for p in personas])) \
+        .otherwise(F.array("persona"))
+    return pred.withColumn("persona", F.explode(every))

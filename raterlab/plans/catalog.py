@@ -136,12 +136,16 @@ def report_long(spark, d):
 
 
 @register("alignment_gaps", O.sql(f"""
-SELECT m.approach, m.persona, m.seed, COALESCE(t.n_truth, 0) AS n_truth, m.n_pred, COALESCE(a.n_matched, 0) AS n_matched,
-  COALESCE(t.n_truth, 0) - COALESCE(a.n_matched, 0) AS missing_predictions, m.n_pred - COALESCE(a.n_matched, 0) AS unmatched_predictions,
-  m.missing_text
-FROM (SELECT {RUN}, count(*) AS n_pred, count(*) FILTER (WHERE text IS NULL) AS missing_text FROM mapped GROUP BY ALL) m
-LEFT JOIN (SELECT {RUN}, count(*) AS n_matched FROM aligned GROUP BY ALL) a USING (approach, persona, seed)
-LEFT JOIN (SELECT persona, count(*) AS n_truth FROM truth GROUP BY ALL) t ON m.persona = t.persona""",
+SELECT r.approach, r.persona, r.seed, COALESCE(t.n_truth, 0) AS n_truth, COALESCE(m.n_pred, 0) AS n_pred,
+  COALESCE(a.n_matched, 0) AS n_matched, COALESCE(t.n_truth, 0) - COALESCE(a.n_matched, 0) AS missing_predictions,
+  COALESCE(m.n_ids, 0) - COALESCE(a.n_matched, 0) AS unmatched_predictions, COALESCE(m.missing_text, 0) AS missing_text,
+  COALESCE(m.n_pred - m.n_ids, 0) AS duplicate_predictions, COALESCE(t.n_rows - t.n_truth, 0) AS duplicate_truth
+FROM (SELECT DISTINCT p.approach, t.persona, p.seed FROM mapped p, (SELECT DISTINCT persona FROM truth) t
+      UNION SELECT DISTINCT {RUN} FROM mapped) r
+LEFT JOIN (SELECT {RUN}, count(*) AS n_pred, count(DISTINCT id) AS n_ids, count(*) FILTER (WHERE text IS NULL) AS missing_text
+           FROM mapped GROUP BY ALL) m USING (approach, persona, seed)
+LEFT JOIN (SELECT {RUN}, count(DISTINCT id) AS n_matched FROM aligned GROUP BY ALL) a USING (approach, persona, seed)
+LEFT JOIN (SELECT persona, count(DISTINCT id) AS n_truth, count(*) AS n_rows FROM truth GROUP BY ALL) t ON r.persona = t.persona""",
     "mapped", "aligned", "truth"))
 def alignment_gaps(spark, d):
     truth = X.evaluation_truth(spark, d)
@@ -841,7 +845,7 @@ def incremental_score(spark, d):
     drops = [(month <= 4), (month > 4) & (month <= 8), (month > 4) & (month <= 8), (month > 8)]
     for i, cond in enumerate(drops):
         pubs.filter(cond).write.mode("overwrite").parquet(f"{src}/drop={i}")
-        q = INC.start(spark, src, "id bigint, text string, date string", X.personas(spark), res, ck)
+        q = INC.start(spark, src, "id bigint, text string, date string", X.personas(spark), res, ck, scorer=SC.length_scorer)
         INC.run_until_idle(q)
     out = spark.read.parquet(res)
     return out.groupBy("persona", "approach", "seed").agg(F.count(F.lit(1)).alias("n_rows"),

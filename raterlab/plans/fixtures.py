@@ -51,21 +51,8 @@ def view(fn):
 
 @view
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.
-
-    A table stored as a single row group is one scan task however many cores exist,
-    and everything derived from it (27 runs per document, prompt rendering) would run
-    in that task. When the scan yields fewer splits than the session's parallelism
-    the rows are spread round-robin first; a table of cluster size has far more
-    splits than cores and is left as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — no RDD access (e.g. a remote session): leave as read
-        return df
-    return df.repartition(want) if have < want else df
+    """Read one driver table, as it is."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def rater_id(letter: str | Column) -> Column:

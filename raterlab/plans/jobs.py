@@ -20,6 +20,7 @@ from raterlab.operators import prompts as PR
 from raterlab.operators import scoring as SC
 from raterlab.operators import splits as SP
 from raterlab.operators import validate as V
+from raterlab.session import read_if_exists
 from raterlab.sources import files as SRC
 from raterlab.sources import sinks as SNK
 
@@ -74,10 +75,7 @@ def run_inference(spark: SparkSession, publications: DataFrame, splits: DataFram
     else:
         grid = SC.work_grid(pubs, personas, approach, seeds)
         msgs = PR.zero_shot_messages(F.col("narrative"), F.col("text"))
-    try:
-        done = spark.read.parquet(result_dir)
-    except Exception:  # noqa: BLE001 — first run
-        done = None
+    done = read_if_exists(lambda: spark.read.parquet(result_dir))
     todo = SC.pending(grid, done).select(*SC.KEY, msgs.alias("messages"))
     SC.append_results(SC.run_scorer(todo, scorer, parallelism=parallelism), result_dir)
     return spark.read.parquet(result_dir)

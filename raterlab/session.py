@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """Session for tests and local benchmarks (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("RATERLAB_DRIVER_MEM", "16g")))
+               .config("spark.driver.memory", os.environ.get("RATERLAB_DRIVER_MEM", "8g")))
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -47,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (tests, a laptop) a fresh scratch folder is created.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "local")
+    if not d and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="raterlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -63,3 +68,14 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def read_if_exists(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """``read()``, or None when its path does not exist; every other error is raised, so a
+    table that is there but unreadable is never taken for an absent one."""
+    try:
+        return read()
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

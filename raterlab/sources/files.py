@@ -15,20 +15,40 @@ from pyspark.sql import types as T
 
 from raterlab import schemas as S
 from raterlab.functions import text as TX
-
-
-def publications_csv(spark: SparkSession, path: str, schema: T.StructType = S.PUBLICATIONS) -> DataFrame:
-    """Publications CSV (texts hold newlines and doubled quotes)."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+from raterlab.session import read_if_exists
+
+
+def publications_csv(spark: SparkSession, path: str, schema: T.StructType = S.PUBLICATIONS,
+                     optional: tuple[str, ...] = ()) -> DataFrame:
+    """Publications CSV (texts hold newlines and doubled quotes). Columns are taken by
+    their header name: order and further columns don't matter, a missing one raises
+    (``optional`` ones are null), and so does a line with another number of fields or a file
+    with another header than the first."""
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("mode", "FAILFAST").option("columnPruning", False))
+    names = reader.csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if set(missing) - set(optional):
+        raise ValueError(f"{path}: columns {missing} are missing; the header has {names}")
+    found = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    df = reader.schema(found).option("enforceSchema", False).csv(path)
+    return df.select(*[(F.lit(None) if f.name in missing else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def annotation_split_csv(spark: SparkSession, path: str) -> DataFrame:
     """Per-annotator split CSV whose ``context`` / ``context_locations`` are
     Python-literal text; returned as typed arrays (F3). Not sorted: metrics join by id."""
-    df = publications_csv(spark, path, S.FLAT_ANNOTATION_TEXT)
-    return (df.withColumn("context", TX.parse_python_list(F.col("context")))
-              .withColumn("context_locations", TX.parse_python_spans(F.col("context_locations"))))
+    # the partitioned layout (K1) keeps the rater in the folder name
+    df = publications_csv(spark, path, S.FLAT_ANNOTATION_TEXT, optional=("created_by",))
+
+    def parsed(name, parse):
+        # text that is no literal raises: read as null it would pass for an empty list
+        value = parse(F.col(name))
+        return F.when(F.col(name).isNotNull() & value.isNull(), F.raise_error(
+            F.concat(F.lit(f"{name} is no list literal: "), F.substring(name, 1, 200)))).otherwise(value)
+    return (df.withColumn("context", parsed("context", TX.parse_python_list))
+              .withColumn("context_locations", parsed("context_locations", TX.parse_python_spans)))
 
 
 def predictions(spark: SparkSession, root: str, expected_rows: int | None = None) -> DataFrame:
@@ -45,7 +65,8 @@ def predictions(spark: SparkSession, root: str, expected_rows: int | None = None
 
 
 def _whole_json(spark: SparkSession, path: str, ddl: str | T.DataType) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", ddl).alias("doc"))
+    # a malformed document raises
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", ddl, {"mode": "FAILFAST"}).alias("doc"))
 
 
 def annotations_by_rater(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +94,8 @@ def personas_dict(spark: SparkSession, path: str) -> DataFrame:
 
 def prompt_template(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """A chat template ``[{role, content}, ...]`` (a few KB) as (role, content) pairs."""
-    doc = _whole_json(spark, path, S.MESSAGES).select(F.explode("doc").alias("m")).select("m.*")
-    return [(r["role"], r["content"]) for r in doc.limit(64).collect()]
+    messages = _whole_json(spark, path, S.MESSAGES).first()["doc"]
+    return [(m["role"], m["content"]) for m in messages]
 
 
 def chat_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -89,10 +110,8 @@ def chat_examples(spark: SparkSession, path: str) -> DataFrame:
 def descriptions_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """Optional per-annotator description file; ``None`` when absent. ``pos``
     (line order within a file split) drives the keep-first de-duplication (D1)."""
-    try:
-        return publications_csv(spark, path, S.DESCRIPTIONS).withColumn("pos", F.monotonically_increasing_id())
-    except Exception:  # noqa: BLE001 — file absent → input unchanged downstream
-        return None
+    return read_if_exists(
+        lambda: publications_csv(spark, path, S.DESCRIPTIONS).withColumn("pos", F.monotonically_increasing_id()))
 
 
 def export_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

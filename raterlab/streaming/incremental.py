@@ -17,17 +17,15 @@ from pyspark.sql.streaming import StreamingQuery
 from raterlab import constants as C
 from raterlab.operators import prompts as P
 from raterlab.operators import scoring as SC
+from raterlab.session import read_if_exists
 
 
 def _read_results(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 — table not created yet
-        return None
+    return read_if_exists(lambda: spark.read.parquet(path))
 
 
 def start(spark: SparkSession, source_dir: str, source_schema: str, personas: DataFrame, result_path: str,
-          checkpoint_dir: str, scorer=SC.length_scorer, approach: str = "context_zero_shot",
+          checkpoint_dir: str, scorer, approach: str = "context_zero_shot",
           seeds: Sequence[int] = C.SEEDS, available_now: bool = True) -> StreamingQuery:
     """Start the incremental job over parquet drops in ``source_dir``."""
     stream = spark.readStream.schema(source_schema).parquet(source_dir)

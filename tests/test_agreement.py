@@ -116,3 +116,13 @@ def test_normality_closed_form(spark):
     assert got.skew == pytest.approx(m3 / m2 ** 1.5)
     assert got.kurt == pytest.approx(m4 / m2 ** 2 - 3)
     assert got.k2 > 20 and got.p_value < 1e-4   # strongly skewed sample
+
+
+def test_an_item_labelled_twice_by_one_rater_raises(spark):
+    import pytest
+    from raterlab.operators import agreement as AG
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 1, "z"), ("a", 2, "x")], "created_by string, id int, emotion string")
+    with pytest.raises(Exception, match="labelled twice"):
+        AG.pair_raters(df, "a", "b", ["emotion"]).collect()
+    one = AG.pair_raters(df.filter("emotion <> 'z'"), "a", "b", ["emotion"]).collect()
+    assert [tuple(r) for r in one] == [(1, "x", "y")]

@@ -1,12 +1,12 @@
-"""Every registered query runs on the smallest tables and returns a stable schema."""
+"""Every query of the catalog runs on the smallest tables and returns a stable schema."""
 from conftest import SF_SMALL
 
-import __spark_entry__ as entry
+from raterlab.plans import catalog
 
 
 def test_every_registered_query_runs(spark):
     failures = {}
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.QUERIES.items():
         try:
             df = fn(spark, SF_SMALL)
             cols = df.columns

@@ -46,3 +46,13 @@ def test_lenient_level_matches_python_int(spark):
     got = {r.id: r.trigger_level for r in V.validate_output(df).collect()}
     for i, v in enumerate(vals):
         assert got[i] == py_level(v), (v, got[i])
+
+
+def test_control_characters_survive(spark):
+    import json
+    from pyspark.sql import functions as F
+    from raterlab.functions import text as TX
+    words = ["ok", "a\x0bb", "\x00\x1f\n\t'\"\\", "é 🙂"]
+    df = spark.createDataFrame([(words,)], "w array<string>")
+    row = df.select(TX.json_string_array(F.col("w")).alias("j"), TX.parse_python_list(TX.python_literal_list(F.col("w"))).alias("p")).first()
+    assert json.loads(row.j) == words and list(row.p) == words

@@ -140,3 +140,25 @@ def test_report_mean_pm_format(spark):
     df = spark.createDataFrame([("a", 0.4), ("a", 0.4)], "approach string, failed double")
     r = E.report_mean_3std(df).collect()[0]
     assert r.failed == "0.4±0.0" and r.persona == "average"
+
+
+def test_alignment_gate_sees_repeated_ids_and_absent_runs(spark):
+    import pytest
+    from raterlab.operators import evaluation as E
+    truth = spark.createDataFrame([("p1", 1), ("p1", 2), ("p2", 1)], "persona string, id int")
+    pred = spark.createDataFrame([("x", "p1", 0, 1, True), ("x", "p1", 0, 1, True)],
+                                 "approach string, persona string, seed int, id int, has_text boolean")
+    gaps = E.alignment_gaps(truth, pred)
+    got = {r.persona: (r.n_pred, r.missing_predictions, r.duplicate_predictions) for r in gaps.collect()}
+    assert got == {"p1": (2, 1, 1), "p2": (0, 1, 0)}
+    with pytest.raises(ValueError):
+        E.check_alignment(gaps)
+
+
+def test_mann_whitney_leaves_missing_values_out(spark):
+    from raterlab.operators import hypothesis as H
+    rows = [("t", "a", float(v)) for v in (1, 2, 4, 7, 9)] + [("t", "b", float(v)) for v in (3, 5, 6, 8, 10)]
+    schema = "test string, side string, value double"
+    clean = H.mann_whitney(spark.createDataFrame(rows, schema), "test", "side", "value").first()
+    dirty = rows + [("t", "a", None)] * 5 + [("t", "b", float("nan"))] * 3
+    assert H.mann_whitney(spark.createDataFrame(dirty, schema), "test", "side", "value").first() == clean

@@ -55,7 +55,7 @@ def test_stream_equals_batch(spark, tmp_out):
     p = pubs(spark, ids)
     for i, (lo, hi) in enumerate([(0, 20), (10, 40), (40, 60), (40, 60)]):   # overlaps and a replay
         p.filter((F.col("id") >= lo) & (F.col("id") < hi)).write.parquet(f"{src}/drop={i}")
-        INC.run_until_idle(INC.start(spark, src, "id bigint, text string, date string", personas(spark), res, ck))
+        INC.run_until_idle(INC.start(spark, src, "id bigint, text string, date string", personas(spark), res, ck, scorer=SC.length_scorer))
     stream = spark.read.parquet(res).select(*SC.KEY, "output")
     batch = SC.run_scorer(todo_frame(SC.work_grid(p, personas(spark), "context_zero_shot")), SC.length_scorer)
     assert stream.count() == 60 * 2 * 3
@@ -87,3 +87,16 @@ def test_stream_validation_equals_batch(spark, tmp_out):
     batch = V.validate_predictions(SRC.predictions(spark, src), pubs).select(*cols)
     assert streamed.count() == preds.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_only_the_failing_row_fails(spark):
+    from raterlab import constants as C
+    rows = spark.createDataFrame([("p", "context_zero_shot", 1, i, [("user", f"text {i}")]) for i in range(50)],
+                                 "persona string, approach string, seed int, id long, messages array<struct<role:string,content:string>>")
+
+    def scorer(messages, batch):
+        if (batch["id"] == 17).any():
+            raise RuntimeError("one bad call")
+        return ['{"emotion": "joy"}'] * len(batch)
+    out = {r.id: r.output for r in SC.run_scorer(rows.coalesce(1), scorer).collect()}
+    assert len(out) == 50 and [i for i, o in out.items() if o == C.FAILED_OUTPUT_JSON] == [17]

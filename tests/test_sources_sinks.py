@@ -95,3 +95,35 @@ def test_results_and_finetune_sinks(spark, tmp_out):
     SNK.finetune_jsonl(ex, tmp_out + "/ft")
     chat = SRC.chat_examples(spark, tmp_out + "/ft/persona=p1/split_name=ft_training").collect()[0]
     assert [m.role for m in chat.messages] == ["system", "user"]
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_out):
+    import pytest
+    from raterlab.sources import files
+    os.makedirs(f"{tmp_out}/c", exist_ok=True)
+    with open(f"{tmp_out}/c/a.csv", "w") as f:
+        f.write('date,source,id,text\n2024-01-01,web,7,"a ""b""\nc"\n')
+    row = files.publications_csv(spark, f"{tmp_out}/c/a.csv").first()
+    assert (row.id, row.text, row.date) == ("7", 'a "b"\nc', "2024-01-01")
+    with open(f"{tmp_out}/c/b.csv", "w") as f:
+        f.write("id,date\n7,2024-01-01\n")
+    with pytest.raises(ValueError, match="missing"):
+        files.publications_csv(spark, f"{tmp_out}/c/b.csv")
+    with open(f"{tmp_out}/c/d.csv", "w") as f:
+        f.write("id,text,date\n7,x,2024-01-01,more,fields\n")
+    with pytest.raises(Exception):
+        files.publications_csv(spark, f"{tmp_out}/c/d.csv").collect()
+    assert files.descriptions_csv(spark, f"{tmp_out}/c/none.csv") is None
+
+
+def test_malformed_documents_raise_and_templates_are_whole(spark, tmp_out):
+    import json
+    import pytest
+    from raterlab.sources import files
+    with open(f"{tmp_out}/t.json", "w") as f:
+        json.dump([{"role": "user", "content": str(i)} for i in range(80)], f)
+    assert files.prompt_template(spark, f"{tmp_out}/t.json") == [("user", str(i)) for i in range(80)]
+    with open(f"{tmp_out}/p.json", "w") as f:
+        f.write('{"persona_1": "x", "pers')
+    with pytest.raises(Exception):
+        files.personas_dict(spark, f"{tmp_out}/p.json").collect()
