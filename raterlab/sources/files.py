@@ -19,10 +19,10 @@ from raterlab.session import read_if_exists
 
 
 def publications_csv(spark: SparkSession, path: str, schema: T.StructType = S.PUBLICATIONS,
-                     optional: tuple[str, ...] = ()) -> DataFrame:
+                     optional: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
     """Publications CSV (texts hold newlines and doubled quotes). Columns are taken by
     their header name: order and further columns don't matter, a missing one raises
-    (``optional`` ones are null), and so does a line with another number of fields or a file
+    (``optional`` ones are null, ``kept`` ones stay if they are there), and so does a line with another number of fields or a file
     with another header than the first."""
     reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
               .option("mode", "FAILFAST").option("columnPruning", False))
@@ -32,15 +32,16 @@ def publications_csv(spark: SparkSession, path: str, schema: T.StructType = S.PU
         raise ValueError(f"{path}: columns {missing} are missing; the header has {names}")
     found = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = reader.schema(found).option("enforceSchema", False).csv(path)
-    return df.select(*[(F.lit(None) if f.name in missing else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
+    extra = [n for n in kept if n in names]
+    return df.select(*extra, *[(F.lit(None) if f.name in missing else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
                        for f in schema.fields])
 
 
 def annotation_split_csv(spark: SparkSession, path: str) -> DataFrame:
     """Per-annotator split CSV whose ``context`` / ``context_locations`` are
     Python-literal text; returned as typed arrays (F3). Not sorted: metrics join by id."""
-    # the partitioned layout (K1) keeps the rater in the folder name
-    df = publications_csv(spark, path, S.FLAT_ANNOTATION_TEXT, optional=("created_by",))
+    # the partitioned layout (K1) keeps the rater and the split in folder names
+    df = publications_csv(spark, path, S.FLAT_ANNOTATION_TEXT, optional=("created_by",), kept=("split_name",))
 
     def parsed(name, parse):
         # text that is no literal raises: read as null it would pass for an empty list
