@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,23 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     cut, a lost executor costs no recomputation, and Spark knows the table's true size."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+#: The folders of scratch tables that are still in use.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes scratch tables that nothing reads any more: all that came of them is written elsewhere."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            session = table.sparkSession
+            folder = session._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_or_empty(col: str) -> Column:

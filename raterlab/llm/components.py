@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlab.llm.common import scratch_table
+from raterlab.llm.common import drop_tables, scratch_table
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch_table(small, "edges")
+        edges, last = scratch_table(small, "edges"), edges
+        drop_tables(last)
         now = _fingerprint(edges)
         if now == seen:
             break

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterlab.llm.common import map_texts, member_bits, scratch_table, test_bits
+from raterlab.llm.common import drop_tables, map_texts, member_bits, scratch_table, test_bits
 from raterlab.llm.components import components
 
 WORDS = 5
@@ -95,7 +95,9 @@ def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: Data
         return compute
     found = map_texts(docs, text_col, [], "sig binary, tokens array<bigint>", worker).filter("sig is not null")
     found = found.join(sigs, "sig").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    return scratch_table(found, "sets")
+    found = scratch_table(found, "sets")
+    drop_tables(sigs)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,22 +156,28 @@ def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     # sets with common shingles look further into what is stored of them
     stored = classes.join(warm, "node").select("node", "n", F.explode("prefix").alias("token"))
     common = scratch_table(_common(stored, others).unionByName(hot).distinct(), "common")
-    longer = scratch_table(_lengthened(stored, common), "longer")
-    short_of = longer.groupBy("node").agg(F.count_if("hot").alias("h"), F.count("*").alias("c"), F.first("n").alias("n"))
+    tried = scratch_table(_lengthened(stored, common), "longer")
+    short_of = tried.groupBy("node").agg(F.count_if("hot").alias("h"), F.count("*").alias("c"), F.first("n").alias("n"))
     short_of = scratch_table(short_of.filter((F.col("h") > 0) | (F.col("c") < _prefix(F.col("n")))).select("node"), "short")
-    longer = longer.join(short_of, "node", "left_anti").select("token", "node", "n")
+    longer = tried.join(short_of, "node", "left_anti").select("token", "node", "n")
     # the few that have too few rare shingles there look into all of theirs
-    whole = _whole_sets(docs, text_col, classes, short_of).select("node", "n", F.explode("tokens").alias("token"))
+    sets = _whole_sets(docs, text_col, classes, short_of)
+    whole = sets.select("node", "n", F.explode("tokens").alias("token"))
     common = scratch_table(_common(whole, others, longer).unionByName(common).distinct(), "common")
-    last = _lengthened(whole, common).select("token", "node", "n")
-    longer = scratch_table(longer.unionByName(last), "longer")
+    longer = longer.unionByName(_lengthened(whole, common).select("token", "node", "n"))
     plain = others.join(counts.select("token").unionByName(longer.select("token")), "token", "left_semi")
-    index = _shared(scratch_table(plain.select("token", "node", "n").unionByName(longer)
-                                  .withColumn("component", F.col("node")), "index"))
+    looked_up = scratch_table(plain.select("token", "node", "n").unionByName(longer)
+                              .withColumn("component", F.col("node")), "index")
+    drop_tables(counts, warm, tried, short_of, sets, common)
+    index = _shared(looked_up)
+    drop_tables(looked_up)
     # a shingle's place among those its set is looked up by, most frequent first
     often = index.groupBy("token").agg(F.count("*").alias("sets"))
     order = Window.partitionBy("node").orderBy(F.desc("sets"), "token")
-    return scratch_table(index.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets"), "index")
+    placed = index.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets")
+    placed = scratch_table(placed, "index")
+    drop_tables(index)
+    return placed
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -215,8 +223,10 @@ def _cross_pairs(index: DataFrame) -> DataFrame:
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
-    return _shared(index.drop("component").join(found, "node", "left")
-                   .withColumn("component", F.coalesce("component", "node")))
+    labelled = _shared(index.drop("component").join(found, "node", "left")
+                       .withColumn("component", F.coalesce("component", "node")))
+    drop_tables(index)
+    return labelled
 
 
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,29 +250,36 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = scratch_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     index = _index(ids, "text", classes)
-    links = None
+    # of the classes, only their names are read from here on
+    names = scratch_table(classes.select("node", "n", "sig"), "names")
+    drop_tables(classes)
+    links, sets, before = None, None, None
     for turn in range(ROUNDS):
         pairs = scratch_table(_star_pairs(index, turn), "pairs")
         if turn == 0:
             # later rounds pair the same sets anew; pairs of others are left to the last step
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = _whole_sets(ids, "text", classes, nodes)
+            sets = _whole_sets(ids, "text", names, nodes)
         found = _verified(pairs, sets)
+        drop_tables(pairs)
         links = found if links is None else links.unionByName(found)
-        fresh = found.count()
-        if fresh:
-            index = _labelled(index, links)
-        # more pivots pay as long as they join sets and pairing what is left would cost more than the index
+        if not found.take(1):
+            break
+        index = _labelled(index, links)
+        # more pivots pay as long as they halve the cost of pairing what is left, and it is above the index's
         left = _unpaired(index).agg(F.sum(F.col("outside") * F.col("all"))).first()[0] or 0
-        if not fresh or left <= 4 * index.count():
+        if left <= 4 * index.count() or (before is not None and 2 * left > before):
             break
+        before = left
+    drop_tables(sets)
     pairs = scratch_table(_cross_pairs(index), "pairs")
+    drop_tables(index)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", classes, nodes)))
+    links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", names, nodes)))
 
     # the smallest doc_id of a component, from the smallest of each class
     per_class = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    per_class = per_class.join(classes.select("sig", "node"), "sig").join(components(links), "node", "left")
+    per_class = per_class.join(names.select("sig", "node"), "sig").join(components(links), "node", "left")
     per_class = per_class.withColumn("component", F.coalesce("component", "node"))
     lowest = per_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = scratch_table(per_class.join(lowest, "component").select("sig", "component_id", "copies"), "named")
