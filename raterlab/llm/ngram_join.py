@@ -169,14 +169,12 @@ def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     looked_up = scratch_table(plain.select("token", "node", "n").unionByName(longer)
                               .withColumn("component", F.col("node")), "index")
     drop_tables(counts, warm, tried, short_of, sets, common)
-    index = _shared(looked_up)
-    drop_tables(looked_up)
     # a shingle's place among those its set is looked up by, most frequent first
-    often = index.groupBy("token").agg(F.count("*").alias("sets"))
+    often = looked_up.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     order = Window.partitionBy("node").orderBy(F.desc("sets"), "token")
-    placed = index.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets")
+    placed = looked_up.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets")
     placed = scratch_table(placed, "index")
-    drop_tables(index)
+    drop_tables(looked_up)
     return placed
 
 
@@ -232,22 +230,17 @@ def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_sig, the digest of its shingle set."""
     def sets_of():
-        def compute(texts):
-            sets = [shingles(t) for t in texts]
-            return [[len(s) for s in sets], [signature(s) for s in sets]]
-        return compute
-
-    def prefixes_of():
         def compute(texts):
             sets = [shingles(t) for t in texts]
             return [[len(s) for s in sets], [signature(s) for s in sets],
                     [s[:stored_length(len(s))] if len(s) else None for s in sets]]
         return compute
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary", sets_of), "members")
-    firsts = map_texts(ids, "text", [], "n bigint, sig binary, prefix array<bigint>", prefixes_of).filter("n > 0")
-    classes = firsts.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    read = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary, prefix array<bigint>", sets_of), "read")
+    members = scratch_table(read.drop("prefix"), "members")
+    classes = read.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = scratch_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    drop_tables(read)
 
     index = _index(ids, "text", classes)
     # of the classes, only their names are read from here on
