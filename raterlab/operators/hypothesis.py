@@ -1,68 +1,62 @@
 """Hypothesis tests (A16 p-value, A17, A18) and the tail probabilities they need (U4).
 
-Statistics are aggregates over the data; tail probabilities are evaluated on the
-handful of result rows with an Arrow ``pandas_udf`` (Spark has no ``erf``).
+Statistics are aggregates over the data; tail probabilities are built-in expressions (series and
+continued fraction as array folds), as Spark has no ``erf``.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # ---------------------------------------------------------------------------
 # tails (closed forms; scipy is not required)
 # ---------------------------------------------------------------------------
 
-def chi2_sf(x: float, dof: int) -> float:
-    """Upper tail of χ² with integer ``dof``."""
-    if dof <= 0:
-        return 1.0
-    if x is None or math.isnan(x):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    h = x / 2.0
-    if dof % 2 == 0:
-        term, s = 1.0, 1.0
-        for k in range(1, dof // 2):
-            term *= h / k
-            s += term
-        return math.exp(-h) * s
-    s = math.erfc(math.sqrt(h))
-    term = math.sqrt(h) / math.gamma(1.5)
-    acc = term
-    for k in range(2, (dof - 1) // 2 + 1):
-        term *= h / (k - 0.5)
-        acc += term
-    if dof >= 3:
-        s += math.exp(-h) * acc
-    return min(1.0, max(0.0, s))
-
-
-def normal_two_sided(z: float) -> float:
-    if z is None or math.isnan(z):
-        return float("nan")
-    return min(1.0, math.erfc(z / math.sqrt(2.0)))
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(a, int(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, dof)])
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_two_sided(a) if pd.notna(a) else None for a in z])
+def _upper_erfc(x: Column) -> Column:
+    """erfc for x >= 0: the power series of erf below 2, Legendre's continued fraction from there on."""
+    twice = 2 * x * x
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * twice / (2 * k + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("term"), x.alias("sum")), add, lambda acc: acc["sum"])
+    far = F.greatest(x, F.lit(2.0))
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda t, k: far + k / 2 / t)
+    return (F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series)
+            .otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * fraction)))
+
+
+def chi2_sf(x: Column, dof: Column) -> Column:
+    """Upper tail of χ² with integer ``dof``: a finite sum, plus an erfc for odd ``dof``. NULL and NaN stay."""
+    h = F.greatest(x, F.lit(0.0)) / 2
+    odd = dof % 2 == 1
+    steps = F.floor(dof / 2).cast("int")
+    first = F.exp(-h) * F.when(odd, F.sqrt(h) / math.gamma(1.5)).otherwise(1.0)
+    half = F.when(odd, 0.5).otherwise(0.0)
+
+    def add(acc: Column, j: Column) -> Column:
+        term = F.when(j == 1, first).otherwise(acc["term"] * h / F.greatest(j - 1 + half, F.lit(0.5)))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+    terms = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum")), add, lambda acc: acc["sum"])
+    tail = total + F.when(odd, _upper_erfc(F.sqrt(h))).otherwise(0.0)
+    return (F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double")).when(dof <= 0, 1.0).when(F.isnan(x), x)
+            .when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), tail)))
+
+
+def normal_two_sided(z: Column) -> Column:
+    """Two-sided normal tail of a statistic that counts as 0 where it is negative. NULL and NaN stay."""
+    return (F.when(z.isNull() | F.isnan(z), z).when(z <= 0, 1.0)
+            .otherwise(_upper_erfc(F.greatest(z, F.lit(0.0)) / math.sqrt(2.0))))
 
 
 def with_chi2_p(chi2: DataFrame) -> DataFrame:
     """A16 p-value column on the (tiny) statistic frame."""
-    return chi2.withColumn("p_value", chi2_sf_udf(F.col("chi2"), F.col("dof")))
+    return chi2.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof")))
 
 
 # ---------------------------------------------------------------------------
@@ -105,12 +99,13 @@ def normality_k2(df: DataFrame, group_cols: list[str], value_col: str) -> DataFr
 # ---------------------------------------------------------------------------
 
 def prefix_sum(df: DataFrame, order_col: str, value_cols: list[str], key_cols: list[str],
-               buckets: int = 64) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Exclusive running sums of ``value_cols`` in ``order_col`` order within ``key_cols``.
 
     Scales past one task: rows are range-partitioned on (keys, order), each range
     bucket gets its own running sum (a window partitioned by bucket), and bucket
-    offsets come from a window over the ``buckets`` bucket totals only.
+    offsets come from a window over the ``buckets`` bucket totals only (as many as the
+    session has shuffle partitions, unless given).
 
     Range bounds are sampled, so a recomputation may bucket rows differently; the
     bucketed frame is therefore checkpointed (reliably, to ``spark.checkpoint.dir``)
@@ -118,6 +113,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: list[str], key_cols: l
     """
     from raterlab.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(buckets, *key_cols, order_col).withColumn("_bucket", F.spark_partition_id())
     w_in = Window.partitionBy(*key_cols, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     for c in value_cols:
@@ -133,7 +129,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: list[str], key_cols: l
 
 
 def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: str,
-                 buckets: int = 64) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Two-sided Mann–Whitney U per ``test_col`` (sides ``'a'`` / ``'b'``), tie-corrected
     normal approximation with continuity correction.
 
@@ -158,5 +154,5 @@ def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: st
 
 
 def with_mann_whitney_p(mw: DataFrame) -> DataFrame:
-    return mw.withColumn("p_value", normal_two_sided_udf(F.col("z")))
+    return mw.withColumn("p_value", normal_two_sided(F.col("z")))
 

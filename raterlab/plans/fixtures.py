@@ -30,9 +30,6 @@ ABSENT_PHRASE = "zzq absent phrase"
 NESTED_ITEM_JSON = '["nested"]'
 
 
-_VIEWS: dict = {}
-
-
 def view(fn):
     """Memoise a view *definition* per (session, arguments).
 
@@ -42,10 +39,11 @@ def view(fn):
     """
     @functools.wraps(fn)
     def wrapper(spark, *args, **kw):
-        key = (fn.__name__, id(spark), args, tuple(sorted(kw.items())))
-        if key not in _VIEWS:
-            _VIEWS[key] = fn(spark, *args, **kw)
-        return _VIEWS[key]
+        views = vars(spark).setdefault("_raterlab_views", {})  # ends with its session
+        key = (fn.__name__, args, tuple(sorted(kw.items())))
+        if key not in views:
+            views[key] = fn(spark, *args, **kw)
+        return views[key]
     return wrapper
 
 

@@ -149,7 +149,7 @@ def agreement_report(spark: SparkSession, annotations_json: str, rater_a: str, r
         "chi2": HY.with_chi2_p(AG.chi2_statistic(ct.filter(F.col("field") != "trigger_level"))),
         "normality": HY.normality_k2(ann.select("created_by", F.col("trigger_level").cast("double").alias("x")),
                                      ["created_by"], "x"),
-        "mann_whitney": HY.with_mann_whitney_p(HY.mann_whitney(levels, "test", "side", "x", buckets=8)),
+        "mann_whitney": HY.with_mann_whitney_p(HY.mann_whitney(levels, "test", "side", "x")),
         "overlap": AG.overlap_summary(ov),
         "mean_span_length": AG.mean_span_length(ann),
     }

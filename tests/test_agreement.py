@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from raterlab.operators import agreement as AG
 from raterlab.operators import hypothesis as HY
@@ -88,19 +89,27 @@ def test_mann_whitney_pairwise(spark):
     assert got.p_value == pytest.approx(min(1.0, math.erfc(z / math.sqrt(2))))
 
 
-def test_tails():
-    assert HY.normal_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-9)
-    for dof in (1, 2, 3, 4, 5, 36):
-        x = 3.7
-        # numeric integration of the density above x
+def test_tails(spark):
+    x, dofs = 3.7, (1, 2, 3, 4, 5, 36)
+    cases = [(x, d) for d in dofs] + [(0.0, 3), (5.0, 0), (None, 1), (3.7, None), (float("nan"), 2)]
+    df = spark.createDataFrame([(i, a, d) for i, (a, d) in enumerate(cases)], "i int, x double, dof long")
+    got = [r.p for r in df.select("i", HY.chi2_sf(F.col("x"), F.col("dof")).alias("p")).orderBy("i").collect()]
+    for dof, p in zip(dofs, got):
+        # numeric integration of the density above x; its root singularity at 0 lies outside
         k = dof / 2
         dens = lambda t: t ** (k - 1) * math.exp(-t / 2) / (2 ** k * math.gamma(k))
         h, tail, t = 0.001, 0.0, x
         while t < x + 400:
             tail += (dens(t) + 4 * dens(t + h / 2) + dens(t + h)) * h / 6
             t += h
-        assert HY.chi2_sf(x, dof) == pytest.approx(tail, rel=1e-6)
-    assert HY.chi2_sf(0.0, 3) == 1.0 and HY.chi2_sf(5.0, 0) == 1.0
+        assert p == pytest.approx(tail, rel=1e-6)
+    assert got[6:8] == [1.0, 1.0] and got[8:10] == [None, None] and math.isnan(got[10])
+
+    zs = [-1.0, 0.0, 0.3, 1.959963984540054, 2.8, 2.9, 5.0, 12.0]
+    df = spark.createDataFrame([(z,) for z in zs] + [(None,), (float("nan"),)], "z double")
+    got = [r.p for r in df.select(HY.normal_two_sided(F.col("z")).alias("p")).collect()]
+    assert got[:8] == pytest.approx([min(1.0, math.erfc(z / math.sqrt(2))) for z in zs], rel=1e-10)
+    assert got[8] is None and math.isnan(got[9])
 
 
 def test_normality_closed_form(spark):
