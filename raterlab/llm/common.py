@@ -79,17 +79,22 @@ MAX_FILTER_WORDS = 1 << 19
 FILTER_HASHES = 3
 
 
-def _filter_cells(keys: list[bytes], words: int):
-    """Three cells per key (keys are digests, so their bytes are already random)."""
+def _filter_cells(keys, words: int):
+    """Three cells per key: 16-byte digests (whose bytes are already random) or 64-bit hashes (mixed once more)."""
     import numpy as np
-    raw = np.frombuffer(b"".join(k[:16] for k in keys), "<u8").reshape(-1, 2)
+    if isinstance(keys, np.ndarray):
+        first = keys.view(np.uint64)
+        second = (first ^ (first >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        second ^= second >> np.uint64(29)
+    else:
+        first, second = np.frombuffer(b"".join(k[:16] for k in keys), "<u8").reshape(-1, 2).T
     cells = words * 64
-    return [((raw[:, 0] + np.uint64(i) * raw[:, 1]) % np.uint64(cells)).astype(np.int64) for i in range(FILTER_HASHES)]
+    return [((first + np.uint64(i) * second) % np.uint64(cells)).astype(np.int64) for i in range(FILTER_HASHES)]
 
 
 def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
-    """A Bloom filter over the 16-byte digests in ``key``, at most MAX_FILTER_WORDS longs: each task
-    sets its own bits, equal words are combined in a shuffle, and only the filter reaches the driver."""
+    """A Bloom filter over the 16-byte digests or 64-bit hashes in ``key``, at most MAX_FILTER_WORDS longs: each
+    task sets its own bits, equal words are combined in a shuffle, and only the filter reaches the driver."""
     import numpy as np
     want = max(64, rows.count() // 4)
     words = min(MAX_FILTER_WORDS, 1 << (want - 1).bit_length())
@@ -98,8 +103,9 @@ def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
         import pyarrow as pa
         bits = np.zeros(words, np.uint64)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            if keys:
+            keys = batch.column(0)
+            keys = keys.to_numpy() if pa.types.is_int64(keys.type) else keys.to_pylist()
+            if len(keys):
                 for cell in _filter_cells(keys, words):
                     np.bitwise_or.at(bits, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
@@ -111,16 +117,15 @@ def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
     return out.tobytes(), words
 
 
-def test_bits(bits: bytes, words: int, keys: list[bytes]) -> list[bool]:
-    """Whether each key may be in the filter."""
+def test_bits(bits: bytes, words: int, keys):
+    """Whether each key may be in the filter, as a boolean array."""
     import numpy as np
     table = np.frombuffer(bits, np.uint64)
-    if not keys:
-        return []
     found = np.ones(len(keys), bool)
-    for cell in _filter_cells(keys, words):
-        found &= (table[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return found.tolist()
+    if len(keys):
+        for cell in _filter_cells(keys, words):
+            found &= (table[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found
 
 
 def kept_by_worker(key: str, make):

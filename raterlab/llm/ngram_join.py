@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,10 @@ def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def text_digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8"))
+
+
 def prefix_length(n):
     """Shingles that must be looked up in a set of n."""
     return n - (4 * n + 4) // 5 + 1
@@ -81,25 +86,43 @@ def _matches(n1: Column, place1: Column, n2: Column, place2: Column) -> Column:
 
 
 def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, tokens) of the wanted nodes, from the texts. A bounded Bloom filter over the
-    wanted signatures spares the shuffle most other texts; the join is exact."""
-    sigs = scratch_table(wanted.join(classes.select("node", "n", "sig"), "node"), "wanted")
-    bits, words = member_bits(sigs, "sig")
+    """(node, n, tokens) of the wanted nodes, from the texts. A bounded Bloom filter over the digests
+    of one text of each wanted class spares most other texts the shingling; the join is exact."""
+    sigs = scratch_table(wanted.join(classes.select("node", "n", "sig", "raw"), "node"), "wanted")
+    bits, words = member_bits(sigs, "raw")
 
     def worker():
+        seen = set()  # a text that comes again in the task is not given twice
+
         def compute(texts):
-            sets = [shingles(t) for t in texts]
-            keep = test_bits(bits, words, [signature(s) for s in sets])
-            return [[signature(s) if k else None for s, k in zip(sets, keep)],
-                    [s if k else None for s, k in zip(sets, keep)]]
+            raw = [text_digest(t) for t in texts]
+            sets = []
+            for t, r, may in zip(texts, raw, test_bits(bits, words, raw)):
+                sets.append(shingles(t) if may and r not in seen else None)
+                if may:
+                    seen.add(r)
+            return [[None if s is None else signature(s) for s in sets], sets]
         return compute
     found = map_texts(docs, text_col, [], "sig binary, tokens array<bigint>", worker).filter("sig is not null")
-    found = found.join(sigs, "sig").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    found = found.join(sigs.drop("raw"), "sig").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     found = scratch_table(found, "sets")
     drop_tables(sigs)
     return found
 
 
+def _sharing(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many looked-up shingles as their sizes demand."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lists = index.join(nodes, "node", "left_semi").groupBy("node")
+    lists = lists.agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    lists = scratch_table(lists, "lists")
+    both = pairs.join(lists.toDF("a", "n1", "t1"), "a").join(lists.toDF("b", "n2", "t2"), "b")
+    enough = F.size(F.array_intersect("t1", "t2")) >= needed(F.col("n1"), F.col("n2"))
+    out = scratch_table(both.filter(enough).select("a", "b"), "sharing")
+    drop_tables(lists)
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -127,53 +150,72 @@ def stored_length(n):
     return min(n, p + p // 4 + 16)
 
 
-def _common(rows: DataFrame, *looked_up: DataFrame) -> DataFrame:
-    """Shingles that more than HOT of ``rows`` have and that no set of ``looked_up`` is looked up by:
-    a shingle is common for all sets or for none."""
-    common = rows.groupBy("token").count().filter(F.col("count") > HOT).select("token")
-    for others in looked_up:
-        common = scratch_table(common, "common")
-        common = common.join(scratch_table(others.join(common, "token").select("token").distinct(), "rare"),
-                             "token", "left_anti")
-    return common
+def _rows_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, node, n, pos) of the stored shingles among ``tokens``, and what these have besides. A bounded
+    Bloom filter over them spares the shuffle most other shingles; the join is exact."""
+    bits, words = member_bits(tokens, "token")
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            lists = batch.column(2)
+            found = lists.flatten().to_numpy()
+            ends = np.diff(lists.offsets.to_numpy())
+            starts = np.repeat(np.cumsum(ends) - ends, ends)
+            keep = np.flatnonzero(test_bits(bits, words, found))
+            row = np.repeat(np.arange(batch.num_rows), ends)[keep]
+            columns = [found[keep], batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], (np.arange(len(found)) - starts)[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "n", "pos"])
+    rows = classes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos long")
+    return rows.join(tokens, "token")
+
+
+def _looked_up(rows: DataFrame, hots: DataFrame) -> DataFrame:
+    """The rows within the prefix of their set, common shingles (whose places ``hots`` lists) left out."""
+    before = F.coalesce(F.size(F.filter("hots", lambda h: h < F.col("pos"))), F.lit(0))
+    rows = rows.join(hots, "node", "left").filter(F.col("pos") + 1 - F.greatest(before, F.lit(0)) <= _prefix(F.col("n")))
+    return rows.select("token", "node", "n")
 
 
 def _lengthened(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """``rows`` (token, node, n) with hot and place: the order of each set's shingles, common ones last."""
+    """``rows`` (token, node, n) within the prefix of their set, where common shingles come last."""
     flagged = rows.join(common.withColumn("hot", F.lit(True)), "token", "left")
-    flagged = flagged.withColumn("hot", F.coalesce("hot", F.lit(False)))
-    order = Window.partitionBy("node").orderBy("hot", "token")
-    return flagged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _prefix(F.col("n")))
+    order = Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(False)), "token")
+    flagged = flagged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _prefix(F.col("n")))
+    return flagged.select("token", "node", "n")
 
 
 def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(token, node, n): what each set is looked up by, without shingles that one set alone has."""
-    base = classes.select("node", "n", F.explode(F.expr("slice(prefix, 1, int(n - floor((4 * n + 4) / 5) + 1))")).alias("token"))
-    counts = scratch_table(base.groupBy("token").count().filter("count > 1"), "counts")
-    hot = counts.filter(F.col("count") > HOT).select("token")
-    warm = scratch_table(base.join(hot, "token").select("node").distinct(), "warm")
-    others = base.join(warm, "node", "left_anti")
-    # sets with common shingles look further into what is stored of them
-    stored = classes.join(warm, "node").select("node", "n", F.explode("prefix").alias("token"))
-    common = scratch_table(_common(stored, others).unionByName(hot).distinct(), "common")
-    tried = scratch_table(_lengthened(stored, common), "longer")
-    short_of = tried.groupBy("node").agg(F.count_if("hot").alias("h"), F.count("*").alias("c"), F.first("n").alias("n"))
-    short_of = scratch_table(short_of.filter((F.col("h") > 0) | (F.col("c") < _prefix(F.col("n")))).select("node"), "short")
-    longer = tried.join(short_of, "node", "left_anti").select("token", "node", "n")
+    """(token, node, n, place): what each set is looked up by, without shingles that one set alone has.
+
+    One order holds for all sets: rare shingles by value, then common ones by value. A shingle alone in
+    what is stored is only counted, by its place; the rows are those of the shared ones."""
+    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("sets"))
+    counts = scratch_table(counts.filter("sets > 1"), "counts")
+    rows = scratch_table(_rows_of(classes, counts), "shared")
+    hots = rows.filter(F.col("sets") > HOT).groupBy("node").agg(F.collect_list("pos").alias("hots"), F.first("n").alias("n"))
+    hots = scratch_table(hots, "hots")
+    stored = F.least(F.col("n"), _prefix(F.col("n")) + F.floor(_prefix(F.col("n")) / 4) + 16)
+    short_of = hots.filter(stored - F.size("hots") < _prefix(F.col("n"))).select("node")
+    hots = hots.drop("n")
+    longer = _looked_up(rows.filter(F.col("sets") <= HOT).join(short_of, "node", "left_anti"), hots)
+
     # the few that have too few rare shingles there look into all of theirs
     sets = _whole_sets(docs, text_col, classes, short_of)
     whole = sets.select("node", "n", F.explode("tokens").alias("token"))
-    common = scratch_table(_common(whole, others, longer).unionByName(common).distinct(), "common")
-    longer = longer.unionByName(_lengthened(whole, common).select("token", "node", "n"))
-    plain = others.join(counts.select("token").unionByName(longer.select("token")), "token", "left_semi")
-    looked_up = scratch_table(plain.select("token", "node", "n").unionByName(longer)
-                              .withColumn("component", F.col("node")), "index")
-    drop_tables(counts, warm, tried, short_of, sets, common)
+    further = scratch_table(whole.select("token").distinct().join(counts, "token", "left_anti"), "further")
+    longer = longer.unionByName(_looked_up(_rows_of(classes, further).join(short_of, "node", "left_anti"), hots))
+    longer = scratch_table(longer, "longer")
+    # of their further shingles those are common that many have and that no other set is looked up by
+    common = whole.groupBy("token").count().filter(F.col("count") > HOT).select("token").join(longer, "token", "left_anti")
+    common = scratch_table(common.unionByName(counts.filter(F.col("sets") > HOT).select("token")).distinct(), "common")
+    looked_up = scratch_table(longer.unionByName(_lengthened(whole, common)), "index")
+    drop_tables(counts, rows, hots, sets, further, longer, common)
     # a shingle's place among those its set is looked up by, most frequent first
     often = looked_up.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     order = Window.partitionBy("node").orderBy(F.desc("sets"), "token")
     placed = looked_up.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets")
-    placed = scratch_table(placed, "index")
+    placed = scratch_table(placed.withColumn("component", F.col("node")), "index")
     drop_tables(looked_up)
     return placed
 
@@ -232,23 +274,23 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def sets_of():
         def compute(texts):
             sets = [shingles(t) for t in texts]
-            return [[len(s) for s in sets], [signature(s) for s in sets],
+            return [[len(s) for s in sets], [signature(s) for s in sets], [text_digest(t) for t in texts],
                     [s[:stored_length(len(s))] if len(s) else None for s in sets]]
         return compute
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    read = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary, prefix array<bigint>", sets_of), "read")
-    members = scratch_table(read.drop("prefix"), "members")
-    classes = read.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    read = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary, raw binary, prefix array<bigint>", sets_of), "read")
+    members = scratch_table(read.drop("raw", "prefix"), "members")
+    classes = read.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("raw").alias("raw"), F.first("prefix").alias("prefix"))
     classes = scratch_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     drop_tables(read)
 
     index = _index(ids, "text", classes)
     # of the classes, only their names are read from here on
-    names = scratch_table(classes.select("node", "n", "sig"), "names")
+    names = scratch_table(classes.select("node", "n", "sig", "raw"), "names")
     drop_tables(classes)
     links, sets, before = None, None, None
     for turn in range(ROUNDS):
-        pairs = scratch_table(_star_pairs(index, turn), "pairs")
+        pairs = _sharing(scratch_table(_star_pairs(index, turn), "pairs"), index)
         if turn == 0:
             # later rounds pair the same sets anew; pairs of others are left to the last step
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -259,13 +301,13 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not found.take(1):
             break
         index = _labelled(index, links)
-        # more pivots pay as long as they halve the cost of pairing what is left, and it is above the index's
+        # more pivots pay as long as they halve the cost of pairing what is left, and it is above what rare lists cost
         left = _unpaired(index).agg(F.sum(F.col("outside") * F.col("all"))).first()[0] or 0
-        if left <= 4 * index.count() or (before is not None and 2 * left > before):
+        if left <= HOT * index.count() or (before is not None and 2 * left > before):
             break
         before = left
     drop_tables(sets)
-    pairs = scratch_table(_cross_pairs(index), "pairs")
+    pairs = _sharing(scratch_table(_cross_pairs(index), "pairs"), index)
     drop_tables(index)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", names, nodes)))
