@@ -110,19 +110,6 @@ def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: Data
     return found
 
 
-def _sharing(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many looked-up shingles as their sizes demand."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    lists = index.join(nodes, "node", "left_semi").groupBy("node")
-    lists = lists.agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
-    lists = scratch_table(lists, "lists")
-    both = pairs.join(lists.toDF("a", "n1", "t1"), "a").join(lists.toDF("b", "n2", "t2"), "b")
-    enough = F.size(F.array_intersect("t1", "t2")) >= needed(F.col("n1"), F.col("n2"))
-    out = scratch_table(both.filter(enough).select("a", "b"), "sharing")
-    drop_tables(lists)
-    return out
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -288,9 +275,10 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # of the classes, only their names are read from here on
     names = scratch_table(classes.select("node", "n", "sig", "raw"), "names")
     drop_tables(classes)
-    links, sets, before = None, None, None
+    links, sets = None, None
+    before = index.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] or 0
     for turn in range(ROUNDS):
-        pairs = _sharing(scratch_table(_star_pairs(index, turn), "pairs"), index)
+        pairs = scratch_table(_star_pairs(index, turn), "pairs")
         if turn == 0:
             # later rounds pair the same sets anew; pairs of others are left to the last step
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -303,11 +291,11 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         index = _labelled(index, links)
         # more pivots pay as long as they halve the cost of pairing what is left, and it is above what rare lists cost
         left = _unpaired(index).agg(F.sum(F.col("outside") * F.col("all"))).first()[0] or 0
-        if left <= HOT * index.count() or (before is not None and 2 * left > before):
+        if left <= HOT * index.count() or 2 * left > before:
             break
         before = left
     drop_tables(sets)
-    pairs = _sharing(scratch_table(_cross_pairs(index), "pairs"), index)
+    pairs = scratch_table(_cross_pairs(index), "pairs")
     drop_tables(index)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", names, nodes)))
