@@ -112,24 +112,29 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(chunk: str, model: np.ndarray) -> str:
-    """The cheapest path through the chunk's lattice."""
-    other = SYMBOLS - 1
-    paths = {(0, 0): (0.0, "")}
+    """The cheapest path through the chunk's lattice. A path is its cost and a chain of back-pointers, which paths
+    share, so time and memory grow with the chunk's length alone."""
+    other, price_of = SYMBOLS - 1, model.item
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in [*lattice(chunk), [(" ", 0.0)]]:
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, out) in paths.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, trail) in paths.items():
             for letters, price in readings:
                 x, y, total = a, b, cost + price
                 for c in letters:
                     k = 0 if c == " " else INDEX.get(c, other)
                     if k or y:
-                        total -= float(model[x, y, k])
+                        total -= price_of(x, y, k)
                         x, y = y, k
                 held = step.get((x, y))
                 if held is None or total < held[0]:
-                    step[x, y] = (total, out + letters)
+                    step[x, y] = (total, (trail, letters))
         paths = step
-    return min(paths.values())[1].strip()
+    trail, out = min(paths.values(), key=lambda p: p[0])[1], []
+    while trail is not None:
+        trail, letters = trail
+        out.append(letters)
+    return "".join(reversed(out)).strip()
 
 
 def restore(chunk: str, model: np.ndarray) -> list[str]:
@@ -142,8 +147,6 @@ def restore(chunk: str, model: np.ndarray) -> list[str]:
         return []
     if core.isalpha() and not _RUN.search(core):
         return [core]
-    if len(core) > 200:
-        return [w for w in re.split(r"[\W\d_]+", core) if w]
     return decode(core, model).split()
 
 

@@ -142,6 +142,28 @@ def test_restoring_hidden_words():
         assert toxicity.restore(hidden, model) == [word], hidden
 
 
+def character_model():
+    import numpy as np
+    text = "the loser and the moron met a clown who was a stupid idiot in the trash of scum " * 30
+    table = np.zeros(toxicity.SYMBOLS ** 3)
+    k = [0] + [toxicity.INDEX.get(c, 0) for c in text] + [0]
+    for a, b, c in zip(k, k[1:], k[2:]):
+        table[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    return toxicity.log_probabilities(table)
+
+
+def test_hidden_words_in_long_chunks():
+    model = character_model()
+    spaced = " ".join("theloserandthemoronmetaclownwhowasa" * 8)
+    joined = "_".join(["the_m0r0n_met_a_cl0wn_and_the_l0ser_was_an_1d10t"] * 12)
+    assert len(spaced) > 500 < len(joined)
+    for text, words in [(spaced, {"loser", "moron", "clown"}), (joined, {"loser", "moron", "clown"})]:
+        found = {w for c in toxicity.chunks(text) for w in toxicity.restore(c, model)}
+        assert words <= found, sorted(found)
+    # as in a short chunk, and without a bound on the length
+    assert toxicity.restore("_".join(["1d10t"] * 20_000), model) == ["idiot"] * 20_000
+
+
 def test_toxicity_learns_from_labels_outside_the_fold(spark, docs, no_docs):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice(["fine", "good", "day", "tree", "stone", "river"]) for _ in range(20))
