@@ -2,9 +2,11 @@
 
 A character trigram model is counted over the words of all documents. What writers do to
 hide a word (leet signs, spaced-out letters, repeated letters) makes a lattice: each sign may stand for a
-letter, be noise or part words, each run of letters may be one or two; the Viterbi path under the
-character model and the channel's costs is the restored text. Plain words have a lattice of one
-path and are taken as they are.
+letter, be noise or part words, each run of signs or letters may be one or two; the Viterbi path under the
+character model and the channel's costs is the restored text. Chunks of signs alone are decoded like others.
+Signs at a chunk's edge and doubled letters are ambiguous (marks or letters, spelling or disguise): such a chunk has
+the words of its best path and also those that it has as it is written. Plain words without doubled
+letters have a lattice of one path and are taken as they are.
 
 Scores come from the restored words alone. A logistic regression over words and their
 beginnings, fitted on labelled documents outside the held-out fold, weighs each word; a
@@ -45,10 +47,15 @@ INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "2": "z",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "#": "h", "*": "aeiou"}
 SIGN_COST, NOISE_COST, PART_COST, REPEAT_COST = 1.0, 4.0, 2.5, 0.5
+#: one letter written as two; a gap wider than others as nothing and as a word's end
+DOUBLE_COST, WIDE_COST, WIDE_PART_COST = 2.0, 1.0, 1.5
 EDGE = ".,;:?\"'()[]{}<>«»“”„…¿¡-–—/\\"
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_GAP, _NARROW = re.compile(r"\s+"), re.compile(r"(?<!\s)\s(?!\s)")
 _EDGE_RUNS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
-_RUN = re.compile(r"(.)\1{2,}")
+_DOUBLE, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1{2,}")
+#: marks at a chunk's edge that stand for no letter
+MARKS = "".join(c for c in EDGE if c not in SIGNS)
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -99,14 +106,18 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             n += 1
         i += n
         if c.isalpha():
-            if n < 3:
-                places += [[(c, 0.0)]] * n
+            if n == 1:
+                places.append([(c, 0.0)])
+            elif n == 2:
+                places.append([(c + c, 0.0), (c, DOUBLE_COST)])
             else:
                 places.append([(c, REPEAT_COST), (c + c, 2 * REPEAT_COST)])
         elif c == " ":
-            places.append([("", 0.2), (" ", PART_COST)])
+            places.append([("", 0.2), (" ", PART_COST)] if n == 1 else [("", WIDE_COST), (" ", WIDE_PART_COST)])
         else:
-            read = [(x, SIGN_COST * (1 + 0.5 * (n - 1)) + (0.5 if c == "*" else 0.0)) for x in SIGNS.get(c, "")]
+            cost = SIGN_COST * (1 + 0.5 * (n - 1)) + (0.5 if c == "*" else 0.0)
+            read = [(x, cost + (REPEAT_COST if n > 1 else 0.0)) for x in SIGNS.get(c, "")]
+            read += [(x + x, cost) for x in SIGNS.get(c, "") if n > 1]
             places.append(read + [("", NOISE_COST if c in SIGNS else 0.5), (" ", PART_COST + 1.0)])
     return places
 
@@ -139,23 +150,29 @@ def decode(chunk: str, model: np.ndarray) -> str:
 
 def restore(chunk: str, model: np.ndarray) -> list[str]:
     """The words of one chunk of lower-case text, restored."""
-    core = chunk.strip(EDGE)
-    if core.isalpha() and not _RUN.search(core):
+    core = chunk.strip(MARKS)
+    if core.isalpha() and not _DOUBLE.search(core):
         return [core]
-    core = _EDGE_RUNS.sub("", core).strip(EDGE).rstrip("!")
-    if not core or not any(c.isalpha() for c in core):
+    if not any(c.isalpha() or c in SIGNS for c in core):
         return []
-    if core.isalpha() and not _RUN.search(core):
-        return [core]
-    return decode(core, model).split()
+    words = decode(core, model).split()
+    # and as it is written: signs at the edge are marks, doubled letters spelling
+    written = _EDGE_RUNS.sub("", chunk.strip(EDGE)).strip(EDGE).rstrip("!")
+    if written == core and not core.isalpha() or not any(map(str.isalpha, written)):
+        return words
+    known = set(words)
+    more = [written] if written.isalpha() and not _RUN.search(written) else decode(written, model).split()
+    return words + [w for w in more if w not in known]
 
 
 def chunks(text: str) -> set[str]:
-    """What is restored on its own: text between white space, and runs of single signs as one."""
+    """What is restored on its own: text between white space, and runs of single signs, however far apart, as one."""
     low = text.lower()
     found = set(low.split())
-    if _SPACED.search(low):
-        found.update(m.group() for m in _SPACED.finditer(low))
+    for m in _SPACED.finditer(low):
+        # gaps of one width part signs; where some are wider, these may part words
+        wide = "  " if _NARROW.search(m.group()) else " "
+        found.add(_GAP.sub(lambda gap: " " if len(gap.group()) == 1 else wide, m.group()))
     return found
 
 

@@ -164,6 +164,25 @@ def test_hidden_words_in_long_chunks():
     assert toxicity.restore("_".join(["1d10t"] * 20_000), model) == ["idiot"] * 20_000
 
 
+def test_hidden_words_at_edges_of_signs_doubled_and_spaced():
+    import numpy as np
+    text = "the clown and the idiot met a stupid dumbass who said shit to a moron with boobs and gave his ass a kiss " * 30
+    table = np.zeros(toxicity.SYMBOLS ** 3)
+    k = [0] + [toxicity.INDEX.get(c, 0) for c in text] + [0]
+    for a, b, c in zip(k, k[1:], k[2:]):
+        table[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    model = toxicity.log_probabilities(table)
+    for hidden, word in [("dumba$$", "dumbass"), ("ki$$", "kiss"), ("$$tupid", "stupid"), ("(lown", "clown"), ("455", "ass"),
+                         ("4$$", "ass"), ("$#!7", "shit"), ("80085", "boobs"), ("iiddiioott", "idiot"), ("ssttuuppiidd", "stupid"),
+                         ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("i\u00a0d \ni\u00a0o t", "idiot"),
+                         ("m  o r\t\to n", "moron"), ("(clown)", "clown"), ("moron$$$", "moron"), ("kiss", "kiss")]:
+        found = {w for c in toxicity.chunks(hidden) for w in toxicity.restore(c, model)}
+        assert word in found, (hidden, found)
+    words = [w for c in toxicity.chunks("t h e  m o r o n") if " " in c for w in toxicity.restore(c, model)]
+    assert words == ["the", "moron"]
+    assert toxicity.restore("$$$", model) == toxicity.restore("---", model) == []
+
+
 def test_toxicity_learns_from_labels_outside_the_fold(spark, docs, no_docs):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice(["fine", "good", "day", "tree", "stone", "river"]) for _ in range(20))
