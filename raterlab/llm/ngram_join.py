@@ -257,7 +257,8 @@ def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and class_sig, the digest of its shingle set."""
+    """One row per document: doc_id, n_shingles, component_id, class_sig, the digest of its shingle set, and component,
+    a number that tells components apart whose smallest doc_id is the same (null without shingles)."""
     def sets_of():
         def compute(texts):
             sets = [shingles(t) for t in texts]
@@ -305,7 +306,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     per_class = per_class.join(names.select("sig", "node"), "sig").join(components(links), "node", "left")
     per_class = per_class.withColumn("component", F.coalesce("component", "node"))
     lowest = per_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch_table(per_class.join(lowest, "component").select("sig", "component_id", "copies"), "named")
+    named = scratch_table(per_class.join(lowest, "component").select("sig", "component_id", "component", "copies"), "named")
     return _attach(members, named)
 
 
@@ -316,7 +317,7 @@ def _attach(members: DataFrame, named: DataFrame) -> DataFrame:
     out = attach_groups(members, named, "sig", "copies", members.count(), spread)
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      F.col("sig").alias("class_sig"))
+                      F.col("sig").alias("class_sig"), "component")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,13 +325,25 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (one row of it, if it is repeated); documents without shingles or id stay.
 
     Only documents that are not the smallest of their group are looked for, so nothing but
-    ids is shuffled besides the documents' own rows."""
-    found = document_classes(docs, id_col, text_col).filter("n_shingles > 0 and doc_id is not null")
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    kept = rows.join(drop, rows["id"] == drop["drop_id"], "left_anti")
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    twice = scratch_table(twice.select(F.col("doc_id").alias("twice_id")), "twice")
-    lone = kept.join(twice, kept["id"] == twice["twice_id"], "left_anti").select("row.*")
-    again = kept.join(twice, kept["id"] == twice["twice_id"], "left_semi").dropDuplicates(["id"]).select("row.*")
-    return lone.unionByName(again)
+    ids is shuffled besides the documents' own rows. An id on several rows may have different texts:
+    for these rows the decision is by the id and the digest of the row's own shingle set."""
+    found = document_classes(docs, id_col, text_col).filter("doc_id is not null")
+    repeated = found.groupBy("doc_id").count().filter("count > 1")
+    repeated = scratch_table(repeated.select(F.col("doc_id").alias("repeated_id")), "repeated")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    drop = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    lone = rows.join(repeated, rows["id"] == repeated["repeated_id"], "left_anti")
+    lone = lone.join(drop, lone["id"] == drop["drop_id"], "left_anti").select("row.*")
+
+    def sets_of():
+        def compute(texts):
+            sets = [shingles(t) for t in texts]
+            return [[len(s) for s in sets], [signature(s) for s in sets]]
+        return compute
+    again = rows.join(repeated, rows["id"] == repeated["repeated_id"], "left_semi")
+    again = scratch_table(map_texts(again, "text", ["row", "id"], "n bigint, sig binary", sets_of), "again")
+    smallest = found.join(repeated, found["doc_id"] == repeated["repeated_id"], "left_semi")
+    smallest = smallest.filter("n_shingles > 0 and doc_id = component_id")
+    smallest = smallest.select(F.col("doc_id").alias("id"), F.col("class_sig").alias("sig"), F.col("component").alias("group_no")).distinct()
+    kept = again.filter("n > 0").dropDuplicates(["id", "sig"]).join(smallest, ["id", "sig"]).dropDuplicates(["id", "group_no"])
+    return lone.unionByName(kept.select("row.*")).unionByName(again.filter("n = 0").select("row.*"))

@@ -129,6 +129,16 @@ def test_one_document_of_each_group_stays(docs, no_docs):
     assert ngram_join.document_classes(no_docs).count() == 0
 
 
+def test_one_id_on_different_texts(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")),
+            (4, text("e")), (4, text("e") + " more"), (2, ""), (5, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text[:2]) for r in ngram_join.one_per_group(df).collect())
+    assert kept == [(1, "a0"), (2, ""), (2, "b0"), (3, "c0"), (3, "d0"), (4, "e0"), (5, "f0")]
+
+
 def test_restoring_hidden_words():
     import numpy as np
     text = "the loser and the moron met a clown who was a stupid idiot in the trash of scum " * 30
