@@ -5,8 +5,10 @@ or more shares a shingle within the first p = n - ceil(0.8 n) + 1. Where some of
 common (their candidate cost, the number of sets that hold them, is above HOT), the prefix
 is lengthened by as many shingles: l - 1 more shingles, of which l must be shared, so that
 at least one shared shingle is a rare one, and only rare ones are looked up. Sets that run
-out of rare shingles fall back to common ones. Before verification a pair must share as
-many looked-up shingles as its sizes demand (``needed``).
+out of rare shingles fall back to common ones. Shared looked-up shingles are not counted before
+verification: a pair is verified if one of them has at least the place in both sets that the
+demanded number (``needed``) implies. No link is lost, but more pairs are verified than a count
+would leave; a count joins each pair with its sets' looked-up shingles once more.
 
 Equal sets become one class first. As only components are asked for, candidates come in
 two steps: every looked-up shingle links its sets to a few pivots (linear in the lists,
@@ -235,7 +237,7 @@ def _unpaired(index: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs that may share enough looked-up shingles and lie in different components. Per shingle,
+    """All pairs with a shared looked-up shingle at a sufficient place that lie in different components. Per shingle,
     one side is always outside its largest component, so that component is never paired with itself."""
     rows = scratch_table(index.join(_unpaired(index).select("token", "top"), "token"), "cross")
     one = rows.filter("component <> top").select("token", F.col("node").alias("x"), F.col("n").alias("n1"),
