@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterlab.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filters, warc
+from raterlab.llm import (bpe, centroids, chat_format, exact_dedup, fingerprints, mixing, ngram_join, prefix_trie,
+                          token_counts, topk, toxicity, url_filters, warc)
 from raterlab.llm.common import scratch_path
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +80,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("checked")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_successors(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -90,8 +103,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroids": op12_centroids,
+    "op13_fingerprints": op13_fingerprints,
 }
 
+
+def _centroid_sql(k: int, rounds: int, dims: int) -> str:
+    """The rounds of op12 as one CTE each for the assignment and the new centroids."""
+    nearest = """a{i} AS (
+  SELECT row_no, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.row_no, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM v, c{i} c) GROUP BY row_no)"""
+    moved = """c{j} AS (
+  WITH cells AS (
+    SELECT a.c, pos, sum(v.v[pos])::BIGINT AS s, count(*) AS n FROM a{i} a JOIN v USING (row_no), range(1, {end}) t(pos) GROUP BY ALL),
+  means AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY pos) AS v FROM cells GROUP BY c)
+  SELECT c{i}.c, coalesce(means.v, c{i}.v) AS v FROM c{i} LEFT JOIN means ON means.c = c{i}.c)"""
+    steps = ["""v AS (
+  SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = DIMS AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""".replace("DIMS", str(dims)),
+             f"""c0 AS (
+  SELECT row_number() OVER o - 1 AS c, v FROM v WINDOW o AS (ORDER BY sha256('2:' || vec_id::VARCHAR), v)
+  QUALIFY row_number() OVER o <= {k})"""]
+    for i in range(rounds):
+        steps += [nearest.format(i=i), moved.format(i=i, j=i + 1, end=dims + 1)]
+    steps.append(nearest.format(i=rounds))
+    return f"""WITH {", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row_no) JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLE: dict[str, str] = {
     "op3_warc": r"""
 WITH p AS (
@@ -168,4 +211,40 @@ WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS leader,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+             lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+built AS (
+  SELECT c.conv_id, 0 AS part, o.* EXCLUDE (conv_id) FROM convs c JOIN own o ON o.conv_id = c.leader AND o.rn <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.* EXCLUDE (conv_id) FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.rn > c.h),
+turns AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(digest, '') OVER w AS path,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, rn ROWS UNBOUNDED PRECEDING)),
+visits AS (SELECT conv_id, d, path, words FROM turns UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(d) AS n FROM visits GROUP BY conv_id),
+nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+  FROM visits JOIN lengths USING (conv_id) GROUP BY path),
+children AS (SELECT left(path, strlen(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+totals AS (
+  SELECT left(n.path, (32 * a)::INTEGER) AS path, sum((n_children IS NULL)::INTEGER)::BIGINT AS n_leaves,
+         sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM nodes) n LEFT JOIN children c USING (path) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t USING (path) LEFT JOIN children c USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, strlen(n.path) - 32)""",
+    "op12_centroids": _centroid_sql(40, 5, 64),
 }
