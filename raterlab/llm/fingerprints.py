@@ -115,18 +115,19 @@ def edited(text: str, after: str) -> str:
 def _compared(text: str, print_: bytes, after: str, after_print: bytes, bins: int, bits: int) -> tuple:
     other = edited(text, after)
     other_print = fingerprint(other, bins, bits)
-    return (len(text), hashlib.sha256(other.encode("utf-8")).hexdigest(), print_.hex(), other_print.hex(),
+    return (len(text), hashlib.sha256(other.encode("utf-8")).digest(), print_, other_print,
             likeness(print_, other_print, bits), likeness(print_, after_print, bits))
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+#: As written between the steps; digests and fingerprints become hex in the end.
+RESULT = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double")
 EDGES = f"task int, edge int, {RESULT}, text string"
 
 
 def _batch(rows: list[tuple], ddl: str):
     import pyarrow as pa
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
     fields = [f.split() for f in ddl.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*rows), fields)],
                                       names=[n for n, _ in fields])
@@ -174,4 +175,5 @@ def compare_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for doc, text, after in zip(*(c.to_pylist() for c in batch.columns)):
                 yield _batch([(doc, *_compared(text, fingerprint(text, bins, bits), after, fingerprint(after, bins, bits), bins, bits))], RESULT)
     inner = found.filter("edge = 0").drop("task", "edge", "text")
-    return inner.unionByName(pairs.mapInArrow(edges, RESULT))
+    out = inner.unionByName(pairs.mapInArrow(edges, RESULT))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
