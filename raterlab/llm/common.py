@@ -45,6 +45,12 @@ def drop_tables(*tables: DataFrame) -> None:
             folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_driver(spark: SparkSession) -> None:
+    """Collects the driver's garbage: plans and results of ended jobs go, and with them Spark's cleaner frees their
+    shuffles and broadcasts. A driver that runs hundreds of jobs otherwise keeps these until its heap is full."""
+    spark._jvm.System.gc()
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -112,7 +118,7 @@ def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
     held = rows.select(key).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(words, np.int64)
-    for word, value in held.toLocalIterator():
+    for word, value in held.collect():  # at most MAX_FILTER_WORDS
         out[word] = value
     return out.tobytes(), words
 
