@@ -3,11 +3,13 @@
 Vectors become integers, floor(256 x). They are grouped by length into bands (a factor of
 2 ** 0.25 each) and cut into blocks, sorted by length; queries are cut into blocks too. A
 first pass against the longest block gives every query a score that its k-th best cannot
-fall below. Block pairs whose lengths cannot reach it are never joined. In a pair, each
-query's score over its own and the block's greatest length is the cosine that a
-candidate must reach (the local threshold): where it is high, the query's largest coordinates
-bound the candidate's, where it is low, only its length does. What is left is verified
-by its integer product.
+fall below (its floor). Block pairs whose lengths cannot reach the floors of a query block, whose queries are
+of like length, are never joined. In a pair, the floor over the query's and the block's greatest length is the
+cosine that a candidate must reach (the local threshold). Where it is negligible, candidates are bounded by
+their length alone. Elsewhere they are bounded by their product with the query's largest coordinates plus the
+product of what remains of both lengths; the lower the threshold, the more coordinates. Candidates
+are verified by their integer products from the highest bound on; the floor rises with what is found, and the
+first bound below it ends the block.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no
 part, nor do rows without an id; shorter vectors count as padded with zeros; an empty
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from raterlab.llm.common import scratch_table
 
 BLOCK, QUERY_BLOCK = 1024, 256
-#: Local thresholds from which coordinates prune better than lengths; coordinates looked at.
-COORDINATE_FROM, COORDINATES = 0.3, 4
+#: Local threshold from which coordinates are looked at; least and greatest share of them; products at a time.
+COORDINATE_FROM, COORDINATES, STEP = 0.02, (0.2, 0.5), 32
 SLACK = 1e-9
 PACKED = "block long, n long, dims long, longest double, rows binary, ids binary, vectors binary"
 
@@ -71,32 +73,48 @@ def _unpack(n: int, dims: int, rows: bytes, ids: bytes, vectors: bytes, width: i
     return np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), v
 
 
-def _survivors(query: np.ndarray, q_norm: float, floor: float, unit: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Candidates of a block (longest first) whose product may reach ``floor``."""
-    if floor <= 0 or q_norm == 0:
-        return np.arange(len(norms))
-    # length pruning: the product is at most the product of lengths
-    n = int(np.searchsorted(-norms, -(floor / q_norm) * (1 - SLACK), side="right"))
-    if not n:
-        return np.arange(0)
-    local = floor / (q_norm * norms[0]) * (1 - SLACK) - SLACK
-    if local < COORDINATE_FROM:
-        return np.arange(n)
-    # coordinate pruning: a unit vector at cosine >= local to the query has each coordinate near the query's
-    alive = np.arange(n)
-    q = query / q_norm
-    spread = np.sqrt(max(0.0, 1 - local * local))
-    for f in np.argsort(-np.abs(q))[:COORDINATES]:
-        side = spread * np.sqrt(max(0.0, 1 - q[f] * q[f]))
-        low = -1.0 if q[f] <= -local else q[f] * local - side
-        high = 1.0 if q[f] >= local else q[f] * local + side
-        x = unit[alive, f]
-        alive = alive[(x >= low - SLACK) & (x <= high + SLACK)]
-    return alive
+def _bounds(query: np.ndarray, q_norm: float, floor: float, real: np.ndarray, squares: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Upper bounds of the products of a block's vectors (longest first) with the query."""
+    whole = q_norm * norms
+    local = floor / whole[0] if whole[0] > 0 else 0.0
+    if not local >= COORDINATE_FROM:
+        return whole * (1 + SLACK)  # length pruning
+    few, many = COORDINATES
+    n = max(1, round(len(query) * min(many, max(few, 1 - local))))
+    top = np.argpartition(-np.abs(query), min(n, len(query) - 1))[:n]
+    left = np.sqrt(max(0.0, q_norm * q_norm - float((query[top] ** 2).sum())))
+    rest = np.sqrt(np.maximum(0.0, norms * norms - squares[:, top].sum(1)))
+    # the slack covers the rounding of lengths, squares and sums
+    return real[:, top] @ query[top] + left * rest + whole * SLACK
+
+
+def _nearest(query: np.ndarray, floor: float, k: int, own: np.ndarray, cs: np.ndarray, real, squares, norms) -> tuple:
+    """Places and products of the candidates of a block that may be among the query's k best, how many were multiplied and the new floor."""
+    q_real = query.astype(np.float64)
+    q_norm = float(np.sqrt((q_real * q_real).sum()))
+    places, scores, left = [], np.zeros(0, np.int64), np.flatnonzero(~own)
+    bounds = None
+    if floor > -np.inf:
+        bounds = _bounds(q_real, q_norm, floor, real, squares, norms)
+        left = left[np.argsort(-bounds[left], kind="stable")]
+    while len(left):
+        if bounds is None:  # nothing is known yet: the longest ones give a floor
+            step, left = left[:STEP], left[STEP:]
+        else:
+            left = left[bounds[left] >= floor]
+            step, left = left[:STEP], left[STEP:]
+        places.append(step)
+        scores = np.concatenate([scores, cs[step] @ query])
+        if len(scores) >= k:
+            floor = max(floor, float(np.partition(scores, -k)[-k]))
+            if bounds is None:
+                bounds = _bounds(q_real, q_norm, floor, real, squares, norms)
+                left = left[np.argsort(-bounds[left], kind="stable")]
+    return (np.concatenate(places) if places else left), scores, len(scores), floor
 
 
 def _search(k: int):
-    """mapInArrow function over joined block pairs: (q..., c..., floors) to scores."""
+    """mapInArrow function over joined block pairs (q..., c..., floors) to scores, and a row with the number of products."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -106,35 +124,32 @@ def _search(k: int):
                 rows, ids, cs = _unpack(pair["n"], pair["dims"], pair["rows"], pair["ids"], pair["vectors"], width)
                 floors = np.frombuffer(pair["floors"], np.float64) if pair["floors"] else np.full(len(q_rows), -np.inf)
                 real = cs.astype(np.float64)
-                norms = np.sqrt((real * real).sum(1))
-                unit = real / np.where(norms > 0, norms, 1)[:, None]
+                squares = real * real
+                norms = np.sqrt(squares.sum(1))
                 out = []
                 for i, q in enumerate(qs):
-                    q_real = q.astype(np.float64)
-                    alive = _survivors(q_real, float(np.sqrt((q_real * q_real).sum())), floors[i], unit, norms)
-                    alive = alive[rows[alive] != q_rows[i]]
-                    scores = cs[alive] @ q
-                    enough = scores >= floors[i]
-                    alive, scores = alive[enough], scores[enough]
-                    best = np.lexsort((rows[alive], ids[alive], -scores))[:k]
-                    out.append((np.full(len(best), q_rows[i]), np.full(len(best), q_ids[i]), ids[alive[best]],
-                                rows[alive[best]], scores[best]))
+                    found, scores, products, floor = _nearest(q, floors[i], k, rows == q_rows[i], cs, real, squares, norms)
+                    enough = scores >= floor
+                    found, scores = found[enough], scores[enough]
+                    best = np.lexsort((rows[found], ids[found], -scores))[:k]
+                    out.append(([q_rows[i]], [q_ids[i]], [-1], [-1], [0], [products]))
+                    out.append((np.full(len(best), q_rows[i]), np.full(len(best), q_ids[i]), ids[found[best]],
+                                rows[found[best]], scores[best], np.zeros(len(best), np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)],
-                                                     names=["q_row", "query_id", "vec_id", "c_row", "score"])
+                                                     names=["q_row", "query_id", "vec_id", "c_row", "score", "products"])
     return run
 
 
-FOUND = "q_row long, query_id long, vec_id long, c_row long, score long"
+FOUND = "q_row long, query_id long, vec_id long, c_row long, score long, products long"
 
 
-def top_k(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for every row that meets the condition ``queries`` (SQL on
-    vec_id), the k other rows with the highest integer inner products."""
+def scored(df: DataFrame, queries: str, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """What the block pairs give: candidates with their products, and rows (c_row -1) that count products made."""
     rows = integer_vectors(df, id_col, vector_col)
     band = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 4)).otherwise(-9999)
     blocks = _blocks(rows.withColumn("band", band), BLOCK, ["band"])
-    asked = _blocks(rows.filter(queries).withColumn("band", F.lit(0)), QUERY_BLOCK, ["band"])
+    asked = _blocks(rows.filter(queries).withColumn("band", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 32)).otherwise(-9999)), QUERY_BLOCK, ["band"])
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
     columns = [*asked.columns, *blocks.columns, "floors"]
 
@@ -142,7 +157,7 @@ def top_k(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vecto
     longest = blocks.orderBy(F.desc("longest"), "block").limit(1)
     first = asked.join(F.broadcast(longest), F.lit(True)).withColumn("floors", F.lit(None).cast("binary"))
     first = scratch_table(first.select(columns).mapInArrow(_search(k), FOUND), "first-scores")
-    kth = first.groupBy("q_row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    kth = first.filter("c_row >= 0").groupBy("q_row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     kth = kth.select("q_row", F.get("s", F.lit(k - 1)).alias("kth"))
 
     def floors_of(pairs):
@@ -172,12 +187,23 @@ def top_k(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vecto
     pairs = floors.select("q_block", "floors", "need").join(meta, F.col("longest") >= F.col("need"))
     pairs = pairs.select("q_block", "block", "floors").repartition("q_block", "block")
     rest = pairs.join(asked, "q_block").join(blocks, "block").select(columns).mapInArrow(_search(k), FOUND)
+    return first.unionByName(rest)
 
+
+def top_k(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for every row that meets the condition ``queries`` (SQL on
+    vec_id), the k other rows with the highest integer inner products."""
+    found = scored(df, queries, k, id_col, vector_col).filter("c_row >= 0")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
-    best = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def products_made(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """How many integer products the search makes; without pruning one per query and other row."""
+    return scored(df, queries, k, id_col, vector_col).agg(F.sum("products")).first()[0] or 0
+
+
 def _homes(batches):
     """The block of each query row."""
     import pyarrow as pa
