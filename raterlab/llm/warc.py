@@ -1,17 +1,19 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Pages are cut into shards, contiguous ranges of page_id of about equal bytes found from an
-exact histogram, so shards depend on the data alone. Each shard is sorted and streamed by
-one task into gzip members, one per record; a file is closed when its compressed size
-reaches ``roll_bytes``. Headers, record ids and digests are regenerated from the data and
-nothing else, so a task that runs again writes the same bytes. A file is written under a
-temporary name and moved to its own when complete; only files in the manifest, written
-after all tasks ended, belong to the archive.
+Pages are cut into shards, contiguous ranges in the order of (page_id, payload digest), found from exact
+histograms of bytes: a range that holds more than a shard's bytes is split sixteenfold, level by level, until none does or
+one page_id and payload is left; neighbours within one split are put together again. Shards depend
+on the data alone. Each shard is sorted and streamed by one task into gzip members, one per record; a file is
+closed when its compressed size reaches ``roll_bytes``. Headers, record ids and digests are regenerated
+from the data and nothing else, so a task that runs again writes the same bytes. Every attempt of a task writes files
+of its own temporary names; the attempts that Spark committed are listed, and only then their files are
+renamed, which can be repeated, and the manifest written. What other attempts left is removed.
 
 Of records with equal payloads of at least ``min_revisit`` bytes the one with the smallest
 page_id is a response, the others are revisits of it without payload; smaller ones are all
 responses. Defined results: a null html is an empty payload; a null page_id sorts first, is
-never the smallest of others and reads back as null; of repeated rows with the smallest
+never the smallest of others and reads back as null; where all pages of a payload are without page_id, the first
+of them is the response and the others are revisits whose refers_to is null; of repeated rows with the smallest
 page_id the first is the response; line breaks in a url are percent-encoded and a null url
 has no header; an empty table gives an archive without files; other columns are ignored.
 """
@@ -20,27 +22,28 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from raterlab.llm.common import attach_groups, scratch_table, text_or_empty
+from raterlab.llm.common import attach_groups, drop_tables, scratch_table, text_or_empty
 
 #: Bytes of payload from which equal payloads are stored once; compressed bytes of a file;
 #: bytes of payload in a shard, raised where there would be more than MAX_SHARDS.
 MIN_REVISIT = 100
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 8 << 20
-MAX_SHARDS = 100_000
-#: Cells of the histogram over the range of page_id.
-CELLS = 1 << 16
+MAX_SHARDS = 20_000
+#: Length of a sort key in hex digits: null flag, page_id, half the digest. Bytes that a record takes besides its payload.
+KEY, RECORD = 1 + 16 + 32, 512
 DATE = "2024-01-01T00:00:00Z"
 #: fixed value: the profile of revisits by equal payload
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
-MANIFEST = "shard long, part int, file string, records long, bytes long, sha256 string"
+MANIFEST = "shard string, part int, file string, records long, bytes long, sha256 string"
 RECORDS = ("page_id long, url string, record_type string, payload_bytes long, payload_digest string, "
            "refers_to long, payload binary")
 
@@ -73,15 +76,15 @@ def _http(payload_bytes: int) -> bytes:
 class _Shard:
     """The files of one shard."""
 
-    def __init__(self, fs, base: str, shard: int, roll_bytes: int) -> None:
+    def __init__(self, fs, base: str, shard: str, roll_bytes: int) -> None:
         self.fs, self.base, self.shard, self.roll = fs, base, shard, roll_bytes
         self.part, self.out, self.done = 0, None, []
 
     def add(self, member: bytes) -> None:
         if self.out is None:
-            self.name = f"pages-{self.shard:06d}-{self.part:05d}.warc.gz"
-            self.temporary = f"{self.base}/.{self.name}.{uuid.uuid4().hex}.tmp"
-            self.out = self.fs.open_output_stream(self.temporary, compression=None)
+            self.name = f"pages-{self.shard}-{self.part:05d}.warc.gz"
+            self.temporary = f".{self.name}.{uuid.uuid4().hex}.tmp"
+            self.out = self.fs.open_output_stream(f"{self.base}/{self.temporary}", compression=None)
             self.size, self.records, self.digest = 0, 0, hashlib.sha256()
             info = f"software: sharded archive\r\nformat: WARC/1.1\r\nfilename: {self.name}\r\n".encode()
             self._write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("info", self.name)),
@@ -100,8 +103,7 @@ class _Shard:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.base}/{self.name}")
-            self.done.append((self.shard, self.part, self.name, self.records, self.size, self.digest.hexdigest()))
+            self.done.append((self.shard, self.part, self.name, self.records, self.size, self.digest.hexdigest(), self.temporary))
             self.out, self.part = None, self.part + 1
 
 
@@ -111,31 +113,50 @@ def _decisions(pages: DataFrame, id_col: str, html_col: str, min_revisit: int) -
     facts = scratch_table(pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha2(html, 256)).alias("digest"),
                                        F.octet_length(html).cast("long").alias("bytes"),
                                        F.monotonically_increasing_id().alias("row_no")), "payloads")
-    groups = (facts.filter(F.col("bytes") >= min_revisit).groupBy("digest")
-              .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size")).filter("size > 1"))
+    large = facts.filter(F.col("bytes") >= min_revisit)
+    # a group without any id decides in the writer, where its rows are neighbours
+    groups = (large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size"))
+              .filter("size > 1 and refers_to is not null"))
     groups = scratch_table(groups, "payload-groups")
     spread = F.encode(F.col("row_no").cast("string"), "UTF-8")
-    found = attach_groups(facts, groups, "digest", "size", facts.count(), spread)
+    found = attach_groups(large, groups, "digest", "size", facts.count(), spread)
     revisits = found.filter("size is not null").filter("page_id is null or page_id <> refers_to")
-    revisits = revisits.select("page_id", "digest", "refers_to").distinct()
-    return facts, scratch_table(revisits, "revisits")
+    revisits = scratch_table(revisits.select("page_id", "digest", "refers_to").distinct(), "revisits")
+    drop_tables(groups)
+    return facts, revisits
 
 
-def _shards(facts: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(cell, shard) for at most CELLS cells; the first page_id and the cells' width."""
-    low, high, total = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    shard_bytes = max(shard_bytes, -(-(total or 0) // MAX_SHARDS))
-    from pyspark.sql import Window
-    cells = facts.groupBy(_cell(F.col("page_id"), low, width).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("cell")) - F.col("bytes")
-    return cells.select("cell", F.floor(before / shard_bytes).alias("shard")), low, width
+def _sort_key(page_id: str, digest: str) -> Column:
+    """(page_id, digest) as hex digits that sort alike, null ids first."""
+    number = F.lpad(F.hex(F.col(page_id).cast("long").bitwiseXOR(F.expr("shiftleft(1L, 63)"))), 16, "0")
+    number = F.when(F.col(page_id).isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), number))
+    return F.concat(number, F.substring(F.hex(digest), 1, KEY - 17))
 
 
-def _cell(page_id, low: int, width: int):
-    return F.coalesce(F.floor((page_id - F.lit(low)) / width), F.lit(-1)).cast("long")
+def _shards(facts: DataFrame, shard_bytes: int) -> list[tuple[int, DataFrame]]:
+    """Per level the length of its keys' prefixes and a table (cell, shard) of those that are whole within a shard.
+    A level has at most 16 cells per range that is still too large, so at most 16 * MAX_SHARDS."""
+    keyed = scratch_table(facts.select(_sort_key("page_id", "digest").alias("key"), (F.col("bytes") + RECORD).alias("bytes")), "keys")
+    low, high, total = keyed.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
+    shard_bytes = max(shard_bytes, -(-(total or 0) // MAX_SHARDS))
+    common = os.path.commonprefix([low or "", high or ""])[:KEY - 1]
+    parents = facts.sparkSession.createDataFrame([(common,)], "parent string")
+    levels, done = [], [keyed]
+    for length in range(len(common) + 1, KEY + 1):
+        cells = keyed.join(F.broadcast(parents), F.substring("key", 1, length - 1) == F.col("parent"))
+        cells = scratch_table(cells.groupBy("parent", F.substring("key", 1, length).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
+        done.append(cells)
+        whole = cells if length == KEY else cells.filter(F.col("bytes") <= shard_bytes)
+        # sixteen cells of one parent at most: those between two cuts are one shard, named after its first
+        before = F.sum("bytes").over(Window.partitionBy("parent").orderBy("cell")) - F.col("bytes")
+        cut = cells.select("parent", "cell", F.floor(before / shard_bytes).alias("cut"))
+        named = whole.join(cut, ["parent", "cell"]).select("cell", F.min("cell").over(Window.partitionBy("parent", "cut")).alias("shard"))
+        levels.append((length, scratch_table(named, "shards")))
+        parents = cells.filter(F.col("bytes") > shard_bytes).select(F.col("cell").alias("parent"))
+        if length == KEY or not parents.take(1):
+            break
+    drop_tables(*done)
+    return levels
 
 
 def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url",
@@ -145,9 +166,9 @@ def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
     share it) and returns its manifest, which lies there as Parquet."""
     spark = pages.sparkSession
     facts, revisits = _decisions(pages, id_col, html_col, min_revisit)
-    shards, low, width = _shards(facts, shard_bytes)
-    shards = scratch_table(shards, "shards")
-    count = (shards.agg(F.max("shard")).first()[0] or 0) + 1
+    levels = _shards(facts, shard_bytes)
+    drop_tables(facts)
+    count = sum(cells.select("shard").distinct().count() for _, cells in levels)
 
     html = text_or_empty(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"),
@@ -157,10 +178,12 @@ def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
     revisit = F.col("rv_digest").isNotNull()
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long"))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "bytes",
-                       "refers_to", revisit.alias("revisit"), _cell(F.col("page_id"), low, width).alias("cell"))
-    # at most CELLS + 1 rows
-    rows = rows.join(F.broadcast(shards), "cell").drop("cell")
-    rows = rows.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+                       "refers_to", revisit.alias("revisit"), _sort_key("page_id", "digest").alias("key"))
+    for length, cells in levels:
+        cells = cells.select(F.col("cell").alias(f"cell{length}"), F.col("shard").alias(f"shard{length}"))
+        rows = rows.join(F.broadcast(cells), F.substring("key", 1, length) == F.col(f"cell{length}"), "left")
+    rows = rows.withColumn("shard", F.coalesce(*[f"shard{length}" for length, _ in levels]))
+    rows = rows.repartition(max(1, count), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
     rows = rows.select("shard", "page_id", "url", "html", "digest", "bytes", "refers_to", "revisit")
 
     def run(batches):
@@ -207,17 +230,47 @@ def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*open_shard.done)],
                                                  names=NAMES).cast(_manifest_schema())
 
-    rows.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{out_dir}/manifest")
+    attempts = scratch_table(rows.mapInArrow(run, ATTEMPTS), "attempts")
+    _commit(attempts, out_dir)
+    attempts.drop("temporary").write.mode("overwrite").parquet(f"{out_dir}/manifest")
+    drop_tables(revisits, attempts, *[cells for _, cells in levels])
     return spark.read.parquet(f"{out_dir}/manifest")
 
 
-NAMES = ["shard", "part", "file", "records", "bytes", "sha256"]
+def _commit(attempts: DataFrame, out_dir: str) -> None:
+    """Gives the files of committed attempts their names. A task that runs again finds the file under its name, or another
+    attempt of the same bytes there, and goes on."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+        fs, base = pafs.FileSystem.from_uri(out_dir)
+        for batch in batches:
+            for file, temporary in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                here, there = fs.get_file_info([f"{base}/{temporary}", f"{base}/{file}"])
+                if here.type != pafs.FileType.NotFound:
+                    if there.type != pafs.FileType.NotFound:
+                        fs.delete_file(there.path)
+                    fs.move(here.path, there.path)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
+    files = attempts.select("file", "temporary").repartition("file")
+    if files.mapInArrow(run, "file string").distinct().count() != attempts.count():
+        raise ValueError("two shards have files of one name")
+    # whatever else is temporary belongs to attempts that were not committed
+    from pyarrow import fs as pafs
+    fs, base = pafs.FileSystem.from_uri(out_dir)
+    for left in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if left.base_name.startswith(".pages-") and left.base_name.endswith(".tmp"):
+            fs.delete_file(left.path)
+
+
+ATTEMPTS = f"{MANIFEST}, temporary string"
+NAMES = ["shard", "part", "file", "records", "bytes", "sha256", "temporary"]
 
 
 def _manifest_schema():
     import pyarrow as pa
-    return pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()),
-                      ("bytes", pa.int64()), ("sha256", pa.string())])
+    return pa.schema([("shard", pa.string()), ("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()),
+                      ("bytes", pa.int64()), ("sha256", pa.string()), ("temporary", pa.string())])
 
 
 def _records(stream, chunk: int = 1 << 20):

@@ -55,6 +55,62 @@ def test_conversations(spark, monkeypatch):
     assert chat_format.read_conversations(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def archived(spark, df, where, **options):
+    manifest = warc.write_archive(df, where, **options).orderBy("file").collect()
+    return manifest, warc.read_archive(spark, where, payloads=True).collect()
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_pages_without_id_keep_their_payload(spark, tmp_path):
+    long, other = "x" * 150, "y" * 150
+    rows = [(None, "a", long), (None, "b", long), (None, "c", long), (None, "d", other), (9, "e", other), (4, "f", other),
+            (None, "g", "short"), (None, "h", "short"), (None, None, None)]
+    for part in (rows[:3], rows, [*rows, *rows]):
+        _, got = archived(spark, spark.createDataFrame(part, PAGES).repartition(3), str(tmp_path / str(len(part))))
+        assert len(got) == len(part)
+        of = {t: [r for r in got if r.payload_digest == hashlib.sha256(t.encode()).hexdigest()] for t in (long, other, "short")}
+        assert [r.payload for r in of[long] if r.record_type == "response"] == [long.encode()]
+        assert {(r.record_type, r.refers_to) for r in of[long]} == {("response", None), ("revisit", None)}
+        if len(part) > 3:
+            assert [(r.page_id, r.payload) for r in of[other] if r.record_type == "response"] == [(4, other.encode())]
+            assert {r.refers_to for r in of[other] if r.record_type == "revisit"} == {4}
+            assert {r.record_type for r in of["short"]} == {"response"}
+
+
+def test_shards_follow_the_ids(spark, tmp_path):
+    """An outlying id does not put all others into one shard, and one heavy id or null ids are split by payload."""
+    ids = [*range(300), 2 ** 62, -2 ** 63, *[7] * 100, *[None] * 100]
+    rows = [(i, "u", f"{n} " + "z" * 300) for n, i in enumerate(ids)]
+    manifest, got = archived(spark, spark.createDataFrame(rows, PAGES), str(tmp_path / "a"), shard_bytes=16_000)
+    assert sorted((str(r.page_id), r.payload) for r in got) == sorted((str(i), h.encode()) for i, _, h in rows)
+    per = {}
+    for m in manifest:
+        per[m.shard] = per.get(m.shard, 0) + m.records
+    assert sum(per.values()) == len(rows) and max(per.values()) <= 2 * 16_000 // 800 and len(per) < 200
+    names = [m.file for m in manifest]
+    assert names == sorted(names) and len(set(names)) == len(names)
+
+
+def test_an_archive_written_again_is_the_same(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"u{i}", f"{i % 50} " * 100) for i in range(200)], PAGES)
+    where = str(tmp_path / "a")
+    first, got = archived(spark, rows, where, shard_bytes=9_000, roll_bytes=700)
+    (tmp_path / "a" / f".{first[0].file}.feed.tmp").write_bytes(b"left by a lost attempt")
+    files = {f.name: f.read_bytes() for f in (tmp_path / "a").glob("pages-*")}
+    again, back = archived(spark, rows.repartition(7), where, shard_bytes=9_000, roll_bytes=700)
+    assert again == first and sorted(back) == sorted(got)
+    assert {f.name: f.read_bytes() for f in (tmp_path / "a").glob("pages-*")} == files
+    assert not list((tmp_path / "a").glob(".*.tmp"))
+
+
+def test_top_k_makes_fewer_products_than_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pairs = 40 * (df.count() - 1)
+    assert 0 < topk.products_made(df, "vec_id % 50 = 0") < 0.25 * pairs
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
