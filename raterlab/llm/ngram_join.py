@@ -5,8 +5,9 @@ or more shares a shingle within the first p = n - ceil(0.8 n) + 1. Where some of
 common (their candidate cost, the number of sets that hold them, is above HOT), the prefix
 is lengthened by as many shingles: l - 1 more shingles, of which l must be shared, so that
 at least one shared shingle is a rare one, and only rare ones are looked up. Sets that run
-out of rare shingles fall back to common ones. The looked-up shingles that a pair shares are counted,
-and only pairs that share as many as their sizes demand (``needed``) have their sets fetched and compared.
+out of rare shingles fall back to common ones. A pair comes up where it shares a looked-up shingle at a
+place in both sets that the demanded number (``needed``) implies; then all looked-up shingles that it shares are counted,
+and only pairs that share as many as demanded have their sets fetched and compared.
 
 Equal sets become one class first. As only components are asked for, candidates come in
 two steps: every looked-up shingle links its sets to a few pivots (linear in the lists,
@@ -78,9 +79,20 @@ def needed(n1: Column, n2: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(4 * (n1 + n2) / 9) - beyond)
 
 
-def _alike(n1: Column, n2: Column) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1)
+def _matches(n1: Column, place1: Column, n2: Column, place2: Column) -> Column:
+    """Whether a shared shingle may make a pair. Similar sets share at least ``needed`` looked-up
+    shingles; the rarest of these has as many more frequent ones before it in either set but one."""
+    least = needed(n1, n2)
+    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (place1 >= least) & (place2 >= least)
+
+
+def _counted(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many looked-up shingles as their sizes demand. Shingles that left the index
+    lie within one component, so a pair of two components shares none of them."""
+    held = index.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    left, right = (held.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.filter(F.size(F.array_intersect("ta", "tb")) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,7 +184,7 @@ def _lengthened(rows: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(token, node, n, component): what each set is looked up by, without shingles that one set alone has.
+    """(token, node, n, place, component): what each set is looked up by, without shingles that one set alone has.
 
     One order holds for all sets: rare shingles by value, then common ones by value. A shingle alone in
     what is stored is only counted, by its place; the rows are those of the shared ones."""
@@ -197,10 +209,13 @@ def _index(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     common = scratch_table(common.unionByName(counts.filter(F.col("sets") > HOT).select("token")).distinct(), "common")
     looked_up = scratch_table(longer.unionByName(_lengthened(whole, common)), "index")
     drop_tables(counts, rows, hots, sets, further, longer, common)
-    several = looked_up.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
-    shared = scratch_table(looked_up.join(several, "token").withColumn("component", F.col("node")), "index")
+    # a shingle's place among those its set is looked up by, most frequent first
+    often = looked_up.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
+    order = Window.partitionBy("node").orderBy(F.desc("sets"), "token")
+    placed = looked_up.join(often, "token").withColumn("place", F.row_number().over(order)).drop("sets")
+    placed = scratch_table(placed.withColumn("component", F.col("node")), "index")
     drop_tables(looked_up)
-    return shared
+    return placed
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -212,19 +227,15 @@ def _shared(index: DataFrame) -> DataFrame:
 def _star_pairs(index: DataFrame, turn: int) -> DataFrame:
     """Pairs of each looked-up shingle's sets with two pivots among those of similar size and another component."""
     rows = index.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.25) + turn / 2.0))
-    best = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "node", "n", "component"))
+    best = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "node", "n", "place", "component"))
             for k in range(PIVOTS)]
     pivots = rows.groupBy("token", "band").agg(F.array(*best).alias("pivots"), F.min("component").alias("lo"),
                                                F.max("component").alias("hi"))
     pivots = pivots.filter("lo <> hi").select("token", "band", F.explode(F.array_distinct("pivots")).alias("pivot"))
     pairs = rows.join(pivots, ["token", "band"]).filter("component <> pivot.component")
-    pairs = pairs.filter(_alike(F.col("n"), F.col("pivot.n")))
-    pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-    # a pair's pivot is one of some of the shingles that it shares: the others are counted from the sets' own
-    held = index.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
-    left, right = (held.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return both.filter(F.size(F.array_intersect("ta", "tb")) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+    pairs = pairs.filter(_matches(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place")))
+    pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+    return _counted(pairs, index)
 
 
 def _unpaired(index: DataFrame) -> DataFrame:
@@ -236,17 +247,17 @@ def _unpaired(index: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs in different components that share enough looked-up shingles. Per shingle, one side is always outside
-    its largest component, so that component is never paired with itself, and each pair comes once per shared shingle."""
+    """All pairs in different components that share enough looked-up shingles. Per shingle, one side is always
+    outside its largest component, so that component is never paired with itself."""
     rows = scratch_table(index.join(_unpaired(index).select("token", "top"), "token"), "cross")
-    one = rows.filter("component <> top").select("token", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("component").alias("cx"))
-    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"),
+    one = rows.filter("component <> top").select("token", F.col("node").alias("x"), F.col("n").alias("n1"),
+                                                 F.col("place").alias("p1"), F.col("component").alias("cx"))
+    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("place").alias("p2"),
                       F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("main"))
-    pairs = one.join(two, "token").filter("cx <> cy and (main or x < y)").filter(_alike(F.col("n1"), F.col("n2")))
-    # ``needed`` is the same from either side
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(needed(F.col("n1"), F.col("n2"))).alias("needed"))
-    return pairs.filter("shared >= needed").select("a", "b")
+    # a pair outside the largest component meets twice; it counts once
+    pairs = one.join(two, "token").filter("cx <> cy and (main or x < y)")
+    pairs = pairs.filter(_matches(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
+    return _counted(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), rows)
 
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
