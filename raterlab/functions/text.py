@@ -62,6 +62,33 @@ def parse_python_list(x: Column) -> Column:
     return F.from_json(fixed, "array<string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
 
 
+def _literal_lists(values):
+    """Lists and tuples of strings and None, as the Python literals that they are; null for any other text."""
+    import ast
+
+    import pandas as pd
+
+    def parse(text):
+        if text is None:
+            return None
+        try:
+            value = ast.literal_eval(text.strip())
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        whole = isinstance(value, (list, tuple)) and all(v is None or isinstance(v, str) for v in value)
+        return list(value) if whole else None
+    return pd.Series([parse(v) for v in values])
+
+
+def parse_python_literal(x: Column) -> Column:
+    """F3 for every legal literal: the native parser first; only text that it cannot read (tuples, 8-digit escapes, joined
+    strings, None) reaches Python, in Arrow batches in which all other rows are null."""
+    from pyspark.sql.functions import pandas_udf
+    native = parse_python_list(x)
+    rest = pandas_udf(_literal_lists, "array<string>")(F.when(native.isNull(), x))
+    return F.coalesce(native, rest)
+
+
 def parse_python_spans(x: Column) -> Column:
     """F3 for ``"[(1, 4), (7, 9)]"`` → ``array<struct<start,end>>``."""
     arr = F.from_json(F.translate(x, "()", "[]"), "array<array<int>>")
@@ -74,11 +101,6 @@ def spans_to_text(spans: Column) -> Column:
         spans, lambda s: F.format_string("(%d, %d)", s["start"], s["end"])), ", "), F.lit("]"))
 
 
-def find_ci(text: Column, phrase: Column) -> Column:
-    """0-based first position of ``phrase`` in ``text`` ignoring case, -1 if absent."""
-    return F.instr(F.lower(text), F.lower(phrase)) - 1
-
-
 def span_text(text: Column, span: Column) -> Column:
     """F8: substring covered by an inclusive span."""
     return F.substring(text, span["start"] + 1, span["end"] - span["start"] + 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from raterlab import constants as C
 from raterlab.functions.tokens import regex_tokens
+from raterlab.operators.ranks import quantiles
 
 
 def example_stats(turns: DataFrame, key: str = "conv_id", role_col: str = "role", text_col: str = "text",
@@ -41,11 +42,8 @@ def distribution(stats: DataFrame, cols=("n_messages", "n_tokens", "n_assistant_
     by the original; named for what they are here), linear interpolation."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
     x = stats.select(rows.alias("r")).select("r.*")
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    return x.groupBy("name").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-                                 q.alias("_q")).select(
-        "name", "min", "max", "mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p10"),
-        F.col("_q")[2].alias("p90"))
+    q = quantiles(x, ["name"], "v", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return x.groupBy("name").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean")).join(q, "name", "left")
 
 
 def billing_estimate(stats: DataFrame, n_epochs: int = C.TARGET_EPOCHS, price: float | None = C.PRICE_PER_MILLION,

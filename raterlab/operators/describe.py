@@ -1,8 +1,7 @@
 """Distribution tables (A10–A14): counts, shares, box statistics, describe.
 
-Exact quantiles use ``percentile`` (linear interpolation, like pandas / numpy);
-its partial state is a value → count map, so memory is bounded by the number of
-*distinct* values per group (a handful for labels and levels).
+Exact quantiles (linear interpolation, like pandas / numpy) are selected from a distributed
+histogram (``ranks``): no task holds the distinct values of a group.
 """
 
 from __future__ import annotations
@@ -12,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raterlab.operators.ranks import join_groups, quantiles
+
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows per value, most frequent first (ordering only for presentation)."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per value, most frequent first (equal counts by value)."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *cols)
 
 
 def category_share(df: DataFrame, hue_col: str, cat_col: str, order: Sequence[str]) -> DataFrame:
@@ -33,34 +34,28 @@ def category_share(df: DataFrame, hue_col: str, cat_col: str, order: Sequence[st
 def describe(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (exact, linear), max."""
     v = F.col(value_col).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     x = df.groupBy(*group_cols).agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                                    F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                                    q.alias("_q"), F.max(v).alias("max"))
-    return x.select(*group_cols, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+                                    F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, group_cols, value_col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return join_groups(x, q, group_cols, "left").select(*group_cols, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
     """Quartiles, 1.5·IQR fences, whiskers (extreme values inside the fences)
-    and outlier count per group. Quartiles are one aggregation; the fence test is
-    a join of the per-group quartile row back onto the values, then one more
-    aggregation."""
+    and outlier count per group. The fence test joins the quartile row of each group back
+    onto the values, reduced to one row per group and value first."""
     v = F.col(value_col).cast("double")
-    q = (df.groupBy(*group_cols)
-         .agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-         .select(*group_cols, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    q = quantiles(df, group_cols, value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    # one quartile row per group: broadcast it, so a hot group never meets a shuffle join
-    x = df.select(*group_cols, v.alias("_v")).join(F.broadcast(q), list(group_cols), "inner")
+    values = df.select(*group_cols, v.alias("_v")).groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    x = join_groups(values, q, group_cols)
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
     return x.groupBy(*group_cols, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"))
+        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"),
+        F.sum("_n").alias("n"))
 
 
 def rows_per(df: DataFrame, group_cols: Sequence[str], nonnull_col: str | None = None) -> DataFrame:

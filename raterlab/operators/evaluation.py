@@ -1,7 +1,7 @@
 """Evaluation of predictions against truth.
 
-Plan shape: truth ⋈ predictions on (persona, id) is the only shuffle of row-level
-data. One partial aggregation then reduces every aligned row to *run cells*:
+Plan shape: predictions are shuffled by id once, for the text join; truth, reduced to one row
+per id, joins them there. Kept in tables bucketed by id (``sinks.bucketed_table``), neither moves. One partial aggregation then reduces every aligned row to *run cells*:
 counts per (approach, persona, seed, field, y, yhat) plus the span sums of §A3/A4.
 The cells table is bounded by runs × fields × |labels|², independent of corpus
 size; every metric below is computed from it, so no second pass over the rows.
@@ -19,21 +19,29 @@ RUN_KEY = ["approach", "persona", "seed"]
 _EMPTY_SPANS = "array<struct<start:int,end:int>>"
 
 
+TRUTH = ["emotion", "emotion_class", "trigger_level", "context", "context_locations"]
+
+
+def truth_by_id(truth: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row per id with the truth of all its personas (as many as there are personas), so that predictions
+    meet it on the id alone, by which the text join has partitioned them already."""
+    return truth.groupBy(id_col).agg(F.collect_list(F.struct("persona", *TRUTH)).alias("truths"))
+
+
+def align_by_id(truths: DataFrame, pred: DataFrame, id_col: str = "id") -> DataFrame:
+    """J6 on truth reduced to one row per id."""
+    p = pred.select(*RUN_KEY, id_col, *TRUTH, "context_corrupted", "failed")
+    x = p.join(truths, id_col).withColumn("_own", F.explode(F.filter("truths", lambda t: t["persona"] == F.col("persona"))))
+    return x.select(id_col, *[F.col(f"_own.{c}").alias(f"t_{c}") for c in TRUTH], *[c for c in p.columns if c != id_col])
+
+
 def align(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> DataFrame:
     """Pair truth and validated predictions on (persona, id).
 
     Truth columns get a ``t_`` prefix. Row order is irrelevant: the original
     sort-and-zip becomes an equi-join.
     """
-    t = truth.select("persona", id_col,
-                     F.col("emotion").alias("t_emotion"),
-                     F.col("emotion_class").alias("t_emotion_class"),
-                     F.col("trigger_level").alias("t_trigger_level"),
-                     F.col("context").alias("t_context"),
-                     F.col("context_locations").alias("t_context_locations"))
-    p = pred.select(*RUN_KEY, id_col, "emotion", "emotion_class", "trigger_level", "context",
-                    "context_locations", "context_corrupted", "failed")
-    return t.join(p, ["persona", id_col])
+    return align_by_id(truth_by_id(truth, id_col), pred, id_col)
 
 
 def _pred_spans_exclusive(spans: Column) -> Column:
@@ -243,12 +251,16 @@ def alignment_gaps(truth: DataFrame, pred: DataFrame, id_col: str = "id") -> Dat
     occur more than once on either side. Every persona of the truth is expected in every
     (approach, seed) that predictions have; a run without any prediction has a row too.
 
-    One left join of predictions onto the distinct truth keys; counts per (run, id) reuse
+    One left join of predictions onto the personas of each truth id; counts per (run, id) reuse
     its partitioning.
     """
-    keys = truth.groupBy("persona", id_col).agg(F.count("*").alias("_t"))
-    nt = keys.groupBy("persona").agg(F.count("*").alias("n_truth"), (F.sum("_t") - F.count("*")).alias("duplicate_truth"))
-    x = pred.select(*RUN_KEY, id_col, (~F.col("has_text")).alias("_no_text")).join(keys, ["persona", id_col], "left")
+    keys = truth.groupBy(id_col).agg(F.collect_list("persona").alias("_personas"))
+    nt = keys.select(F.explode(F.array_distinct("_personas")).alias("persona"), "_personas")
+    nt = nt.withColumn("_t", F.size(F.filter("_personas", lambda p: p == F.col("persona"))))
+    nt = nt.groupBy("persona").agg(F.count("*").alias("n_truth"), (F.sum("_t") - F.count("*")).alias("duplicate_truth"))
+    x = pred.select(*RUN_KEY, id_col, (~F.col("has_text")).alias("_no_text")).join(keys, id_col, "left")
+    held = F.size(F.filter(F.coalesce("_personas", F.array().cast("array<string>")), lambda p: p == F.col("persona")))
+    x = x.withColumn("_t", F.when(held > 0, held)).drop("_personas")
     per_id = x.groupBy(*RUN_KEY, id_col).agg(F.count("*").alias("_n"), F.max("_t").alias("_t"), F.count_if("_no_text").alias("_no_text"))
     npred = per_id.groupBy(*RUN_KEY).agg(F.sum("_n").alias("n_pred"), F.count("_t").alias("n_matched"), F.count("*").alias("_ids"),
                                          F.sum("_no_text").alias("missing_text"))

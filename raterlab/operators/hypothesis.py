@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raterlab.operators.ranks import CELLS, positions
+
 
 # ---------------------------------------------------------------------------
 # tails (closed forms; scipy is not required)
@@ -68,68 +70,35 @@ def normality_k2(df: DataFrame, group_cols: list[str], value_col: str) -> DataFr
     (χ² with 2 dof), all built-in math. Groups with fewer than 8 values get NULLs."""
     x = df.groupBy(*group_cols).agg(F.count(value_col).alias("n"),
                                     F.skewness(value_col).alias("skew"), F.kurtosis(value_col).alias("kurt"))
+    # each step refers to columns of the step before: one that is used more than once is not written out again
     n = F.col("n").cast("double")
-    y = F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1.0 + F.sqrt(2.0 * (beta2 - 1))
-    delta = 1.0 / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1))
-    zs = delta * F.asinh(y / alpha)
-    b2 = F.col("kurt") + 3.0
-    e = 3.0 * (n - 1) / (n + 1)
-    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    xk = (b2 - e) / F.sqrt(var)
-    sb1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + F.sqrt(1 + 4.0 / (sb1 * sb1)))
-    term1 = 1 - 2.0 / (9 * a)
-    denom = 1 + xk * F.sqrt(2.0 / (a - 4))
-    term2 = F.signum(denom) * F.cbrt((1 - 2.0 / a) / F.abs(denom))
-    zk = (term1 - term2) / F.sqrt(2.0 / (9 * a))
-    k2 = zs * zs + zk * zk
+    x = x.withColumns({
+        "_y": F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))),
+        "_beta2": 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
+        "_e": 3.0 * (n - 1) / (n + 1),
+        "_var": 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)),
+        "_sb1": 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))})
+    x = x.withColumns({
+        "_w2": -1.0 + F.sqrt(2.0 * (F.col("_beta2") - 1)),
+        "_xk": (F.col("kurt") + 3.0 - F.col("_e")) / F.sqrt("_var"),
+        "_a": 6.0 + 8.0 / F.col("_sb1") * (2.0 / F.col("_sb1") + F.sqrt(1 + 4.0 / (F.col("_sb1") * F.col("_sb1"))))})
+    a = F.col("_a")
+    x = x.withColumns({
+        "_zs": F.asinh(F.col("_y") / F.sqrt(2.0 / (F.col("_w2") - 1))) / F.sqrt(0.5 * F.log("_w2")),
+        "_denom": 1 + F.col("_xk") * F.sqrt(2.0 / (a - 4))})
+    x = x.withColumn("_zk", (1 - 2.0 / (9 * a) - F.signum("_denom") * F.cbrt((1 - 2.0 / a) / F.abs("_denom"))) / F.sqrt(2.0 / (9 * a)))
+    x = x.withColumn("_k2", F.col("_zs") * F.col("_zs") + F.col("_zk") * F.col("_zk"))
     ok = F.col("n") >= 8          # the skewness test is undefined below 8 observations
-
-    def guard(c):
-        return F.when(ok, c)
-    return x.select(*group_cols, "n", "skew", "kurt", guard(zs).alias("z_skew"), guard(zk).alias("z_kurt"),
-                    guard(k2).alias("k2"), guard(F.exp(-k2 / 2)).alias("p_value"))
+    return x.select(*group_cols, "n", "skew", "kurt", F.when(ok, F.col("_zs")).alias("z_skew"), F.when(ok, F.col("_zk")).alias("z_kurt"),
+                    F.when(ok, F.col("_k2")).alias("k2"), F.when(ok, F.exp(-F.col("_k2") / 2)).alias("p_value"))
 
 
 # ---------------------------------------------------------------------------
 # A18 Mann–Whitney U
 # ---------------------------------------------------------------------------
 
-def prefix_sum(df: DataFrame, order_col: str, value_cols: list[str], key_cols: list[str],
-               buckets: int | None = None) -> DataFrame:
-    """Exclusive running sums of ``value_cols`` in ``order_col`` order within ``key_cols``.
-
-    Scales past one task: rows are range-partitioned on (keys, order), each range
-    bucket gets its own running sum (a window partitioned by bucket), and bucket
-    offsets come from a window over the ``buckets`` bucket totals only (as many as the
-    session has shuffle partitions, unless given).
-
-    Range bounds are sampled, so a recomputation may bucket rows differently; the
-    bucketed frame is therefore checkpointed (reliably, to ``spark.checkpoint.dir``)
-    before its two consumers read it.
-    """
-    from raterlab.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.repartitionByRange(buckets, *key_cols, order_col).withColumn("_bucket", F.spark_partition_id())
-    w_in = Window.partitionBy(*key_cols, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    for c in value_cols:
-        x = x.withColumn(f"_in_{c}", F.coalesce(F.sum(c).over(w_in), F.lit(0)))
-    x = x.checkpoint(eager=True)
-    tot = x.groupBy(*key_cols, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in value_cols])
-    # bounded by (#keys × buckets) rows
-    w_b = Window.partitionBy(*key_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*key_cols, "_bucket",
-                     *[F.coalesce(F.sum(f"_bt_{c}").over(w_b), F.lit(0)).alias(f"_off_{c}") for c in value_cols])
-    x = x.join(F.broadcast(tot), [*key_cols, "_bucket"])
-    return x.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in value_cols])
-
-
 def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: str,
-                 buckets: int | None = None) -> DataFrame:
+                 cells: int = CELLS) -> DataFrame:
     """Two-sided Mann–Whitney U per ``test_col`` (sides ``'a'`` / ``'b'``), tie-corrected
     normal approximation with continuity correction.
 
@@ -139,7 +108,7 @@ def mann_whitney(samples: DataFrame, test_col: str, side_col: str, value_col: st
     samples = samples.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
     h = samples.groupBy(test_col, value_col).agg(
         F.count_if(F.col(side_col) == "a").alias("na"), F.count_if(F.col(side_col) == "b").alias("nb"))
-    h = prefix_sum(h, value_col, ["nb"], [test_col], buckets)
+    h = positions(h, [test_col], value_col, ["nb"], cells)
     t = (F.col("na") + F.col("nb")).cast("double")
     agg = h.groupBy(test_col).agg(
         F.sum("na").alias("n1"), F.sum("nb").alias("n2"),

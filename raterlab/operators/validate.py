@@ -33,7 +33,7 @@ def _with_items(x: DataFrame, ctx: Column) -> DataFrame:
     x = x.withColumn("_ctx", ctx).withColumn("_arr", F.try_variant_get("_ctx", "$", "array<variant>"))
     x = x.withColumn("_kind", F.when(F.col("_arr").isNull() & F.col("_ctx").isNotNull(), F.schema_of_variant("_ctx")))
     x = x.withColumn("_txt", F.when(F.col("_kind") == "STRING", F.variant_get("_ctx", "$", "string")))
-    x = x.withColumn("_parsed", T.parse_python_list(F.col("_txt")))
+    x = x.withColumn("_parsed", T.parse_python_literal(F.col("_txt")))
 
     def from_variant(it):
         is_str = F.schema_of_variant(it) == "STRING"

@@ -424,6 +424,17 @@ def describe_quantity(spark, d):
     return rounded(DS.describe(X.read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity"))
 
 
+@register("describe_price", O.sql("""
+SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS count, round(avg(l_extendedprice), 6) AS mean,
+  round(stddev_samp(l_extendedprice), 6) AS std, round(min(l_extendedprice), 6) AS min,
+  round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+  round(quantile_cont(l_extendedprice, 0.75), 6) AS p75, round(max(l_extendedprice), 6) AS max
+FROM (SELECT l_returnflag, l_linestatus, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem) t GROUP BY ALL"""))
+def describe_price(spark, d):
+    """A14 on a column whose values hardly repeat."""
+    return rounded(DS.describe(X.read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"))
+
+
 @register("annotations_per_rater", O.sql(
     "SELECT created_by, count(*) AS n, count(description) AS n_description FROM ann GROUP BY ALL", "ann"))
 def annotations_per_rater(spark, d):

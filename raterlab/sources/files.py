@@ -18,6 +18,31 @@ from raterlab.functions import text as TX
 from raterlab.session import read_if_exists
 
 
+def bucketed_table(spark: SparkSession, name: str, path: str, schema: str, buckets: int, by: str = "id") -> DataFrame:
+    """Opens files that ``sinks.bucketed_table`` wrote as the table ``name``, with their buckets."""
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines under ``path`` (folder names ``column=value`` become columns); a malformed line raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def json_lines_quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine): the lines that hold a whole record of ``schema``, and the others as (file, line) with the columns of
+    their folder names, to be counted, kept and mended. Blank lines are neither."""
+    corrupt = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    lines = spark.read.option("basePath", path).text(path) if "*" not in path else spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    lines = lines.filter(F.length(F.trim("value")) > 0).withColumn("file", F.input_file_name())
+    lines = lines.withColumn("_r", F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}))
+    # text that is no JSON object has no record at all
+    bad = F.col("_r").isNull() | F.col("_r._line").isNotNull()
+    rows = lines.filter(~bad).select(*[F.col("_r").getField(f.name).alias(f.name) for f in schema.fields], *folders)
+    return rows, lines.filter(bad).select("file", *folders, F.col("value").alias("line"))
+
+
 def publications_csv(spark: SparkSession, path: str, schema: T.StructType = S.PUBLICATIONS,
                      optional: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
     """Publications CSV (texts hold newlines and doubled quotes). Columns are taken by
@@ -45,18 +70,23 @@ def annotation_split_csv(spark: SparkSession, path: str) -> DataFrame:
 
     def parsed(name, parse):
         # text that is no literal raises: read as null it would pass for an empty list
-        value = parse(F.col(name))
+        value = parse(F.col(name))  # what no literal at all is, is null
         return F.when(F.col(name).isNotNull() & value.isNull(), F.raise_error(
             F.concat(F.lit(f"{name} is no list literal: "), F.substring(name, 1, 200)))).otherwise(value)
-    return (df.withColumn("context", parsed("context", TX.parse_python_list))
+    return (df.withColumn("context", parsed("context", TX.parse_python_literal))
               .withColumn("context_locations", parsed("context_locations", TX.parse_python_spans)))
 
 
+def prediction_schema() -> T.StructType:
+    """The fields of a result line; persona, approach and seed come from folder or file names."""
+    return T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"])
+
+
 def predictions(spark: SparkSession, root: str, expected_rows: int | None = None) -> DataFrame:
     """S3: result envelopes under ``root/persona=/approach=/seed=`` (JSON lines).
-    ``output`` stays raw JSON text. With ``expected_rows``, every run is checked."""
-    schema = T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"])
-    df = spark.read.schema(schema).option("basePath", root).json(root)
+    ``output`` stays raw JSON text. A malformed line raises (``json_lines_quarantined`` sets
+    such lines aside). With ``expected_rows``, every run is checked."""
+    df = json_lines(spark, root, prediction_schema())
     if expected_rows is not None:
         bad = (df.groupBy("persona", "approach", "seed").count()
                .filter(F.col("count") != expected_rows).limit(20).collect())
@@ -104,7 +134,7 @@ def chat_examples(spark: SparkSession, path: str) -> DataFrame:
     (``pos``) needed for "first N examples" semantics. ``pos`` increases with the line
     order inside a file split; example files are far below one split (128 MB), so it
     is the line order of the file."""
-    df = spark.read.schema(S.CHAT_EXAMPLE).json(path)
+    df = json_lines(spark, path, S.CHAT_EXAMPLE)
     return df.withColumn("_file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
 
 
@@ -117,7 +147,7 @@ def descriptions_csv(spark: SparkSession, path: str) -> DataFrame | None:
 
 def export_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Exported annotation rows (JSON lines, or one JSON array with ``multiline``)."""
-    return spark.read.schema(S.EXPORT).option("multiLine", multiline).json(path)
+    return spark.read.schema(S.EXPORT).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
 
 
 def _approach_pattern(approaches) -> str:
@@ -130,8 +160,7 @@ def predictions_flat(spark: SparkSession, path: str, approaches=None) -> DataFra
     from raterlab import constants as C
     appr = _approach_pattern(approaches or C.APPROACHES)
     rx = rf"([^/]+)_({appr})_seed=([0-9]+)\.jsonl$"
-    schema = T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"])
-    df = spark.read.schema(schema).json(path).withColumn("_f", F.input_file_name())
+    df = json_lines(spark, path, prediction_schema()).withColumn("_f", F.input_file_name())
     return df.select(F.regexp_extract("_f", rx, 1).alias("persona"), F.regexp_extract("_f", rx, 2).alias("approach"),
                      F.regexp_extract("_f", rx, 3).cast("int").alias("seed"), *[c for c in df.columns if c != "_f"])
 

@@ -74,7 +74,7 @@ def test_mann_whitney_pairwise(spark):
     b = [rng.randint(2, 7) for _ in range(55)]
     rows = [("t", "a", float(x)) for x in a] + [("t", "b", float(x)) for x in b]
     df = spark.createDataFrame(rows, "test string, side string, x double")
-    got = HY.with_mann_whitney_p(HY.mann_whitney(df, "test", "side", "x", buckets=3)).collect()[0]
+    got = HY.with_mann_whitney_p(HY.mann_whitney(df, "test", "side", "x", cells=3)).collect()[0]
     u1 = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
     assert got.u1 == pytest.approx(u1)
     n1, n2, n = len(a), len(b), len(a) + len(b)
