@@ -1,8 +1,7 @@
 """Inter-rater agreement (J7, A15, A19) and span overlap between raters.
 
-Two named raters are paired by item id with an equi-join of their two filtered
-slices; (rater, id) duplicates are rejected beforehand, so each item yields at
-most one pair and no all-pairs expansion happens.
+Raters are paired by item id in one aggregation, two named ones or every pair of them; an item
+that one rater labelled twice raises, so an item holds at most one label per rater.
 """
 
 from __future__ import annotations
@@ -31,12 +30,27 @@ def pair_raters(ann: DataFrame, rater_a: str, rater_b: str, columns: Sequence[st
         id_col, *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in sides for c in columns])
 
 
-def crosstab_long(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Contingency counts ``(field, a, b, n)`` for each paired field, one aggregation."""
+def pair_all_raters(ann: DataFrame, columns: Sequence[str], rater_col: str = "created_by", id_col: str = "id") -> DataFrame:
+    """J7 for every pair of raters: (rater_a, rater_b, id, a_*, b_*) with rater_a < rater_b. One aggregation by id; an item
+    holds one label per rater, and its pairs are made in its row, without a self-join."""
+    label = F.struct(F.col(rater_col).alias("rater"), *columns)
+    items = ann.filter(F.col(id_col).isNotNull() & F.col(rater_col).isNotNull()).groupBy(id_col).agg(F.collect_list(label).alias("labels"))
+    twice = F.size("labels") > F.size(F.array_distinct(F.transform("labels", lambda x: x["rater"])))
+    checked = F.when(twice, F.raise_error(F.concat(F.lit("labelled twice by one rater: "), F.col(id_col).cast("string"))))
+    items = items.select(id_col, checked.otherwise(F.col("labels")).alias("labels"))
+    pairs = F.flatten(F.transform("labels", lambda x: F.transform(
+        F.filter("labels", lambda y: y["rater"] > x["rater"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return items.select(id_col, F.explode(pairs).alias("p")).select(
+        F.col("p.a.rater").alias("rater_a"), F.col("p.b.rater").alias("rater_b"), id_col,
+        *[F.col(f"p.{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in columns])
+
+
+def crosstab_long(pairs: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Contingency counts ``(field, a, b, n)`` for each paired field (and value of ``by``), one aggregation."""
     e = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").cast("string").alias("a"),
                                      F.col(f"b_{f}").cast("string").alias("b")) for f in fields]))
-    return (pairs.select(e.alias("c")).select("c.*")
-            .groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    return (pairs.select(*by, e.alias("c")).select(*by, "c.*")
+            .groupBy(*by, "field", "a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
 def crosstab_wide(long: DataFrame, field: str) -> DataFrame:
@@ -44,25 +58,25 @@ def crosstab_wide(long: DataFrame, field: str) -> DataFrame:
     return long.filter(F.col("field") == field).groupBy("a").pivot("b").agg(F.sum("n")).na.fill(0)
 
 
-def _margins(long: DataFrame) -> DataFrame:
+def _margins(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per (field, label): row margin (rater a), column margin (rater b), diagonal count."""
     both = F.explode(F.array(
         F.struct(F.col("a").alias("label"), F.col("n").alias("r"), F.lit(0).cast("long").alias("c"),
                  F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("d")),
         F.struct(F.col("b").alias("label"), F.lit(0).cast("long").alias("r"), F.col("n").alias("c"),
                  F.lit(0).cast("long").alias("d"))))
-    return (long.select("field", both.alias("e")).select("field", "e.*").groupBy("field", "label")
+    return (long.select(*by, "field", both.alias("e")).select(*by, "field", "e.*").groupBy(*by, "field", "label")
             .agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum("d").alias("d")))
 
 
-def cohen_kappa(long: DataFrame) -> DataFrame:
-    """Unweighted Cohen's κ per field: ``(po - pe) / (1 - pe)``; pe = 1 → NULL."""
-    m = _margins(long)
-    x = m.groupBy("field").agg(F.sum("r").alias("n"), F.sum("d").alias("agree"),
-                               F.sum(F.col("r").cast("double") * F.col("c")).alias("rc"))
+def cohen_kappa(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Unweighted Cohen's κ per field (and value of ``by``): ``(po - pe) / (1 - pe)``; pe = 1 → NULL."""
+    m = _margins(long, by)
+    x = m.groupBy(*by, "field").agg(F.sum("r").alias("n"), F.sum("d").alias("agree"),
+                                    F.sum(F.col("r").cast("double") * F.col("c")).alias("rc"))
     po = F.col("agree") / F.col("n")
     pe = F.col("rc") / (F.col("n").cast("double") * F.col("n"))
-    return x.select("field", "n", po.alias("po"), pe.alias("pe"),
+    return x.select(*by, "field", "n", po.alias("po"), pe.alias("pe"),
                     F.try_divide(po - pe, F.lit(1.0) - pe).alias("kappa"))
 
 
@@ -101,6 +115,25 @@ def span_pairs_overlap(pairs: DataFrame, loc_col: str = "context_locations", id_
                         T.span_overlaps(F.col(f"a_{loc_col}"), F.col(f"b_{loc_col}")).alias("overlaps"))
 
 
+def overlap_sweep(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
+    """J12 in long form: (id, start, end) of every overlap between a span of ``a`` and one of ``b`` (inclusive ends) of the same
+    id. Spans are cut into bins as wide as the id's mean span, so bins are at most about twice as many as spans; only
+    spans that meet in a bin are compared, and a pair counts in the bin in which the later one starts. Lists of any
+    length work, and one id's spans are spread over its bins. Spans with a null or that end before they start meet nothing."""
+    whole = F.col("end") >= F.col("start")
+    a, b = (x.select(id_col, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter(whole) for x in (a, b))
+    lengths = a.unionByName(b).groupBy(id_col).agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("end") - F.col("start") + 1))).alias("_width"))
+
+    def binned(x: DataFrame, side: str) -> DataFrame:
+        x = x.join(lengths, id_col)
+        bins = F.sequence(F.floor(F.col("start") / F.col("_width")), F.floor(F.col("end") / F.col("_width")))
+        return x.select(id_col, F.explode(bins).alias("_bin"), F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"), "_width")
+    both = binned(a, "a").join(binned(b, "b").drop("_width"), [id_col, "_bin"])
+    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    both = both.filter((start <= end) & (F.floor(start / F.col("_width")) == F.col("_bin")))
+    return both.select(id_col, start.alias("start"), end.alias("end"))
+
+
 def overlap_summary(ov: DataFrame) -> DataFrame:
     """Span counts and inclusive lengths per rater, overlap count/length, mean
     length per rater and the overlap Jaccard ``ov / (a + b − ov)``."""

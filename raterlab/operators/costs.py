@@ -30,6 +30,33 @@ def example_stats(turns: DataFrame, key: str = "conv_id", role_col: str = "role"
         F.sum(F.when(F.col(role_col) == "assistant", tok(F.col(text_col))).otherwise(0)).alias("n_assistant_tokens"))
 
 
+def example_stats_in_row(examples: DataFrame, key: str, messages_col: str = "messages",
+                         tok: Callable[[Column], Column] = regex_tokens,
+                         tokens_per_message: int = C.TOKENS_PER_MESSAGE) -> DataFrame:
+    """A23/A24 on rows that hold their message list: nothing is exploded or shuffled, and an example
+    without messages (or with none at all) counts as one with zero messages. A message's ``name`` counts as its
+    tokens and TOKENS_PER_NAME more where the list has that field."""
+    messages = F.coalesce(F.col(messages_col), F.array().cast(examples.schema[messages_col].dataType))
+    named = "name" in examples.schema[messages_col].dataType.elementType.names
+
+    def tokens(text: Column) -> Column:
+        return F.coalesce(tok(text), F.lit(0)).cast("long")
+
+    def of(m: Column) -> Column:
+        n = tokens_per_message + tokens(m["role"]) + tokens(m["content"])
+        return n + F.when(m["name"].isNotNull(), tokens(m["name"]) + C.TOKENS_PER_NAME).otherwise(0) if named else n
+
+    def total(each: Callable[[Column], Column]) -> Column:
+        return F.aggregate(messages, F.lit(0).cast("long"), lambda acc, m: acc + each(m))
+
+    def has(role: str) -> Column:
+        return F.exists(messages, lambda m: F.coalesce(m["role"] == role, F.lit(False))).cast("int")
+    return examples.select(
+        key, F.size(messages).cast("long").alias("n_messages"), has("system").alias("has_system"), has("user").alias("has_user"),
+        (total(of) + C.REPLY_PRIMING_TOKENS).alias("n_tokens"),
+        total(lambda m: F.when(m["role"] == "assistant", tokens(m["content"])).otherwise(0)).alias("n_assistant_tokens"))
+
+
 def chat_quality(stats: DataFrame) -> DataFrame:
     """Examples missing a system / user message."""
     return stats.agg(F.count(F.lit(1)).alias("n_examples"),

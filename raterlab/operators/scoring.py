@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlab import constants as C
-from raterlab.session import read_if_exists
 
 KEY = ["persona", "approach", "seed", "id"]
 
@@ -38,6 +37,15 @@ def pending(grid: DataFrame, done: DataFrame | None, retry_failed: bool = False)
     return grid.join(d.select(*KEY).distinct(), KEY, "left_anti")
 
 
+def pending_with_texts(pubs: DataFrame, personas: DataFrame, approach: str, seeds: Sequence[int], done: DataFrame | None,
+                       persona_cols: Sequence[str] = ("persona", "narrative"), retry_failed: bool = False) -> DataFrame:
+    """J11 + J9 with late materialisation: the grid of keys alone meets the results, and only what is left fetches its
+    text (by id) and its persona's columns. Ids are expected once in ``pubs``."""
+    keys = work_grid(pubs.select("id"), personas.select("persona"), approach, seeds, ("persona",))
+    todo = pending(keys, done, retry_failed)
+    return todo.join(pubs, "id").join(personas.select(*persona_cols), "persona")
+
+
 def latest(log: DataFrame, ts_col: str = "ingest_ts") -> DataFrame:
     """Last log line per key (``max_by`` aggregate, pre-reduced per task)."""
     cols = [c for c in log.columns if c not in KEY]
@@ -49,8 +57,9 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
                model_name: str | dict[str, str] = C.MODEL_NAME, temperature: float = C.TEMPERATURE,
                max_tokens: int = C.MAX_TOKENS, parallelism: int | None = None) -> DataFrame:
     """L6 + F4 + L4: score ``work`` (persona, approach, seed, id, messages) and return
-    result envelopes. ``scorer(messages_json, batch)`` returns raw model text per row;
-    text that is not JSON, or a raising batch, yields the failure record.
+    result envelopes. ``scorer(messages_json, batch)`` is called once per row, with series and frame of
+    that row alone, and returns its raw model text; text that is not JSON, or a call that raises, yields the
+    failure record of that row. No row is ever sent twice.
 
     ``parallelism`` sets the number of concurrent scorer tasks (the external
     service's rate limit is the scorer's business). ``model_name`` may map persona →
@@ -62,22 +71,16 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
         w = w.repartition(parallelism)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def answers(b: pd.DataFrame) -> list:
-            """Raw answers; a failing call is repeated on halves, so only the rows that fail by
-            themselves get none."""
+        def answer(b: pd.DataFrame):
             try:
                 raw = list(scorer(b["messages_json"], b))
-                if len(raw) != len(b):
-                    raise ValueError(f"{len(raw)} answers for {len(b)} rows")
-                return raw
+                return raw[0] if len(raw) == 1 else None
             except Exception:  # noqa: BLE001 — a failing call must not abort the job
-                half = len(b) // 2
-                return [None] if not half else answers(b.iloc[:half]) + answers(b.iloc[half:])
+                return None
 
         for b in batches:
-            raw = answers(b) if len(b) else []
             out = []
-            for r in raw:
+            for r in (answer(b.iloc[i:i + 1]) for i in range(len(b))):
                 try:
                     out.append(json.dumps(json.loads(r), ensure_ascii=False))
                 except Exception:  # noqa: BLE001
@@ -98,16 +101,6 @@ def append_results(results: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("persona", "approach", "seed").parquet(path))
 
 
-def score_missing(grid: DataFrame, result_path: str, scorer, spark=None, **kw) -> DataFrame:
-    """Score what the result table lacks and append it; returns the new rows' frame."""
-    spark = spark or grid.sparkSession
-    done = read_if_exists(lambda: spark.read.parquet(result_path))
-    todo = pending(grid, done)
-    res = run_scorer(todo, scorer, **kw)
-    append_results(res, result_path)
-    return spark.read.parquet(result_path)
-
-
 # ---- deterministic scorer used by tests and registered queries -----------------
 def length_scorer(messages_json: pd.Series, batch: pd.DataFrame) -> pd.Series:
     """Label from the user message length: emotion = EMOTIONS[len % 7], level =
@@ -126,7 +119,8 @@ def length_scorer(messages_json: pd.Series, batch: pd.DataFrame) -> pd.Series:
     return pd.Series(out)
 
 
-def work_grid(pubs: DataFrame, personas: DataFrame, approach: str, seeds: Sequence[int] = C.SEEDS) -> DataFrame:
+def work_grid(pubs: DataFrame, personas: DataFrame, approach: str, seeds: Sequence[int] = C.SEEDS,
+              persona_cols: Sequence[str] = ("persona", "narrative")) -> DataFrame:
     """J11 for one approach: publications × personas × seeds (Generate, no join)."""
     from raterlab.operators.prompts import persona_grid
-    return persona_grid(pubs, personas, seeds).withColumn("approach", F.lit(approach))
+    return persona_grid(pubs, personas, seeds, persona_cols).withColumn("approach", F.lit(approach))

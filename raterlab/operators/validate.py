@@ -1,7 +1,7 @@
 """Validation of free-form model output.
 
-The whole chain is one projection of higher-order functions over the parsed
-variant; no UDF, no per-row Python.
+The chain is projections of higher-order functions over the parsed variant. Only context texts that
+the native literal parser cannot read reach Python, in Arrow batches (``functions.text.parse_python_literal``).
 """
 
 from __future__ import annotations
@@ -52,40 +52,51 @@ def _with_items(x: DataFrame, ctx: Column) -> DataFrame:
     return x.withColumn("_items", F.coalesce(items, empty_items)).withColumn("_pre", pre)
 
 
-def validate_output(df: DataFrame, output_col: str = "output", text_col: str = "text") -> DataFrame:
-    """V1–V7 on a frame that carries ``text`` or its lower-cased form ``_text_lc``
-    (see :func:`attach_text`).
+def parse_output(df: DataFrame, output_col: str = "output") -> DataFrame:
+    """V1–V4, all that needs no text: adds ``emotion, emotion_class, trigger_level, description, _items, _pre`` and drops
+    ``output``. Done before the text join, so the join moves parsed rows and nothing between it and
+    the truth disturbs their partitioning."""
+    x = df.withColumn("_v", F.try_parse_json(F.col(output_col)))
+    x = _with_items(x, F.try_variant_get("_v", "$.context", "variant"))
+    return x.select(
+        *[c for c in df.columns if c != output_col],
+        coerce.coerce_category(F.try_variant_get("_v", "$.emotion", "string"), C.EMOTIONS).alias("emotion"),
+        coerce.coerce_category(F.try_variant_get("_v", "$.emotion_class", "string"), C.EMOTION_CLASSES).alias("emotion_class"),
+        coerce.lenient_int_variant(F.col("_v"), "$.trigger_level").alias("trigger_level"),
+        F.try_variant_get("_v", "$.description", "string").alias("description"), "_items", "_pre")
+
+
+def locate(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """V5–V7 on parsed rows that carry ``text`` or its lower-cased form ``_text_lc`` (see :func:`attach_text`).
 
-    Adds ``emotion, emotion_class, trigger_level, context, context_locations,
-    context_corrupted, description, has_text, failed`` and drops ``output``.
+    Adds ``context, context_locations, context_corrupted, has_text, failed``.
     Offsets refer to the lower-cased text, as in the original.
     """
     x = df if LOWER_TEXT in df.columns else df.withColumn(LOWER_TEXT, F.lower(F.col(text_col)))
-    x = x.withColumn("_v", F.try_parse_json(F.col(output_col)))
-    x = _with_items(x, F.try_variant_get("_v", "$.context", "variant"))
     located = F.transform("_items", lambda it: F.struct(
         it["s"].alias("s"), it["raw"].alias("raw"),
         F.when(it["s"].isNull(), F.lit(-1)).otherwise(F.instr(F.col(LOWER_TEXT), F.lower(it["s"])) - 1).alias("pos")))
     x = x.withColumn("_loc", located)
     found = F.filter("_loc", lambda it: it["pos"] >= 0)
     lost = F.filter("_loc", lambda it: it["pos"] < 0)
-    emotion = coerce.coerce_category(F.try_variant_get("_v", "$.emotion", "string"), C.EMOTIONS)
-    cls = coerce.coerce_category(F.try_variant_get("_v", "$.emotion_class", "string"), C.EMOTION_CLASSES)
-    level = coerce.lenient_int_variant(F.col("_v"), "$.trigger_level")
+    parsed = ["emotion", "emotion_class", "trigger_level"]
     out = x.select(
-        *[c for c in df.columns if c not in (output_col, LOWER_TEXT)],
-        emotion.alias("emotion"), cls.alias("emotion_class"), level.alias("trigger_level"),
+        *[c for c in df.columns if c not in (*parsed, "description", "_items", "_pre", LOWER_TEXT)], *parsed,
         F.transform(found, lambda it: it["s"]).alias("context"),
         F.transform(found, lambda it: F.struct(it["pos"].cast("int").alias("start"),
                                                (it["pos"] + F.length(it["s"])).cast("int").alias("end")))
          .alias("context_locations"),
         F.concat("_pre", F.transform(lost, lambda it: F.coalesce(it["s"], it["raw"]))).alias("context_corrupted"),
-        F.try_variant_get("_v", "$.description", "string").alias("description"),
-        F.col(LOWER_TEXT).isNotNull().alias("has_text"),
+        "description", F.col(LOWER_TEXT).isNotNull().alias("has_text"),
     )
     return out.withColumn("failed", failed_predicate())
 
 
+def validate_output(df: DataFrame, output_col: str = "output", text_col: str = "text") -> DataFrame:
+    """V1–V7 on a frame that carries ``text`` (or ``_text_lc``); drops ``output``."""
+    return locate(parse_output(df, output_col), text_col)
+
+
 def failed_predicate() -> Column:
     """V7: a row is unusable if a category is corrupted or the level is -1."""
     return ((F.col("emotion") == C.CORRUPTED) | (F.col("emotion_class") == C.CORRUPTED)
@@ -104,7 +115,7 @@ def attach_text(pred: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFr
 
 def validate_predictions(pred: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFrame:
     """J2 + V1–V7."""
-    return validate_output(attach_text(pred, texts, id_col))
+    return locate(attach_text(parse_output(pred), texts, id_col))
 
 
 def expand_baseline(pred: DataFrame, personas: Sequence[str] = C.PERSONAS,

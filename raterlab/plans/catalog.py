@@ -244,6 +244,35 @@ def cohen_kappa(spark, d):
     return rounded(AG.cohen_kappa(_crosstab(spark, d)))
 
 
+_THREE = [("three", """
+SELECT rater, id, emotion, CAST(trigger_level AS VARCHAR) AS trigger_level FROM ann
+UNION ALL SELECT 'c', id, emotion, CAST(trigger_level AS VARCHAR) FROM ann
+WHERE rater = CASE WHEN id % 3 = 0 THEN 'b' ELSE 'a' END AND id % 7 <> 0"""),
+    ("tp", """
+SELECT x.rater AS rater_a, y.rater AS rater_b, f.field, CASE f.field WHEN 'emotion' THEN x.emotion ELSE x.trigger_level END AS a,
+  CASE f.field WHEN 'emotion' THEN y.emotion ELSE y.trigger_level END AS b
+FROM three x JOIN three y ON x.id = y.id AND x.rater < y.rater CROSS JOIN (VALUES ('emotion'), ('trigger_level')) f(field)"""),
+    ("tm", """
+SELECT rater_a, rater_b, field, sum(r) AS r, sum(c) AS c FROM (
+  SELECT rater_a, rater_b, field, a AS label, count(*) AS r, 0 AS c FROM tp GROUP BY ALL
+  UNION ALL SELECT rater_a, rater_b, field, b, 0, count(*) FROM tp GROUP BY ALL) u GROUP BY rater_a, rater_b, field, label""")]
+
+
+@register("kappa_rater_pairs", O.sql("""
+SELECT rater_a, rater_b, field, n, round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa
+FROM (SELECT rater_a, rater_b, field, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po FROM tp GROUP BY ALL) p
+JOIN (SELECT rater_a, rater_b, field, CAST(sum(r * c) AS DOUBLE) / (CAST(sum(r) AS DOUBLE) * sum(r)) AS pe FROM tm GROUP BY ALL) m
+USING (rater_a, rater_b, field)""", "ann", extra=_THREE))
+def kappa_rater_pairs(spark, d):
+    """J7 and A19 for every pair of three raters; the third agrees with one of the others and leaves items out."""
+    fields = ["emotion", "trigger_level"]
+    ann = X.annotations(spark, d).select("rater", "id", "emotion", F.col("trigger_level").cast("string").alias("trigger_level"))
+    third = ann.filter((F.col("rater") == F.when(F.col("id") % 3 == 0, "b").otherwise("a")) & (F.col("id") % 7 != 0))
+    pairs = AG.pair_all_raters(ann.unionByName(third.withColumn("rater", F.lit("c"))), fields, rater_col="rater")
+    by = ["rater_a", "rater_b"]
+    return rounded(AG.cohen_kappa(AG.crosstab_long(pairs, fields, by), by))
+
+
 _CHI2 = [("chi", """
 SELECT field, CAST(n AS BIGINT) AS n, CAST(dof AS BIGINT) AS dof, chi2 FROM (
   SELECT g.field, g.n, g.dof,
@@ -463,6 +492,14 @@ def span_overlap_pairs(spark, d):
     return ov.select("id", F.explode("overlaps").alias("o")).select("id", "o.start", "o.end")
 
 
+@register("span_overlap_long", O.sql(
+    "SELECT id, CAST(o['start'] AS BIGINT) AS start, CAST(o['end'] AS BIGINT) AS \"end\" FROM (SELECT id, unnest(ovl) AS o FROM ov) u", "ov"))
+def span_overlap_long(spark, d):
+    """J12 on spans as rows."""
+    a, b = (_pairs(spark, d).select("id", F.explode(f"{side}_context_locations").alias("s")).select("id", "s.start", "s.end") for side in "ab")
+    return AG.overlap_sweep(a, b)
+
+
 @register("span_overlap_summary", O.sql(f"""
 SELECT *, round(CAST(ann1_labels_len AS DOUBLE) / nullif(ann1_labels_total, 0), 6) AS ann1_mean_len,
   round(CAST(ann2_labels_len AS DOUBLE) / nullif(ann2_labels_total, 0), 6) AS ann2_mean_len,
@@ -838,15 +875,28 @@ def _scored_fields(res: DataFrame) -> DataFrame:
     return v.select("persona", "approach", "seed", "id", "emotion", "emotion_class", "trigger_level", "failed")
 
 
+def _scored(spark, d):
+    todo = SC.pending_with_texts(_eval_pubs(spark, d).select("id", "text"), X.personas(spark), X.GRID_APPROACH, K.SEEDS, X.work_log(spark, d))
+    todo = todo.select(*SC.KEY, PR.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
+    return SC.run_scorer(todo, SC.length_scorer, model_name={p: f"model of {p}" for p in K.PERSONAS}, temperature=0.25, max_tokens=77)
+
+
+@register("score_envelopes", O.sql(
+    "SELECT persona, approach, seed, id, 'model of ' || persona AS model_name, 0.25::DOUBLE AS temperature, 77 AS max_tokens FROM pend", "pend"))
+def score_envelopes(spark, d):
+    """L4: the envelope around every answer, with a model per persona."""
+    return _scored(spark, d).drop("output")
+
+
 @register("batch_score", O.sql(_SCORE_SQL, "pend"))
 def batch_score(spark, d):
-    todo = SC.pending(_grid(spark, d), X.work_log(spark, d))
-    todo = todo.select(*SC.KEY, PR.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
-    return _scored_fields(SC.run_scorer(todo, SC.length_scorer))
+    return _scored_fields(_scored(spark, d))
 
 
-@register("incremental_score", O.sql("""
-SELECT persona, approach, seed, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM grid GROUP BY ALL""", "grid"))
+@register("incremental_score", O.sql(f"""
+SELECT persona, approach, seed, id, emotion, trigger_level FROM ({_SCORE_SQL}) s
+UNION ALL SELECT persona, approach, seed, id, CASE WHEN max(ingest_ts) = 2 THEN 'corrupted' ELSE 'fear' END,
+  CASE WHEN max(ingest_ts) = 2 THEN -1 ELSE 2 END FROM wlog GROUP BY ALL""", "pend", "wlog"))
 def incremental_score(spark, d):
     import uuid
 
@@ -868,9 +918,7 @@ def incremental_score(spark, d):
         pubs.filter(cond).write.mode("overwrite").parquet(f"{src}/drop={i}")
         q = INC.start(spark, src, "id bigint, text string, date string", X.personas(spark), res, ck, scorer=SC.length_scorer)
         INC.run_until_idle(q)
-    out = spark.read.parquet(res)
-    return out.groupBy("persona", "approach", "seed").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                          F.countDistinct("id").alias("n_ids"))
+    return _scored_fields(spark.read.parquet(res)).select("persona", "approach", "seed", "id", "emotion", "trigger_level")
 
 
 # ---------------------------------------------------------------------------
@@ -1001,3 +1049,73 @@ def annotation_csv_roundtrip(spark, d):
     back = SRC2.annotation_split_csv(spark, path)   # created_by / split_name come from the folders
     return back.select("created_by", "id", "split_name", F.to_json("context").alias("context"),
                        F.to_json("context_locations").alias("context_locations"))
+
+
+@register("weighted_prf_bucketed", O.sql(
+    f"SELECT {RUN}, field, {O.rnd('precision')}, {O.rnd('recall')}, {O.rnd('f1_score')}, support FROM wprf", "wprf"))
+def weighted_prf_bucketed(spark, d):
+    """E1 on stored tables bucketed by id: texts, truth (one row per id) and predictions join without an exchange."""
+    from raterlab.sources import sinks as SNK2
+    base = _scratch(spark, "bucketed")
+    name = "raterlab_" + base.rsplit("-", 1)[1]
+    buckets = 16
+    texts = SNK2.bucketed_table(X.publications(spark, d).select("id", "text"), f"{name}_texts", f"{base}/texts", buckets)
+    truth = SNK2.bucketed_table(E.truth_by_id(X.evaluation_truth(spark, d)), f"{name}_truth", f"{base}/truth", buckets)
+    preds = SNK2.bucketed_table(V.parse_output(X.predictions(spark, d)), f"{name}_predictions", f"{base}/predictions", buckets)
+    valid = V.expand_baseline(V.locate(V.attach_text(preds, texts)))
+    return rounded(E.weighted_prf(E.run_cells(E.align_by_id(truth, valid))))
+
+
+@register("prediction_lines", O.sql(
+    "SELECT persona, approach, seed, CAST(id AS VARCHAR) AS id, model_name, temperature, max_tokens, emotion, failed FROM "
+    f"(SELECT *, '{K.MODEL_NAME}' AS model_name, {K.TEMPERATURE}::DOUBLE AS temperature, {K.MAX_TOKENS} AS max_tokens FROM validf) v", "validf"))
+def prediction_lines(spark, d):
+    """K4 → S3: result lines under persona=/approach=/seed= read back with their envelopes and validated."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "prediction-lines")
+    SNK2.results_json(X.predictions(spark, d).withColumn("id", F.col("id").cast("string")), path)
+    back = SRC2.predictions(spark, path).withColumn("seed", F.col("seed").cast("int"))
+    texts = X.publications(spark, d).withColumn("id", F.col("id").cast("string"))
+    return V.validate_predictions(back, texts).select("persona", "approach", "seed", "id", "model_name", "temperature", "max_tokens",
+                                                      "emotion", "failed")
+
+
+_LINE = ("concat('{\"id\": \"', CAST(doc_id AS VARCHAR), '\", \"model_name\": \"m\", \"temperature\": 0.5, \"max_tokens\": ', "
+         "CAST(doc_id % 50 AS VARCHAR), ', \"output\": \"', source, '\"}')")
+_BROKEN = (f"CASE WHEN doc_id % 13 = 0 THEN substr({_LINE}, 1, length({_LINE}) - 5) WHEN doc_id % 17 = 0 THEN concat('no json ', CAST(doc_id AS VARCHAR)) "
+           f"WHEN doc_id % 19 = 0 THEN replace({_LINE}, '0.5', '\"warm\"') ELSE {_LINE} END")
+
+
+@register("prediction_quarantine", f"""
+SELECT kind, id, max_tokens, output, line FROM (
+  SELECT doc_id, 'row' AS kind, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id % 50 AS INT) AS max_tokens, source AS output, NULL AS line
+  FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0
+  UNION ALL SELECT doc_id, 'quarantine', NULL, NULL, NULL, {_BROKEN}
+  FROM documents WHERE doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0) x""")
+def prediction_quarantine(spark, d):
+    """S3 with lines that are cut off, are no JSON or hold another type: whole ones are rows, the others are kept aside."""
+    from raterlab.sources import files as SRC2
+    path = _scratch(spark, "quarantine")
+    X.read(spark, d, "documents").select(F.expr(_BROKEN.replace("VARCHAR", "STRING")).alias("value")).write.text(path)
+    rows, bad = SRC2.json_lines_quarantined(spark, path, SRC2.prediction_schema())
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit("row").alias("kind"), "id", "max_tokens", "output", none.alias("line")).unionByName(
+        bad.select(F.lit("quarantine").alias("kind"), none.alias("id"), F.lit(None).cast("int").alias("max_tokens"), none.alias("output"), "line"))
+
+
+@register("python_literal_parse", r"""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('["p', doc_id, '","it''s"]') WHEN 1 THEN concat('["p', doc_id, ' 😀"]')
+  WHEN 2 THEN concat('["p', doc_id, '",null]') WHEN 3 THEN concat('["p', doc_id, '","é"]') WHEN 4 THEN concat('["p', doc_id, 'joined"]') END AS parsed
+FROM documents""")
+def python_literal_parse(spark, d):
+    """F3 on what only Python reads: tuples, 8-digit escapes, None and adjoining strings, beside plain lists and text that is no literal."""
+    i = F.col("doc_id").cast("string")
+    text = (F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("('p"), i, F.lit("', \"it's\")")))
+            .when(F.col("doc_id") % 6 == 1, F.concat(F.lit("['p"), i, F.lit(" \\U0001f600']")))
+            .when(F.col("doc_id") % 6 == 2, F.concat(F.lit("['p"), i, F.lit("', None]")))
+            .when(F.col("doc_id") % 6 == 3, F.concat(F.lit("['p"), i, F.lit("', '\\xe9']")))
+            .when(F.col("doc_id") % 6 == 4, F.concat(F.lit("['p"), i, F.lit("' 'joined']")))
+            .otherwise(F.concat(F.lit("[no literal "), i)))
+    parsed = TX.parse_python_literal(F.col("lit"))
+    return X.read(spark, d, "documents").select("doc_id", text.alias("lit")).select("doc_id", F.to_json(parsed, {"ignoreNullFields": "false"}).alias("parsed"))

@@ -140,10 +140,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 emotion outside the domain; 5 context as Python-literal text; 6 extra absent phrase;
     7 nested-list item; 8 class null; 9 context key missing; else clean.
     """
-    # hash-partition the (text-free) annotation rows by id *before* the 27-way run
-    # expansion: the J2 text join on id reuses this partitioning, so the shuffle moves
-    # one row per annotation instead of one per prediction
-    ann = annotations(spark, sf_dir).drop("text").repartition("id")
+    ann = annotations(spark, sf_dir).drop("text")
     x = ann.join(F.broadcast(runs(spark)), "rater")
     i = F.col("id")
     shift = (i + F.col("seed") + F.col("approach_no")) % 4 == 0

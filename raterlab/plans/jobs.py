@@ -53,9 +53,7 @@ def prepare_finetune(spark: SparkSession, annotations: DataFrame, personas: Data
 def estimate_costs(spark: SparkSession, chat_dir: str, price: float | None = C.PRICE_PER_MILLION) -> dict:
     """A23–A27 over a folder of chat-example JSONL files; returns the three small tables."""
     ex = SRC.chat_examples(spark, chat_dir).withColumn("conv_id", F.monotonically_increasing_id())
-    turns = ex.select("conv_id", F.posexplode("messages").alias("turn", "m")).select(
-        "conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("text"))
-    stats = CS.example_stats(turns)
+    stats = CS.example_stats_in_row(ex, "conv_id")
     return {"quality": CS.chat_quality(stats), "distribution": CS.distribution(stats),
             "billing": CS.billing_estimate(stats, price=price)}
 
@@ -63,21 +61,22 @@ def estimate_costs(spark: SparkSession, chat_dir: str, price: float | None = C.P
 def run_inference(spark: SparkSession, publications: DataFrame, splits: DataFrame, personas: DataFrame,
                   approach: str, scorer, result_dir: str, seeds: Sequence[int] = C.SEEDS,
                   few_shot_examples: DataFrame | None = None, n_examples: int = C.FEW_SHOT_EXAMPLES,
-                  parallelism: int | None = None) -> DataFrame:
+                  parallelism: int | None = None, model_name: str | dict[str, str] = C.MODEL_NAME,
+                  temperature: float = C.TEMPERATURE, max_tokens: int = C.MAX_TOKENS) -> DataFrame:
     """Score the evaluation split for every persona and seed, skipping what the
-    result table already holds; zero-shot prompts, or few-shot when examples are given."""
+    result table already holds; zero-shot prompts, or few-shot when examples are given.
+    ``model_name`` may map each persona to its own (fine-tuned) model."""
     pubs = SP.in_split(publications, splits, "evaluation")
+    done = read_if_exists(lambda: spark.read.parquet(result_dir))
     if few_shot_examples is not None:
         table = PR.few_shot_table(personas, few_shot_examples, n_examples)
-        grid = (PR.persona_grid(pubs, table, seeds, ("persona", "narrative", "shots"))
-                .withColumn("approach", F.lit(approach)))
+        todo = SC.pending_with_texts(pubs, table, approach, seeds, done, ("persona", "narrative", "shots"))
         msgs = PR.few_shot_messages(F.col("narrative"), F.col("shots"), F.col("text"))
     else:
-        grid = SC.work_grid(pubs, personas, approach, seeds)
+        todo = SC.pending_with_texts(pubs, personas, approach, seeds, done)
         msgs = PR.zero_shot_messages(F.col("narrative"), F.col("text"))
-    done = read_if_exists(lambda: spark.read.parquet(result_dir))
-    todo = SC.pending(grid, done).select(*SC.KEY, msgs.alias("messages"))
-    SC.append_results(SC.run_scorer(todo, scorer, parallelism=parallelism), result_dir)
+    scored = SC.run_scorer(todo.select(*SC.KEY, msgs.alias("messages")), scorer, model_name, temperature, max_tokens, parallelism)
+    SC.append_results(scored, result_dir)
     return spark.read.parquet(result_dir)
 
 

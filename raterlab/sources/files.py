@@ -33,7 +33,7 @@ def json_lines_quarantined(spark: SparkSession, path: str, schema: T.StructType)
     """(rows, quarantine): the lines that hold a whole record of ``schema``, and the others as (file, line) with the columns of
     their folder names, to be counted, kept and mended. Blank lines are neither."""
     corrupt = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
-    lines = spark.read.option("basePath", path).text(path) if "*" not in path else spark.read.text(path)
+    lines = spark.read.text(path)
     folders = [c for c in lines.columns if c != "value"]
     lines = lines.filter(F.length(F.trim("value")) > 0).withColumn("file", F.input_file_name())
     lines = lines.withColumn("_r", F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}))

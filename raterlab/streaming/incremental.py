@@ -31,14 +31,13 @@ def start(spark: SparkSession, source_dir: str, source_schema: str, personas: Da
     stream = spark.readStream.schema(source_schema).parquet(source_dir)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
+        # keys alone meet the results: of these only this approach's folders and the key columns are read
         pubs = batch.dropDuplicates(["id"])
-        grid = SC.work_grid(pubs, personas, approach, seeds)
         done = _read_results(spark, result_path)
         if done is not None:
-            # only this batch's ids can collide; the (small) id list is the join's build side
+            done = done.filter(F.col("approach") == approach).filter(F.col("seed").isin(*seeds)).select(*SC.KEY)
             done = done.join(pubs.select("id"), "id", "left_semi")
-        todo = SC.pending(grid, done)
-        todo = todo.select(*SC.KEY, P.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
+        todo = SC.pending_with_texts(pubs, personas, approach, seeds, done).select(*SC.KEY, P.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
         SC.append_results(SC.run_scorer(todo, scorer), result_path)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
