@@ -260,6 +260,12 @@ def _cross_pairs(index: DataFrame) -> DataFrame:
     return _counted(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), rows)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs, each side made distinct on its own, so that no row is made per pair."""
+    ends = [pairs.groupBy(F.col(side).alias("node")).agg(F.lit(1).alias("one")) for side in "ab"]
+    return ends[0].unionByName(ends[1]).select("node").distinct()
+
+
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
     labelled = _shared(index.drop("component").join(found, "node", "left")
@@ -295,7 +301,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = scratch_table(_star_pairs(index, turn), "pairs")
         if turn == 0:
             # later rounds pair the same sets anew; pairs of others are left to the last step
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            nodes = _ends(pairs)
             sets = _whole_sets(ids, "text", names, nodes)
         found = _verified(pairs, sets)
         drop_tables(pairs)
@@ -312,7 +318,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     free_driver(docs.sparkSession)
     pairs = scratch_table(_cross_pairs(index), "pairs")
     drop_tables(index)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = _ends(pairs)
     links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", names, nodes)))
 
     free_driver(docs.sparkSession)
