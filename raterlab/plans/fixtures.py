@@ -140,7 +140,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 emotion outside the domain; 5 context as Python-literal text; 6 extra absent phrase;
     7 nested-list item; 8 class null; 9 context key missing; else clean.
     """
-    ann = annotations(spark, sf_dir).drop("text")
+    # the given documents are one file: its (text-free) annotation rows are dealt to all tasks before they
+    # become 27 predictions each, as result files would be
+    ann = annotations(spark, sf_dir).drop("text").repartition("id")
     x = ann.join(F.broadcast(runs(spark)), "rater")
     i = F.col("id")
     shift = (i + F.col("seed") + F.col("approach_no")) % 4 == 0
