@@ -20,11 +20,6 @@ def lenient_int_variant(v: Column, path: str, default: int = C.UNUSABLE_LEVEL) -
     return F.coalesce(F.try_variant_get(v, path, "int"), F.lit(default))
 
 
-def lenient_int_text(x: Column, default: int = C.UNUSABLE_LEVEL) -> Column:
-    """V3 on plain text: ``' 3 '`` → 3, ``'3.7'`` → default."""
-    return F.coalesce(x.cast("string").try_cast("int"), F.lit(default))
-
-
 def parse_or_failed(raw: Column) -> Column:
     """parse model text as JSON, or substitute the failure record."""
     return F.coalesce(F.try_parse_json(raw), F.parse_json(F.lit(C.FAILED_OUTPUT_JSON)))

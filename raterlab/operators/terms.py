@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # a word starts with a letter/digit/underscore and has at least two characters; an
@@ -19,6 +19,12 @@ def tokens(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     return x.filter(~F.col("term").rlike(r"^[0-9]+$"))
 
 
+def given_stopwords(spark: SparkSession, *lists: Iterable[str]) -> DataFrame:
+    """The union of given stopword lists (U-c), lower-cased, each word once."""
+    words = sorted({w.strip().lower() for words in lists for w in words if w and w.strip()})
+    return spark.createDataFrame([(w,) for w in words], "term string")
+
+
 def corpus_stopwords(docs: DataFrame, text_col: str = "text", group_col: str = "lang", top: int = 50) -> DataFrame:
     """The ``top`` most frequent terms per group (ties by term), unioned over groups (U-c)."""
     c = tokens(docs, text_col, [group_col]).groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n"))
@@ -31,11 +37,11 @@ def term_frequencies(df: DataFrame, text_col: str, stopwords: DataFrame, group_c
     """Counts of non-stopword terms per group, the ``top`` most frequent kept
     (ties by term) — the report is a top-k by design — and relative frequency n / max n.
 
-    The stopword list is a broadcast anti-join side (its size is bounded by
-    ``groups × top`` of :func:`corpus_stopwords` or by the list given).
+    ``stopwords`` (column ``term``) are a given list (:func:`given_stopwords`) or the commonest terms
+    (:func:`corpus_stopwords`). Terms are counted first, so the list meets one row per term, not every token.
     """
-    t = tokens(df, text_col, list(group_cols)).join(F.broadcast(stopwords.select("term")), "term", "left_anti")
-    c = t.groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
+    c = tokens(df, text_col, list(group_cols)).groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
+    c = c.join(stopwords.select("term"), "term", "left_anti").select(*group_cols, "term", "n")
     if group_cols:
         # row_number ≤ top is planned as a WindowGroupLimit, applied before the shuffle too
         w = Window.partitionBy(*group_cols).orderBy(F.desc("n"), F.asc("term"))

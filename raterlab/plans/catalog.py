@@ -806,6 +806,23 @@ def term_frequencies(spark, d):
     return rounded(r.select("term", "n", F.col("rank").cast("bigint").alias("rank"), "rel_freq"))
 
 
+#: Two short lists that share a word, as a user would give them.
+STOPWORD_LISTS = (["de", "la", "en", "el", "los"], ["le", "La", "les", "de", " et "])
+_TF_GIVEN = ("SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), " f"{O._q(_WORD)})) AS term FROM pubs) t "
+             "WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ("
+             + ", ".join(f"'{w.strip().lower()}'" for words in STOPWORD_LISTS for w in words) + ") GROUP BY term")
+
+
+@register("term_frequencies_given", O.sql("""
+SELECT term, n, rank, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS rel_freq
+FROM (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM tf) r WHERE rank <= 200""",
+    "pubs", extra=[("tf", _TF_GIVEN)]))
+def term_frequencies_given(spark, d):
+    """A28 with the union of given stopword lists (U-c), over all texts."""
+    r = TM.term_frequencies(X.publications(spark, d), "text", TM.given_stopwords(spark, *STOPWORD_LISTS))
+    return rounded(r.select("term", "n", F.col("rank").cast("bigint").alias("rank"), "rel_freq"))
+
+
 _TF_TRIGGERS = ("SELECT persona, term, count(*) AS n FROM (SELECT persona, unnest(regexp_extract_all("
                 f"lower(array_to_string(context, ' ')), {O._q(_WORD)})) AS term FROM annp "
                 "WHERE emotion_class = 'negative' AND trigger_level = 5) t "
