@@ -41,9 +41,6 @@ ANNOTATION_RECORD = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("id", T.StringType()),
 ])
-# {annotator: [record, ...]} as one JSON document
-ANNOTATIONS_BY_RATER = T.MapType(T.StringType(), T.ArrayType(ANNOTATION_RECORD))
-
 _CLASSIFICATION = T.StructType([
     T.StructField("value", T.StringType()),
     T.StructField("checklist_answers", T.ArrayType(T.StructType([T.StructField("value", T.StringType())]))),

@@ -1,10 +1,10 @@
 """Readers for the file formats of the annotation / scoring workflow.
 
-All readers declare their schema; nothing is inferred. Formats that are one JSON
-document per file (``{annotator: [records]}``, the split-id map, persona and
-template dictionaries) are read with ``wholetext`` and parsed with ``from_json``;
-they are configuration-sized. Row data is read as CSV / JSON lines / parquet,
-which split across tasks.
+All readers declare their schema; nothing is inferred. Persona and template
+dictionaries (configuration-sized) are read with ``wholetext`` and parsed with
+``from_json``. ``{annotator: [records]}`` and the split-id map grow with the corpus:
+``documents`` reads them by many tasks. Row data is read as CSV / JSON lines /
+parquet, which split across tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from raterlab import schemas as S
 from raterlab.functions import text as TX
 from raterlab.session import read_if_exists
+from raterlab.sources import documents
 
 
 def bucketed_table(spark: SparkSession, name: str, path: str, schema: str, buckets: int, by: str = "id") -> DataFrame:
@@ -102,19 +103,19 @@ def _whole_json(spark: SparkSession, path: str, ddl: str | T.DataType) -> DataFr
 
 def annotations_by_rater(spark: SparkSession, path: str) -> DataFrame:
     """``{annotator: [record, ...]}`` → one long row per record with ``created_by``.
-    ``context_locations`` pairs become ``struct<start,end>``."""
-    doc = _whole_json(spark, path, S.ANNOTATIONS_BY_RATER)
-    x = doc.select(F.explode("doc").alias("annotator", "records")).select("annotator", F.explode("records").alias("r"))
+    ``context_locations`` pairs become ``struct<start,end>``. One big document is read by many tasks."""
+    x = documents.elements(spark, path, objects=True)
+    x = x.select(F.col("key").alias("annotator"), F.from_json("element", S.ANNOTATION_RECORD, {"mode": "FAILFAST"}).alias("r"))
     x = x.select("annotator", "r.*")
     return x.withColumn("context_locations", F.transform(
         "context_locations", lambda p: F.struct(p[0].alias("start"), p[1].alias("end"))))
 
 
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``{"ft_training": [ids], ...}`` → ``(id, split_name)``."""
-    doc = _whole_json(spark, path, "map<string,array<string>>")
-    return (doc.select(F.explode("doc").alias("split_name", "ids"))
-            .select(F.explode("ids").alias("id"), "split_name"))
+    """``{"ft_training": [ids], ...}`` → ``(id, split_name)``; one big document is read by many tasks."""
+    x = documents.elements(spark, path, objects=False)
+    one = F.from_json(F.concat(F.lit("["), F.col("element"), F.lit("]")), "array<string>", {"mode": "FAILFAST"})
+    return x.select(one[0].alias("id"), F.col("key").alias("split_name"))
 
 
 def personas_dict(spark: SparkSession, path: str) -> DataFrame:
