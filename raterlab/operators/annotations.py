@@ -46,20 +46,22 @@ def split_quarantine(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.filter(F.col("emotion").isNotNull()), flat.filter(F.col("emotion").isNull())
 
 
-def first_per_key(df: DataFrame, key: str, order_col: str, value_col: str) -> DataFrame:
+def first_per_key(df: DataFrame, key: str | list[str], order_col: str, value_col: str) -> DataFrame:
     """First non-null ``value_col`` per ``key`` in ``order_col`` order.
 
     ``min_by`` is an ordinary aggregate with map-side partial aggregation, so a hot
     key is pre-reduced in every task instead of being sorted in one.
     """
-    return (df.filter(F.col(value_col).isNotNull()).groupBy(key)
+    keys = [key] if isinstance(key, str) else key
+    return (df.filter(F.col(value_col).isNotNull()).groupBy(*keys)
             .agg(F.min_by(value_col, order_col).alias(value_col)))
 
 
-def override_descriptions(annotated: DataFrame, descriptions: DataFrame | None, key: str = "id",
+def override_descriptions(annotated: DataFrame, descriptions: DataFrame | None, key: str | list[str] = "id",
                           order_col: str = "pos") -> DataFrame:
     """A description from ``descriptions`` wins, else the annotation's own.
-    ``None`` leaves the input unchanged (S9: optional file absent)."""
+    ``None`` leaves the input unchanged (S9: optional file absent). With ``key`` = (rater, id) the
+    descriptions of all raters are one table and every annotation is joined once."""
     if descriptions is None:
         return annotated
     best = first_per_key(descriptions, key, order_col, "description").withColumnRenamed("description", "_desc_y")

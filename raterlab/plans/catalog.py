@@ -8,6 +8,7 @@ sides so the engines' different summation orders do not show in the hash.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1136,3 +1137,134 @@ def python_literal_parse(spark, d):
             .otherwise(F.concat(F.lit("[no literal "), i)))
     parsed = TX.parse_python_literal(F.col("lit"))
     return X.read(spark, d, "documents").select("doc_id", text.alias("lit")).select("doc_id", F.to_json(parsed, {"ignoreNullFields": "false"}).alias("parsed"))
+
+
+# ---------------------------------------------------------------------------
+# the file chain: what one step writes is what the next one reads
+# ---------------------------------------------------------------------------
+@register("annotations_documents", O.sql("""
+SELECT created_by AS annotator, CAST(id AS VARCHAR) AS id, emotion, emotion_class, CAST(trigger_level AS VARCHAR) AS trigger_level,
+  CAST(to_json(context) AS VARCHAR) AS context, CAST(to_json(context_locations) AS VARCHAR) AS context_locations, description, text
+FROM ann""", "ann"))
+def annotations_documents(spark, d):
+    """K7 → S4: annotations written as ``{annotator: [record, ...]}`` documents and read back by blocks."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "annotations-documents")
+    SNK2.annotations_documents(X.annotations(spark, d), path, rows_per_document=20_000)
+    return SRC2.annotations_by_rater(spark, path).select(
+        "annotator", "id", "emotion", "emotion_class", "trigger_level", F.to_json("context").alias("context"),
+        F.to_json("context_locations").alias("context_locations"), "description", "text")
+
+
+@register("split_ids_documents", O.sql("SELECT CAST(id AS VARCHAR) AS id, split_name FROM split", "split"))
+def split_ids_documents(spark, d):
+    """K2 → S5: the split written as ``{split_name: [ids]}`` documents and read back by blocks."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "split-ids")
+    SNK2.split_ids_documents(SP.date_split(X.publications(spark, d)), path)
+    return SRC2.split_ids(spark, path)
+
+
+@register("publications_with_split", O.sql(
+    "SELECT CAST(p.id AS VARCHAR) AS id, p.text, p.date, s.split_name FROM pubs p LEFT JOIN (SELECT * FROM split WHERE split_name <> 'evaluation') s "
+    "ON p.id = s.id", "pubs", "split"))
+def publications_with_split(spark, d):
+    """K2 → S1: publications as CSV with the name of their head split, read back with that column."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "publications-split")
+    pubs = X.publications(spark, d).select("id", "text", "date")
+    SNK2.publications_with_split(pubs, SP.date_split(pubs).filter(F.col("split_name") != "evaluation"), path)
+    return SRC2.publications_csv(spark, path, kept=("split_name",)).select("id", "text", "date", "split_name")
+
+
+@register("few_shot_file_prompts", ORACLE["few_shot_prompts"])
+def few_shot_file_prompts(spark, d):
+    """S6, S7, S8 → L2: persona dictionary, chat template and few-shot files are written, read back and rendered."""
+    from raterlab.sources import files as SRC2
+    path = _scratch(spark, "few-shot-files")
+    config = [("personas", dict(X.PERSONA_NARRATIVE)), ("template", [{"role": r, "content": c} for r, c in K.EVALUATE_TEMPLATE])]
+    for name, value in config:
+        spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    ex = X.few_shot_examples(spark, d)
+    messages = F.array(PR.message("user", F.col("input")), PR.message("assistant", F.col("output")))
+    # a persona's file holds its training split, in order
+    ex = ex.repartition("persona").sortWithinPartitions("persona", "pos")
+    ex.select("persona", PR.chat_jsonl(messages).alias("value")).write.partitionBy("persona").text(f"{path}/fs")
+    table = PR.few_shot_table(SRC2.personas_dict(spark, f"{path}/personas"), SRC2.few_shot_examples(spark, f"{path}/fs"))
+    g = PR.persona_grid(_eval_pubs(spark, d), table, persona_cols=("persona", "narrative", "shots"))
+    m = PR.few_shot_messages(F.col("narrative"), F.col("shots"), F.col("text"), SRC2.prompt_template(spark, f"{path}/template"))
+    return g.select("persona", "id", F.size(m).alias("n_messages"), F.md5(F.to_json(m)).alias("messages_md5"))
+
+
+@register("finetune_files", O.sql(f"""
+SELECT persona, split_name, answer,
+  md5(CAST(to_json([{{'role': 'system', 'content': replace({SYS_TPL}, '{K.CONTEXT_TOKEN}', narrative)}},
+                    {{'role': 'user', 'content': replace({USR_TPL}, '{K.FENCED_PUBLICATION_TOKEN}', text)}},
+                    {{'role': 'assistant', 'content': answer}}]) AS VARCHAR)) AS messages_md5
+FROM (SELECT p.persona, p.narrative, s.split_name, a.id, a.text, {_FT_ANSWER} AS answer
+      FROM (SELECT * REPLACE (coalesce(description, 'none given') AS description) FROM ann) a
+      JOIN personas p ON a.created_by = p.annotator JOIN split s ON s.id = a.id
+      WHERE s.split_name IN ('ft_training', 'ft_validation')) t""", "ann", "personas", "split"))
+def finetune_files(spark, d):
+    """P6 → K3 → S8: with every description there, the gate lets the examples pass; written and read back."""
+    from raterlab.sources import files as SRC2
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "finetune-files")
+    ann = X.annotations(spark, d).withColumn("description", F.coalesce("description", F.lit("none given")))
+    SNK2.finetune_jsonl(PR.finetune_examples(ann, X.personas(spark), SP.date_split(X.publications(spark, d))), path)
+    return SRC2.chat_examples(spark, path).select(
+        "persona", "split_name", F.col("messages")[2]["content"].alias("answer"), F.md5(F.to_json("messages")).alias("messages_md5"))
+
+
+@register("description_files", O.sql("""
+SELECT a.created_by, a.id, COALESCE(CASE WHEN a.rater = 'a' THEN dsc.description ELSE 'b: ' || dsc.description END, a.description) AS description
+FROM ann a LEFT JOIN (SELECT conv_id AS id, arg_min(text, turn) AS description FROM conversations
+                      WHERE role <> 'system' AND text IS NOT NULL GROUP BY conv_id) dsc ON a.id = dsc.id""", "ann"))
+def description_files(spark, d):
+    """S9 → J3, D1: a description file per rater; the first one of a publication wins, all raters in one join."""
+    from raterlab.sources import files as SRC2
+    path = _scratch(spark, "description-files")
+    given = X.descriptions(spark, d).repartition("id").sortWithinPartitions("id", "pos")
+    for rater, lead in (("a", ""), ("b", "b: ")):
+        (given.select("id", F.concat(F.lit(lead), "description").alias("description"))
+         .write.option("header", True).option("escape", '"').csv(f"{path}/{rater}"))
+    parts = [SRC2.descriptions_csv(spark, f"{path}/{r}").withColumn("created_by", X.rater_id(r)) for r in ("a", "b")]
+    given = parts[0].unionByName(parts[1]).withColumn("id", F.col("id").cast("bigint"))
+    ann = X.annotations(spark, d).select("created_by", "id", "description")
+    return AN.override_descriptions(ann, given, ["created_by", "id"]).select("created_by", "id", "description")
+
+
+@register("split_duplicates", O.sql(
+    "SELECT created_by, id, count(*) AS n FROM (SELECT created_by, id FROM ann UNION ALL SELECT created_by, id FROM ann WHERE emotion = 'fear') x "
+    "GROUP BY ALL HAVING count(*) > 1", "ann"))
+def split_duplicates(spark, d):
+    """(rater, publication) labelled more than once, in annotations to which one label's rows were added again."""
+    ann = X.annotations(spark, d).select("created_by", "id", "emotion")
+    return SP.duplicate_annotations(ann.unionByName(ann.filter(F.col("emotion") == "fear")))
+
+
+@register("report_file", O.sql(
+    f"SELECT approach AS approach_name, {_MEAN_PM}, 'average' AS persona_name FROM report_full GROUP BY approach", "report_full"))
+def report_file(spark, d):
+    """A8 → K6: the summary report as a file with the report's header, read back."""
+    from raterlab.sources import sinks as SNK2
+    path = _scratch(spark, "report-file")
+    SNK2.report_csv(E.report_mean_3std(E.evaluation_report(cells(spark, d))), path)
+    names = ["failed", "persona_name", "approach_name", *[c for c in E.REPORT_COLUMNS if c != "failed"]]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+@register("export_lines", ORACLE["flatten_annotations"])
+def export_lines(spark, d):
+    """S10 → F2, P7: the raw export as JSON lines, read back and flattened."""
+    from raterlab.sources import files as SRC2
+    path = _scratch(spark, "export-lines")
+    X.export(spark, d).write.json(path)
+    kept, _ = AN.split_quarantine(AN.flatten_export(SRC2.export_json(spark, path), X.PROJECT))
+    return kept.select("created_by", "id", "emotion", "emotion_class", "trigger_level",
+                       CO.strict_int(F.col("trigger_level")).alias("trigger_level_int"), "description", "created_at",
+                       F.to_json("context").alias("context"), F.to_json("context_locations").alias("context_locations"))

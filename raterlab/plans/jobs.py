@@ -7,6 +7,7 @@ the small report it computed.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from raterlab.operators import prompts as PR
 from raterlab.operators import scoring as SC
 from raterlab.operators import splits as SP
 from raterlab.operators import validate as V
-from raterlab.session import read_if_exists
+from raterlab.session import ensure_checkpoint_dir, read_if_exists
 from raterlab.sources import files as SRC
 from raterlab.sources import sinks as SNK
 
@@ -32,10 +33,9 @@ def prepare_splits(spark: SparkSession, publications: DataFrame, annotations: Da
     splits = SNK.split_table(SP.date_split(publications), f"{out_dir}/splits", refresh=refresh)
     ann = annotations
     if descriptions:
-        parts = [AN.override_descriptions(ann.filter(F.col("created_by") == who), d) for who, d in descriptions.items()]
-        ann = ann.filter(~F.col("created_by").isin(*descriptions))
-        for p in parts:
-            ann = ann.unionByName(p)
+        parts = [d.select(F.lit(who).alias("created_by"), "id", "description", "pos") for who, d in descriptions.items() if d is not None]
+        given = functools.reduce(DataFrame.unionByName, parts) if parts else None
+        ann = AN.override_descriptions(ann, given, ["created_by", "id"])
     SP.assert_complete(SP.missing_annotations(splits, ann, ann), SP.duplicate_annotations(ann))
     out = ann.join(splits, "id")
     SNK.annotation_splits(out, f"{out_dir}/annotations")
@@ -90,11 +90,14 @@ def evaluate(spark: SparkSession, truth: DataFrame, predictions: DataFrame, publ
     """
     valid = V.expand_baseline(V.validate_predictions(predictions, publications))
     if strict_alignment:
-        from raterlab.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
         valid = valid.checkpoint(eager=True)
         E.check_alignment(E.alignment_gaps(truth, valid))
     report = E.evaluation_report(E.run_cells(E.align(truth, valid)), penalty)
+    if report_dir:
+        # a few rows, needed three times
+        ensure_checkpoint_dir(spark)
+        report = report.checkpoint(eager=True)
     summary = E.report_mean_3std(report)
     if report_dir:
         SNK.report_csv(report, f"{report_dir}/report_runs")

@@ -139,6 +139,17 @@ def chat_examples(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("_file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
 
 
+def few_shot_examples(spark: SparkSession, path: str) -> DataFrame:
+    """S8 for few-shot files ``{persona}_fs_training.jsonl`` (or folders ``persona=``): (persona, pos, input, output) of
+    each line's first two messages. A line with fewer messages raises."""
+    df = chat_examples(spark, path)
+    if "persona" not in df.columns:
+        df = df.withColumn("persona", F.regexp_extract("_file", r"([^/]+)_fs_training\.jsonl$", 1))
+    two = F.when(F.size("messages") >= 2, F.col("messages")).otherwise(
+        F.raise_error(F.concat(F.lit("an example without two messages: "), F.col("_file"))))
+    return df.select("persona", "pos", two[0]["content"].alias("input"), two[1]["content"].alias("output"))
+
+
 def descriptions_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """Optional per-annotator description file; ``None`` when absent. ``pos``
     (line order within a file split) drives the keep-first de-duplication (D1)."""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from raterlab.functions import text as TX
 from raterlab.operators.prompts import chat_jsonl
+from raterlab.operators.splits import attach_split
+from raterlab.schemas import ANNOTATION_RECORD
+from raterlab.sources import documents
 
 
 def annotation_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -29,6 +32,17 @@ def split_table(splits: DataFrame, path: str, refresh: bool = False) -> DataFram
     return splits.sparkSession.read.parquet(path)
 
 
+def split_ids_documents(splits: DataFrame, path: str, **kw) -> None:
+    """K2: ``{split_name: [ids]}`` documents, which ``files.split_ids`` reads."""
+    one = F.to_json(F.array(F.col("id").cast("string")))   # a list of one, without its brackets
+    documents.write(splits, "split_name", F.regexp_replace(one, r"^\[|\]$", ""), path, **kw)
+
+
+def publications_with_split(publications: DataFrame, splits: DataFrame, path: str) -> None:
+    """K2: the publications as CSV with their ``split_name`` (empty without a split)."""
+    (attach_split(publications, splits).write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+
+
 def finetune_jsonl(examples: DataFrame, path: str) -> None:
     """K3: ``{"messages": [...]}`` lines per (persona, split)."""
     (examples.select("persona", "split_name", chat_jsonl(F.col("messages")).alias("value"))
@@ -51,11 +65,26 @@ def bucketed_table(df: DataFrame, name: str, path: str, buckets: int, by: str =
     return df.sparkSession.table(name)
 
 
+# header of the report file; fixed values
+REPORT_HEADER = {"persona": "persona_name", "approach": "approach_name"}
+
+
 def report_csv(report: DataFrame, path: str) -> None:
-    """K6: a metric report (tens of rows) as one CSV file with a header."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """K6: a metric report (tens of rows) as one CSV file: the failed rate, persona and approach, then the metrics in their order."""
+    lead = [c for c in ("failed", "persona", "approach") if c in report.columns]
+    out = report.select(*[F.col(c).alias(REPORT_HEADER.get(c, c)) for c in lead],
+                        *[F.col(f"`{c}`") for c in report.columns if c not in lead])
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def annotations_by_rater(df: DataFrame, path: str) -> None:
     """K7: flat annotations, one folder per annotator (JSON lines)."""
     df.write.mode("overwrite").partitionBy("created_by").json(path)
+
+
+def annotations_documents(df: DataFrame, path: str, **kw) -> None:
+    """K7: ``{annotator: [record, ...]}`` documents, which ``files.annotations_by_rater`` reads; locations are written as pairs."""
+    pairs = F.transform("context_locations", lambda s: F.array(s["start"], s["end"])).alias("context_locations")
+    record = F.struct(*[pairs if f == "context_locations" else F.col(f).cast("string").alias(f) if f in ("id", "trigger_level")
+                        else F.col(f) for f in ANNOTATION_RECORD.names])
+    documents.write(df, "created_by", F.to_json(record, {"ignoreNullFields": "false"}), path, **kw)
