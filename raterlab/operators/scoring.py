@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterlab import constants as C
@@ -95,10 +95,20 @@ def run_scorer(work: DataFrame, scorer: Callable[[pd.Series, pd.DataFrame], pd.S
     return w.mapInPandas(score, result_schema(id_type))
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """K4/K5: append to the partitioned result table (persona=/approach=/seed=)."""
-    (results.withColumn("ingest_ts", F.current_timestamp())
-     .write.mode("append").partitionBy("persona", "approach", "seed").parquet(path))
+def id_bucket(buckets: int) -> Column:
+    """The folder of an id in a table that is clustered by it."""
+    return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(buckets)).cast("int")
+
+
+def append_results(results: DataFrame, path: str, buckets: int | None = None) -> None:
+    """K4/K5: append to the partitioned result table (persona=/approach=/seed=). With ``buckets``, ``id_bucket=``
+    folders follow, so that who asks for some ids reads only theirs."""
+    out, folders = results.withColumn("ingest_ts", F.current_timestamp()), ["persona", "approach", "seed"]
+    if buckets:
+        # a folder's rows come from few tasks: few files
+        out = out.withColumn("id_bucket", id_bucket(buckets)).repartition("id_bucket")
+        folders.append("id_bucket")
+    out.write.mode("append").partitionBy(*folders).parquet(path)
 
 
 # ---- deterministic scorer used by tests and registered queries -----------------

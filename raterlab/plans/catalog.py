@@ -925,10 +925,9 @@ def incremental_score(spark, d):
     pubs = _eval_pubs(spark, d).select("id", "text", "date")
     # the earlier run's log seeds the result table
     log = SC.latest(X.work_log(spark, d))
-    (log.select("persona", "approach", "seed", "id", F.lit(K.MODEL_NAME).alias("model_name"),
-                F.lit(K.TEMPERATURE).alias("temperature"), F.lit(K.MAX_TOKENS).alias("max_tokens"), "output")
-     .withColumn("ingest_ts", F.current_timestamp())
-     .write.mode("append").partitionBy("persona", "approach", "seed").parquet(res))
+    SC.append_results(log.select("persona", "approach", "seed", "id", F.lit(K.MODEL_NAME).alias("model_name"),
+                                 F.lit(K.TEMPERATURE).alias("temperature"), F.lit(K.MAX_TOKENS).alias("max_tokens"), "output"),
+                      res, INC.BUCKETS)
     month = F.substring("date", 6, 2).cast("int")
     # three file drops by publication month; the middle one is dropped twice (replay)
     drops = [(month <= 4), (month > 4) & (month <= 8), (month > 4) & (month <= 8), (month > 8)]
@@ -1005,8 +1004,8 @@ def mann_whitney_pvalue(spark, d):
     f"SELECT {RUN}, id, emotion, emotion_class, trigger_level, failed FROM validf", "validf"))
 def stream_validation(spark, d):
     """T1 for validation: prediction files land in two drops (baseline runs, then the
-    rest) and are validated by a Structured Streaming job (stream-static text join,
-    file sink); the result must equal batch validation."""
+    rest) and are validated by a Structured Streaming job that opens the texts' folders of each
+    micro-batch's ids; the result must equal batch validation."""
     import uuid
 
     from raterlab.session import checkpoint_path
@@ -1015,10 +1014,10 @@ def stream_validation(spark, d):
     base = checkpoint_path(spark, f"stream-validation-{uuid.uuid4().hex}")
     src, out, ck = f"{base}/predictions", f"{base}/validated", f"{base}/ckpt"
     preds = X.predictions(spark, d)
-    pubs = X.publications(spark, d)
+    pubs = INC.publications_by_bucket(X.publications(spark, d).withColumn("id", F.col("id").cast("string")), f"{base}/texts")
     for cond in (F.col("approach") == K.BASELINE_APPROACH, F.col("approach") != K.BASELINE_APPROACH):
         SNK2.results_json(preds.filter(cond).withColumn("id", F.col("id").cast("string")), src)
-        INC.run_until_idle(INC.start_validation(spark, src, pubs.withColumn("id", F.col("id").cast("string")), out, ck))
+        INC.run_until_idle(INC.start_validation(spark, src, pubs, out, ck))
     v = spark.read.parquet(out)
     return v.select("approach", "persona", F.col("seed").cast("int").alias("seed"), F.col("id").cast("bigint").alias("id"),
                     "emotion", "emotion_class", "trigger_level", "failed")

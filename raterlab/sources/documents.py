@@ -88,8 +88,7 @@ def elements(spark: SparkSession, path: str, objects: bool) -> DataFrame:
     e = e.withColumn("body", F.when(F.trim(F.col("body")) == "}", "").otherwise(F.col("body")) if objects
                      else F.regexp_replace("body", r"[\s\]}]+$", ""))
     # an element without a key of its own belongs to the last one before it
-    k = e.filter(F.col("key").isNotNull()).groupBy(*IN_BLOCK).agg(F.max_by("key", "element").alias("last"))
-    k = e.select(*IN_BLOCK).distinct().join(k, IN_BLOCK, "left")
+    k = e.groupBy(*IN_BLOCK).agg(F.max_by("key", F.when(F.col("key").isNotNull(), F.col("element"))).alias("last"))
     k = k.select(*IN_BLOCK, F.last("last", True).over(
         Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     own = F.last("key", True).over(Window.partitionBy(*IN_BLOCK).orderBy("element"))

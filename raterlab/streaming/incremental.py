@@ -1,9 +1,9 @@
-"""Incremental scoring of newly arriving publications.
+"""Incremental scoring and validation of newly arriving rows.
 
-Structured Streaming file source → ``foreachBatch``: build the work grid for the
-new rows, drop what the result table already holds (left-anti on the full key),
-score the rest and append. The result table is the state, so a replayed or
-duplicated batch adds nothing; the stream checkpoint replaces the append log.
+Scoring: Structured Streaming file source → ids not seen before (keyed state) → ``foreachBatch``: build the work grid for
+the new rows, drop what the result table already holds (left-anti on the full key), score the rest and append.
+The result table and the publications are laid out in folders by a hash of the id, and a micro-batch
+opens only the folders of its own ids. A batch that is run again after a failure adds nothing.
 """
 
 from __future__ import annotations
@@ -17,28 +17,51 @@ from pyspark.sql.streaming import StreamingQuery
 from raterlab import constants as C
 from raterlab.operators import prompts as P
 from raterlab.operators import scoring as SC
+from raterlab.operators import validate as V
 from raterlab.session import read_if_exists
+from raterlab.sources import files as SRC
 
+BUCKETS = 64
 
-def _read_results(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_if_exists(lambda: spark.read.parquet(path))
+
+def publications_by_bucket(publications: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Write publications in ``id_bucket=`` folders and open them."""
+    (publications.withColumn("id_bucket", SC.id_bucket(buckets)).repartition("id_bucket")
+     .write.mode("overwrite").partitionBy("id_bucket").parquet(path))
+    return publications.sparkSession.read.parquet(path)
+
+
+def of_buckets(table: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
+    """The folders of ``table`` in which the ids of a micro-batch lie. At most ``buckets`` numbers reach the driver."""
+    held = [r[0] for r in ids.select(SC.id_bucket(buckets)).distinct().collect()]
+    return table.filter(F.col("id_bucket").isin(*held)) if held else table.limit(0)
+
+
+def done_keys(spark: SparkSession, result_path: str, ids: DataFrame, approach: str, seeds: Sequence[int], buckets: int) -> DataFrame | None:
+    """Keys of ``ids`` that the result table holds for ``approach`` and ``seeds``; None before the first result."""
+    done = read_if_exists(lambda: spark.read.parquet(result_path))
+    if done is None:
+        return None
+    done = done.filter((F.col("approach") == approach) & F.col("seed").isin(*seeds))
+    return of_buckets(done, ids, buckets).select(*SC.KEY).join(ids, "id", "left_semi")
 
 
 def start(spark: SparkSession, source_dir: str, source_schema: str, personas: DataFrame, result_path: str,
           checkpoint_dir: str, scorer, approach: str = "context_zero_shot",
-          seeds: Sequence[int] = C.SEEDS, available_now: bool = True) -> StreamingQuery:
-    """Start the incremental job over parquet drops in ``source_dir``."""
-    stream = spark.readStream.schema(source_schema).parquet(source_dir)
+          seeds: Sequence[int] = C.SEEDS, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Start the incremental job over parquet drops in ``source_dir``. Results that were there before the stream must lie in the
+    same ``buckets`` folders (``scoring.append_results(..., buckets)``). The state holds the ids seen, one entry each."""
+    stream = spark.readStream.schema(source_schema).parquet(source_dir).dropDuplicates(["id"])
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        # keys alone meet the results: of these only this approach's folders and the key columns are read
-        pubs = batch.dropDuplicates(["id"])
-        done = _read_results(spark, result_path)
-        if done is not None:
-            done = done.filter(F.col("approach") == approach).filter(F.col("seed").isin(*seeds)).select(*SC.KEY)
-            done = done.join(pubs.select("id"), "id", "left_semi")
-        todo = SC.pending_with_texts(pubs, personas, approach, seeds, done).select(*SC.KEY, P.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
-        SC.append_results(SC.run_scorer(todo, scorer), result_path)
+        pubs = batch.persist()
+        try:
+            done = done_keys(spark, result_path, pubs.select("id"), approach, seeds, buckets)
+            todo = SC.pending_with_texts(pubs, personas, approach, seeds, done)
+            todo = todo.select(*SC.KEY, P.zero_shot_messages(F.col("narrative"), F.col("text")).alias("messages"))
+            SC.append_results(SC.run_scorer(todo, scorer), result_path, buckets)
+        finally:
+            pubs.unpersist()
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -51,22 +74,21 @@ def run_until_idle(q: StreamingQuery, timeout_s: float | None = None) -> None:
 
 
 def start_validation(spark: SparkSession, predictions_dir: str, publications: DataFrame, out_dir: str,
-                     checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+                     checkpoint_dir: str, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Validate prediction envelopes as their files land (JSON lines under
-    ``persona=/approach=/seed=``): stream-static join with the publication text (J2),
-    V1–V7 as stateless projections, appended to a partitioned parquet table. The
-    file sink plus the checkpoint give exactly-once output."""
+    ``persona=/approach=/seed=``): each micro-batch joins the folders of ``publications`` (``publications_by_bucket``) in which its
+    ids lie (J2), V1–V7, and writes its own folder ``batch=`` of ``out_dir``, which a repeated batch replaces."""
     from pyspark.sql import types as T
-
-    from raterlab import schemas as S
-    from raterlab.operators import validate as V
     # persona / approach / seed come from the folder names
-    schema = T.StructType([f for f in S.PREDICTION_ENVELOPE.fields if f.name != "seed"]
-                          + [T.StructField("persona", T.StringType()), T.StructField("approach", T.StringType()),
-                             T.StructField("seed", T.IntegerType())])
-    stream = spark.readStream.schema(schema).option("basePath", predictions_dir).json(predictions_dir)
-    valid = V.validate_predictions(stream, publications)
-    w = (valid.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
-         .partitionBy("persona", "approach", "seed").outputMode("append"))
+    schema = T.StructType([*SRC.prediction_schema().fields, T.StructField("persona", T.StringType()),
+                           T.StructField("approach", T.StringType()), T.StructField("seed", T.IntegerType())])
+    stream = spark.readStream.schema(schema).option("mode", "FAILFAST").option("basePath", predictions_dir).json(predictions_dir)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        texts = of_buckets(publications, batch.select("id"), buckets).drop("id_bucket")
+        (V.validate_predictions(batch, texts).write.mode("overwrite").partitionBy("persona", "approach", "seed")
+         .parquet(f"{out_dir}/batch={epoch_id}"))
+
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

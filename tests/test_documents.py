@@ -1,5 +1,6 @@
 """JSON documents {key: [element, ...]} read in blocks of a few bytes: whatever is cut, the elements are the same."""
 import json
+import os
 import random
 
 import pytest
@@ -23,7 +24,7 @@ def small_blocks(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("indent,size", [(None, 97), (1, 61)])
+@pytest.mark.parametrize("indent,size", [(None, 131), (1, 103)])
 def test_documents_in_small_blocks(spark, tmp_out, small_blocks, indent, size):
     r = random.Random(size)
 
@@ -31,8 +32,8 @@ def test_documents_in_small_blocks(spark, tmp_out, small_blocks, indent, size):
         return "".join(r.choice(NASTY + ["word"]) for _ in range(r.randint(0, 6)))
     keys = ["r1", 'r"2', "r}3", "r,4: [", "empty"]
     doc = {k: [{"id": str(i), "text": text(), "context": [text() for _ in range(r.randint(0, 3))], "context_locations": [[i, i + 1]],
-                "emotion": None} for i in range(0 if k == "empty" else 12)] for k in keys}
-    ids = {k: [r.choice([text(), i]) for i in range(0 if k == "empty" else 25)] for k in keys}
+                "emotion": None} for i in range(0 if k == "empty" else 6)] for k in keys}
+    ids = {k: [r.choice([text(), i]) for i in range(0 if k == "empty" else 12)] for k in keys}
     for name, d in (("ann", doc), ("ids", ids)):
         with open(f"{tmp_out}/{name}.json", "w") as f:
             json.dump(d, f, ensure_ascii=False, indent=indent)
@@ -41,7 +42,7 @@ def test_documents_in_small_blocks(spark, tmp_out, small_blocks, indent, size):
                  for x in SRC.annotations_by_rater(spark, f"{tmp_out}/ann.json").collect())
     assert got == sorted((k, int(x["id"]), x["text"], x["context"], [tuple(s) for s in x["context_locations"]], None)
                          for k, v in doc.items() for x in v)
-    assert spark.read.text(f"{tmp_out}/ann.json", lineSep="}").rdd.getNumPartitions() > 20
+    assert spark.read.text(f"{tmp_out}/ann.json", lineSep="}").rdd.getNumPartitions() > 10
     got = sorted((x.split_name, x.id) for x in SRC.split_ids(spark, f"{tmp_out}/ids.json").collect())
     assert got == sorted((k, str(x)) for k, v in ids.items() for x in v)
 
@@ -59,11 +60,12 @@ def test_cut_or_misshapen_documents_raise(spark, tmp_out):
             f.write(text)
         with pytest.raises(Exception):
             print(text, SRC.split_ids(spark, f"{tmp_out}/ids{i}.json").collect())
+    os.makedirs(f"{tmp_out}/none")
     for i, text in enumerate(["{}", " { }\n", '{"a": []}', '{"a": [], "b": [ ]}\n', ""]):
-        with open(f"{tmp_out}/none{i}.json", "w") as f:
+        with open(f"{tmp_out}/none/{i}.json", "w") as f:
             f.write(text)
-        assert SRC.annotations_by_rater(spark, f"{tmp_out}/none{i}.json").count() == 0
-        assert SRC.split_ids(spark, f"{tmp_out}/none{i}.json").count() == 0
+    assert SRC.annotations_by_rater(spark, f"{tmp_out}/none").count() == 0
+    assert SRC.split_ids(spark, f"{tmp_out}/none").count() == 0
 
 
 def test_written_documents_are_documents(spark, tmp_out):

@@ -79,9 +79,10 @@ def test_stream_validation_equals_batch(spark, tmp_out):
     src, out, ck = (os.path.join(tmp_out, x) for x in ("preds", "valid", "ck"))
     # two drops: the no-context runs first, the rest later
     SNK.results_json(preds.filter(F.col("approach") == "no_context"), src)
-    INC.run_until_idle(INC.start_validation(spark, src, pubs, out, ck))
+    by_bucket = INC.publications_by_bucket(pubs, tmp_out + "/texts")
+    INC.run_until_idle(INC.start_validation(spark, src, by_bucket, out, ck))
     SNK.results_json(preds.filter(F.col("approach") != "no_context"), src)
-    INC.run_until_idle(INC.start_validation(spark, src, pubs, out, ck))
+    INC.run_until_idle(INC.start_validation(spark, src, by_bucket, out, ck))
     cols = ["persona", "approach", "seed", "id", "emotion", "emotion_class", "trigger_level", "failed"]
     streamed = spark.read.parquet(out).select(*cols)
     batch = V.validate_predictions(SRC.predictions(spark, src), pubs).select(*cols)
@@ -100,3 +101,22 @@ def test_only_the_failing_row_fails(spark):
         return ['{"emotion": "joy"}'] * len(batch)
     out = {r.id: r.output for r in SC.run_scorer(rows.coalesce(1), scorer).collect()}
     assert len(out) == 50 and [i for i, o in out.items() if o == C.FAILED_OUTPUT_JSON] == [17]
+
+
+def test_repeated_ids_and_earlier_results_are_not_scored(spark, tmp_out):
+    """Ids seen in the stream stay in its state; results from before it are found in the folders of the batch's ids alone."""
+    src, res, ck = tmp_out + "/drops", tmp_out + "/results", tmp_out + "/ck"
+    pubs = spark.range(40).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("2024").alias("date"))
+    per = personas(spark)
+    earlier = SC.work_grid(pubs.filter("id < 10"), per, "context_zero_shot").select(
+        *SC.KEY, F.lit("m").alias("model_name"), F.lit(0.5).alias("temperature"), F.lit(1).alias("max_tokens"), F.lit("{}").alias("output"))
+    SC.append_results(earlier, res, INC.BUCKETS)
+    for i, cond in enumerate(("id < 25", "id < 25", "id >= 20")):
+        pubs.filter(cond).write.parquet(f"{src}/drop={i}")
+        INC.run_until_idle(INC.start(spark, src, "id bigint, text string, date string", per, res, ck, scorer=SC.length_scorer))
+    out = spark.read.parquet(res)
+    assert out.count() == out.select(*SC.KEY).distinct().count() == 40 * per.count() * 3
+    assert out.filter("model_name = 'm' and id >= 10 or model_name <> 'm' and id < 10").count() == 0
+    one = INC.done_keys(spark, res, pubs.filter("id = 3").select("id"), "context_zero_shot", [42], INC.BUCKETS)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "id_bucket" in plan[plan.index("PartitionFilters"):]
