@@ -5,16 +5,17 @@ or more shares a shingle within the first p = n - ceil(0.8 n) + 1. Where some of
 common (their candidate cost, the number of sets that hold them, is above HOT), the prefix
 is lengthened by as many shingles: l - 1 more shingles, of which l must be shared, so that
 at least one shared shingle is a rare one, and only rare ones are looked up. Sets that run
-out of rare shingles fall back to common ones. Shared looked-up shingles are not counted before
-verification: a pair is verified if one of them has at least the place in both sets that the
-demanded number (``needed``) implies. No link is lost, but more pairs are verified than a count would leave. A
-count was built and measured: it joins each pair with its sets' looked-up shingles once more, which cost more CPU
-than the spared comparisons, and left the pairs of a large group of near copies as they were (README).
+out of rare shingles fall back to common ones.
 
 Equal sets become one class first. As only components are asked for, candidates come in
 two steps: every looked-up shingle links its sets to a few pivots (linear in the lists,
-however large a group of copies is), and then all pairs that still lie in different components
-are verified, so that no link that matters is lost and no group is expanded into all its pairs.
+however large a group of copies is; a shared shingle must have the place in both sets that the
+demanded number implies), and then the pairs that still lie in different components. Of these a pair
+is verified if it shares as many looked-up shingles as its sizes demand (``needed``), counted over all of them.
+Before they are counted, 512 parity bits of each set bound how much two sets differ (``_may_match``): near copies
+of one text that are not similar to each other share most looked-up shingles and differ too much all the same.
+Both conditions hold for every similar pair, so that no link that matters is lost, and no group is expanded into
+all its pairs.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a
 text of fewer than five words is one shingle, its whole word sequence; component_id is the
@@ -57,6 +58,17 @@ def shingles(text: str) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(30))).view(np.int64))
 
 
+#: Longs of a set's parity bits.
+PARITY_LONGS = 8
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Per cell of the hashes, whether an odd number of a set's shingles falls into it. Every shingle that two
+    sets do not share changes one cell of one of them, so they differ in at most as many bits as shingles."""
+    cells = np.bincount(tokens & (64 * PARITY_LONGS - 1), minlength=64 * PARITY_LONGS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -81,11 +93,22 @@ def needed(n1: Column, n2: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(4 * (n1 + n2) / 9) - beyond)
 
 
+def _similar_sizes(n1: Column, n2: Column) -> Column:
+    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1)
+
+
+def _may_match(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+    """Whether sets of these sizes and parity bits may be similar: they share at least ceil(4 (n1 + n2) / 9)
+    shingles then, and each shingle that is not shared changes at most one bit."""
+    differ = sum((F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range(PARITY_LONGS)), F.lit(0))
+    return _similar_sizes(n1, n2) & (differ <= n1 + n2 - 2 * F.ceil(4 * (n1 + n2) / 9))
+
+
 def _matches(n1: Column, place1: Column, n2: Column, place2: Column) -> Column:
     """Whether a shared shingle may make a pair. Similar sets share at least ``needed`` looked-up
     shingles; the rarest of these has as many more frequent ones before it in either set but one."""
     least = needed(n1, n2)
-    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (place1 >= least) & (place2 >= least)
+    return _similar_sizes(n1, n2) & (place1 >= least) & (place2 >= least)
 
 
 def _whole_sets(docs: DataFrame, text_col: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,18 +261,22 @@ def _unpaired(index: DataFrame) -> DataFrame:
     return largest.filter("outside > 0")
 
 
-def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs with a shared looked-up shingle at a sufficient place that lie in different components. Per shingle,
-    one side is always outside its largest component, so that component is never paired with itself."""
-    rows = scratch_table(index.join(_unpaired(index).select("token", "top"), "token"), "cross")
+def _cross_pairs(index: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs in different components that share as many looked-up shingles as their sizes demand and whose parity
+    bits allow it. Per shingle, one side is always outside its largest component, so that component is never paired
+    with itself; a pair of different components meets once at each shingle it shares, whichever side it is on."""
+    rows = index.join(_unpaired(index).select("token", "top"), "token").join(names.select("node", "bits"), "node")
+    rows = scratch_table(rows, "cross")
     one = rows.filter("component <> top").select("token", F.col("node").alias("x"), F.col("n").alias("n1"),
-                                                 F.col("place").alias("p1"), F.col("component").alias("cx"))
-    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("place").alias("p2"),
+                                                 F.col("bits").alias("b1"), F.col("component").alias("cx"))
+    two = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("b2"),
                       F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("main"))
     # a pair outside the largest component meets twice; it counts once
     pairs = one.join(two, "token").filter("cx <> cy and (main or x < y)")
-    pairs = pairs.filter(_matches(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.filter(_may_match(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2")))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), needed(F.col("n1"), F.col("n2")).alias("least"))
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
+    return shared.filter("shared >= least").select("a", "b")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -273,18 +300,19 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         def compute(texts):
             sets = [shingles(t) for t in texts]
             return [[len(s) for s in sets], [signature(s) for s in sets], [text_digest(t) for t in texts],
-                    [s[:stored_length(len(s))] if len(s) else None for s in sets]]
+                    [parity(s) for s in sets], [s[:stored_length(len(s))] if len(s) else None for s in sets]]
         return compute
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    read = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary, raw binary, prefix array<bigint>", sets_of), "read")
-    members = scratch_table(read.drop("raw", "prefix"), "members")
-    classes = read.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("raw").alias("raw"), F.first("prefix").alias("prefix"))
+    read = scratch_table(map_texts(ids, "text", ["doc_id"], "n bigint, sig binary, raw binary, bits array<bigint>, prefix array<bigint>",
+                                   sets_of), "read")
+    members = scratch_table(read.drop("raw", "bits", "prefix"), "members")
+    classes = read.filter("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "raw", "bits", "prefix")])
     classes = scratch_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     drop_tables(read)
 
     index = _index(ids, "text", classes)
-    # of the classes, only their names are read from here on
-    names = scratch_table(classes.select("node", "n", "sig", "raw"), "names")
+    # of the classes, only their names and parity bits are read from here on
+    names = scratch_table(classes.select("node", "n", "sig", "raw", "bits"), "names")
     drop_tables(classes)
     links, sets = None, None
     before = index.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] or 0
@@ -308,7 +336,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         before = left
     drop_tables(sets)
     free_driver(docs.sparkSession)
-    pairs = scratch_table(_cross_pairs(index), "pairs")
+    pairs = scratch_table(_cross_pairs(index, names), "pairs")
     drop_tables(index)
     nodes = _ends(pairs)
     links = links.unionByName(_verified(pairs, _whole_sets(ids, "text", names, nodes)))

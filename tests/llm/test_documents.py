@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 from raterlab.llm import exact_dedup, mixing, ngram_join, toxicity
 
 
@@ -122,6 +124,41 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows)
 
 
+def test_parity_bits_differ_at_most_as_sets_do():
+    rnd = random.Random(11)
+    for size in (0, 1, 5, 90, 600, 5000):
+        base = [rnd.getrandbits(63) for _ in range(size)]
+        one = {x for x in base if rnd.random() < 0.9} | {rnd.getrandbits(63) for _ in range(size // 9)}
+        two = {x for x in base if rnd.random() < 0.9} | {rnd.getrandbits(63) for _ in range(size // 7)}
+        bits = [ngram_join.parity(np.array(sorted(x), dtype=np.int64)) for x in (one, two)]
+        apart = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+        assert apart <= len(one ^ two) and (apart - len(one ^ two)) % 2 == 0
+        assert not (bits[0] ^ ngram_join.parity(np.array(sorted(one), dtype=np.int64))).any()
+
+
+def test_near_copies_that_are_not_similar_are_not_verified(spark, monkeypatch):
+    """400 copies of one text, each with words of its own: all shingles that they share are common, most pairs are below 0.8."""
+    rnd = random.Random(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for d in range(400):
+        w = list(base)
+        for i in rnd.sample(range(150), rnd.randrange(1, 6)):
+            w[i] = f"own{d}x{i}"
+        rows.append((d, " ".join(w)))
+    seen = []
+    verified = ngram_join._verified
+
+    def counted(pairs, sets):
+        links = verified(pairs, sets)
+        seen.append((pairs.count(), links.count()))
+        return links
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    out = ngram_join.document_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows)
+    pairs, links = seen[-1]
+    assert pairs <= 2 * links + 400, seen
+
+
 def test_one_document_of_each_group_stays(docs, no_docs):
     kept = ngram_join.one_per_group(docs.withColumn("component", docs["size"]))
     assert kept.columns == [*docs.columns, "component"]
