@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -48,6 +49,7 @@ def drop_tables(*tables: DataFrame) -> None:
 def free_driver(spark: SparkSession) -> None:
     """Collects the driver's garbage: plans and results of ended jobs go, and with them Spark's cleaner frees their
     shuffles and broadcasts. A driver that runs hundreds of jobs otherwise keeps these until its heap is full."""
+    gc.collect()  # Python's proxies keep what they stand for
     spark._jvm.System.gc()
 
 
@@ -100,7 +102,8 @@ def _filter_cells(keys, words: int):
 
 def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
     """A Bloom filter over the 16-byte digests or 64-bit hashes in ``key``, at most MAX_FILTER_WORDS longs: each
-    task sets its own bits, equal words are combined in a shuffle, and only the filter reaches the driver."""
+    task sets its own bits, equal words are combined in a shuffle, and only the filter reaches the driver, as two
+    arrays: a row object for each word would take the driver some 20 times the filter's size."""
     import numpy as np
     want = max(64, rows.count() // 4)
     words = min(MAX_FILTER_WORDS, 1 << (want - 1).bit_length())
@@ -118,8 +121,8 @@ def member_bits(rows: DataFrame, key: str) -> tuple[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
     held = rows.select(key).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(words, np.int64)
-    for word, value in held.collect():  # at most MAX_FILTER_WORDS
-        out[word] = value
+    for batch in held.toArrow().to_batches():  # at most MAX_FILTER_WORDS rows
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.tobytes(), words
 
 

@@ -242,3 +242,21 @@ def test_toxicity_learns_from_labels_outside_the_fold(spark, docs, no_docs):
     kept = toxicity.drop_toxic(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.toxicity(no_docs, labels).count() == 0
+
+
+def test_a_large_filter_reaches_the_driver_as_arrays(spark):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+    from raterlab.llm.common import MAX_FILTER_WORDS, member_bits, test_bits
+    keys = spark.range(0, 4 * MAX_FILTER_WORDS, 1, 4).select(F.xxhash64("id").alias("key"))
+    tracemalloc.start()
+    bits, words = member_bits(keys, "key")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == MAX_FILTER_WORDS and len(bits) == 8 * words
+    assert peak < 6 * len(bits)
+    some = keys.limit(1000).toPandas()["key"].to_numpy()
+    assert test_bits(bits, words, some).all()
+    empty, few = member_bits(keys.filter("key is null"), "key")
+    assert not test_bits(empty, few, some).any()
