@@ -79,3 +79,23 @@ def test_written_documents_are_documents(spark, tmp_out):
     assert got == sorted((f'k"{i % 3}', str(i)) for i in range(60))
     back = D.elements(spark, f"{tmp_out}/d", objects=True).collect()
     assert sorted((x.key, json.loads(x.element)["id"]) for x in back) == got
+
+
+def test_elements_across_batches_and_one_shuffle_of_texts(spark, tmp_out, small_blocks):
+    import re
+    doc = {k: [{"id": f"{k}{i}", "text": "} , {" * (i % 4)} for i in range(9)] for k in ("a", "b", "c")}
+    with open(f"{tmp_out}/d.json", "w") as f:
+        json.dump(doc, f)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for size in (97, 1 << 20):
+            blocks(spark, size)
+            df = D.elements(spark, f"{tmp_out}/d.json", objects=True)
+            assert sorted((r.key, json.loads(r.element)["id"]) for r in df.collect()) == sorted((k, x["id"]) for k, v in doc.items() for x in v)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # pieces stay where they are read, and an element moves once, to its block
+    assert not re.findall(r"Exchange hashpartitioning\(file#\d+, element#", plan), plan
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(file#\d+, block#\d+L, \d+\)", plan)) == 3, plan
