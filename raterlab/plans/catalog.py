@@ -1076,8 +1076,9 @@ def weighted_prf_bucketed(spark, d):
     from raterlab.sources import sinks as SNK2
     base = _scratch(spark, "bucketed")
     name = "raterlab_" + base.rsplit("-", 1)[1]
-    buckets = 16
-    texts = SNK2.bucketed_table(X.publications(spark, d).select("id", "text"), f"{name}_texts", f"{base}/texts", buckets)
+    pubs = X.publications(spark, d).select("id", "text")
+    buckets = SNK2.bucket_number(pubs)
+    texts = SNK2.bucketed_table(pubs, f"{name}_texts", f"{base}/texts", buckets)
     truth = SNK2.bucketed_table(E.truth_by_id(X.evaluation_truth(spark, d)), f"{name}_truth", f"{base}/truth", buckets)
     preds = SNK2.bucketed_table(V.parse_output(X.predictions(spark, d)), f"{name}_predictions", f"{base}/predictions", buckets)
     valid = V.expand_baseline(V.locate(V.attach_text(preds, texts)))

@@ -56,6 +56,18 @@ def results_json(results: DataFrame, path: str, mode: str = "append") -> None:
     out.write.mode(mode).partitionBy("persona", "approach", "seed").json(path)
 
 
+#: What a bucket holds at most, about, if ``bucket_number`` chose their number; the fewest buckets, and Spark's most.
+BUCKET_ROWS, BUCKET_BYTES = 20_000, 64 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 16, 100_000
+
+
+def bucket_number(texts: DataFrame, text_col: str = "text") -> int:
+    """Buckets for tables that meet ``texts`` by its key. A bucket is read, sorted and joined by one task, so their
+    number grows with the rows and bytes of ``texts`` and a task's memory does not."""
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS), -(-size // BUCKET_BYTES)))
+
+
 def bucketed_table(df: DataFrame, name: str, path: str, buckets: int, by: str = "id") -> DataFrame:
     """``df`` as a table clustered by ``by`` and sorted within its buckets: joins and aggregations of such tables on ``by``
     need no exchange. Rows are brought together once, here; each task writes the buckets it holds.

@@ -160,3 +160,24 @@ def test_no_row_is_sent_twice(spark, tmp_out):
     out = {r.id: r.output for r in SC.run_scorer(work, scorer).collect()}
     assert sorted(open(os.path.join(tmp_out, "calls")).read().split("\n")[:-1]) == sorted(f"{i} 1" for i in range(30))
     assert all(("failed" in out[i]) == (i % 3 == 0) for i in range(30))
+
+
+def test_buckets_grow_with_the_texts(spark, monkeypatch):
+    few = spark.range(100).select("id", F.lit("x" * 100).alias("text"))
+    assert SNK.bucket_number(few) == SNK.LEAST_BUCKETS == SNK.bucket_number(few.filter("id < 0"))
+    assert SNK.bucket_number(few.withColumn("text", F.lit(None).cast("string"))) == SNK.LEAST_BUCKETS
+    assert SNK.bucket_number(spark.range(64 * SNK.BUCKET_ROWS + 1).select(F.lit("x").alias("text"))) == 65
+    monkeypatch.setattr(SNK, "BUCKET_BYTES", 250)
+    assert SNK.bucket_number(few) == 40
+
+
+def test_bucketed_query_takes_as_many_buckets_as_its_texts_need(spark, monkeypatch, no_broadcast):
+    from conftest import SF_SMALL
+    from raterlab.plans import catalog
+    made = []
+    table = SNK.bucketed_table
+    monkeypatch.setattr(SNK, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(SNK, "bucketed_table", lambda df, name, path, buckets, **kw: made.append(buckets) or table(df, name, path, buckets, **kw))
+    rows = catalog.QUERIES["weighted_prf_bucketed"](spark, SF_SMALL).collect()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    assert rows and made == [-(-docs // 10)] * 3
