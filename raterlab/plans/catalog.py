@@ -1014,7 +1014,8 @@ def stream_validation(spark, d):
     from raterlab.streaming import incremental as INC
     base = checkpoint_path(spark, f"stream-validation-{uuid.uuid4().hex}")
     src, out, ck = f"{base}/predictions", f"{base}/validated", f"{base}/ckpt"
-    preds = X.predictions(spark, d)
+    # a few tasks a core: each writes and sorts less, and none waits for one large one
+    preds = X.predictions(spark, d, tasks=4 * spark.sparkContext.defaultParallelism)
     pubs = X.publications(spark, d)
     for cond in (F.col("approach") == K.BASELINE_APPROACH, F.col("approach") != K.BASELINE_APPROACH):
         SNK2.results_json(preds.filter(cond).withColumn("id", F.col("id").cast("string")), src)

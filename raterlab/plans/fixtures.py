@@ -133,8 +133,9 @@ def runs(spark: SparkSession) -> DataFrame:
 
 
 @view
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction envelopes for every publication and run; ``output`` is free-form JSON text.
+def predictions(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Prediction envelopes for every publication and run; ``output`` is free-form JSON text. ``tasks``: for writers, so
+    many tasks; without it, adaptive execution chooses by the bytes of the rows that are still to become 27 each.
 
     By ``id % 11``: 0 failure record; 1 level as text; 2 level 3.7-style; 3 level as "3.7";
     4 emotion outside the domain; 5 context as Python-literal text; 6 extra absent phrase;
@@ -142,7 +143,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     # the given documents are one file: its (text-free) annotation rows are dealt to all tasks before they
     # become 27 predictions each, as result files would be
-    ann = annotations(spark, sf_dir).drop("text").repartition("id")
+    ann = annotations(spark, sf_dir).drop("text")
+    ann = ann.repartition(tasks, "id") if tasks else ann.repartition("id")
     x = ann.join(F.broadcast(runs(spark)), "rater")
     i = F.col("id")
     shift = (i + F.col("seed") + F.col("approach_no")) % 4 == 0

@@ -100,3 +100,12 @@ def test_only_the_failing_row_fails(spark):
         return ['{"emotion": "joy"}'] * len(batch)
     out = {r.id: r.output for r in SC.run_scorer(rows.coalesce(1), scorer).collect()}
     assert len(out) == 50 and [i for i, o in out.items() if o == C.FAILED_OUTPUT_JSON] == [17]
+
+
+def test_written_predictions_are_dealt_to_as_many_tasks_as_asked(spark):
+    from conftest import SF_SMALL
+    from raterlab.plans import fixtures as X
+    few, many = X.predictions(spark, SF_SMALL), X.predictions(spark, SF_SMALL, tasks=12)
+    # the writer has one task for each
+    assert many.rdd.getNumPartitions() == 12 > few.rdd.getNumPartitions()
+    assert many.exceptAll(few).count() == 0 and many.count() == few.count()
